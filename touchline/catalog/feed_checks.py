@@ -8,6 +8,7 @@ from touchline.sources.feed import feed_sql, match_feed
 FEED = feed_sql()
 FEED4 = feed_sql(4)
 DENSE = feed_sql(pace=4)
+SQUAD = feed_sql(20, 1, 14)
 
 
 @query("feed_check_values", "S1", FEED + """

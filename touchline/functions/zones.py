@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 # Zone names with their lower bounds, in pitch order.
 THIRDS = [("defensive", 0.0), ("middle", 35.0), ("final", 70.0)]
 ENTRY_LANES = [("right", 0.0), ("right_hs", 13.84), ("center", 24.84), ("left_hs", 43.16), ("left", 54.16)]
-EQUAL_CHANNELS = [("right_wing", 0.0), ("right_half_space", 13.6), ("center", 27.2),
+EQUAL_CHANNELS = [("right_wing", 0.0), ("right_half_space", 13.6), ("central", 27.2),
                   ("left_half_space", 40.8), ("left_wing", 54.4)]
 
 
@@ -34,7 +34,21 @@ def entry_lane(y: Column) -> Column:
 
 
 def equal_channel(y: Column) -> Column:
-    return F.when((y >= 0) & (y <= 68.0), band(y, EQUAL_CHANNELS))
+    return F.when((y >= 0) & (y < 68.01), band(y, EQUAL_CHANNELS))
+
+
+ZONE_COLUMNS = [0.0, 16.5, 34.5, 52.5, 70.5, 88.5]
+ZONE_LANES = [("right_wing", 0.0), ("right_half_space", 13.84), ("central", 24.84), ("left_half_space", 43.16), ("left_wing", 54.16)]
+
+
+def positional_zone(x: Column, y: Column) -> Column:
+    """6 x 5 positional grid; the three central lanes of the last column split at the six-yard line."""
+    lane = band(y, ZONE_LANES)
+    column = band(x, [(str(i + 1), low) for i, low in enumerate(ZONE_COLUMNS)])
+    inner = lane.isin("right_half_space", "central", "left_half_space") & (x >= 88.5)
+    name = (F.when(inner & (x >= 99.5), F.concat(lane, F.lit("_box_6yd"))).when(inner, F.concat(lane, F.lit("_box_entry")))
+            .otherwise(F.concat(lane, F.lit("_z"), column)))
+    return F.when((x >= 0) & (x < 105.01) & (y >= 0) & (y < 68.01), name)
 
 
 def flank(y: Column) -> Column:

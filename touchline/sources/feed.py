@@ -47,8 +47,8 @@ _FINAL = [
     ("teamName", "concat('Team ', cast(case when h_a = 'h' then home_no else away_no end as {text}))"),
     ("opponentName", "concat('Team ', cast(case when h_a = 'h' then away_no else home_no end as {text}))"),
     ("h_a", "h_a"),
-    ("playerId", "user_id"),
-    ("playerName", "concat('Player ', cast(user_id as {text}))"),
+    ("playerId", "{player}"),
+    ("playerName", "concat('Player ', cast({player} as {text}))"),
     ("minute", "cast(t_sec {div} 60 as int)"),
     ("second", "cast(t_sec % 60 as int)"),
     ("expandedMinute", "cast(t_sec {div} 60 as int)"),
@@ -94,22 +94,26 @@ _FINAL = [
 ]
 
 
-def _fill(text: str, teams: int, pace: int, div: str, kind: str) -> str:
+def _fill(text: str, teams: int, pace: int, squad: int, div: str, kind: str) -> str:
+    player = "user_id" if not squad else (
+        "((case when h_a = 'h' then home_no else away_no end + 1) * 100 + (user_id {div} 2) % {squad})".replace("{squad}", str(squad)))
+    text = text.replace("{player}", player)
     return text.replace("{teams}", str(teams)).replace("{pace}", str(pace)).replace("{div}", div).replace("{text}", kind)
 
 
-def match_feed(spark: SparkSession, sf_dir: str, teams: int = 20, pace: int = 1) -> DataFrame:
+def match_feed(spark: SparkSession, sf_dir: str, teams: int = 20, pace: int = 1, squad: int = 0) -> DataFrame:
     """Canonical match events. ``teams`` = league size; a season is a full home-and-away round.
 
     ``pace`` plays each half that many times faster, so that rules over a few seconds have rows to act on.
+    ``squad`` folds the users of a team onto that many shirt numbers (0 keeps user ids as players).
     """
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return as_match_feed(ev, teams, pace)
+    return as_match_feed(ev, teams, pace, squad)
 
 
-def as_match_feed(ev: DataFrame, teams: int = 20, pace: int = 1) -> DataFrame:
+def as_match_feed(ev: DataFrame, teams: int = 20, pace: int = 1, squad: int = 0) -> DataFrame:
     def fill(pairs):
-        return [f"{_fill(e, teams, pace, 'div', 'string')} as `{n}`" for n, e in pairs]
+        return [f"{_fill(e, teams, pace, squad, 'div', 'string')} as `{n}`" for n, e in pairs]
     ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     keyed = ev.selectExpr("event_id", "user_id", "k", "ts", *fill(_KEYS))
     typed = keyed.selectExpr("*", *fill(_TYPES))
@@ -117,10 +121,10 @@ def as_match_feed(ev: DataFrame, teams: int = 20, pace: int = 1) -> DataFrame:
     return final.withColumn("qualifiers", F.array_compact(F.array("qual", "qual2"))).drop("qual", "qual2")
 
 
-def feed_sql(teams: int = 20, pace: int = 1) -> str:
+def feed_sql(teams: int = 20, pace: int = 1, squad: int = 0) -> str:
     """The same table as a chain of common table expressions ending in ``feed``."""
     def fill(pairs):
-        return ", ".join(f'{_fill(e, teams, pace, "//", "varchar")} as "{n}"' for n, e in pairs)
+        return ", ".join(f'{_fill(e, teams, pace, squad, "//", "varchar")} as "{n}"' for n, e in pairs)
     return f"""WITH raw0 AS (SELECT event_id, user_id, ts, value,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
 raw1 AS (SELECT event_id, user_id, k, ts, {fill(_KEYS)} FROM raw0),
