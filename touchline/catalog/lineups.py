@@ -22,7 +22,7 @@ su AS (SELECT sd.*, i, CAST(50 + 10*i + (m*7+teamId*3+i) % 9 AS INT) AS "minute"
 ch AS (SELECT *, 70 AS "minute" FROM sd WHERE (m+teamId) % 4 = 0),
 bd AS (SELECT matchId, teamName, "minute" FROM su UNION SELECT matchId, teamName, "minute" FROM ch),
 asg AS (SELECT matchId, teamName, 0 AS mi, 0 AS k, "playerId", slot FROM pl UNION ALL SELECT matchId, teamName, "minute", 1, off_id, 0 FROM su UNION ALL SELECT matchId, teamName, "minute", 2, on_id, slot FROM su
-  UNION ALL SELECT matchId, teamName, "minute", 3, base+n, CASE WHEN n=5 THEN 10 ELSE 6 END FROM ch CROSS JOIN (VALUES (5),(9)) t(n))""", f"coalesce(CASE {pos} END, 'UNK')"
+  UNION ALL SELECT matchId, teamName, "minute", 3, base+n, CASE WHEN n=4 THEN 11 ELSE 5 END FROM ch CROSS JOIN (VALUES (4),(10)) t(n))""", f"coalesce(CASE {pos} END, 'UNK')"
 
 
 LINEUP_SQL, POS = lineup_sql()
@@ -151,7 +151,7 @@ def player_usage(spark, sf_dir):
 @query("lineup_changes", "A63", SQUAD4 + LINEUP_SQL + """,
 e AS (SELECT league, season, teamName, matchId, startDate, list("playerId" ORDER BY "playerId") AS xi FROM pl WHERE slot > 0 GROUP BY ALL),
 g AS (SELECT *, lag(xi) OVER (PARTITION BY league, season, teamName ORDER BY startDate, matchId) AS p FROM e)
-SELECT league, season, teamName, matchId, CAST(len(list_intersect(xi, p)) AS INT) AS kept, CAST(len(xi)-len(list_intersect(xi, p)) AS INT) AS changes, len(list_intersect(xi, p))::double*100/len(xi) AS stability FROM g""")
+SELECT league, season, teamName, matchId, CASE WHEN p IS NOT NULL THEN CAST(len(list_intersect(xi, p)) AS INT) END AS kept, CASE WHEN p IS NOT NULL THEN CAST(len(xi)-len(list_intersect(xi, p)) AS INT) END AS changes, CASE WHEN p IS NOT NULL THEN len(list_intersect(xi, p))::double*100/len(xi) END AS stability FROM g""")
 def lineup_changes(spark, sf_dir):
     return l.lineup_changes(both(spark, sf_dir, 4)[1])
 

@@ -34,7 +34,7 @@ def lineup_events(feed: DataFrame) -> DataFrame:
                          "cast(null as int) as slot", "cast(null as int) as formation_id")
     on = sub.selectExpr("*", "'SubstitutionOn' as type", "base + 11 + i as playerId", "_id + 1 as eventId", "_id as relatedEventId",
                         "cast(4 + 2 * i as int) as slot", "cast(null as int) as formation_id")
-    swap = "transform(array(5, 9), n -> struct(base + n as playerId, if(n = 5, 10, 6) as slot))"
+    swap = "transform(array(4, 10), n -> struct(base + n as playerId, if(n = 4, 11, 5) as slot))"
     change = s.where("(m + teamId) % 4 = 0").selectExpr(
         "*", "'FormationChange' as type", "70 as minute", "cast(null as bigint) as playerId", "cast(null as bigint) as eventId", "cast(null as bigint) as relatedEventId",
         "cast(null as int) as slot", "5 as formation_id", f"{swap} as players")
