@@ -141,9 +141,9 @@ def progressive() -> Column:
 
 
 def progressive_tagged() -> Column:
-    """Dossier form: the same thresholds on the x distance only, or any tagged metres gained."""
-    x, ex = F.col("x"), F.col("endX")
-    need = (F.when((x < HALFWAY) & (ex < HALFWAY), 30.0)
-            .when((x >= HALFWAY) & (ex >= HALFWAY), 10.0).otherwise(15.0))
+    """Dossier form: successful pass or carry tagged with metres gained, or going forward by 30 m from the
+    own third, 15 m from the middle third, 10 m from the final third."""
+    x, ex = F.coalesce("x", F.lit(0.0)), F.coalesce("endX", F.lit(0.0))
+    need = F.when(x < 35, 30.0).when(x < 70, 15.0).otherwise(10.0)
     tagged = (F.coalesce(F.col("prog_pass"), F.lit(0.0)) > 0) | (F.coalesce(F.col("prog_carry"), F.lit(0.0)) > 0)
-    return kind(*ON_BALL_TYPES) & (F.coalesce(ex - x >= need, F.lit(False)) | tagged)
+    return kind(*ON_BALL_TYPES) & success_word() & (tagged | ((ex - x >= need) & (ex > x)))
