@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from touchline.operators.scan import NextAfter, RunningSum, scan
+from touchline.operators.scan import NextAfter, RunningSum, bound_of, bounded, scan
 from touchline.operators.state import period_ord
 
 # Effective limits in metres and seconds, and the type groups of the rule.
@@ -86,7 +86,9 @@ def with_carries(events: DataFrame) -> DataFrame:
         F.lit("Carry").alias("type"), F.lit("Successful").alias("outcomeType"), F.lit(True).alias("isTouch"),
         (F.col("index") + F.col("_made") + 1).alias("_new"))
     out = base.drop("carry", "_made", "index").unionByName(made, allowMissingColumns=True)
-    return out.withColumnRenamed("_new", "index")
+    below = bound_of(events, "index")
+    # Every event adds one carry at most.
+    return out.withColumn("index", bounded(F.col("_new"), "index", 2 * below if below else None)).drop("_new")
 
 
 def rebuild_carries(events: DataFrame) -> DataFrame:

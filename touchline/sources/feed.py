@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from touchline.operators.scan import bounded
+
 ROWS_PER_MATCH = 500
 
 # Step 1: keys and two mixing numbers.
@@ -118,7 +120,9 @@ def as_match_feed(ev: DataFrame, teams: int = 20, pace: int = 1, squad: int = 0)
     keyed = ev.selectExpr("event_id", "user_id", "k", "ts", *fill(_KEYS))
     typed = keyed.selectExpr("*", *fill(_TYPES))
     final = typed.selectExpr("k", "ts", *fill(_FINAL))
-    return final.withColumn("qualifiers", F.array_compact(F.array("qual", "qual2"))).drop("qual", "qual2")
+    final = final.withColumn("qualifiers", F.array_compact(F.array("qual", "qual2"))).drop("qual", "qual2")
+    # event_id % 500 is below 500 whatever the data: a match cannot hold more positions.
+    return final.withColumn("index", bounded(F.col("index"), "index", ROWS_PER_MATCH))
 
 
 def feed_sql(teams: int = 20, pace: int = 1, squad: int = 0) -> str:
