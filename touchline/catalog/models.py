@@ -102,11 +102,11 @@ SELECT {n_sql("shot_family <> 'penalty' AND x >= 52.5 AND shot_distance <= 60")}
 def training_row_counts(spark, sf_dir):
     ev = scored(spark, sf_dir)
     shots = f.xgot_features(f.shot_features(ev))
-    a = f.shot_training_rows(shots).agg(F.count("*").alias("xg_rows"))
-    b = f.xgot_training_rows(shots).agg(F.count("*").alias("xgot_rows"))
-    d = f.pass_training_rows(f.pass_geometry(ev.where("type = 'Pass'"))).agg(n_if(F.col("outcomeType") == "Successful").alias("xa_rows"), F.count("*").alias("xpass_rows"))
-    # Three one-row results side by side.
-    return a.crossJoin(b).crossJoin(d)
+    kinds = (f.shot_training_rows(shots).select(F.lit("xg_rows").alias("k"))
+             .unionByName(f.xgot_training_rows(shots).select(F.lit("xgot_rows").alias("k")))
+             .unionByName(f.pass_training_rows(f.pass_geometry(ev.where("type = 'Pass'"))).select(
+                 F.explode(F.array_compact(F.array(F.lit("xpass_rows"), F.when(F.col("outcomeType") == "Successful", "xa_rows")))).alias("k"))))
+    return kinds.agg(*[n_if(F.col("k") == n).alias(n) for n in ("xg_rows", "xgot_rows", "xa_rows", "xpass_rows")])
 
 
 @query("time_split", "W20", FEED + """,
@@ -225,3 +225,19 @@ def shot_value_rules(spark, sf_dir):
     ev = scored(spark, sf_dir)
     rows = f.xgot_features(f.shot_features(ev)).join(ev.select("matchId", "eventId", "goalOwn"), ["matchId", "eventId"]).withColumn("raw", F.col("xG"))
     return e.apply_xgot_rules(e.apply_shot_rules(rows, "raw"), "raw").select("eventId", "xG", "xGOT")
+
+
+@query("completion_model_ranking", "M6 M7 M8 M9")
+def completion_model_ranking(spark, sf_dir):
+    from touchline.models import training as t
+    rows = f.completion_training_rows(completion(spark, sf_dir))
+    table, _ = t.train_ranked(rows, f.time_split(match_feed(spark, sf_dir)), "xpass_completed", ["pass_distance", "start_distance_to_goal", "end_distance_to_goal", "pass_count_log"],
+                              ["pass_type", "play_pattern", "previous_action_type"], minimum=20)
+    return table
+
+
+@query("enriched_events", "M11 M16")
+def enriched_events(spark, sf_dir):
+    from touchline.plans.enrich import enrich
+    out = enrich(match_feed(spark, sf_dir, pace=4))
+    return out.select("matchId", "index", "event_ord", "type", "is_generated", "cumulative_mins", "xT", "epv_added", "prog_pass", "prog_carry", "pass_or_carry_angle")

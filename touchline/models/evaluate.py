@@ -19,6 +19,8 @@ def model_metrics(rows: DataFrame, target: str, prediction: str, keys=()) -> Dat
     AUC and average precision read counts per ten-thousandth of the prediction: at most 10 001 rows per
     key group reach the ordered window, however many are scored.
     """
+    if not keys:
+        return model_metrics(rows.withColumn("_key", F.lit(1)), target, prediction, ["_key"]).drop("_key")
     keys = list(keys)
     y = c(target).cast("double")
     q = F.greatest(F.lit(1e-8), F.least(F.lit(1 - 1e-8), c(prediction)))
@@ -36,8 +38,6 @@ def model_metrics(rows: DataFrame, target: str, prediction: str, keys=()) -> Dat
     rank = hist.groupBy(*keys).agg(
         ratio(F.sum(c("pos") * (2 * c("_below") + c("neg"))), 2 * F.sum("pos") * F.sum("neg")).alias("roc_auc"),
         (fsum(c("pos") * c("_tp") / c("_all")) / F.sum("pos")).alias("average_precision"))
-    if not keys:
-        return base.crossJoin(ece).crossJoin(rank).withColumn("over_expected", c("positives") - c("expected"))
     return base.join(ece, keys).join(rank, keys).withColumn("over_expected", c("positives") - c("expected"))
 
 

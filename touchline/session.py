@@ -26,3 +26,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="touchline-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
+
+
+def materialise(df, name: str = "rows"):
+    """Write a frame to the shared checkpoint folder and read it back: lineage ends there, and losing an
+    executor costs a re-read instead of a re-run."""
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
