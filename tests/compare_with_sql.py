@@ -1,10 +1,12 @@
 """Compare every registered query with its SQL on the given tables (development helper)."""
 import math
+import os
 import sys
 import time
 
 import duckdb
 
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry
 from touchline.session import local_session
 
