@@ -77,3 +77,23 @@ SELECT b.*, coalesce(c1.n,0) AS counterpress_actions, coalesce(c2.n,0) AS counte
 FROM b LEFT JOIN c1 ON c1.matchId=b.matchId AND c1.pl=b.playerName LEFT JOIN c2 ON c2.matchId=b.matchId AND c2.pl=b.playerName LEFT JOIN c3 ON c3.matchId=b.matchId AND c3.pl=b.playerName""")
 def defensive_player_summary(spark, sf_dir):
     return d.defensive_player_summary(feed(spark, sf_dir))
+
+
+_PROF = []
+for _n in d.TEAM_PROFILES:
+    if _n == "Counterpress Control":
+        _e = ratio_sql("counterpress_regains", "greatest(1, counterpress)", 56) + " + counterpress::double/total*28 + retained::double/total*16"
+    else:
+        _e = " + ".join(f"{k}::double/total*{w}" for k, w in d.PROFILE_WEIGHTS[_n].items())
+    _PROF.append(f"SELECT matchId, teamName, total, '{_n}' AS profile, CAST(floor(greatest(0, least(100, {_e})) + 0.5) AS INT) AS score FROM g")
+
+
+@query("defensive_profiles", "A59", DENSE + SEQ_SQL + f""",
+nx AS (SELECT *, lead(teamName,1) OVER w AS t1, lead(type,1) OVER w AS y1 FROM feed WINDOW w AS (PARTITION BY matchId ORDER BY "index")),
+cs AS (SELECT DISTINCT cid FROM cpp), rs AS (SELECT DISTINCT regain_id FROM seq WHERE counterpress_success),
+a AS (SELECT *, coalesce(t1 = teamName, false) AS kept, type IN ('BallRecovery','Interception','Tackle') AS rg_, type IN ('Clearance','BlockedPass','Aerial') AS em, type IN ('Foul','Error') AS ri, eventId IN (SELECT cid FROM cs) AS cp, eventId IN (SELECT cid FROM cs) AND eventId IN (SELECT regain_id FROM rs WHERE regain_id IS NOT NULL) AS cr FROM nx WHERE {DEF}),
+g AS (SELECT matchId, teamName, count(*) AS total, {n_sql('x >= 70 AND rg_')} AS high_regains, {n_sql('kept')} AS retained, {n_sql('x >= 70')} AS attacking_third, {n_sql('x < 35')} AS defensive_third, {n_sql('x < 35 AND em')} AS deep_emergency, {n_sql('em')} AS emergency,
+ {n_sql("kept AND y1 IN ('Pass','Carry','TakeOn','Shot','Goal','MissedShots','SavedShot')")} AS transition_next, {n_sql('rg_')} AS regains, {n_sql('ri')} AS risk, {n_sql('x < 35 AND ri')} AS deep_risk, {n_sql('cr')} AS counterpress_regains, {n_sql('cp')} AS counterpress FROM a GROUP BY ALL)
+""" + " UNION ALL ".join(_PROF))
+def defensive_profiles(spark, sf_dir):
+    return d.defensive_profiles(state.with_score(feed(spark, sf_dir)))

@@ -256,3 +256,20 @@ def lineup_context(spark, sf_dir):
     li = lineup_events(match_feed(spark, sf_dir, 4, 1, 14)).where("type = 'FormationSet'")
     h = li.select("matchId", "teamName", F.try_element_at(lookup(FORMATION_NAMES), F.col("formation_id")).alias("formation"))
     return q.lineup_context(h.select("matchId", "teamName"), h.where("cast(matchId as bigint) % 2 = 0"), h)
+
+
+@query("defensive_value_per90", "A55")
+def defensive_value_per90(spark, sf_dir):
+    from touchline.plans.season import player_match_stats
+    ev = match_feed(spark, sf_dir, 4).withColumn("xT", F.lit(None).cast("double")).withColumn("epv_added", F.lit(None).cast("double"))
+    return r.defensive_value_per90(ev, player_match_stats(ev))
+
+
+@query("literal_qualifier_names", "UD3 P29", FEED + """ SELECT eventId, qualifiers AS names FROM feed WHERE len(qualifiers) > 0""")
+def literal_qualifier_names(spark, sf_dir):
+    from touchline.functions.names import qualifier_names
+    f = match_feed(spark, sf_dir).where("size(qualifiers) > 0")
+    as_json = F.to_json(F.transform("qualifiers", lambda v: F.struct(v.alias("type"), F.lit("1").alias("value"))))
+    as_literal = F.concat(F.lit("[{'type': {'displayName': '"), F.array_join("qualifiers", "'}}, {'type': {'displayName': '"), F.lit("'}}]"))
+    text = F.when(F.col("eventId") % 2 == 0, as_json).otherwise(as_literal)
+    return f.select("eventId", qualifier_names(text).alias("names"))

@@ -50,3 +50,33 @@ def ratcliff(a: pd.Series, b: pd.Series) -> pd.Series:
 def edit_ratio(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length: stays inside the JVM."""
     return 1.0 - F.levenshtein(a, b) / F.greatest(F.lit(1), F.length(a), F.length(b))
+
+
+@F.pandas_udf("array<string>")
+def literal_qualifiers(s: pd.Series) -> pd.Series:
+    """Qualifier names out of Python-literal text (a list of dicts with type and value, or of words)."""
+    import ast
+
+    def names(text):
+        if text is None:
+            return None
+        try:
+            items = ast.literal_eval(text)
+        except (ValueError, SyntaxError):
+            return None
+        items = items if isinstance(items, list) else [items]
+        out = []
+        for i in items:
+            t = i.get("type") if isinstance(i, dict) else i
+            out.append(str(t.get("displayName")) if isinstance(t, dict) else str(t))
+        return out
+
+    return s.map(names)
+
+
+def qualifier_names(c: Column) -> Column:
+    """Names from JSON text where it parses, else from literal text."""
+    parsed = F.from_json(c, "array<struct<type:string,value:string>>", {"allowSingleQuotes": "false"})
+    named = F.transform(parsed, lambda q: q["type"])
+    good = parsed.isNotNull() & F.coalesce(F.forall(named, lambda n: n.isNotNull()), F.lit(False))
+    return F.coalesce(F.when(good, named), literal_qualifiers(c))

@@ -60,8 +60,9 @@ def prepare(rows: DataFrame, target: str, numeric, weighted: bool = False) -> Da
     for n in numeric:
         out = out.withColumn(n, c(n).cast("double"))
     if weighted:
-        share = rows.agg(F.avg(c(target).cast("double")).alias("_share"))
-        out = out.join(F.broadcast(share)).withColumn("weight", F.when(c("label") == 1, 0.5 / c("_share")).otherwise(0.5 / (1 - c("_share")))).drop("_share")
+        # One row joined on a constant key.
+        share = rows.agg(F.avg(c(target).cast("double")).alias("_share")).withColumn("_one", F.lit(1))
+        out = out.withColumn("_one", F.lit(1)).join(F.broadcast(share), "_one").drop("_one").withColumn("weight", F.when(c("label") == 1, 0.5 / c("_share")).otherwise(0.5 / (1 - c("_share")))).drop("_share")
     return out
 
 

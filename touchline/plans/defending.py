@@ -149,3 +149,50 @@ def defensive_player_summary(events: DataFrame) -> DataFrame:
         out = out.join(side, ["matchId", "playerName"], "left")
     out = out.fillna(0, ["counterpress_actions", "counterpress_regains"])
     return out.withColumn("counterpress_success_pct", ratio(c("counterpress_regains"), F.greatest(F.lit(1), c("counterpress_actions")), 100.0))
+
+
+# Weight of each share in a profile's score.
+PROFILE_WEIGHTS = {
+    "High Press Regains": {"high_regains": 58, "retained": 30, "attacking_third": 24},
+    "Deep Block Volume": {"deep_emergency": 62, "defensive_third": 24, "emergency": 20},
+    "Regain To Attack": {"retained": 42, "transition_next": 42, "regains": 16},
+    "Defensive Risk": {"risk": 70, "deep_risk": 28},
+    "Pressing Forward": {"high_regains": 64, "attacking_third": 24, "retained": 18},
+    "Ball Winner": {"regains": 48, "retained": 32, "counterpress_regains": 20},
+    "Box Defender": {"deep_emergency": 66, "defensive_third": 22, "emergency": 18},
+    "Outlet Regainer": {"transition_next": 50, "retained": 34, "regains": 16},
+    "Risk Aggressor": {"risk": 72, "deep_risk": 26},
+}
+TEAM_PROFILES = ["High Press Regains", "Counterpress Control", "Deep Block Volume", "Regain To Attack", "Defensive Risk"]
+
+
+def defensive_profiles(events: DataFrame, keys=("matchId", "teamName")) -> DataFrame:
+    """Role scores (0-100) of a side or, keyed by player, of a player: weighted shares of its actions.
+
+    Needs score columns (the action rows carry them).
+    """
+    keys = list(keys)
+    acts = defensive_actions(events)
+    pairs = counterpress_pairs(events).select("matchId", c("p_eventId").alias("eventId")).distinct().withColumn("_cp", F.lit(True))
+    won = loss_sequences(events).where("counterpress_success").select("matchId", c("regain_id").alias("eventId")).distinct().withColumn("_cr", F.lit(True))
+    a = acts.join(pairs, ["matchId", "eventId"], "left").join(won, ["matchId", "eventId"], "left")
+    high, deep = c("zone") == "Attacking Third", c("zone") == "Defensive Third"
+    regain, emergency, risk = c("type").isin("BallRecovery", "Interception", "Tackle"), c("type").isin("Clearance", "BlockedPass", "Aerial"), c("type").isin("Foul", "Error")
+    onward = c("next_team_retained") & c("next_1_type").isin("Pass", "Carry", "TakeOn", "Shot", "Goal", "MissedShots", "SavedShot")
+    cp, cr = F.coalesce("_cp", F.lit(False)), F.coalesce("_cr", F.lit(False)) & F.coalesce("_cp", F.lit(False))
+    n = {"high_regains": high & regain, "retained": c("next_team_retained"), "attacking_third": high, "defensive_third": deep, "deep_emergency": deep & emergency, "emergency": emergency,
+         "transition_next": onward, "regains": regain, "risk": risk, "deep_risk": deep & risk, "counterpress_regains": cr, "counterpress": cp}
+    g = a.groupBy(*keys).agg(F.count("*").alias("total"), *[n_if(v).alias(k) for k, v in n.items()])
+    share = lambda k: c(k) / c("total")
+    score = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), v)) + 0.5).cast("int")
+    cols = {}
+    for name, parts in PROFILE_WEIGHTS.items():
+        total = None
+        for k, w in parts.items():
+            total = share(k) * w if total is None else total + share(k) * w
+        cols[name] = score(total)
+    control = ratio(c("counterpress_regains"), F.greatest(F.lit(1), c("counterpress")), 56.0) + share("counterpress") * 28 + share("retained") * 16
+    cols["Counterpress Control"] = score(control)
+    names = TEAM_PROFILES if "teamName" in keys and "playerName" not in keys else [p_ for p_ in cols if p_ not in TEAM_PROFILES]
+    out = g.select(*keys, "total", *[cols[p_].alias(p_) for p_ in names])
+    return out.unpivot([*keys, "total"], names, "profile", "score")

@@ -263,3 +263,14 @@ def action_hulls(events: DataFrame) -> DataFrame:
     return pts.groupBy("matchId", "playerName").applyInPandas(_hull, "matchId string, playerName string, points int, corners int, area double")
 
 
+
+
+def defensive_value_per90(events: DataFrame, minutes: DataFrame, minimum: int = 90) -> DataFrame:
+    """Pitch value at the place of each successful defending action, per 90 minutes of a season."""
+    from touchline.operators.grids import default_epv_grid, with_grid_values
+    d = events.where(c("type").isin("BallRecovery", "Interception", "Tackle", "Clearance", "BlockedPass") & c("outcomeType").isin("Won", "Successful"))
+    v = with_grid_values(d, default_epv_grid(events.sparkSession), "epv")
+    g = v.groupBy("league", "season", "playerName").agg(fsum(c("epv_start")).alias("defensive_epv"), F.count("*").alias("def_actions"))
+    m = minutes.groupBy("league", "season", "playerName").agg(F.sum("mins_played").alias("minutes")).where(c("minutes") > minimum)
+    out = g.join(m, ["league", "season", "playerName"])
+    return out.withColumn("def_epv_per90", ratio(c("defensive_epv"), c("minutes"), 90.0)).withColumn("def_actions_per90", ratio(c("def_actions"), c("minutes"), 90.0))
