@@ -52,7 +52,7 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return 1.0 - F.levenshtein(a, b) / F.greatest(F.lit(1), F.length(a), F.length(b))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def literal_qualifiers(s: pd.Series) -> pd.Series:
     """Qualifier names out of Python-literal text (a list of dicts with type and value, or of words)."""
     import ast
