@@ -52,3 +52,15 @@ def test_halo_lag_and_lead(spark):
     assert len(got) == len(ROWS)
     for r in got:
         assert r.p == table.get((r.m, r.i - 2)) and r.n == table.get((r.m, r.i + 1))
+
+
+def test_match_state_does_not_depend_on_the_bound(spark, sf):
+    """The same possessions and scores with and without a proven position bound."""
+    from touchline.operators import state
+    from touchline.sources.feed import match_feed
+    feed = match_feed(spark, sf)
+    loose = feed.withColumn("index", F.col("index") + F.lit(0))
+    assert loose.schema["index"].metadata == {}
+    cols = ["eventId", "possession_id", "possession_team", "home_score_before", "away_score_before"]
+    a, b = (sorted(map(tuple, state.with_possession(x, score=True).select(cols).collect()), key=lambda r: r[0]) for x in (feed, loose))
+    assert a == b

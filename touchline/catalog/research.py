@@ -265,11 +265,11 @@ def defensive_value_per90(spark, sf_dir):
     return r.defensive_value_per90(ev, player_match_stats(ev))
 
 
-@query("literal_qualifier_names", "UD3 P29", FEED + """ SELECT eventId, qualifiers AS names FROM feed WHERE len(qualifiers) > 0""")
+@query("literal_qualifier_names", "UD3 P29", FEED + """ SELECT eventId, array_to_string(qualifiers, ',') AS names FROM feed WHERE len(qualifiers) > 0""")
 def literal_qualifier_names(spark, sf_dir):
     from touchline.functions.names import qualifier_names
     f = match_feed(spark, sf_dir).where("size(qualifiers) > 0")
     as_json = F.to_json(F.transform("qualifiers", lambda v: F.struct(v.alias("type"), F.lit("1").alias("value"))))
     as_literal = F.concat(F.lit("[{'type': {'displayName': '"), F.array_join("qualifiers", "'}}, {'type': {'displayName': '"), F.lit("'}}]"))
     text = F.when(F.col("eventId") % 2 == 0, as_json).otherwise(as_literal)
-    return f.select("eventId", qualifier_names(text).alias("names"))
+    return f.select("eventId", F.array_join(qualifier_names(text), ",").alias("names"))

@@ -154,11 +154,11 @@ def keeper_match_stats(spark, sf_dir):
 
 @query("event_locations", "P41", ENRICHED_SQL + """
 SELECT matchId, startDate AS date, league, season, eventId, teamName, playerName, type, outcomeType, isGoal, x, y, coalesce(endX,0) AS "endX", coalesce(endY,0) AS "endY",
- coalesce(xG,0) AS "xG", coalesce(xA,0) AS "xA", floor(coalesce("xT",0)*1e6+0.5) AS xt_micro, qualifiers, period, "minute" FROM ev
+ coalesce(xG,0) AS "xG", coalesce(xA,0) AS "xA", floor(coalesce("xT",0)*1e6+0.5) AS xt_micro, array_to_string(qualifiers, ',') AS qualifiers, period, "minute" FROM ev
 WHERE type IN ('Goal','SavedShot','MissedShots','ShotOnPost','Pass','Carry','TakeOn','Tackle','Interception','Challenge','Clearance','BallRecovery','BlockedPass','Aerial','Foul')""")
 def event_locations(spark, sf_dir):
     out = season.event_locations(grids.with_xt(match_feed(spark, sf_dir, 4)))
-    return out.withColumn("xt_micro", F.floor(F.col("xT") * 1e6 + 0.5).cast("double")).drop("xT")
+    return out.withColumn("xt_micro", F.floor(F.col("xT") * 1e6 + 0.5).cast("double")).withColumn("qualifiers", F.array_join("qualifiers", ",")).drop("xT")
 
 
 _S = season.LEADER_SUMS
