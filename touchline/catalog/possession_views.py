@@ -188,3 +188,34 @@ g AS (SELECT matchId, teamName, players, count(*) AS "count" FROM h GROUP BY ALL
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY matchId, teamName ORDER BY "count" DESC, players) AS "rank" FROM g) WHERE "rank" <= 6 AND "count" >= 2""")
 def passing_triangles(spark, sf_dir):
     return v.passing_triangles(v.pass_chains(v.network_passes(grids.with_xt(match_feed(spark, sf_dir, 20, 12, 4)))))
+
+
+_HALF = lambda x, y: f"({x} >= 52.5 AND ({y} BETWEEN 18 AND 30 OR {y} BETWEEN 38 AND 50))"
+_REACH = lambda e, per, top: f"least({float(top)}::double, ({e})/greatest(1.0::double, n*{float(per)}::double)*{float(top)}::double)"
+_THREAT = lambda top, w: f"least({float(top)}::double, greatest(0, xt)*{float(w)}::double)"
+_POINTS = {
+    "Build-up Control": f"{_REACH('passes', 8, 42)} + {_REACH('links', 2.4, 28)} + {_THREAT(14, 42)}",
+    "Progressive Passing": f"{_REACH('prog+pc', 3.4, 58)} + {_THREAT(16, 42)} + {_REACH('wide+direct', 1.4, 12)}",
+    "Wide Progression": f"{_REACH('wide', 1.35, 58)} + {_REACH('prog+pc', 4.5, 16)} + {_REACH('tk', 1.6, 10)}",
+    "Central Access": f"{_REACH('central_passes', 7, 58)} + {_REACH('central', 1.8, 22)} + {_THREAT(10, 28)}",
+    "Final Third Threat": f"{_REACH('final', 1.25, 56)} + {_THREAT(24, 58)}",
+    "Directness": f"{_REACH('direct', 1.45, 68)} + {_REACH('prog+pc', 5.5, 14)}"}
+PROFILE_SQL = NODE_SQL + f""",
+pe AS (SELECT matchId, teamName, playerId, receiver, count(*) AS pass_count, median(x) AS source_x, median(y) AS source_y, median(endX) AS target_x, median(endY) AS target_y, {fsum_sql('xtv')} AS total_xt, {n_sql('prog')} AS progressive_count
+  FROM np WHERE playerId <> receiver GROUP BY matchId, teamName, playerId, receiver),
+ed AS (SELECT e.*, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, greatest(b.x, target_x) - least(a.x, source_x) AS gain FROM pe e JOIN nodes a ON a.matchId=e.matchId AND a.teamName=e.teamName AND a.playerId=e.playerId JOIN nodes b ON b.matchId=e.matchId AND b.teamName=e.teamName AND b.playerId=e.receiver),
+fl AS (SELECT *, (y1 <= 18 OR y1 >= 50 OR target_y <= 18 OR target_y >= 50) AND (progressive_count >= 1 OR gain >= 10) AND pass_count >= 2 AS wd, {_HALF('x0','y0')} OR {_HALF('x1','y1')} OR {_HALF('source_x','source_y')} OR {_HALF('target_x','target_y')} AS ce,
+  sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) >= 34 OR (progressive_count >= 2 AND gain >= 15) AS dr FROM ed),
+es AS (SELECT matchId, teamName, sum(pass_count) AS passes, count(*) AS links, sum(progressive_count) AS prog, {fsum_sql('total_xt')} AS xt, {n_sql('x1 >= 70 OR target_x >= 70')} AS final, {n_sql('wd')} AS wide, {n_sql('ce')} AS central, sum(CASE WHEN ce THEN pass_count ELSE 0 END) AS central_passes, {n_sql('dr')} AS direct FROM fl GROUP BY ALL),
+ns AS (SELECT matchId, teamName, count(*) AS n, sum(progressive_carries) AS pc, sum(take_ons) AS tk FROM nodes GROUP BY ALL),
+sc AS (SELECT * FROM es JOIN ns USING (matchId, teamName)),
+lg AS (""" + " UNION ALL ".join(f"SELECT matchId, teamName, '{k}' AS profile, CAST(floor(greatest(0, least(100, {e}))+0.5) AS INT) AS score FROM sc" for k, e in _POINTS.items()) + """)
+SELECT a.*, CAST(CASE WHEN b.score IS NULL THEN a.score ELSE floor(greatest(0, least(100, 50 + (a.score-b.score)*0.65::double))+0.5) END AS INT) AS matchup_score FROM lg a LEFT JOIN lg b ON a.matchId=b.matchId AND a.profile=b.profile AND a.teamName<>b.teamName"""
+
+
+@query("team_possession_profiles", "A60", SQUAD + PROFILE_SQL)
+def team_possession_profiles(spark, sf_dir):
+    ev = feed(spark, sf_dir)
+    passes = v.network_passes(ev)
+    nodes = v.network_nodes(ev, passes)
+    return v.team_possession_profiles(nodes, v.network_edges(passes, nodes))

@@ -255,3 +255,38 @@ def passing_triangles(chains: DataFrame, top: int = 6) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(w)).where((c("rank") <= top) & (c("count") >= 2))
 
 
+
+
+def team_possession_profiles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Six style scores (0-100) of a side's network, and the matchup score against the other side.
+
+    50 in the matchup is level. Node and edge sums come first; the scores work on two rows per match.
+    """
+    keys = ["matchId", "teamName"]
+    gain = F.greatest("x1", "target_x") - F.least("x0", "source_x")
+    wide_y = lambda v: (v <= 18) | (v >= 50)
+    half = lambda x, y: (x >= 52.5) & (y.between(18, 30) | y.between(38, 50))
+    wide = (wide_y(c("y1")) | wide_y(c("target_y"))) & ((c("progressive_count") >= 1) | (gain >= 10)) & (c("pass_count") >= 2)
+    central = half(c("x0"), c("y0")) | half(c("x1"), c("y1")) | half(c("source_x"), c("source_y")) | half(c("target_x"), c("target_y"))
+    direct = (dist(c("x1"), c("y1"), c("x0"), c("y0")) >= 34) | ((c("progressive_count") >= 2) & (gain >= 15))
+    e = edges.groupBy(*keys).agg(
+        F.sum("pass_count").alias("passes"), F.count("*").alias("links"), F.sum("progressive_count").alias("prog"), fsum(c("total_xt")).alias("xt"),
+        n_if((c("x1") >= 70) | (c("target_x") >= 70)).alias("final"), n_if(wide).alias("wide"), n_if(central).alias("central"),
+        F.sum(F.when(central, c("pass_count")).otherwise(0)).alias("central_passes"), n_if(direct).alias("direct"))
+    n = nodes.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("progressive_carries").alias("pc"), F.sum("take_ons").alias("to"))
+    s = n.join(e, keys).withColumn("acts", c("prog") + c("pc")).withColumn("xtp", F.greatest(F.lit(0.0), c("xt")))
+    # Share of a target reached, in points; the target grows with the players of the network.
+    reach = lambda v, per, top: F.least(F.lit(float(top)), v / F.greatest(F.lit(1.0), c("n") * float(per)) * float(top))
+    threat = lambda top, w: F.least(F.lit(float(top)), c("xtp") * float(w))
+    points = {
+        "Build-up Control": reach(c("passes"), 8, 42) + reach(c("links"), 2.4, 28) + threat(14, 42),
+        "Progressive Passing": reach(c("acts"), 3.4, 58) + threat(16, 42) + reach(c("wide") + c("direct"), 1.4, 12),
+        "Wide Progression": reach(c("wide"), 1.35, 58) + reach(c("acts"), 4.5, 16) + reach(c("to"), 1.6, 10),
+        "Central Access": reach(c("central_passes"), 7, 58) + reach(c("central"), 1.8, 22) + threat(10, 28),
+        "Final Third Threat": reach(c("final"), 1.25, 56) + threat(24, 58),
+        "Directness": reach(c("direct"), 1.45, 68) + reach(c("acts"), 5.5, 14)}
+    whole = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), v)) + 0.5).cast("int")
+    out = s.select(*keys, *[whole(v).alias(k) for k, v in points.items()]).unpivot(keys, list(points), "profile", "score")
+    m = W.partitionBy("matchId", "profile")
+    other = F.sum("score").over(m) - c("score")
+    return out.withColumn("matchup_score", F.when(F.count("*").over(m) == 2, whole(50 + (c("score") - other) * 0.65)).otherwise(c("score")))
