@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.llm import secret_scan
+from touchline.llm import piece_codec, secret_scan
 from touchline.llm.common import table
 
 
@@ -10,5 +10,9 @@ def op1_secret_scan(spark, sf_dir):
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan,)}
+def op2_piece_codec(spark, sf_dir):
+    return piece_codec.encoded_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_piece_codec)}
 ORACLE: dict[str, str] = {}
