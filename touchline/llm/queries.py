@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.llm import piece_codec, secret_scan
+from touchline.llm import ordinal_toxicity, piece_codec, secret_scan
 from touchline.llm.common import table
 
 
@@ -14,5 +14,9 @@ def op2_piece_codec(spark, sf_dir):
     return piece_codec.encoded_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_piece_codec)}
+def op3_ordinal_toxicity(spark, sf_dir):
+    return ordinal_toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_piece_codec, op3_ordinal_toxicity)}
 ORACLE: dict[str, str] = {}
