@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.llm import ordinal_toxicity, piece_codec, secret_scan
+from touchline.llm import ordinal_toxicity, piece_codec, secret_scan, string_tiling
 from touchline.llm.common import table
 
 
@@ -18,5 +18,9 @@ def op3_ordinal_toxicity(spark, sf_dir):
     return ordinal_toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_piece_codec, op3_ordinal_toxicity)}
+def op4_string_tiling(spark, sf_dir):
+    return string_tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_piece_codec, op3_ordinal_toxicity, op4_string_tiling)}
 ORACLE: dict[str, str] = {}
