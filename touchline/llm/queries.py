@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.llm import ordinal_toxicity, piece_codec, secret_scan, string_tiling
+from touchline.llm import count_tree_join, ordinal_toxicity, piece_codec, secret_scan, string_tiling
 from touchline.llm.common import table
 
 
@@ -22,5 +22,25 @@ def op4_string_tiling(spark, sf_dir):
     return string_tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_piece_codec, op3_ordinal_toxicity, op4_string_tiling)}
-ORACLE: dict[str, str] = {}
+def op5_count_tree_join(spark, sf_dir):
+    return count_tree_join.joined(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_piece_codec, op3_ordinal_toxicity, op4_string_tiling, op5_count_tree_join)}
+#: Lower-cased words of each document, and each document's distinct shingles, for the SQL below.
+_SHINGLES = r"""
+words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id)"""
+
+ORACLE: dict[str, str] = {
+    "op5_count_tree_join": f"""WITH RECURSIVE {_SHINGLES},
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+    JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT min(y) FROM reach r WHERE r.x = d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id)""",
+}
