@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.llm import count_tree_join, ordinal_toxicity, piece_codec, secret_scan, string_tiling
+from touchline.llm import count_tree_join, ordinal_toxicity, piece_codec, quote_linking, risk_rules, secret_scan, string_tiling
 from touchline.llm.common import table
 
 
@@ -26,16 +26,61 @@ def op5_count_tree_join(spark, sf_dir):
     return count_tree_join.joined(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_piece_codec, op3_ordinal_toxicity, op4_string_tiling, op5_count_tree_join)}
+def op6_quote_linking(spark, sf_dir):
+    return quote_linking.formatted(table(spark, sf_dir, "conversations"))
+
+
+def op7_risk_rules(spark, sf_dir):
+    return risk_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_piece_codec, op3_ordinal_toxicity, op4_string_tiling, op5_count_tree_join,
+                                   op6_quote_linking, op7_risk_rules)}
 #: Lower-cased words of each document, and each document's distinct shingles, for the SQL below.
 _SHINGLES = r"""
 words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
-shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id)"""
 
+def _risk_sql() -> str:
+    rules = risk_rules.RULES
+    values = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {k} AS place, {r}::DOUBLE AS v FROM measures" for k, r in enumerate(rules))
+    grid = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, cuts in rules.items() for i, c in enumerate(cuts))
+    p = risk_rules.RISK / len(rules)
+    return rf"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS g FROM w, unnest(range(1, len(w) - 6)) u(i)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROUP BY doc_id),
+counts AS (SELECT w.doc_id, stratum, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+    length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_capitals,
+    length(t) - length(regexp_replace(t, '[^\p{{L}}\p{{N}}\s]', '', 'g')) AS n_marks FROM w LEFT JOIN covered USING (doc_id)),
+measures AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbols_per_word,
+    CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeated_share, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS repeated_lines,
+    CASE WHEN word_chars > 0 THEN n_capitals / word_chars ELSE 0 END AS capitals_share, CASE WHEN word_chars > 0 THEN n_marks / word_chars ELSE 0 END AS marks_share,
+    CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS characters_per_word FROM counts),
+stats AS ({values}),
+grid(rule, i, c) AS (VALUES {grid}),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
+tests AS (SELECT stratum, s.rule, i, c, count(*) AS n, count(*) FILTER (WHERE v >= c) AS k FROM stats s JOIN good USING (doc_id) JOIN grid g ON g.rule = s.rule GROUP BY ALL),
+passed AS (SELECT *, CASE WHEN k >= n * {p} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1)
+    - CASE WHEN j = n THEN 0 ELSE lgamma(n - j + 1) END + j * ln({p}) + (n - j) * ln(1 - {p})))) END
+    <= {risk_rules.DELTA} / ((SELECT count(DISTINCT stratum) FROM measures) * {len(rules)}) AS ok FROM tests),
+held AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY i) AS holds FROM passed),
+chosen AS (SELECT stratum, rule, min(c) AS cut FROM held WHERE holds GROUP BY stratum, rule),
+rejected AS (SELECT doc_id, string_agg(rule, ',' ORDER BY place) AS rejected_by FROM stats JOIN chosen USING (stratum, rule) WHERE v >= cut GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
+FROM measures LEFT JOIN rejected USING (doc_id)"""
+
+
 ORACLE: dict[str, str] = {
+    "op7_risk_rules": _risk_sql(),
     "op5_count_tree_join": f"""WITH RECURSIVE {_SHINGLES},
 links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
     JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
