@@ -13,7 +13,8 @@ Scores are whole numbers in fixed point, so the result does not depend on the ch
 path with the longest last piece wins, at each position. A text of up to one chunk is a chain of one: the same code.
 
 Within a chunk, positions that no piece of the vocabulary can span are cuts: in front of a space that follows
-another character, and around characters in no longer piece. Words between cuts are solved once and remembered.
+another character, and around characters in no longer piece. Words between cuts are solved one by one, by the
+library's own unigram Viterbi where its single precision is exact (short words of known characters, scores in whole numbers), else here.
 
 The file's normaliser must be the identity with a dummy prefix (checked). Characters outside the vocabulary become
 UTF-8 byte pieces at ten below the least score. A literal U+2581 counts as such a character, not as a space, so
@@ -23,6 +24,7 @@ rows and repeated keys are encoded each; equal giant texts are solved once.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import lru_cache
 
@@ -36,7 +38,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16384
 SCALE = 1000  # fixed point of scores
 NEVER = -(1 << 61)
-REMEMBERED = 200_000  # words kept between cuts, per worker
+REMEMBERED = 40_000  # words kept between cuts, per worker
+LIBRARY_WORD = 64    # longest word that the library solves
 
 
 class Vocabulary:
@@ -61,6 +64,9 @@ class Vocabulary:
                 text = piece.replace("▁", " ")
                 self.pieces[text] = (i, round(model.get_score(i) * SCALE))
                 self.bytes_of.append(text.encode())
+        self.last_byte = max(self.byte_ids.values(), default=0)
+        if self.last_byte >= min((i for i, _ in self.pieces.values()), default=0):
+            raise ValueError("needs byte pieces before all others")
         if len(self.byte_ids) != 256:
             raise ValueError("needs a model with byte pieces")
         if any(re.search("[^ ] ", p) for p in self.pieces):
@@ -72,7 +78,12 @@ class Vocabulary:
         self.alone = "".join(c for c in "\n\r\t" if c not in joined)
         plain = f"[^ {re.escape(self.alone)}]"
         self.parts = re.compile(f" +{plain}*|{plain}+" + (f"|[{re.escape(self.alone)}]" if self.alone else ""))
-        self.words: dict[str, tuple[int, list[int]]] = {}
+        self.words: dict[str, list[int]] = {}
+        # The same file read as a unigram model that adds no prefix: messages of a protocol buffer merge when appended.
+        with open(path, "rb") as f:
+            self.library = sentencepiece.SentencePieceProcessor(model_proto=f.read() + b"\x12\x02\x18\x01" + b"\x1a\x02\x18\x00")
+        usual = [s for _, s in self.pieces.values() if s > -10**8 * SCALE]
+        self.exact = all(s % SCALE == 0 for s in usual) and -min(usual) // SCALE * LIBRARY_WORD < 1 << 24
 
     def forward(self, text: str, starts: dict[int, int], stop: int) -> tuple[list[int], list[int]]:
         """Best score to each position and where its last piece begins (-1: before the text). Pieces begin below
@@ -109,16 +120,29 @@ class Vocabulary:
         ids.reverse()
         return at, ids
 
-    def word(self, text: str) -> tuple[int, list[int]]:
-        """Score and ids of a stretch between cuts."""
-        if (known := self.words.get(text)) is None:
-            best, back = self.forward(text, {0: 0}, len(text))
-            known = best[-1], self.trace(text, back, len(text))[1]
-            if len(text) <= 64:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                self.words[text] = known
-        return known
+    def word(self, text: str) -> list[int]:
+        """Ids of a stretch between cuts, solved here."""
+        return self.trace(text, self.forward(text, {0: 0}, len(text))[1], len(text))[1]
+
+    def ids_of(self, parts: list[str]) -> list[int]:
+        """Ids of stretches between cuts, in order."""
+        words = self.words
+        if len(words) > REMEMBERED:
+            words.clear()
+        new = list(set(parts).difference(words))
+        if new:
+            if self.exact:
+                easy = [w for w in new if len(w) <= LIBRARY_WORD and not w.startswith("  ") and "▁" not in w]
+                for w, ids in zip(easy, self.library.encode(easy, num_threads=1)):
+                    if ids and min(ids) > self.last_byte:
+                        words[w] = ids
+            for w in new:
+                if w not in words:
+                    words[w] = self.word(w)
+        out: list[int] = []
+        for w in parts:
+            out += words[w]
+        return out
 
     def cut_up(self, chunk: str, ahead: str) -> tuple[str, list[str], str]:
         """Head (up to the first cut, where an entering piece may still reach), whole words, tail (from the last cut
@@ -136,11 +160,11 @@ class Vocabulary:
         size, out = self.states, np.full((self.states, self.states), NEVER, np.int64)
         inside = len(chunk) - len(head) - sum(map(len, words))  # of the tail
         if head:
-            middle = sum(self.word(w)[0] for w in words)
+            # words between the first and the last cut add the same to every entry
             last, _ = self.forward(tail, {0: 0}, inside)
             exits = {j: last[inside + j] for j in range(min(size, len(tail) - inside + 1)) if last[inside + j] > NEVER}
             rows = {i: self.forward(head, {i: 0}, len(head))[0][-1] for i in range(min(size, len(head) + 1))}
-            found = {(i, j): a + middle + b for i, a in rows.items() if a > NEVER for j, b in exits.items()}
+            found = {(i, j): a + b for i, a in rows.items() if a > NEVER for j, b in exits.items()}
         else:
             found = {}
             for i in range(min(size, len(tail) + 1)):
@@ -162,8 +186,7 @@ class Vocabulary:
         if head:
             _, back = self.forward(head, starts, len(head))
             came, shared = self.trace(head, back, len(head))
-            for w in words:
-                shared.extend(self.word(w)[1])
+            shared += self.ids_of(words)
             starts = {0: 0}
         best, back = self.forward(tail, starts, inside)
         ways = []
@@ -175,12 +198,7 @@ class Vocabulary:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text of one chunk."""
-        ids: list[int] = []
-        known, solve = self.words, self.word
-        for part in self.parts.findall(" " + text) if text else ():
-            hit = known.get(part)
-            ids.extend((hit or solve(part))[1])
-        return ids
+        return self.ids_of(self.parts.findall(" " + text)) if text else []
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -214,47 +232,50 @@ def _chunks(text: str, size: int, ahead: int):
 
 
 def encode(df: DataFrame, key: str = "doc_id", column: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """One row per input row: key, text_hash (SHA-256 of the text, null as empty) and ids."""
+    """One row per input row: key, ids, and round_trip (the ids decode to the text; null counts as empty)."""
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias(key), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("text_hash", F.sha2("text", 256))
     giant = F.length("text") >= chunk
 
     def small(source):
         vocab = vocabulary(model)
-        for ident, text, mark in source:
-            yield ident, mark, vocab.encode(text)
-
-    whole = arrow_rows(docs.where(~giant).select(key, "text", "text_hash"), f"`{key}` {kind}, text_hash string, ids array<int>", small)
-
-    def cut(source):
-        ahead = vocabulary(model).states
-        for text, mark in source:
-            for k, part, after in _chunks(text, chunk, ahead):
-                yield mark, k, part, after
+        for ident, text in source:
+            ids = vocab.encode(text)
+            yield ident, ids, vocab.decode(ids) == text
 
-    giants = docs.where(giant)
-    pieces = arrow_rows(giants.select("text", "text_hash"), "text_hash string, k int, part string, after string", cut)
+    whole = arrow_rows(docs.where(~giant), f"`{key}` {kind}, ids array<int>, round_trip boolean", small)
+    giants = docs.where(giant).withColumn("text_hash", F.sha2("text", 256))
 
     def matrices(source):
         vocab = vocabulary(model)
-        for mark, k, part, after in source:
-            yield mark, k, vocab.matrix(part, after).tobytes()
+        for text, mark in source:
+            for k, part, after in _chunks(text, chunk, vocab.states):
+                yield mark, k, vocab.matrix(part, after).tobytes()
 
-    steps = arrow_rows(pieces, "text_hash string, k int, matrix binary", matrices)
+    steps = arrow_rows(giants.select("text", "text_hash"), "text_hash string, k int, matrix binary", matrices)
 
-    def entries(pdf):
-        import pandas as pd
-        pdf = pdf.drop_duplicates("k").sort_values("k")
+    def entries(key_columns, groups):
+        import pyarrow as pa
+        rows = dict(zip(groups.column("k").to_pylist(), groups.column("matrix").to_pylist()))
+        places = sorted(rows)  # a repeated text gives equal rows
         size = vocabulary(model).states
-        stack = np.stack([np.frombuffer(m, np.int64).reshape(size, size) for m in pdf["matrix"]])
+        stack = np.stack([np.frombuffer(rows[k], np.int64).reshape(size, size) for k in places])
         first = np.full((1, size), NEVER, np.int64)
         first[0, 0] = 0
         before = np.concatenate([first, prefixes(stack)[:-1, 0, :]])
-        return pd.DataFrame({"mark": pdf["text_hash"], "at": pdf["k"], "entry": [v.tolist() for v in before]})
+        return pa.table({"mark": pa.array([key_columns[0].as_py()] * len(places), pa.string()), "at": pa.array(places, pa.int32()),
+                         "entry": pa.array(before.tolist(), pa.list_(pa.int64()))})
 
     # One group holds the matrices of one text, far smaller than the text, which is one row itself.
-    states = steps.groupBy("text_hash").applyInPandas(entries, "mark string, at int, entry array<long>")
+    states = steps.groupBy("text_hash").applyInArrow(entries, "mark string, at int, entry array<long>")
+
+    def cut(source):
+        ahead = vocabulary(model).states
+        for text, mark in source:
+            for k, part, after in _chunks(text, chunk, ahead):
+                yield mark, k, part, after
+
+    pieces = arrow_rows(giants.select("text", "text_hash"), "text_hash string, k int, part string, after string", cut)
 
     def solved(source):
         vocab = vocabulary(model)
@@ -266,18 +287,22 @@ def encode(df: DataFrame, key: str = "doc_id", column: str = "text", model: str
     ways = arrow_rows(placed.select("text_hash", "k", "part", "after", "entry"),
                       "text_hash string, k int, shared array<int>, ways array<struct<state:int,came:int,ids:array<int>>>", solved)
 
-    def stitched(pdf):
-        import pandas as pd
-        pdf = pdf.drop_duplicates("k").sort_values("k", ascending=False)
+    def stitched(key_columns, groups):
+        import pyarrow as pa
+        rows = {k: (shared, options) for k, shared, options in zip(*(groups.column(c).to_pylist() for c in ("k", "shared", "ways")))}
         state, runs = 0, []
-        for shared, options in zip(pdf["shared"], pdf["ways"]):
+        for k in sorted(rows, reverse=True):
+            shared, options = rows[k]
             way = next(w for w in options if w["state"] == state)
             runs += [way["ids"], shared]
             state = way["came"]
-        return pd.DataFrame({"mark": [pdf["text_hash"].iloc[0]], "ids": [np.concatenate([np.asarray(r, np.int32) for r in reversed(runs)])]})
+        ids = [i for r in reversed(runs) for i in r]
+        mark = key_columns[0].as_py()
+        same = hashlib.sha256(vocabulary(model).decode(ids).encode()).hexdigest() == mark
+        return pa.table({"mark": pa.array([mark], pa.string()), "ids": pa.array([ids], pa.list_(pa.int32())), "round_trip": pa.array([same], pa.bool_())})
 
-    long_ids = ways.groupBy("text_hash").applyInPandas(stitched, "mark string, ids array<int>")
-    long = giants.select(key, "text_hash").join(long_ids, F.col("text_hash") == F.col("mark")).select(key, "text_hash", "ids")
+    long_ids = ways.groupBy("text_hash").applyInArrow(stitched, "mark string, ids array<int>, round_trip boolean")
+    long = giants.select(key, "text_hash").join(long_ids, F.col("text_hash") == F.col("mark")).select(key, "ids", "round_trip")
     return whole.unionByName(long)
 
 
@@ -297,6 +322,4 @@ def decode(df: DataFrame, column: str = "ids", model: str = MODEL) -> DataFrame:
 
 def encoded_documents(df: DataFrame) -> DataFrame:
     """doc_id, ids, their number, and whether decoding gives back the text."""
-    back = decode(encode(df))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                       (F.sha2("decoded", 256) == F.col("text_hash")).alias("round_trip"))
+    return encode(df).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
