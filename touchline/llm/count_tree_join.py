@@ -28,63 +28,28 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import ASCII_LOWER, SPACED_WORD, arrow_rows, written
+from touchline.llm.common import arrow_rows, written
 from touchline.llm.components import components
+from touchline.llm.shingles import MIX1, MIX2, WordHasher, mixed, shingle_sets
 from touchline.llm.string_tiling import without
 
-SHINGLE = 5
 GROUPS = 64
 LEAF = 16            # points of a leaf, and children of a node
 ORDERS = 6           # random orders of pass 1
 BLOCK = 4096         # most points of a bucket in one tree
 SLOTS = 1 << 20      # of the table of shingle counts
 COMMON = 1 << 16     # most slots that the order sets apart
-MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * MIX1
-    h = (h ^ (h >> np.uint64(27))) * MIX2
-    return h ^ (h >> np.uint64(31))
-
-
-class Shingler:
-    """Distinct shingle hashes of texts; word hashes are remembered, up to a bound."""
-
-    def __init__(self, remembered: int = 500_000):
-        self.codes: dict[str, int] = {}
-        self.remembered = remembered
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = SPACED_WORD.findall(text.translate(ASCII_LOWER)) if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        codes = self.codes
-        if len(codes) > self.remembered:
-            codes.clear()
-        try:
-            found = list(map(codes.__getitem__, words))
-        except KeyError:
-            for w in set(words).difference(codes):
-                codes[w] = xxhash.xxh64_intdigest(w)
-            found = list(map(codes.__getitem__, words))
-        code = np.array(found, np.uint64)
-        size = min(SHINGLE, len(code))
-        out = np.full(len(code) - size + 1, np.uint64(size), np.uint64)
-        for k in range(size):
-            out = _mixed(out + code[k:k + len(out)])
-        return np.unique(out)
+SENT = 200_000       # most class names that are sent to all tasks
 
 
 def set_name(shingles: np.ndarray) -> int:
     """64-bit name of a set, signed; 0 for the empty set."""
     if not len(shingles):
         return 0
-    return int(_mixed(_mixed(shingles ^ MIX2).sum(dtype=np.uint64)[None] + np.uint64(len(shingles))).view(np.int64)[0])
+    return int(mixed(mixed(shingles ^ MIX2).sum(dtype=np.uint64)[None] + np.uint64(len(shingles))).view(np.int64)[0])
 
 
 def vector(shingles: np.ndarray) -> np.ndarray:
@@ -166,11 +131,10 @@ class CountTree:
 def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, set_id, n, point) of all rows, and the slots of shingles that many documents hold with a level 1..15."""
     def batches(source):
-        shingle, slots = Shingler(), np.zeros(SLOTS, np.int64)
+        hasher, slots = WordHasher(), np.zeros(SLOTS, np.int64)
         for batch in source:
             ids, rows = batch.column(0), []
-            for text in batch.column(1).to_pylist():
-                s = shingle(text)
+            for s in shingle_sets(batch.column(1), hasher):
                 rows.append((set_name(s), len(s), vector(s).tobytes() if len(s) else None))
                 np.add.at(slots, (s & np.uint64(SLOTS - 1)).astype(np.int64), 1)
             a, n, v = zip(*rows) if rows else ((), (), ())
@@ -197,12 +161,11 @@ def _keys(docs: DataFrame, common: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def batches(source):
-        shingle, level, seen = Shingler(), shared.value, set()
+        hasher, level, seen = WordHasher(), shared.value, set()
         low = np.uint64(4)
         for batch in source:
             keys, names, sizes = [], [], []
-            for text in batch.column(0).to_pylist():
-                s = shingle(text)
+            for s in shingle_sets(batch.column(0), hasher):
                 name = set_name(s)
                 if len(s) < 4 or name in seen:  # a set of fewer links with its equals only
                     continue
@@ -278,7 +241,7 @@ def _pairs_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _order(names: np.ndarray, r: int) -> np.ndarray:
-    return _mixed(names.view(np.uint64) + np.uint64(r + 1) * MIX1)
+    return mixed(names.view(np.uint64) + np.uint64(r + 1) * MIX1)
 
 
 def _first_pairs(rows: DataFrame) -> DataFrame:
@@ -377,17 +340,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(set_id, shingles) of chosen classes, from one document each."""
-    def rows(source):
-        shingle = Shingler()
-        for wanted, text in source:
-            s = shingle(text)
-            if set_name(s) == wanted:  # another row may carry the same id
-                yield wanted, s.tobytes()
+    """(set_id, shingles) of chosen classes (set_id, member), from one document each. The chosen are sent to all tasks if they
+    are few (checked), else texts are joined to them by a shuffle."""
+    def batches(source):
+        hasher = WordHasher()
+        for batch in source:
+            wanted = batch.column(0).to_pylist()
+            # another row may carry the same id with another text
+            found = [(w, s.tobytes()) for w, s in zip(wanted, shingle_sets(batch.column(1), hasher)) if set_name(s) == w]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["set_id", "shingles"])
 
+    few = chosen.limit(SENT + 1).count() <= SENT
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = held.join(chosen, held["doc_id"].eqNullSafe(chosen["member"])).select("set_id", "text")
-    return arrow_rows(joined, "set_id long, shingles binary", rows).dropDuplicates(["set_id"])
+    joined = held.join(F.broadcast(chosen) if few else chosen, held["doc_id"].eqNullSafe(F.col("member"))).select("set_id", "text")
+    return joined.mapInArrow(batches, "set_id long, shingles binary")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -403,9 +369,14 @@ def joined(docs: DataFrame) -> DataFrame:
     classes = (described_rows.where("n > 0").groupBy("set_id")
                .agg(F.min("doc_id").alias("member"), F.min("n").cast("int").alias("size"), F.min("point").alias("point")))
     met = written(_met(_keys(docs, common)), "met")
-    sets = written(_sets_of(docs, met.select("set_id").distinct().join(classes, "set_id").select("set_id", "member")), "shingles")
-    placed = met.join(classes.select("set_id", "point"), "set_id")
-    links = written(_verified(_first_pairs(_dealt(placed).select("key", "block", "set_id", "n", "point")), sets), "links")
+    points, members = classes.select("set_id", "point"), classes.select("set_id", "member")
+
+    def members_of(pairs):
+        return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+
+    pairs = written(_first_pairs(_dealt(met).join(points, "set_id").select("key", "block", "set_id", "n", "point")), "pairs")
+    sets = written(_sets_of(docs, members_of(pairs).join(members, "set_id")), "shingles")
+    links = written(_verified(pairs, sets), "links")
     grouped = components(links)
     named = written(met.join(grouped, met["set_id"] == grouped["node"], "left")
                     .select("key", "set_id", "n", F.coalesce("component", "set_id").alias("component")), "named")
@@ -416,9 +387,13 @@ def joined(docs: DataFrame) -> DataFrame:
              .withColumn("blocks", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")))
     rest = (named.join(mixed, "key").withColumn("own", F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("key", "set_id"), "blocks").cast("int")))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .join(classes.select("set_id", "point"), "set_id")
+            .join(points, "set_id")
             .select("key", "block", "set_id", "n", "point", "component", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("builds")))
-    more = written(_verified(_rest_pairs(rest), sets), "links")
+    pairs = written(_rest_pairs(rest), "pairs")
+    unseen = written(members_of(pairs).join(sets.select("set_id").distinct(), "set_id", "left_anti").join(members, "set_id"), "unseen")
+    if not unseen.isEmpty():
+        sets = sets.unionByName(written(_sets_of(docs, unseen), "shingles"))
+    more = written(_verified(pairs, sets), "links")
     final = components(links.unionByName(more))
     reach = (classes.select("set_id", "member").join(final, F.col("set_id") == F.col("node"), "left")
              .withColumn("component", F.coalesce("component", "set_id")))
