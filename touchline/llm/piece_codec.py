@@ -13,8 +13,8 @@ Scores are whole numbers in fixed point, so the result does not depend on the ch
 path with the longest last piece wins, at each position. A text of up to one chunk is a chain of one: the same code.
 
 Within a chunk, positions that no piece of the vocabulary can span are cuts: in front of a space that follows
-another character, and around characters in no longer piece. Words between cuts are solved one by one, by the
-library's own unigram Viterbi where its single precision is exact (short words of known characters, scores in whole numbers), else here.
+another character, and around characters in no longer piece. Words between cuts are solved together, those of one length
+side by side over a table of the vocabulary's trie; common ones are remembered.
 
 The file's normaliser must be the identity with a dummy prefix (checked). Characters outside the vocabulary become
 UTF-8 byte pieces at ten below the least score. A literal U+2581 counts as such a character, not as a space, so
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -39,7 +40,9 @@ CHUNK = 16384
 SCALE = 1000  # fixed point of scores
 NEVER = -(1 << 61)
 REMEMBERED = 40_000  # words kept between cuts, per worker
-LIBRARY_WORD = 64    # longest word that the library solves
+TABLE_CHARACTERS = 191  # most frequent characters of the vocabulary, which the trie table covers
+TABLE_WORD = 48      # longest word solved by the table
+TEXTS, CHARACTERS = 512, 2_000_000  # most texts, and about most characters, whose words are solved together
 
 
 class Vocabulary:
@@ -64,9 +67,6 @@ class Vocabulary:
                 text = piece.replace("▁", " ")
                 self.pieces[text] = (i, round(model.get_score(i) * SCALE))
                 self.bytes_of.append(text.encode())
-        self.last_byte = max(self.byte_ids.values(), default=0)
-        if self.last_byte >= min((i for i, _ in self.pieces.values()), default=0):
-            raise ValueError("needs byte pieces before all others")
         if len(self.byte_ids) != 256:
             raise ValueError("needs a model with byte pieces")
         if any(re.search("[^ ] ", p) for p in self.pieces):
@@ -79,11 +79,65 @@ class Vocabulary:
         plain = f"[^ {re.escape(self.alone)}]"
         self.parts = re.compile(f" +{plain}*|{plain}+" + (f"|[{re.escape(self.alone)}]" if self.alone else ""))
         self.words: dict[str, list[int]] = {}
-        # The same file read as a unigram model that adds no prefix: messages of a protocol buffer merge when appended.
-        with open(path, "rb") as f:
-            self.library = sentencepiece.SentencePieceProcessor(model_proto=f.read() + b"\x12\x02\x18\x01" + b"\x1a\x02\x18\x00")
-        usual = [s for _, s in self.pieces.values() if s > -10**8 * SCALE]
-        self.exact = all(s % SCALE == 0 for s in usual) and -min(usual) // SCALE * LIBRARY_WORD < 1 << 24
+        self._table()
+
+    def _table(self) -> None:
+        """Trie over pieces of the most frequent characters: next node by node and character, score and id by node."""
+        counts = Counter(c for p in self.pieces for c in p)
+        usual = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if c in self.pieces and ord(c) < 1 << 16][:TABLE_CHARACTERS]
+        self.codes = np.zeros(1 << 16, np.uint8)
+        for i, c in enumerate(usual):
+            self.codes[ord(c)] = i + 1
+        known = set(usual)
+        nodes = {"": 1}
+        steps = []
+        for piece in self.pieces:
+            if known.issuperset(piece):
+                for n in range(1, len(piece) + 1):
+                    if piece[:n] not in nodes:
+                        nodes[piece[:n]] = len(nodes) + 1
+                        steps.append((nodes[piece[:n - 1]], self.codes[ord(piece[n - 1])], nodes[piece[:n]]))
+        self.next = np.zeros((len(nodes) + 1, len(usual) + 1), np.uint16 if len(nodes) < 65_000 else np.int32)
+        at, code, to = (np.array(x) for x in zip(*steps))
+        self.next[at, code] = to
+        self.node_score = np.full(len(nodes) + 1, NEVER, np.int64)
+        self.node_id = np.zeros(len(nodes) + 1, np.int32)
+        for piece, node in nodes.items():
+            if piece in self.pieces:
+                self.node_id[node], self.node_score[node] = self.pieces[piece]
+
+    def _solve_table(self, words: list[str], length: int) -> None:
+        """Words of one length side by side; those with other characters one by one."""
+        text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, length)
+        code = np.where(text < 1 << 16, self.codes[np.minimum(text, (1 << 16) - 1)], 0)
+        usual = (code > 0).all(axis=1)
+        for i in np.flatnonzero(~usual).tolist():
+            self.words[words[i]] = self.word(words[i])
+        places = np.flatnonzero(usual)
+        code, n = code[places], len(places)
+        best = np.full((n, length + 1), NEVER, np.int64)
+        best[:, 0] = 0
+        back, ident = np.zeros((n, length + 1), np.int32), np.zeros((n, length + 1), np.int32)
+        for s in range(length):
+            live, node = np.arange(n), np.ones(n, np.int64)
+            for e in range(s + 1, min(length, s + self.states) + 1):
+                node = self.next[node, code[live, e - 1]]
+                keep = node > 0
+                live, node = live[keep], node[keep]
+                if not len(live):
+                    break
+                score = self.node_score[node]
+                total = best[live, s] + score
+                better = (score > NEVER) & (total > best[live, e])
+                at = live[better]
+                best[at, e], back[at, e], ident[at, e] = total[better], s, self.node_id[node[better]]
+        for i, b, d in zip(places.tolist(), back.tolist(), ident.tolist()):
+            ids, at = [], length
+            while at:
+                ids.append(d[at])
+                at = b[at]
+            ids.reverse()
+            self.words[words[i]] = ids
 
     def forward(self, text: str, starts: dict[int, int], stop: int) -> tuple[list[int], list[int]]:
         """Best score to each position and where its last piece begins (-1: before the text). Pieces begin below
@@ -124,24 +178,30 @@ class Vocabulary:
         """Ids of a stretch between cuts, solved here."""
         return self.trace(text, self.forward(text, {0: 0}, len(text))[1], len(text))[1]
 
-    def ids_of(self, parts: list[str]) -> list[int]:
-        """Ids of stretches between cuts, in order."""
+    def learn(self, parts: list[str]) -> None:
+        """Solve the stretches between cuts that are not known yet."""
         words = self.words
         if len(words) > REMEMBERED:
             words.clear()
-        new = list(set(parts).difference(words))
-        if new:
-            if self.exact:
-                easy = [w for w in new if len(w) <= LIBRARY_WORD and not w.startswith("  ") and "▁" not in w]
-                for w, ids in zip(easy, self.library.encode(easy, num_threads=1)):
-                    if ids and min(ids) > self.last_byte:
-                        words[w] = ids
-            for w in new:
-                if w not in words:
+        by_length: dict[int, list[str]] = {}
+        for w in set(parts).difference(words):
+            by_length.setdefault(len(w), []).append(w)
+        for length, new in by_length.items():
+            if length <= TABLE_WORD and len(new) >= 16:
+                self._solve_table(new, length)
+            else:
+                for w in new:
                     words[w] = self.word(w)
+
+    def ids_of(self, parts: list[str]) -> list[int]:
+        """Ids of stretches between cuts, in order."""
+        self.learn(parts)
+        return self._ids(parts)
+
+    def _ids(self, parts: list[str]) -> list[int]:
         out: list[int] = []
         for w in parts:
-            out += words[w]
+            out += self.words[w]
         return out
 
     def cut_up(self, chunk: str, ahead: str) -> tuple[str, list[str], str]:
@@ -196,9 +256,11 @@ class Vocabulary:
                 ways.append((j, at if came is None else came, ids))
         return shared, ways
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text of one chunk."""
-        return self.ids_of(self.parts.findall(" " + text)) if text else []
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts of one chunk each."""
+        cut = [self.parts.findall(" " + text) if text else [] for text in texts]
+        self.learn([w for parts in cut for w in parts])
+        return [self._ids(parts) for parts in cut]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -239,9 +301,19 @@ def encode(df: DataFrame, key: str = "doc_id", column: str = "text", model: str
 
     def small(source):
         vocab = vocabulary(model)
-        for ident, text in source:
-            ids = vocab.encode(text)
-            yield ident, ids, vocab.decode(ids) == text
+
+        def solved(held):
+            for (ident, text), ids in zip(held, vocab.encode([t for _, t in held])):
+                yield ident, ids, vocab.decode(ids) == text
+
+        held, size = [], 0
+        for row in source:
+            held.append(row)
+            size += len(row[1])
+            if len(held) >= TEXTS or size >= CHARACTERS:
+                yield from solved(held)
+                held, size = [], 0
+        yield from solved(held)
 
     whole = arrow_rows(docs.where(~giant), f"`{key}` {kind}, ids array<int>, round_trip boolean", small)
     giants = docs.where(giant).withColumn("text_hash", F.sha2("text", 256))
