@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from touchline.llm import count_tree_join, ordinal_toxicity, piece_codec, quote_linking, risk_rules, secret_scan, string_tiling
+from touchline.llm import (count_tree_join, license_diagonals, ordinal_toxicity, piece_codec, quote_linking, risk_rules, secret_scan,
+                           string_tiling, warc_archive, zstd_language)
 from touchline.llm.common import table
 
 
@@ -34,8 +35,20 @@ def op7_risk_rules(spark, sf_dir):
     return risk_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_warc_archive(spark, sf_dir):
+    return warc_archive.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_zstd_language(spark, sf_dir):
+    return zstd_language.identified(table(spark, sf_dir, "documents"))
+
+
+def op10_license_diagonals(spark, sf_dir):
+    return license_diagonals.scanned(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_piece_codec, op3_ordinal_toxicity, op4_string_tiling, op5_count_tree_join,
-                                   op6_quote_linking, op7_risk_rules)}
+                                   op6_quote_linking, op7_risk_rules, op8_warc_archive, op9_zstd_language, op10_license_diagonals)}
 #: Lower-cased words of each document, and each document's distinct shingles, for the SQL below.
 _SHINGLES = r"""
 words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -80,6 +93,12 @@ FROM measures LEFT JOIN rejected USING (doc_id)"""
 
 
 ORACLE: dict[str, str] = {
+    "op8_warc_archive": """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, size, min(page_id) OVER (PARTITION BY h, size) AS first, array_to_string(list_transform(range(0, 8), lambda g:
+    array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, 1 + g * 5, 5))::INTEGER >> s) & 31), 1)), '')), '') AS digest FROM p)
+SELECT page_id, size::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to, true AS digest_holds FROM d""",
     "op7_risk_rules": _risk_sql(),
     "op5_count_tree_join": f"""WITH RECURSIVE {_SHINGLES},
 links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
