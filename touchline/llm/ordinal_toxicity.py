@@ -5,8 +5,8 @@ all thresholds theta_0 < theta_1 < ..., so a word pushes a text along one severi
 severity sum_k P(grade > k) and the chance of any toxicity P(grade > 0).
 
 Features x are sparse: log(1 + count) of words and word beginnings that the labelled texts tie to the toxic label. They are
-chosen by the z value of a log-odds ratio. Labels say toxic or not; grades come from them: 0 if not toxic, else 1..3 by
-the share of telling words in the text, cut at thirds of the toxic texts of the sample.
+chosen by the signed root of the likelihood ratio. Labels say toxic or not; grades come from them: 0 if not toxic, else 1..3 by
+the number of telling words in the text, cut at thirds of the toxic texts of the sample.
 
 Fitting uses at most `SAMPLE` labelled rows, those of least hashed id, and at most `FEATURES` features. Texts are
 scored whole. Null and empty texts, and any text without a known feature, score the model's bias alone (as clean).
@@ -28,8 +28,8 @@ from touchline.llm.common import arrow_rows
 
 SAMPLE = 8000      # most labelled rows used
 FEATURES = 2048    # most features kept
-LEAST_Z = 4.0      # of a feature's log-odds ratio
-BEGINNINGS = (4, 5)
+LEAST_Z = 4.5      # of a feature's tie to the label
+BEGINNINGS = (3, 4, 5)
 GRADES = 4
 REJECT = 0.5       # chance of any toxicity from which a text is rejected
 
@@ -68,7 +68,7 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 800, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising thresholds of least penalised negative log likelihood, by Adam from zero."""
     n, m = x.shape
     # thresholds are a first value and positive gaps, kept positive by exp
@@ -89,7 +89,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 400,
         tails = np.cumsum(g_theta[::-1])[::-1]
         grad = np.concatenate([x.T @ g_score + ridge * w, [tails[0]], tails[1:] * gaps])
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad ** 2
-        params = params - 0.05 * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-9)
+        params = params - 0.1 * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-9)
     theta = params[m] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(params[m + 1:], -10, 5)))])
     return params[:m], theta
 
@@ -112,9 +112,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     bad, good = int(total[0] or 0), int(total[1]) - int(total[0] or 0)
     if not bad or not good:
         return Model({}, [])
-    a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
-    ratio = F.log(a / (bad + 0.5 - F.col("a") + 0.5)) - F.log(b / (good + 0.5 - (F.col("n") - F.col("a")) + 0.5))
-    z = ratio / F.sqrt(1 / a + 1 / b)
+    # signed root of the likelihood ratio between the classes
+    a, n, part = F.col("a"), F.col("n"), bad / (bad + good)
+    log_ratio = lambda x, mean: F.when(x > 0, x * F.log(x / mean)).otherwise(0.0)
+    gain = (log_ratio(a, n * part) + log_ratio(n - a, n * (1 - part)) + log_ratio(bad - a, bad - n * part)
+            + log_ratio(good - n + a, good - n * (1 - part)))
+    z = F.signum(a / n - part) * F.sqrt(2 * F.greatest(gain, F.lit(0.0)))
     best = seen.where(F.col("n") >= 3).select("feature", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES).collect()
     if not best:
         return Model({}, [])
@@ -127,17 +130,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             counts = Counter(w for w in words if w in place)
             for n in BEGINNINGS:
                 counts.update(h for w in words if len(w) > n and (h := w[:n] + "-") in place)
-            share = sum(c for f, c in counts.items() if f in telling) / max(1, len(words))
-            yield ident, toxic, share, [place[f] for f in counts], [float(np.log1p(c)) for c in counts.values()]
+            hits = float(sum(c for f, c in counts.items() if f in telling))
+            yield ident, toxic, hits, [place[f] for f in counts], [float(np.log1p(c)) for c in counts.values()]
 
-    made = arrow_rows(rows, "doc_id long, toxic int, share double, at array<int>, value array<double>", counted).orderBy("doc_id", "share").collect()
+    made = arrow_rows(rows, "doc_id long, toxic int, hits double, at array<int>, value array<double>", counted).orderBy("doc_id", "hits").collect()
     x = np.zeros((len(made), len(place)), np.float32)
     for i, r in enumerate(made):
         x[i, r["at"]] = r["value"]
-    shares = np.array([r["share"] for r in made])
+    hits = np.array([r["hits"] for r in made])
     toxic = np.array([r["toxic"] for r in made]) > 0
-    cuts = np.quantile(shares[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
-    grade = np.where(toxic, 1 + np.searchsorted(cuts, shares, side="left"), 0)
+    cuts = np.quantile(hits[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
+    grade = np.where(toxic, 1 + np.searchsorted(cuts, hits, side="left"), 0)
     w, theta = fit_ordinal(x, grade, GRADES)
     return Model({f: float(w[i]) for f, i in place.items()}, theta.tolist())
 
