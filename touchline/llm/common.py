@@ -42,7 +42,7 @@ def arrow_rows(df: DataFrame, schema: str, rows: Callable[..., Iterator[tuple]])
         pending, size = [], 0
         for row in rows(read()):
             pending.append(row)
-            size += 64 + sum(len(v) for v in row if isinstance(v, (str, bytes, list)))
+            size += 64 + sum(len(v) for v in row if hasattr(v, "__len__"))
             if len(pending) >= 4096 or size >= 4_000_000:
                 yield _batch(pending, out)
                 pending, size = [], 0

@@ -28,6 +28,7 @@ import hashlib
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,12 +37,12 @@ from pyspark.sql import functions as F
 from touchline.llm.common import arrow_rows
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 16384
+CHUNK = 65536        # code points; longer texts are giants
 SCALE = 1000  # fixed point of scores
 NEVER = -(1 << 61)
-REMEMBERED = 40_000  # words kept between cuts, per worker
+REMEMBERED = 120_000  # words kept between cuts, per worker
 TABLE_CHARACTERS = 191  # most frequent characters of the vocabulary, which the trie table covers
-TABLE_WORD = 48      # longest word solved by the table
+TABLE_WORD = 100     # longest word solved by the table
 TEXTS, CHARACTERS = 512, 2_000_000  # most texts, and about most characters, whose words are solved together
 
 
@@ -115,22 +116,24 @@ class Vocabulary:
             self.words[words[i]] = self.word(words[i])
         places = np.flatnonzero(usual)
         code, n = code[places], len(places)
-        best = np.full((n, length + 1), NEVER, np.int64)
-        best[:, 0] = 0
-        back, ident = np.zeros((n, length + 1), np.int32), np.zeros((n, length + 1), np.int32)
+        columns = [np.ascontiguousarray(code[:, e], np.int64) for e in range(length)]
+        best = [np.zeros(n, np.int64)] + [np.full(n, NEVER, np.int64) for _ in range(length)]
+        back, ident = np.zeros((length + 1, n), np.int8), np.zeros((length + 1, n), np.int32)
+        following, width = self.next.ravel(), self.next.shape[1]
         for s in range(length):
-            live, node = np.arange(n), np.ones(n, np.int64)
+            live, node, base = None, np.ones(n, np.int64), best[s]
             for e in range(s + 1, min(length, s + self.states) + 1):
-                node = self.next[node, code[live, e - 1]]
-                keep = node > 0
-                live, node = live[keep], node[keep]
-                if not len(live):
+                node = following[node * width + (columns[e - 1] if live is None else columns[e - 1][live])].astype(np.int64)
+                keep = np.flatnonzero(node)
+                if not len(keep):
                     break
-                score = self.node_score[node]
-                total = best[live, s] + score
-                better = (score > NEVER) & (total > best[live, e])
-                at = live[better]
-                best[at, e], back[at, e], ident[at, e] = total[better], s, self.node_id[node[better]]
+                if len(keep) < len(node):
+                    live, node, base = keep if live is None else live[keep], node[keep], base[keep]
+                total = base + self.node_score[node]
+                better = np.flatnonzero(total > (best[e] if live is None else best[e][live]))  # nodes that are no piece stay below
+                at = better if live is None else live[better]
+                best[e][at], back[e][at], ident[e][at] = total[better], s, self.node_id[node[better]]
+        back, ident = back.T, ident.T
         for i, b, d in zip(places.tolist(), back.tolist(), ident.tolist()):
             ids, at = [], length
             while at:
@@ -196,13 +199,10 @@ class Vocabulary:
     def ids_of(self, parts: list[str]) -> list[int]:
         """Ids of stretches between cuts, in order."""
         self.learn(parts)
-        return self._ids(parts)
+        return self._ids(parts).tolist()
 
-    def _ids(self, parts: list[str]) -> list[int]:
-        out: list[int] = []
-        for w in parts:
-            out += self.words[w]
-        return out
+    def _ids(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.words.__getitem__, parts)), np.int32)
 
     def cut_up(self, chunk: str, ahead: str) -> tuple[str, list[str], str]:
         """Head (up to the first cut, where an entering piece may still reach), whole words, tail (from the last cut
@@ -256,7 +256,7 @@ class Vocabulary:
                 ways.append((j, at if came is None else came, ids))
         return shared, ways
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts of one chunk each."""
         cut = [self.parts.findall(" " + text) if text else [] for text in texts]
         self.learn([w for parts in cut for w in parts])
@@ -304,7 +304,7 @@ def encode(df: DataFrame, key: str = "doc_id", column: str = "text", model: str
 
         def solved(held):
             for (ident, text), ids in zip(held, vocab.encode([t for _, t in held])):
-                yield ident, ids, vocab.decode(ids) == text
+                yield ident, ids, vocab.decode(ids.tolist()) == text
 
         held, size = [], 0
         for row in source:
