@@ -11,11 +11,12 @@ each document the smallest id it can reach by links.
 * Each class is a point: its shingles are hashed into `GROUPS` groups and counted. The sum of coordinate minima bounds the
   overlap from above. A bucket's points are packed into an R-tree; a node's largest coordinates and least size bound
   every point below it. Only pairs that pass are looked at further.
-* Pass 1 takes from each bucket, for every point, the few survivors that come first in fixed random orders (all of them in
-  a bucket of one leaf). Pairs are verified on the full sets and give components.
-* Pass 2 takes buckets that still hold several components: every survivor pair across components is verified. With
-  it no link between components is lost; pairs inside one component need no row, so a group of copies costs rows in
-  proportion to its size. Large buckets are dealt to several tasks in blocks in both passes.
+* `STARS` passes take from each bucket, for every point, the one survivor of another component that comes first in a fixed
+  random order. These pairs are verified on the full sets and give components. A group of copies costs rows in
+  proportion to its size.
+* The last pass takes buckets that still hold several components: every survivor pair across components is verified. With
+  it no link between components is lost; pairs inside one component need no row. Large buckets are dealt to several
+  tasks in blocks in all passes.
 
 Hashes have 64 bits; that two shingles or sets of a corpus fall together is taken as impossible. Words are split at
 ASCII white space after lower-casing A-Z. Fewer than five words are one shingle; null, empty and blank texts have none
@@ -38,7 +39,8 @@ from touchline.llm.string_tiling import without
 
 GROUPS = 64
 LEAF = 16            # points of a leaf, and children of a node
-ORDERS = 6           # random orders of pass 1
+ORDERS = 2           # random orders of the star passes
+STARS = 2
 BLOCK = 4096         # most points of a bucket in one tree
 SLOTS = 1 << 20      # of the table of shingle counts
 COMMON = 1 << 16     # most slots that the order sets apart
@@ -240,49 +242,48 @@ def _pairs_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
-def _order(names: np.ndarray, r: int) -> np.ndarray:
-    return mixed(names.view(np.uint64) + np.uint64(r + 1) * MIX1)
-
-
-def _first_pairs(rows: DataFrame) -> DataFrame:
-    """Pass 1 over (key, block, set_id, n, point): all survivors of small buckets, the first few of large ones."""
+def _star_pairs(rows: DataFrame) -> DataFrame:
+    """For each point of a bucket the first survivor of another component, over (key, block, set_id, n, point, component)."""
     def batches(source):
-        for (key, block, name, n, point), edges in _runs(source, 2):
-            a, b = [], []
-            n = n.astype(np.int64)
+        for (key, block, name, n, point, component), edges in _runs(source, 2):
+            n, points = n.astype(np.int64), _points(point)
             spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
-            small = np.zeros(len(key), np.int64)
+            order = mixed(name.view(np.uint64) + (key.view(np.uint64) % np.uint64(ORDERS)) * MIX1)
+            first, partner = np.full(len(key), np.iinfo(np.uint64).max), np.full(len(key), -1)
+            end = np.zeros(len(key), np.int64)  # of small buckets
             for s, e in spans:
-                small[s:e] = e - s if e - s <= LEAF else 0
-            points = _points(point)
-            last = np.zeros(len(key), np.int64)
-            for s, e in spans:
-                last[s:e] = e
+                if e - s <= LEAF:
+                    end[s:e] = e
             for d in range(1, LEAF):  # all pairs of each small bucket, d places apart
-                i = np.flatnonzero((small > d) & (np.arange(len(key)) + d < last))
-                i = i[np.maximum(n[i], n[i + d]) * 4 <= np.minimum(n[i], n[i + d]) * 5]
+                i = np.flatnonzero(np.arange(len(key)) + d < end)
+                if not len(i):
+                    break
+                i = i[(component[i] != component[i + d]) & (np.maximum(n[i], n[i + d]) * 4 <= np.minimum(n[i], n[i + d]) * 5)]
                 for at in range(0, len(i), 20_000):
                     x = i[at:at + 20_000]
                     bound = np.minimum(np.minimum(points[x], points[x + d]).sum(axis=1), np.minimum(n[x], n[x + d]))
                     x = x[bound >= needed(n[x], n[x + d])]
-                    a.append(name[x])
-                    b.append(name[x + d])
+                    for one, other in ((x, x + d), (x + d, x)):
+                        better = order[other] < first[one]
+                        first[one[better]], partner[one[better]] = order[other[better]], other[better]
             for s, e in spans:
                 if e - s <= LEAF:
                     continue
-                own, order = name[s:e], _order(name[s:e], int(key[s]) % ORDERS)
                 tree = CountTree(points[s:e], n[s:e])
-                for at in range(0, e - s, 256):
-                    q, found = tree.survivors(points[s + at:min(e, s + at + 256)], n[s + at:min(e, s + at + 256)])
-                    q, found = q[found != q + at] + at, found[found != q + at]
+                for at in range(s, e, 256):
+                    upto = min(e, at + 256)
+                    q, found = tree.survivors(points[at:upto], n[at:upto])
+                    q, found = q + at, found + s
+                    apart = component[q] != component[found]
+                    q, found = q[apart], found[apart]
                     best = np.lexsort((order[found], q))
-                    first = best[np.unique(q[best], return_index=True)[1]]
-                    a.append(own[q[first]])
-                    b.append(own[found[first]])
-            if a and sum(map(len, a)):
-                yield _pairs_batch(a, b)
+                    head = best[np.unique(q[best], return_index=True)[1]]
+                    partner[q[head]] = found[head]
+            has = np.flatnonzero(partner >= 0)
+            if len(has):
+                yield _pairs_batch([name[has]], [name[partner[has]]])
 
-    return (rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(batches, "a long, b long").distinct())
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(batches, "a long, b long").distinct()
 
 
 def _rest_pairs(rows: DataFrame) -> DataFrame:
@@ -374,27 +375,41 @@ def joined(docs: DataFrame) -> DataFrame:
     def members_of(pairs):
         return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
 
-    pairs = written(_first_pairs(_dealt(met).join(points, "set_id").select("key", "block", "set_id", "n", "point")), "pairs")
-    sets = written(_sets_of(docs, members_of(pairs).join(members, "set_id")), "shingles")
-    links = written(_verified(pairs, sets), "links")
-    grouped = components(links)
-    named = written(met.join(grouped, met["set_id"] == grouped["node"], "left")
-                    .select("key", "set_id", "n", F.coalesce("component", "set_id").alias("component")), "named")
-    # Buckets of more than a leaf that still hold several components; small ones were searched in full.
-    mixed = (named.groupBy("key", "component").agg(F.count("*").alias("m"))
-             .groupBy("key").agg(F.sum("m").alias("size"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"))
-             .where((F.col("size") > LEAF) & (F.col("most") < F.col("size")))
-             .withColumn("blocks", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")))
-    rest = (named.join(mixed, "key").withColumn("own", F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("key", "set_id"), "blocks").cast("int")))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .join(points, "set_id")
-            .select("key", "block", "set_id", "n", "point", "component", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("builds")))
-    pairs = written(_rest_pairs(rest), "pairs")
-    unseen = written(members_of(pairs).join(sets.select("set_id").distinct(), "set_id", "left_anti").join(members, "set_id"), "unseen")
-    if not unseen.isEmpty():
-        sets = sets.unionByName(written(_sets_of(docs, unseen), "shingles"))
-    more = written(_verified(pairs, sets), "links")
-    final = components(links.unionByName(more))
+    sets = links = None
+
+    def verified(pairs):
+        """Links among pairs; sets that were not needed so far are fetched."""
+        nonlocal sets, links
+        wanted = members_of(pairs).join(members, "set_id")
+        if sets is not None:
+            wanted = written(wanted.join(sets.select("set_id").distinct(), "set_id", "left_anti"), "unseen")
+        if sets is None or not wanted.isEmpty():
+            more = written(_sets_of(docs, wanted), "shingles")
+            sets = more if sets is None else sets.unionByName(more)
+        found = written(_verified(pairs, sets), "links")
+        links = found if links is None else links.unionByName(found)
+
+    named = met.withColumn("component", F.col("set_id"))
+    for star in range(STARS + 1):
+        mixed_keys = (named.groupBy("key", "component").agg(F.count("*").alias("m"))
+                      .groupBy("key").agg(F.sum("m").alias("size"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"))
+                      .where(F.col("most") < F.col("size")))
+        if star < STARS:
+            rows = named if star == 0 else named.join(mixed_keys.select("key"), "key", "left_semi")
+            pairs = _star_pairs(_dealt(rows).join(points, "set_id").select("key", "block", "set_id", "n", "point", "component"))
+        else:
+            blocks = F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
+            rows = (named.join(mixed_keys.withColumn("blocks", blocks), "key")
+                    .withColumn("own", F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("key", "set_id"), "blocks").cast("int")))
+                    .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+            pairs = _rest_pairs(rows.join(points, "set_id").select("key", "block", "set_id", "n", "point", "component",
+                                                                   F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("builds")))
+        verified(written(pairs, "pairs"))
+        if star < STARS:
+            grouped = components(links)
+            named = written(met.join(grouped, met["set_id"] == grouped["node"], "left")
+                            .select("key", "set_id", "n", F.coalesce("component", "set_id").alias("component")), "named")
+    final = components(links)
     reach = (classes.select("set_id", "member").join(final, F.col("set_id") == F.col("node"), "left")
              .withColumn("component", F.coalesce("component", "set_id")))
     least = reach.groupBy("component").agg(F.min("member").alias("component_id"))
