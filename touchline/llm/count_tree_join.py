@@ -11,14 +11,14 @@ each document the smallest id it can reach by links.
 * Each class is a point: its shingles are hashed into `GROUPS` groups and counted. The sum of coordinate minima bounds the
   overlap from above. A bucket's points are packed into an R-tree; a node's largest coordinates and least size bound
   every point below it. Only pairs that pass are looked at further.
-* `STARS` passes take from each bucket, for every point, the one survivor of another component that comes first in a fixed
-  random order. These pairs are verified on the full sets and give components. A group of copies costs rows in
-  proportion to its size.
+* Star passes take from each bucket, for every point, the one survivor of another component that comes first in a fixed
+  random order. These pairs are bounded once more by `FINE` groups, verified on the full sets, and give components. A group of
+  copies costs rows in proportion to its size. They end when the pairs left across components are few.
 * The last pass takes buckets that still hold several components: every survivor pair across components is verified. With
   it no link between components is lost; pairs inside one component need no row. Large buckets are dealt to several
   tasks in blocks in all passes.
 
-Hashes have 64 bits; that two shingles or sets of a corpus fall together is taken as impossible. Words are split at
+Hashes have 64 bits, 48 where two sets are compared; that two shingles or sets fall together there is taken as impossible. Words are split at
 ASCII white space after lower-casing A-Z. Fewer than five words are one shingle; null, empty and blank texts have none
 and link with nothing. Repeated rows each get their row. A null doc_id takes part in links; a component without any id is
 null. Other columns play no part.
@@ -37,10 +37,12 @@ from touchline.llm.components import components
 from touchline.llm.shingles import MIX1, MIX2, WordHasher, mixed, shingle_sets
 from touchline.llm.string_tiling import without
 
-GROUPS = 64
+GROUPS = 128
 LEAF = 16            # points of a leaf, and children of a node
 ORDERS = 2           # random orders of the star passes
-STARS = 2
+STARS = 4            # most star passes
+WORTH = 8            # pairs for each row of a bucket above which another star pass is made
+FINE = 1024          # groups of the second bound, on pairs
 BLOCK = 4096         # most points of a bucket in one tree
 SLOTS = 1 << 20      # of the table of shingle counts
 COMMON = 1 << 16     # most slots that the order sets apart
@@ -56,7 +58,7 @@ def set_name(shingles: np.ndarray) -> int:
 
 def vector(shingles: np.ndarray) -> np.ndarray:
     """Counts by group, cut at 255, which stands for any larger count."""
-    return np.minimum(np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
+    return np.minimum(np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
 
 
 def needed(a, b):
@@ -326,35 +328,69 @@ def _rest_pairs(rows: DataFrame) -> DataFrame:
             .mapInArrow(batches, "a long, b long").distinct())
 
 
+def _ends(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """(a, b, x, y): pairs with a column of both their sets. Pairs are sent to all tasks if they are few (checked), so that only what they
+    need is shuffled."""
+    few = pairs.limit(SENT + 1).count() <= SENT
+    sent = F.broadcast if few else (lambda df: df)
+    right = sets.select(F.col("set_id").alias("b"), F.col(column).alias("y")).join(sent(pairs), "b")
+    left = sets.select(F.col("set_id").alias("a"), F.col(column).alias("x")).join(sent(pairs.select("a").distinct()), "a", "left_semi")
+    return right.join(left, "a").select("a", "b", "x", "y")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose full sets link."""
+    def bounded(source):
+        for a, b, x, y in source:
+            x, y = (np.frombuffer(v, np.uint8) for v in (x, y))
+            n, m = (int.from_bytes(v[-8:].tobytes(), "little") for v in (x, y))
+            x, y = _wide(x[:-8]), _wide(y[:-8])
+            if min(int(np.minimum(x, y).sum()), n, m) >= needed(n, m):
+                yield a, b
+
     def rows(source):
         for a, b, x, y in source:
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = _unpacked(x), _unpacked(y)
             common = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * common >= 80 * (len(x) + len(y) - common):
                 yield a, b
 
-    left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
-    return arrow_rows(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), "a long, b long", rows)
+    near = written(arrow_rows(_ends(pairs, sets, "fine"), "a long, b long", bounded), "near")
+    return arrow_rows(_ends(near, sets, "shingles"), "a long, b long", rows)
+
+
+def _packed(shingles: np.ndarray) -> bytes:
+    return shingles.view(np.uint16).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    parts = np.zeros((len(data) // 6, 4), np.uint16)
+    parts[:, :3] = np.frombuffer(data, np.uint16).reshape(-1, 3)
+    return parts.view(np.uint64).ravel()
+
+
+def _fine(shingles: np.ndarray) -> bytes:
+    """Counts by the groups of the second bound, cut at 255, and the size."""
+    counts = np.bincount(((shingles >> np.uint64(20)) % np.uint64(FINE)).astype(np.int64), minlength=FINE)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + len(shingles).to_bytes(8, "little")
 
 
 def _sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(set_id, shingles) of chosen classes (set_id, member), from one document each. The chosen are sent to all tasks if they
+    """(set_id, fine, shingles) of chosen classes (set_id, member), from one document each. The chosen are sent to all tasks if they
     are few (checked), else texts are joined to them by a shuffle."""
     def batches(source):
         hasher = WordHasher()
         for batch in source:
             wanted = batch.column(0).to_pylist()
             # another row may carry the same id with another text
-            found = [(w, s.tobytes()) for w, s in zip(wanted, shingle_sets(batch.column(1), hasher)) if set_name(s) == w]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["set_id", "shingles"])
+            found = [(w, _fine(s), _packed(s)) for w, s in zip(wanted, shingle_sets(batch.column(1), hasher)) if set_name(s) == w]
+            columns = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=["set_id", "fine", "shingles"])
 
     few = chosen.limit(SENT + 1).count() <= SENT
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = held.join(F.broadcast(chosen) if few else chosen, held["doc_id"].eqNullSafe(F.col("member"))).select("set_id", "text")
-    return joined.mapInArrow(batches, "set_id long, shingles binary")
+    return joined.mapInArrow(batches, "set_id long, fine binary, shingles binary")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -389,26 +425,25 @@ def joined(docs: DataFrame) -> DataFrame:
         found = written(_verified(pairs, sets), "links")
         links = found if links is None else links.unionByName(found)
 
-    named = met.withColumn("component", F.col("set_id"))
-    for star in range(STARS + 1):
-        mixed_keys = (named.groupBy("key", "component").agg(F.count("*").alias("m"))
-                      .groupBy("key").agg(F.sum("m").alias("size"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"))
-                      .where(F.col("most") < F.col("size")))
-        if star < STARS:
-            rows = named if star == 0 else named.join(mixed_keys.select("key"), "key", "left_semi")
-            pairs = _star_pairs(_dealt(rows).join(points, "set_id").select("key", "block", "set_id", "n", "point", "component"))
-        else:
-            blocks = F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
-            rows = (named.join(mixed_keys.withColumn("blocks", blocks), "key")
-                    .withColumn("own", F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("key", "set_id"), "blocks").cast("int")))
-                    .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-            pairs = _rest_pairs(rows.join(points, "set_id").select("key", "block", "set_id", "n", "point", "component",
-                                                                   F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("builds")))
-        verified(written(pairs, "pairs"))
-        if star < STARS:
-            grouped = components(links)
-            named = written(met.join(grouped, met["set_id"] == grouped["node"], "left")
-                            .select("key", "set_id", "n", F.coalesce("component", "set_id").alias("component")), "named")
+    n_rows = met.count()
+    rows = met.withColumn("component", F.col("set_id"))
+    for star in range(STARS):
+        verified(written(_star_pairs(_dealt(rows).join(points, "set_id").select("key", "block", "set_id", "n", "point", "component")), "pairs"))
+        grouped = components(links)
+        named = written(met.join(grouped, met["set_id"] == grouped["node"], "left")
+                        .select("key", "set_id", "n", F.coalesce("component", "set_id").alias("component")), "named")
+        mixed_keys = written(named.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(
+            F.sum("m").alias("size"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"))
+            .where(F.col("most") < F.col("size")), "mixed")
+        left = mixed_keys.agg(F.sum((F.col("size") - F.col("most")).cast("double") * F.col("size"))).first()[0] or 0
+        if left <= WORTH * n_rows:
+            break
+        rows = named.join(mixed_keys.select("key"), "key", "left_semi")
+    blocks = F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
+    rest = (named.join(mixed_keys.withColumn("blocks", blocks), "key")
+            .withColumn("own", F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("key", "set_id"), "blocks").cast("int")))
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(points, "set_id"))
+    verified(written(_rest_pairs(rest.select("key", "block", "set_id", "n", "point", "component", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("builds"))), "pairs"))
     final = components(links)
     reach = (classes.select("set_id", "member").join(final, F.col("set_id") == F.col("node"), "left")
              .withColumn("component", F.coalesce("component", "set_id")))
