@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions.core import truthy
+from touchline.functions.names import normal_name
+from touchline.models import evaluate
 from touchline.operators import grids, state
 from touchline.operators.carries import rebuild_carries, with_carries
-from touchline.plans import comparison, defending, fixtures, lineups
+from touchline.plans import comparison, defending, fixtures, lineups, research
 from touchline.schema import conform
 from touchline.sources import store
 from touchline.sources.feed import match_feed
@@ -88,30 +90,14 @@ def test_grid_csv(spark, tmp_path):
     assert sorted(map(tuple, grids.read_grid(spark, str(tmp_path / "g.csv")).collect())) == [(0, 0, 0.1), (0, 1, 0.2), (1, 0, 0.3), (1, 1, 0.4)]
 
 
-def merge_windows(minutes):
-    edges = sorted({m for m in minutes if 0 <= m < 90})
-    ws = [(a, b) for a, b in zip([0, *edges], [*edges, 90]) if a < b]
-    out, i = [], 0
-    while i < len(ws):
-        a, b = ws[i]
-        if b - a < 10 and i + 1 < len(ws):
-            out.append((a, ws[i + 1][1]))
-            i += 2
-        elif b - a < 10 and out:
-            out[-1] = (out[-1][0], b)
-            i += 1
-        else:
-            out.append((a, b))
-            i += 1
-    return out
-
-
-@pytest.mark.parametrize("minutes", [[], [5], [60, 65, 80], [46, 50, 58, 85], [88]])
-def test_substitution_windows(spark, minutes):
+@pytest.mark.parametrize("minutes, windows", [
+    ([], [(0, 90)]), ([5], [(0, 90)]), ([60, 65, 80], [(0, 60), (60, 80), (80, 90)]),
+    ([46, 50, 58, 85], [(0, 46), (46, 58), (58, 90)]), ([88], [(0, 90)])])
+def test_substitution_windows(spark, minutes, windows):
     rows = [("m", "A", "FormationSet", 0)] + [("m", "A", "SubstitutionOn", v) for v in minutes]
     df = spark.createDataFrame(rows, "matchId string, teamName string, type string, minute int")
     got = [(r.minute_start, r.minute_end) for r in lineups.merged_windows(df).orderBy("window").collect()]
-    assert got == merge_windows(minutes)
+    assert got == windows
 
 
 def test_contested_slot_moves_earlier_player(spark):
@@ -152,3 +138,48 @@ def test_publish_twice_keeps_one_copy(spark, sf, tmp_path):
     assert store.publish(ev, root).count() == 2
     assert store.publish(ev, root).count() == 0
     assert store.read_events(spark, root).count() == 1000
+
+
+def test_slot_taken_after_a_formation_change(spark):
+    """The change at 60 hands out slots; the player who comes on at 70 into slot 11 keeps it, the earlier holder moves."""
+    start = [(p, p if p <= 11 else 0) for p in range(1, 14)]
+    rows = [("FormationSet", 0, None, 1, None, 2, start, None), ("FormationChange", 60, None, 2, None, 5, [(4, 11), (11, 4)], None),
+            ("SubstitutionOff", 70, 5, 3, None, None, None, None), ("SubstitutionOn", 70, 12, 4, 11, None, None, 3)]
+    df = spark.createDataFrame([("m", "A", *r) for r in rows], "matchId string, teamName string, type string, minute int, playerId bigint, eventId bigint, slot int, "
+                               "formation_id int, players array<struct<playerId:bigint,slot:int>>, relatedEventId bigint")
+    full = spark.createDataFrame([("m", 97)], "matchId string, minute int")
+    out = lineups.lineup_phases(df, full)
+    assert sorted({(r.phase, r.start, r.end) for r in out.collect()}) == [(0, 0, 60), (1, 60, 70), (2, 70, 97)]
+    last = {r.playerId: r.slot for r in out.where("phase = 2").collect()}
+    assert last[12] == 11 and last[4] == 5 and len(last) == 11 and 5 not in last
+
+
+def test_names_of_all_latin_letters(spark):
+    names = ["Beşiktaş", "Śląsk Wrocław", "Fenerbahçe", "Þór Akureyri", "Großaspach", "Øster Ærø"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r[0] for r in df.select(normal_name(F.col("name"))).collect()] == ["besiktas", "slask wroclaw", "fenerbahce", "thor akureyri", "grossaspach", "oster aero"]
+    known = spark.createDataFrame([("Besiktas",), ("Olimpiacos",), ("Himki",)], "name string")
+    wanted = spark.createDataFrame([("Beşiktaş",), ("Olympiacos",), ("Khimki",), ("Xx",)], "name string")
+    assert {r.name: r.known for r in fixtures.match_names(wanted, known).collect()} == {"Beşiktaş": "Besiktas", "Olympiacos": "Olimpiacos", "Khimki": "Himki"}
+
+
+def test_metrics_of_rare_events(spark):
+    rows = spark.createDataFrame([(1, 0.00004)] * 5 + [(0, 0.00001)] * 20, "y int, q double")
+    r = evaluate.model_metrics(rows, "y", "q").first()
+    assert (r.roc_auc, r.average_precision) == (1.0, 1.0)
+
+
+def test_large_grid_is_read_whole(spark, tmp_path):
+    (tmp_path / "g.csv").write_text("\n".join(",".join(f"{r}.{c:03d}" for c in range(100)) for r in range(3000)))
+    got = grids.read_grid(spark, str(tmp_path / "g.csv"))
+    assert got.count() == 300_000 and got.where("row = 2999 and col = 7").first().value == 2999.007
+    assert grids.sent_grid(got, 2, 3).count() == 6
+
+
+def test_control_sequences_cross_spans(spark, sf, monkeypatch):
+    """Spans and runs of any length give the same numbers."""
+    feed = match_feed(spark, sf)
+    want = sorted(map(tuple, research.control_sequences(feed).collect()), key=str)
+    monkeypatch.setattr(research, "SPAN", 37)
+    monkeypatch.setattr(research, "RUN", 5)
+    assert sorted(map(tuple, research.control_sequences(feed).collect()), key=str) == want

@@ -13,7 +13,7 @@ SQUAD, SQUAD4 = feed_sql(20, 1, 14), feed_sql(4, 1, 14)
 
 
 def lineup_sql() -> str:
-    pos = " ".join(f"WHEN formation_id = {f} THEN list_extract(['{names.replace(' ', chr(39) + ',' + chr(39))}'], slot)" for f, names in l.SLOT_POSITIONS.items())
+    pos = " ".join(f"WHEN formation_id = {f} THEN list_extract({names}, slot)" for f, names in l.SLOT_POSITIONS.items())
     return f""",
 sd AS (SELECT DISTINCT league, season, matchId, startDate, teamId, teamName, opponentName, h_a, CAST(matchId AS BIGINT) AS m, (teamId+1)*100 AS base FROM feed),
 fs AS (SELECT *, CASE (m+teamId) % 3 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 8 END AS formation_id FROM sd),
@@ -27,13 +27,14 @@ asg AS (SELECT matchId, teamName, 0 AS mi, 0 AS k, "playerId", slot FROM pl UNIO
 
 LINEUP_SQL, POS = lineup_sql()
 FNAME = "CASE formation_id WHEN 2 THEN '4-4-2' WHEN 4 THEN '4-3-3' WHEN 5 THEN '4-5-1' WHEN 8 THEN '4-2-3-1' END"
+FULL_TIME = ', ft AS (SELECT matchId, greatest(90, max("minute")) AS f FROM feed GROUP BY matchId)'
 # Boundaries closer than two minutes to the last kept one are dropped (recursive walk over a side's few changes).
-PHASE_SQL = LINEUP_SQL + f""",
+PHASE_SQL = LINEUP_SQL + FULL_TIME + f""",
 bo AS (SELECT matchId, teamName, "minute", row_number() OVER (PARTITION BY matchId, teamName ORDER BY "minute") AS n FROM bd),
 wk AS (SELECT matchId, teamName, n, "minute", "minute" AS lastk, true AS keep FROM bo WHERE n=1
   UNION ALL SELECT b.matchId, b.teamName, b.n, b."minute", CASE WHEN b."minute"-w.lastk >= 2 THEN b."minute" ELSE w.lastk END, b."minute"-w.lastk >= 2 FROM wk w JOIN bo b ON b.matchId=w.matchId AND b.teamName=w.teamName AND b.n=w.n+1),
 st AS (SELECT matchId, teamName, 0 AS s FROM sd UNION ALL SELECT matchId, teamName, "minute" FROM wk WHERE keep),
-ph AS (SELECT matchId, teamName, s, coalesce(lead(s) OVER w, 90) AS e, CAST(row_number() OVER w - 1 AS INT) AS phase FROM st WINDOW w AS (PARTITION BY matchId, teamName ORDER BY s)),
+ph AS (SELECT matchId, teamName, s, coalesce(lead(s) OVER w, f) AS e, CAST(row_number() OVER w - 1 AS INT) AS phase, lead(s) OVER w IS NULL AS z FROM st JOIN ft USING (matchId) WINDOW w AS (PARTITION BY matchId, teamName ORDER BY s)),
 la AS (SELECT ph.*, a."playerId", a.slot, row_number() OVER (PARTITION BY ph.matchId, ph.teamName, ph.s, a."playerId" ORDER BY a.mi DESC, a.k DESC) AS rn FROM ph JOIN asg a ON a.matchId=ph.matchId AND a.teamName=ph.teamName AND a.mi < ph.s+1),
 p0 AS (SELECT la.*, CASE WHEN ch.matchId IS NOT NULL AND s >= 70 THEN 5 ELSE fs.formation_id END AS formation_id FROM la JOIN fs ON fs.matchId=la.matchId AND fs.teamName=la.teamName LEFT JOIN ch ON ch.matchId=la.matchId AND ch.teamName=la.teamName WHERE rn=1 AND slot > 0),
 phs AS (SELECT matchId, teamName, phase, s AS "start", e AS "end", formation_id, "playerId", slot, {POS} AS "position", {FNAME} AS formation FROM p0)"""
@@ -52,7 +53,8 @@ def substitution_pairs(spark, sf_dir):
 
 @query("lineup_phases", "W15 UD5 P40", PHASE_REC(SQUAD) + PHASE_SQL + " SELECT * FROM phs")
 def lineup_phases(spark, sf_dir):
-    return l.lineup_phases(both(spark, sf_dir)[1]).drop("position_group")
+    f, li = both(spark, sf_dir)
+    return l.lineup_phases(li, f).drop("position_group")
 
 
 TIME_SQL = PHASE_SQL + """,
@@ -63,7 +65,8 @@ tl AS (SELECT matchId, teamName, "playerId", CAST(island AS BIGINT) AS island, "
 
 @query("position_timeline", "W16", PHASE_REC(SQUAD) + TIME_SQL + " SELECT * FROM tl")
 def position_timeline(spark, sf_dir):
-    return l.position_timeline(l.lineup_phases(both(spark, sf_dir)[1])).drop("position_group")
+    f, li = both(spark, sf_dir)
+    return l.position_timeline(l.lineup_phases(li, f)).drop("position_group")
 
 
 @query("primary_positions", "W16", PHASE_REC(SQUAD) + TIME_SQL + """,
@@ -71,7 +74,8 @@ m AS (SELECT matchId, teamName, "playerId", "position", sum("end"-"start") AS mi
 SELECT matchId, teamName, "playerId", max(CASE WHEN rn=1 THEN "position" END) AS primary_position, string_agg("position", ',' ORDER BY f, "position") AS positions FROM
  (SELECT *, row_number() OVER (PARTITION BY matchId, teamName, "playerId" ORDER BY mins DESC, f) AS rn FROM m) GROUP BY ALL""")
 def primary_positions(spark, sf_dir):
-    return l.primary_positions(l.position_timeline(l.lineup_phases(both(spark, sf_dir)[1]))).drop("position_group")
+    f, li = both(spark, sf_dir)
+    return l.primary_positions(l.position_timeline(l.lineup_phases(li, f))).drop("position_group")
 
 
 @query("event_positions", "W16", PHASE_REC(SQUAD) + TIME_SQL + """,
@@ -81,17 +85,18 @@ FROM feed v LEFT JOIN tl t ON t.matchId=v.matchId AND t.teamName=v.teamName AND
 LEFT JOIN fr ON fr.matchId=v.matchId AND fr.teamName=v.teamName AND fr."playerId"=v.playerId""")
 def event_positions(spark, sf_dir):
     f, li = both(spark, sf_dir)
-    return l.position_at(f, l.position_timeline(l.lineup_phases(li))).select("eventId", "position")
+    return l.position_at(f, l.position_timeline(l.lineup_phases(li, f))).select("eventId", "position")
 
 
 @query("substitution_windows", "W8")
 def substitution_windows(spark, sf_dir):
-    return l.merged_windows(both(spark, sf_dir)[1])
+    f, li = both(spark, sf_dir)
+    return l.merged_windows(li, events=f)
 
 
-WIN_SQL = LINEUP_SQL + """,
+WIN_SQL = LINEUP_SQL + FULL_TIME + """,
 ed AS (SELECT matchId, teamName, 0 AS s FROM sd UNION SELECT matchId, teamName, "minute" FROM su),
-wi AS (SELECT matchId, teamName, s, coalesce(lead(s) OVER w, 90) AS e, row_number() OVER w - 1 AS "window" FROM ed WINDOW w AS (PARTITION BY matchId, teamName ORDER BY s)),
+wi AS (SELECT matchId, teamName, s, coalesce(lead(s) OVER w, f) AS e, lead(s) OVER w IS NULL AS z, row_number() OVER w - 1 AS "window" FROM ed JOIN ft USING (matchId) WINDOW w AS (PARTITION BY matchId, teamName ORDER BY s)),
 lf AS (SELECT p.matchId, p.teamName, p."playerId", CASE WHEN p.slot > 0 THEN -1 ELSE o."minute" END AS on_at, f."minute" AS off_at FROM pl p LEFT JOIN su o ON o.matchId=p.matchId AND o.teamName=p.teamName AND o.on_id=p."playerId"
   LEFT JOIN su f ON f.matchId=p.matchId AND f.teamName=p.teamName AND f.off_id=p."playerId"),
 pw AS (SELECT wi.matchId, wi.teamName, wi."window", lf."playerId" FROM wi JOIN lf ON lf.matchId=wi.matchId AND lf.teamName=wi.teamName AND on_at < e AND (off_at IS NULL OR off_at >= s))"""
@@ -99,18 +104,18 @@ pw AS (SELECT wi.matchId, wi.teamName, wi."window", lf."playerId" FROM wi JOIN l
 
 @query("players_in_windows", "J36 W8", SQUAD + WIN_SQL + """ SELECT matchId, teamName, "window", "playerId" FROM pw""")
 def players_in_windows(spark, sf_dir):
-    li = both(spark, sf_dir)[1]
-    return l.players_in_windows(li, l.raw_windows(li)).select("matchId", "teamName", "window", "playerId")
+    f, li = both(spark, sf_dir)
+    return l.players_in_windows(li, l.raw_windows(li, f)).select("matchId", "teamName", "window", "playerId")
 
 
 @query("window_pass_counts", "J36", SQUAD + WIN_SQL + """,
 rr AS (SELECT *, lead(teamName) OVER w AS nt, lead(playerId) OVER w AS rid FROM feed WHERE type <> 'Card' WINDOW w AS (PARTITION BY matchId ORDER BY "index"))
-SELECT r.matchId, r.teamName, wi."window", count(*) AS passes FROM rr r JOIN wi ON wi.matchId=r.matchId AND wi.teamName=r.teamName AND r."minute" >= wi.s AND r."minute" < wi.e
+SELECT r.matchId, r.teamName, wi."window", count(*) AS passes FROM rr r JOIN wi ON wi.matchId=r.matchId AND wi.teamName=r.teamName AND r."minute" >= wi.s AND (r."minute" < wi.e OR wi.z AND r."minute" = wi.e)
 WHERE r.type='Pass' AND r.outcomeType='Successful' AND nt=r.teamName AND EXISTS (SELECT 1 FROM pw WHERE pw.matchId=r.matchId AND pw.teamName=r.teamName AND pw."window"=wi."window" AND pw."playerId"=r.playerId)
  AND EXISTS (SELECT 1 FROM pw WHERE pw.matchId=r.matchId AND pw.teamName=r.teamName AND pw."window"=wi."window" AND pw."playerId"=r.rid) GROUP BY ALL""")
 def window_pass_counts(spark, sf_dir):
     f, li = both(spark, sf_dir)
-    return l.window_passes(network_passes(f), li, l.raw_windows(li)).groupBy("matchId", "teamName", "window").agg(F.count("*").alias("passes"))
+    return l.window_passes(network_passes(f), li, l.raw_windows(li, f)).groupBy("matchId", "teamName", "window").agg(F.count("*").alias("passes"))
 
 
 @query("minutes_from_substitutions", "W9", SQUAD + LINEUP_SQL + """,
@@ -127,11 +132,11 @@ def touch_positions(spark, sf_dir):
 
 
 @query("phase_touch_positions", "A19", PHASE_REC(SQUAD) + PHASE_SQL + f"""
-SELECT f.matchId, f.teamName, phase, playerName, {fmean_sql('x')} AS avg_x, {fmean_sql('y')} AS avg_y, count(*) AS touches FROM feed f JOIN ph ON ph.matchId=f.matchId AND ph.teamName=f.teamName AND f."minute" >= ph.s AND f."minute" < ph.e WHERE isTouch
+SELECT f.matchId, f.teamName, phase, playerName, {fmean_sql('x')} AS avg_x, {fmean_sql('y')} AS avg_y, count(*) AS touches FROM feed f JOIN ph ON ph.matchId=f.matchId AND ph.teamName=f.teamName AND f."minute" >= ph.s AND (f."minute" < ph.e OR ph.z AND f."minute" = ph.e) WHERE isTouch
 GROUP BY f.matchId, f.teamName, phase, playerName""")
 def phase_touch_positions(spark, sf_dir):
     f, li = both(spark, sf_dir)
-    return l.phase_touch_positions(f, l.lineup_phases(li))
+    return l.phase_touch_positions(f, l.lineup_phases(li, f))
 
 
 @query("formation_usage", "A44", SQUAD4 + LINEUP_SQL + f""",

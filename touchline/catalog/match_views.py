@@ -69,7 +69,7 @@ def match_player_comparison(spark, sf_dir):
 
 
 @query("event_timeline", "A66 T1 T2", FEED + """
-SELECT matchId, "index", "minute", teamName, playerName, type, outcomeType, isShot AS is_shot, isGoal AS is_goal FROM feed WHERE "index" < 300""")
+SELECT matchId, "index", "minute", teamName, playerName, type, outcomeType, isShot AS is_shot, isGoal AS is_goal FROM feed""")
 def event_timeline(spark, sf_dir):
     return mv.event_timeline(match_feed(spark, sf_dir))
 

@@ -125,7 +125,7 @@ _Q = "greatest(1e-8, least(1-1e-8, xPass))"
 
 
 @query("model_metrics", "A51", FEED + f""",
-r AS (SELECT (outcomeType='Successful')::int AS y, {_Q} AS q, CAST(round(xPass*10000) AS INT) AS b, least(14, floor({_Q}*15)) AS e FROM feed WHERE type='Pass'),
+r AS (SELECT (outcomeType='Successful')::int AS y, {_Q} AS q, xPass AS b, least(14, floor({_Q}*15)) AS e FROM feed WHERE type='Pass'),
 ba AS (SELECT count(*) AS "rows", CAST(sum(y) AS BIGINT) AS positives, {fsum_sql('q')} AS expected, {fsum_sql('-(y*ln(q)+(1-y)*ln(1-q))')}/count(*) AS log_loss, {fsum_sql('(q-y)*(q-y)')}/count(*) AS brier FROM r),
 eb AS (SELECT e, count(*) AS n, sum(y) AS sy, {fsum_sql('q')} AS sq FROM r GROUP BY e), ec AS (SELECT {fsum_sql('abs(sy-sq)')}/sum(n) AS calibration_error FROM eb),
 au AS (SELECT sum(CASE WHEN p.b > n.b THEN 2*p.c*n.c WHEN p.b = n.b THEN p.c*n.c ELSE 0 END)::double/(2*(SELECT sum(y) FROM r)*(SELECT sum(1-y) FROM r)) AS roc_auc FROM (SELECT b, sum(y) AS c FROM r GROUP BY b) p CROSS JOIN (SELECT b, sum(1-y) AS c FROM r GROUP BY b) n),

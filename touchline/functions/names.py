@@ -8,22 +8,32 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-# Accented Latin letters and their plain forms, position by position.
-_ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+# Letters that do not decompose, with their plain forms.
+_WHOLE = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ı": "i", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T"}
+_WIDE = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ð": "d", "Ð": "D"}
+
+
+def _latin_letters() -> dict[str, str]:
+    """Accented letters of the Latin blocks and the plain letter each decomposes to."""
+    found = dict(_WHOLE)
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        plain = "".join(ch for ch in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(ch))
+        if len(plain) == 1 and plain.isascii() and plain.isalpha():
+            found[chr(code)] = plain
+    return found
+
+
+_LETTERS = _latin_letters()
 # Words that do not tell clubs apart.
 CLUB_WORDS = ["fc", "cf", "afc", "sc", "ac", "club", "the", "de"]
 
 
 def ascii_fold(c: Column) -> Column:
-    """Latin accents removed; NULL stays NULL."""
-    return F.translate(c, _ACCENTED, _PLAIN)
-
-
-@F.pandas_udf(T.StringType())
-def transliterate(s: pd.Series) -> pd.Series:
-    """Full decomposition for names outside the Latin table."""
-    return s.map(lambda v: None if v is None else "".join(ch for ch in unicodedata.normalize("NFKD", v) if not unicodedata.combining(ch)))
+    """Latin letters without accents, combining marks dropped; NULL stays NULL."""
+    plain = F.translate(F.regexp_replace(c, "[\\u0300-\\u036f]", ""), "".join(_LETTERS), "".join(_LETTERS.values()))
+    for letter, pair in _WIDE.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(pair))
+    return plain
 
 
 def normal_name(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from touchline.functions.core import fsum, n_if, ratio
 
-BINS = 10_000
+RANGES = 10_000
 
 
 def c(name):
@@ -16,25 +16,33 @@ def c(name):
 def model_metrics(rows: DataFrame, target: str, prediction: str, keys=()) -> DataFrame:
     """Log loss, Brier, calibration error, totals, ROC AUC and average precision.
 
-    AUC and average precision read counts per ten-thousandth of the prediction: at most 10 001 rows per
-    key group reach the ordered window, however many are scored.
+    AUC and average precision are exact: counts by the prediction's own value, running inside ranges of a ten-thousandth;
+    the ranges' totals, at most 10 001 rows per key group, run in an ordered window of their own.
     """
     if not keys:
         return model_metrics(rows.withColumn("_key", F.lit(1)), target, prediction, ["_key"]).drop("_key")
     keys = list(keys)
     y = c(target).cast("double")
     q = F.greatest(F.lit(1e-8), F.least(F.lit(1 - 1e-8), c(prediction)))
-    r = rows.select(*keys, y.alias("y"), q.alias("q"), F.round(c(prediction) * BINS).cast("int").alias("b"), F.least(F.floor(q * 15), F.lit(14)).cast("int").alias("e"))
+    r = rows.select(*keys, y.alias("y"), q.alias("q"), c(prediction).alias("p"), F.floor(c(prediction) * RANGES).cast("int").alias("b"), F.least(F.floor(q * 15), F.lit(14)).cast("int").alias("e"))
     base = r.groupBy(*keys).agg(
         F.count("*").alias("rows"), F.sum("y").cast("bigint").alias("positives"), fsum(c("q")).alias("expected"),
         (fsum(-(c("y") * F.log("q") + (1 - c("y")) * F.log(1 - c("q")))) / F.count("*")).alias("log_loss"),
         (fsum((c("q") - c("y")) * (c("q") - c("y"))) / F.count("*")).alias("brier"))
     bucket = r.groupBy(*keys, "e").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), fsum(c("q")).alias("sq"))
     ece = bucket.groupBy(*keys).agg((fsum(F.abs(c("sy") - c("sq"))) / F.sum("n")).alias("calibration_error"))
-    hist = r.groupBy(*keys, "b").agg(F.sum("y").cast("bigint").alias("pos"), F.sum(1 - c("y")).cast("bigint").alias("neg"))
-    up, down = W.partitionBy(*keys).orderBy("b"), W.partitionBy(*keys).orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, 0)
-    hist = hist.withColumns({"_below": F.coalesce(F.sum("neg").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_tp": F.sum("pos").over(down),
-                             "_all": F.sum(c("pos") + c("neg")).over(down)})
+    hist = r.groupBy(*keys, "b", "p").agg(F.sum("y").cast("bigint").alias("pos"), F.sum(1 - c("y")).cast("bigint").alias("neg"))
+
+    def running(df, by, order):
+        up = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        down = W.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
+        n = lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0))
+        return df.withColumns({"_below": n(c("neg"), up), "_tp": n(c("pos"), down), "_all": n(c("pos") + c("neg"), down)})
+
+    ranges = running(hist.groupBy(*keys, "b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), keys, "b").select(
+        *keys, "b", c("_below").alias("r_below"), c("_tp").alias("r_tp"), c("_all").alias("r_all"))
+    hist = running(hist, [*keys, "b"], "p").join(ranges, [*keys, "b"]).withColumns({
+        "_below": c("_below") + c("r_below"), "_tp": c("_tp") + c("r_tp") + c("pos"), "_all": c("_all") + c("r_all") + c("pos") + c("neg")})
     rank = hist.groupBy(*keys).agg(
         ratio(F.sum(c("pos") * (2 * c("_below") + c("neg"))), 2 * F.sum("pos") * F.sum("neg")).alias("roc_auc"),
         (fsum(c("pos") * c("_tp") / c("_all")) / F.sum("pos")).alias("average_precision"))

@@ -30,14 +30,20 @@ def default_epv_grid(spark: SparkSession, rows: int = ROWS, cols: int = COLS) ->
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
-    """A headerless CSV grid (one line per pitch row) as (row, col, value)."""
-    whole = spark.read.text(path, wholetext=True).where(F.length("value") < 10_000_000)
-    lines = whole.select(F.posexplode(F.split(F.trim("value"), r"\s*\r?\n")).alias("row", "line"))
-    return (lines.where(F.length(F.trim("line")) > 0)
-            .select("row", F.posexplode(F.split("line", ",")).alias("col", "v"))
+    """A headerless CSV grid (one line per pitch row) as (row, col, value); lines are read one by one, whatever the file's size."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")]
+    lines = spark.read.text(path).select("value", *place).where(F.length(F.trim("value")) > 0)
+    at = F.row_number().over(W.partitionBy("file").orderBy("block", "id")) - 1
+    return (lines.withColumn("row", at).select("row", F.posexplode(F.split("value", ",")).alias("col", "v"))
             .select("row", "col", F.trim("v").cast("double").alias("value")))
 
 
+def sent_grid(grid: DataFrame, rows: int, cols: int) -> DataFrame:
+    """A caller's grid cut to rows * cols cells of one value each, so that it can be sent to all tasks."""
+    inside = (F.col("row") >= 0) & (F.col("row") < rows) & (F.col("col") >= 0) & (F.col("col") < cols)
+    return grid.where(inside).groupBy("row", "col").agg(F.max("value").alias("value"))
+
+
 def cell(c: Column, length: float, n: int) -> Column:
     """Half-open cell number; the far edge belongs to the last cell; NULL outside the pitch."""
     return F.when(c.between(0.0, length), F.least(F.floor(c / length * n), F.lit(n - 1))).cast("int")
@@ -55,6 +61,7 @@ def with_grid_values(events: DataFrame, grid: DataFrame, prefix: str, rows: int
            .withColumn(f"{prefix}_start_zone_y", cell(F.col("y"), 68.0, rows))
            .withColumn(f"{prefix}_end_zone_x", cell(F.col("endX"), 105.0, cols))
            .withColumn(f"{prefix}_end_zone_y", cell(F.col("endY"), 68.0, rows)))
+    grid = sent_grid(grid, rows, cols)
     for side in ("start", "end"):
         g = grid.select(F.col("col").alias(f"{prefix}_{side}_zone_x"), F.col("row").alias(f"{prefix}_{side}_zone_y"),
                         F.col("value").alias(f"{prefix}_{side}"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from touchline.functions.names import jaccard, name_tokens, normal_name, ratcliff
 
@@ -62,36 +62,29 @@ def score_label(home: Column, away: Column) -> Column:
     return F.when(home.isNull() | away.isNull(), "").otherwise(F.concat_ws("-", home.cast("string"), away.cast("string")))
 
 
-ROUND_SCHEMA = "league string, season string, match_id string, round int"
-
+def infer_rounds(fixtures: DataFrame, merge_orphans: bool = False) -> DataFrame:
+    """Round number per fixture: a new round starts after four days or when a team plays again. With ``merge_orphans`` a
+    round of one match close behind the one before joins it.
 
-def _rounds(pdf: pd.DataFrame, merge_orphans: bool) -> pd.DataFrame:
-    """Rounds of one league season: a new one after four days or when a team plays again."""
-    pdf = pdf.sort_values(["date", "match_id"])
-    groups, teams, start = [], set(), None
-    for r in pdf.itertuples():
-        pair = {r.home_team, r.away_team}
-        if not groups or (r.date - start).days > ROUND_DAYS or teams & pair:
-            groups.append([])
-            teams, start = set(), r.date
-        groups[-1].append(r)
-        teams |= pair
+    The fold sees one league season, whose fixture list is fixed by the format, and keeps the starts of rounds only.
+    """
+    keys = ["league", "season"]
+    listed = fixtures.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "match_id", "home_team", "away_team"))).alias("list"))
+    starts = listed.selectExpr(*keys, "list", f"""aggregate(transform(list, (f, i) -> named_struct('i', i, 'date', f.date, 'pair', array(f.home_team, f.away_team))),
+      named_struct('since', cast(null as date), 'teams', cast(array() as array<string>), 'starts', cast(array() as array<int>)),
+      (a, f) -> if(a.since is null or datediff(f.date, a.since) > {ROUND_DAYS} or arrays_overlap(a.teams, f.pair),
+        named_struct('since', f.date, 'teams', f.pair, 'starts', array_append(a.starts, f.i)),
+        named_struct('since', a.since, 'teams', array_union(a.teams, f.pair), 'starts', a.starts)),
+      a -> a.starts) as starts""")
+    groups = starts.selectExpr(*keys, "size(list) as n", "list", "posexplode(starts) as (round, first)", "starts").selectExpr(
+        *keys, "round", "slice(list, first + 1, coalesce(try_element_at(starts, round + 2), n) - first) as part")
     if merge_orphans:
-        kept = []
-        for g in groups:
-            if len(g) == 1 and kept and 0 <= (g[0].date - max(x.date for x in kept[-1])).days <= ORPHAN_DAYS:
-                kept[-1] += g
-            else:
-                kept.append(g)
-        groups = kept
-    out = [(r.league, r.season, r.match_id, n) for n, g in enumerate(groups, 1) for r in g]
-    return pd.DataFrame(out, columns=["league", "season", "match_id", "round"])
-
-
-def infer_rounds(fixtures: DataFrame, merge_orphans: bool = False) -> DataFrame:
-    """Round number per fixture. A group is one league season: its fixture list is fixed by the format."""
-    rows = fixtures.select("league", "season", "match_id", "date", "home_team", "away_team")
-    return rows.groupBy("league", "season").applyInPandas(lambda p: _rounds(p, merge_orphans), ROUND_SCHEMA)
+        w = W.partitionBy(*keys).orderBy("round")  # one row per round
+        alone = (F.size("part") == 1) & (F.datediff(c("part")[0]["date"], F.lag(F.element_at("part", -1)["date"]).over(w)) <= ORPHAN_DAYS)
+        groups = groups.withColumn("new", F.when(alone, 0).otherwise(1)).withColumn("round", F.sum("new").over(w).cast("int"))
+    else:
+        groups = groups.withColumn("round", c("round") + 1)
+    return groups.select(*keys, "round", F.explode("part").alias("f")).select(*keys, c("f.match_id").alias("match_id"), "round")
 
 
 def round_summary(fixtures: DataFrame, rounds: DataFrame) -> DataFrame:
@@ -138,14 +131,17 @@ def merge_provider(completed: DataFrame, provider: DataFrame, near_days: int = 0
 def match_names(wanted: DataFrame, known: DataFrame, keys=(), minimum: float = 0.78) -> DataFrame:
     """Best known name for each wanted name: exact, else by token overlap, sequence similarity or subset.
 
-    Candidates share a key group and at least one word or the first three letters; the two sides are
-    competition-sized name lists, and no unrelated pair is formed.
+    Candidates share a key group and a word or two letters in a row. That loses nothing at a limit of 0.78: if M letters
+    match and no two stand side by side in both names, M - 1 or more letters do not match, so 2M / (3M - 1) >= 0.78 and
+    M <= 2; names that short share a letter. The two sides are competition-sized name lists.
     """
     keys = list(keys)
     def side(df, col, p):
         t = df.select(*keys, c(col).alias(p)).distinct()
         t = t.withColumn(f"{p}_n", normal_name(c(p))).withColumn(f"{p}_t", name_tokens(c(p), ("1", "afc", "cf", "fc")))
-        return t.withColumn("_b", F.explode(F.array_distinct(F.concat(c(f"{p}_t"), F.array(F.substring(f"{p}_n", 1, 3))))))
+        n = F.length(f"{p}_n")
+        pieces = lambda width: F.when(n >= width, F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), lambda i: F.substr(c(f"{p}_n"), i, F.lit(width)))).otherwise(F.array())
+        return t.withColumn("_b", F.explode(F.array_distinct(F.concat(c(f"{p}_t"), pieces(2), F.when(n <= 4, pieces(1)).otherwise(F.array())))))
     pairs = side(wanted, "name", "w").join(side(known, "name", "k"), keys + ["_b"]).drop("_b").distinct()
     small, large = F.when(F.size("w_t") <= F.size("k_t"), c("w_t")).otherwise(c("k_t")), F.when(F.size("w_t") <= F.size("k_t"), c("k_t")).otherwise(c("w_t"))
     inside = (F.size(F.array_except(small, large)) == 0) & (F.size(F.array_except(small, F.array(*map(F.lit, PLAIN_WORDS)))) > 0)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from touchline.functions import predicates as p, zones as z
 from touchline.functions.core import fsum, has, n_if, pct, ratio, sum_if
+from touchline.operators.scan import dense_position
 from touchline.operators.state import with_match_clock
 
 WINDOW = 15
@@ -88,14 +89,13 @@ def player_table(events: DataFrame, top: int = 25) -> DataFrame:
     return per.withColumn("rank", F.row_number().over(w)).where(c("rank") <= top)
 
 
-def event_timeline(events: DataFrame, first: int = 300) -> DataFrame:
-    """The first events of each match as (minute, team, player, event) rows.
-
-    The feed's dense position picks them without ranking the match.
-    """
-    return (events.where((c("index") < first) & c("minute").isNotNull())
-            .select("matchId", "index", "minute", "teamName", "playerName", "type", "outcomeType",
-                    F.coalesce("isShot", F.lit(False)).alias("is_shot"), F.coalesce("isGoal", F.lit(False)).alias("is_goal")))
+def event_timeline(events: DataFrame, first: int | None = None) -> DataFrame:
+    """Events as (minute, team, player, event) rows; ``first`` keeps each match's first events after whatever filter came before."""
+    rows = events.where(c("minute").isNotNull())
+    if first is not None:
+        rows = dense_position(rows, "_place").where(c("_place") < first)
+    return rows.select("matchId", "index", "minute", "teamName", "playerName", "type", "outcomeType",
+                       F.coalesce("isShot", F.lit(False)).alias("is_shot"), F.coalesce("isGoal", F.lit(False)).alias("is_goal"))
 
 
 def attack_direction(events: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from touchline.functions import predicates as p
 from touchline.functions.core import dist, fixed, fmean, fsum, has, n_if, ratio
-from touchline.operators.scan import LastBefore, bound_of, scan, with_halo
+from touchline.operators.scan import LastBefore, scan, with_halo
 from touchline.operators.state import CONTROL, DEFENCE, STOPPAGE
 
 OUT_OF_POSSESSION = ["Tackle", "Interception", "BallRecovery", "Clearance", "BlockedPass", "Challenge", "Aerial"]
@@ -25,42 +25,75 @@ def zero(name):
     return F.coalesce(F.col(name), F.lit(0.0))
 
 
-def _sequences(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Control state machine of one match: who has the ball and whether a sequence is open."""
-    pdf = pdf.sort_values("index")
-    side, is_open, poss, seq, out = None, False, -1, -1, []
-    for team, grants, stops, defends, fails in zip(pdf["teamName"], pdf["grants"], pdf["stops"], pdf["defends"], pdf["fails"]):
-        if side is not None and grants and team != side:
-            poss, seq, side, is_open = poss + 1, seq + 1, team, True
-        beaten = team != side and defends
-        if is_open and (stops or beaten or fails):
-            is_open = False
-            if beaten:
-                side = None
-        if not is_open and grants:
-            if team != side:
-                poss, side = poss + 1, team
-            seq, is_open = seq + 1, True
-        out.append((seq if is_open else None, poss if side is not None else None))
-    res = pdf[["matchId", "eventId"]].copy()
-    res["sequence_id"] = pd.array([o[0] for o in out], dtype="Int64")
-    res["possession_id"] = pd.array([o[1] for o in out], dtype="Int64")
-    return res
+# Control states: side in control (0 none, 1 home, 2 away) * 2 + open sequence. An event is a map of all six states.
+STATES = range(6)
+STEP_TYPE = "array<struct<to:int,poss:bigint,seq:bigint>>"
+RUN = 64          # events that are walked one by one
+SPAN = 65_536     # events whose maps are joined into one
+
+
+def _control_map(team: int, grants: bool, stops: bool, defends: bool, fails: bool) -> list[tuple[int, int, int]]:
+    """Where an event takes each state, and how many possessions and sequences begin with it."""
+    out = []
+    for before in STATES:
+        side, is_open = divmod(before, 2)
+        taken = grants and side not in (0, team)        # control passes straight from the other side
+        held, live = (team, 1) if taken else (side, is_open)
+        lost = defends and held != team
+        ends = live and (stops or fails or lost)
+        held, live = (0 if ends and lost else held), (0 if ends else live)
+        begins = grants and not live
+        out.append(((team if begins else held) * 2 + (1 if begins else live), int(taken) + int(begins and held != team), int(taken) + int(begins)))
+    return out
+
+
+def _event_maps() -> str:
+    """SQL array of the maps of all event kinds, six entries each; kind = away * 16 + grants * 8 + stops * 4 + defends * 2 + fails."""
+    kinds = [_control_map(1 + k // 16, *(bool(k // n % 2) for n in (8, 4, 2, 1))) for k in range(32)]
+    return "array(" + ",".join(f"struct({to} as to,{p}L as poss,{q}L as seq)" for m in kinds for to, p, q in m) + ")"
+
+
+def _joined(maps: str, state: str, append: str | None = None) -> str:
+    """Fold of an array of maps. From one state (a struct); with `append`, the states after (1) or before (0) each map."""
+    step = ("named_struct('to', m[{0}.to].to, 'poss', {0}.poss + m[{0}.to].poss, 'seq', {0}.seq + m[{0}.to].seq)")
+    if append is None:  # all six states at once
+        return f"aggregate({maps}, {state}, (a, m) -> transform(a, s -> {step.format('s')}))"
+    kept = {"1": step.format("a.now"), "0": "a.now"}[append]
+    return (f"aggregate({maps}, named_struct('now', {state}, 'all', cast(array() as {STEP_TYPE})), "
+            f"(a, m) -> named_struct('now', {step.format('a.now')}, 'all', array_append(a.all, {kept})), a -> a.all)")
+
+
+SAME = "transform(sequence(0, 5), i -> named_struct('to', i, 'poss', 0L, 'seq', 0L))"
 
 
 def control_sequences(events: DataFrame) -> DataFrame:
     """Sequence and possession numbers by control, stoppage and turnover.
 
-    The state does not reduce to a lag, so a match is folded in order. The fold needs the whole match in
-    one task and therefore asks for a source with a proven position bound.
+    The state does not reduce to a lag, but events are maps of six states and maps compose: each span of a match gives
+    one map, the maps of a match give the state in front of every span, and spans are walked on their own. What meets in one
+    row is a span of events, or one map per span of a match.
     """
-    if bound_of(events, "index") is None:
-        raise ValueError("control sequences need a position column with a known bound (operators.scan.bounded)")
-    ok = c("outcomeType") == "Successful"
     f = lambda x: F.coalesce(x, F.lit(False))
-    rows = events.select("matchId", "eventId", "index", "teamName", f(c("type").isin(CONTROL) & ok).alias("grants"), f(c("type").isin(STOPPAGE) | (c("type") == "Goal")).alias("stops"),
-                         f(c("type").isin(DEFENCE)).alias("defends"), f(c("type").isin(CONTROL) & ~f(ok)).alias("fails"))
-    return rows.groupBy("matchId").applyInPandas(_sequences, "matchId string, eventId bigint, sequence_id bigint, possession_id bigint")
+    ok = f(c("outcomeType") == "Successful")
+    bit = lambda x, n: f(x).cast("int") * n
+    first = F.min_by("teamName", "index")
+    # the two sides of a match, by the first event's team; a missing team is no side and takes no control
+    sides = events.where(c("teamName").isNotNull()).groupBy("matchId").agg(first.alias("_side"))
+    kind = (f(c("teamName") != c("_side")).cast("int") * 16 + bit(c("type").isin(CONTROL) & ok, 8) + bit(c("type").isin(STOPPAGE) | (c("type") == "Goal"), 4)
+            + bit(c("type").isin(DEFENCE), 2) + bit(c("type").isin(CONTROL) & ~ok, 1))
+    rows = events.join(sides, "matchId", "left").select("matchId", "index", "eventId", F.floor(c("index") / SPAN).alias("span"), kind.cast("int").alias("kind"))
+    spans = rows.groupBy("matchId", "span").agg(F.array_sort(F.collect_list(F.struct("index", "eventId", "kind"))).alias("events"))
+    runs = spans.selectExpr("matchId", "span", f"transform(sequence(0, size(events) - 1, {RUN}), i -> slice(events, i + 1, {RUN})) as runs", f"{_event_maps()} as table")
+    maps = runs.selectExpr("matchId", "span", "runs", "table", f"transform(runs, r -> {_joined('transform(r, e -> slice(table, e.kind * 6 + 1, 6))', SAME)}) as maps")
+    whole = maps.selectExpr("matchId", "span", f"{_joined('maps', SAME)} as map")
+    chain = whole.groupBy("matchId").agg(F.array_sort(F.collect_list(F.struct("span", "map"))).alias("spans"))
+    start = "named_struct('to', 0, 'poss', -1L, 'seq', -1L)"
+    entry = chain.selectExpr("matchId", "spans", _joined("transform(spans, s -> s.map)", start, "0") + " as states").selectExpr(
+        "matchId", "inline(zip_with(spans, states, (s, e) -> struct(s.span as span, e as entry)))")
+    walked = maps.join(entry, ["matchId", "span"]).selectExpr("runs", "table", "matchId", _joined("maps", "entry", "0") + " as entries")
+    states = _joined("transform(r, e -> slice(table, e.kind * 6 + 1, 6))", "entries[i]", "1")
+    out = walked.selectExpr("matchId", f"explode(flatten(transform(runs, (r, i) -> zip_with(r, {states}, (e, at) -> struct(e.eventId as id, at as at))))) as e")
+    return out.selectExpr("matchId", "e.id as eventId", "if(e.at.to % 2 = 1, e.at.seq, null) as sequence_id", "if(e.at.to >= 2, e.at.poss, null) as possession_id")
 
 
 def dynamic_value(events: DataFrame) -> DataFrame:
