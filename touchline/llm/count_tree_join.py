@@ -435,7 +435,8 @@ def joined(docs: DataFrame) -> DataFrame:
         mixed_keys = written(named.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(
             F.sum("m").alias("size"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"))
             .where(F.col("most") < F.col("size")), "mixed")
-        left = mixed_keys.agg(F.sum((F.col("size") - F.col("most")).cast("double") * F.col("size"))).first()[0] or 0
+        # pairs that buckets with a large component would still give; buckets of unrelated texts give hardly any
+        left = mixed_keys.where(F.col("most") > LEAF).agg(F.sum((F.col("size") - F.col("most")).cast("double") * F.col("size"))).first()[0] or 0
         if left <= WORTH * n_rows:
             break
         rows = named.join(mixed_keys.select("key"), "key", "left_semi")
