@@ -21,7 +21,7 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     else:
         out = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where(F.col("a") != F.col("b")).distinct()
+    return out.where(F.col("a") != F.col("b"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -32,7 +32,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                     .where(F.col("a") > F.col("b")).distinct(), "links")
     mark = None
     while True:
-        links = written(_stars(_stars(links, True), False), "links")
+        links = written(_stars(_stars(links, True), False).distinct(), "links")
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

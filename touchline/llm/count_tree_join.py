@@ -39,7 +39,7 @@ from touchline.llm.string_tiling import without
 
 GROUPS = 128
 LEAF = 16            # points of a leaf, and children of a node
-ORDERS = 2           # random orders of the star passes
+ORDERS = 4           # random orders of the star passes
 STARS = 4            # most star passes
 WORTH = 8            # pairs for each row of a bucket above which another star pass is made
 FINE = 1024          # groups of the second bound, on pairs
