@@ -134,7 +134,8 @@ def test_ordinal_fit_orders_grades_and_shares_weights():
         np.add.at(x[i], rng.integers(0, 8, rng.integers(1, 7)), 1)
     hits = x.sum(axis=1)
     grade = np.where(toxic, 1 + np.searchsorted(np.quantile(hits[toxic], [1 / 3, 2 / 3]), hits), 0)
-    w, theta = ordinal_toxicity.fit_ordinal(np.log1p(x), grade, 4)
+    row, column = np.nonzero(x)
+    w, theta = ordinal_toxicity.fit_ordinal((row, column, np.log1p(x[row, column])), 8, grade, 4)
     expected = (1 / (1 + np.exp(theta[None] - (np.log1p(x) @ w)[:, None]))).sum(axis=1)
     means = [expected[grade == g].mean() for g in range(4)]
     assert (np.diff(theta) > 0).all() and means == sorted(means) and np.corrcoef(expected, grade)[0, 1] > 0.9

@@ -68,16 +68,17 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 800, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising thresholds of least penalised negative log likelihood, by Adam from zero."""
-    n, m = x.shape
+def fit_ordinal(x: tuple[np.ndarray, np.ndarray, np.ndarray], m: int, grade: np.ndarray, grades: int, steps: int = 800, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and rising thresholds of least penalised negative log likelihood, by Adam from zero. The features are sparse: row,
+    column (below m) and value of each entry."""
+    (row, column, value), n = x, len(grade)
     # thresholds are a first value and positive gaps, kept positive by exp
     params = np.concatenate([np.zeros(m), [1.0], np.zeros(grades - 2)])
     mean, square = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, steps + 1):
         w, gaps = params[:m], np.exp(np.clip(params[m + 1:], -10, 5))
         theta = params[m] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = x @ w
+        score = np.bincount(row, value * w[column], n)
         edges = np.concatenate([[-np.inf], theta, [np.inf]])
         upper, lower = _sigmoid(edges[grade + 1] - score), _sigmoid(edges[grade] - score)
         chance = np.maximum(upper - lower, 1e-12)
@@ -87,7 +88,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 800,
         np.add.at(g_theta, np.minimum(grade, grades - 2), np.where(grade < grades - 1, -d_upper / chance / n, 0))
         np.add.at(g_theta, np.maximum(grade - 1, 0), np.where(grade > 0, d_lower / chance / n, 0))
         tails = np.cumsum(g_theta[::-1])[::-1]
-        grad = np.concatenate([x.T @ g_score + ridge * w, [tails[0]], tails[1:] * gaps])
+        grad = np.concatenate([np.bincount(column, value * g_score[row], m) + ridge * w, [tails[0]], tails[1:] * gaps])
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad ** 2
         params = params - 0.1 * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-9)
     theta = params[m] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(params[m + 1:], -10, 5)))])
@@ -134,14 +135,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield ident, toxic, hits, [place[f] for f in counts], [float(np.log1p(c)) for c in counts.values()]
 
     made = arrow_rows(rows, "doc_id long, toxic int, hits double, at array<int>, value array<double>", counted).orderBy("doc_id", "hits").collect()
-    x = np.zeros((len(made), len(place)), np.float32)
-    for i, r in enumerate(made):
-        x[i, r["at"]] = r["value"]
+    column = np.array([k for r in made for k in r["at"]], np.int64)
+    value = np.array([v for r in made for v in r["value"]])
+    row = np.repeat(np.arange(len(made)), [len(r["at"]) for r in made])
     hits = np.array([r["hits"] for r in made])
     toxic = np.array([r["toxic"] for r in made]) > 0
     cuts = np.quantile(hits[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
     grade = np.where(toxic, 1 + np.searchsorted(cuts, hits, side="left"), 0)
-    w, theta = fit_ordinal(x, grade, GRADES)
+    w, theta = fit_ordinal((row, column, value), len(place), grade, GRADES)
     return Model({f: float(w[i]) for f, i in place.items()}, theta.tolist())
 
 
