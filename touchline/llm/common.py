@@ -28,6 +28,18 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+#: Rows of an Arrow batch for text columns; Spark's own default makes batches of tens of megabytes from long texts.
+BATCH_ROWS = 2000
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """The same frame, with the session's Arrow batches cut to `BATCH_ROWS` rows where they still have Spark's default."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def arrow_rows(df: DataFrame, schema: str, rows: Callable[..., Iterator[tuple]]) -> DataFrame:
     """Map whole rows in tasks. `rows` gets an iterator of tuples in the frame's column order (one Arrow batch in
     memory at a time) and yields tuples in the order of `schema`."""
@@ -49,7 +61,7 @@ def arrow_rows(df: DataFrame, schema: str, rows: Callable[..., Iterator[tuple]])
         if pending:
             yield _batch(pending, out)
 
-    return df.mapInArrow(batches, fields)
+    return in_batches(df).mapInArrow(batches, fields)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -74,7 +86,7 @@ def replace_text(df: DataFrame, change: Callable[[str], str], column: str = "tex
                 batch = batch.set_column(k, batch.schema.field(k), pa.array(new, batch.schema.field(k).type))
             yield batch
 
-    return df.mapInArrow(batches, df.schema)
+    return in_batches(df).mapInArrow(batches, df.schema)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

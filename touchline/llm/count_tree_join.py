@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import arrow_rows, written
+from touchline.llm.common import arrow_rows, in_batches, written
 from touchline.llm.components import components
 from touchline.llm.shingles import MIX1, MIX2, WordHasher, mixed, shingle_sets
 from touchline.llm.string_tiling import without
@@ -150,7 +150,7 @@ def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), pa.int64()), pa.array(at),
                                           pa.array(slots[at] - int(mean)), pa.nulls(len(at), pa.binary())], names=["kind", "doc_id", "set_id", "n", "point"])
 
-    both = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    both = written(in_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         batches, "kind int, doc_id long, set_id long, n long, point binary"), "sets")
     common = (both.where("kind = 1").groupBy(F.col("set_id").alias("slot")).agg(F.sum("n").alias("n"))
               .orderBy(F.desc("n"), "slot").limit(COMMON))
@@ -173,7 +173,7 @@ def _keys(docs: DataFrame, common: DataFrame) -> DataFrame:
                 name = set_name(s)
                 if len(s) < 4 or name in seen:  # a set of fewer links with its equals only
                     continue
-                if len(seen) > 200_000:
+                if len(seen) > 50_000:
                     seen.clear()
                 seen.add(name)
                 p = prefix(len(s))

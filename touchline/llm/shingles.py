@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20  # bytes that are hashed at a time
+SLICE = 1 << 18  # bytes that are hashed at a time
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C55
 INVERSE = pow(BASE, -1, 1 << 64)
