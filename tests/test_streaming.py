@@ -1,4 +1,5 @@
 """Each stream job gives what its batch twin gives on a finished feed."""
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -22,7 +23,13 @@ def landed(spark, sf, tmp_path, parts=3):
 def run(query_df, mode="append"):
     name = "q" + uuid.uuid4().hex[:8]
     q = query_df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    end = time.time() + 120
+    while q.isActive and time.time() < end:  # a query with timeouts goes on with empty batches
+        seen = [p["numInputRows"] for p in q.recentProgress]
+        if any(seen) and seen[-1] == 0:
+            break
+        time.sleep(0.2)
+    q.stop()
     return query_df.sparkSession.table(name)
 
 
@@ -48,11 +55,12 @@ def test_running_score(spark, sf, tmp_path):
 
 def test_regain_timer(spark, sf, tmp_path):
     rows, root = landed(spark, sf, tmp_path)
-    got = {r.loss_id: r.regain_id for r in run(jobs.regain_timer(stream(spark, rows, root))).collect() if r.regain_id is not None and r.seconds <= 60}
-    full = loss_sequences(rows.withColumn("season", F.lit("s")))
-    periods = {r.eventId: r.period for r in rows.collect()}
-    want = {r.eventId: r.regain_id for r in full.collect() if r.regain_id is not None}
-    assert {k: v for k, v in got.items() if periods[k] == periods[v]} == want
+    got = run(jobs.regain_timer(stream(spark, rows, root))).collect()
+    full = {r.eventId: r.regain_id for r in loss_sequences(rows.withColumn("season", F.lit("s"))).collect()}
+    found = {r.loss_id: r.regain_id for r in got}
+    # every loss is told once; those without an answer may still wait at the end of the feed
+    assert len(found) == len(got) and all(full[k] == v for k, v in found.items())
+    assert {k for k, v in full.items() if v is not None} <= set(found)
 
 
 def test_late_duplicates_are_dropped(spark, sf, tmp_path):

@@ -7,7 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from touchline.catalog import load_all  # noqa: E402
 
 OTHER = {
-    "S19": "operators/grids.py read_grid, default_epv_grid", "S24": "sources/store.py backup", "S25": "sources/store.py file_inventory", "S8": "sources/store.py publish", "S10": "sources/store.py publish",
+    "S19": "operators/grids.py read_grid, default_epv_grid", "S24": "sources/store.py backup", "S25": "sources/store.py file_inventory", "S11": "sources/store.py plain_columns (no query)", "S10": "sources/store.py publish",
     "ST1": "streaming/jobs.py read_landed, land", "ST6": "streaming/jobs.py running_score", "ST7": "streaming/jobs.py regain_timer", "P1": "plans/enrich.py scale_pitch", "P5": "functions/names.py",
     "UD2": "functions/names.py ascii_fold", "M9": "models/training.py train_ranked",
 }

@@ -1,5 +1,7 @@
 """Match state: clock, score, possession, receivers, previous action, carries, value grids."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from touchline.catalog.feed_checks import DENSE, FEED
@@ -7,6 +9,8 @@ from touchline.catalog.registry import fsum_sql, query
 from touchline.functions.core import fsum, n_if
 from touchline.functions.predicates import is_shot
 from touchline.operators import carries, grids, state
+from touchline.session import checkpoint_dir
+from touchline.sources import store
 from touchline.sources.feed import match_feed
 
 OUT_OF_PLAY = ("('SubstitutionOn','SubstitutionOff','FormationChange','FormationSet','End','OffsideProvoked','Start',"
@@ -84,6 +88,27 @@ def possession_view_rule(spark, sf_dir):
     return state.with_possession(match_feed(spark, sf_dir)).select("eventId", "possession_id", "possession_team")
 
 
+def archived(spark, sf_dir):
+    """The feed, published to an archive in the shared folder and read from there; the source's bound does not travel with it."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/archive-{uuid.uuid4().hex}"
+    store.publish(match_feed(spark, sf_dir).drop("k", "ts", "v100"), root)
+    return store.read_events(spark, root)
+
+
+@query("archive_possessions", "S1 S8 W2b", FEED + possession_sql(True) + """
+SELECT f.eventId, p.possession_id, p.possession_team FROM feed f LEFT JOIN poss p USING (matchId, "index")""")
+def archive_possessions(spark, sf_dir):
+    """Published events under the plan for matches of any length: scans in segments."""
+    return state.with_possession(archived(spark, sf_dir)).select("eventId", "possession_id", "possession_team")
+
+
+@query("archive_scores", "S1 W3", FEED + SCORE_SQL + """
+SELECT eventId, home_score_before, away_score_before, team_score_state FROM gamestate""")
+def archive_scores(spark, sf_dir):
+    """Published events with the bound that a pass over their positions proves."""
+    return state.with_score(store.with_bound(archived(spark, sf_dir))).select("eventId", "home_score_before", "away_score_before", "team_score_state")
+
+
 @query("pass_receivers_network", "J15", FEED + """,
 k AS (SELECT eventId, type, teamName, playerName, lead(teamName) OVER w nt, lead(playerId) OVER w np, lead(playerName) OVER w nn
   FROM feed WHERE type <> 'Card' WINDOW w AS (PARTITION BY matchId ORDER BY "index"))

@@ -236,7 +236,20 @@ def completion_model_ranking(spark, sf_dir):
     return table
 
 
-@query("enriched_events", "M11 M16")
+@query("models_that_fail", "M16", FEED + """
+SELECT eventId, v100 / 100.0::double AS "xG", NULL::double AS "xA", 0.5::double AS "xPass", 'assists,wrong' AS failed FROM feed""")
+def models_that_fail(spark, sf_dir):
+    """Four steps of which two cannot run: a missing column, and a step that does not add what it says."""
+    from touchline.plans.enrich import ModelStep, with_models
+    steps = [ModelStep("shots", {"xG": "double"}, lambda d: d.withColumn("xG", F.col("v100") / 100.0)),
+             ModelStep("assists", {"xA": "double"}, lambda d: d.withColumn("xA", F.col("no such column"))),
+             ModelStep("wrong", {"other": "double"}, lambda d: d),
+             ModelStep("passes", {"xPass": "double"}, lambda d: d.withColumn("xPass", F.lit(0.5)))]
+    out = with_models(match_feed(spark, sf_dir).drop("xG", "xA", "xPass"), steps)
+    return out.select("eventId", "xG", "xA", "xPass", F.array_join("failed_models", ",").alias("failed"))
+
+
+@query("enriched_events", "M11")
 def enriched_events(spark, sf_dir):
     from touchline.plans.enrich import enrich
     out = enrich(match_feed(spark, sf_dir, pace=4))

@@ -240,7 +240,7 @@ def resolved_names(spark, sf_dir):
     return q.resolve_people(n.select(flipped.alias("name")), n.select(F.col("p_name").alias("person")))
 
 
-@query("repaired_team_names", "P4 P58", FEED + """ SELECT eventId, teamName FROM feed""")
+@query("repaired_team_names", "P4", FEED + """ SELECT eventId, teamName FROM feed""")
 def repaired_team_names(spark, sf_dir):
     f = match_feed(spark, sf_dir)
     teams = f.select("teamId", F.col("teamName").alias("name")).distinct()

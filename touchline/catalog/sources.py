@@ -50,7 +50,7 @@ def latest_order_per_customer(spark, sf_dir):
     return store.latest_per_key(o, ["o_custkey"], "seq").drop("seq")
 
 
-@query("match_fingerprint_counts", "S8 S10 S11 S12", FEED + """ SELECT matchId, count(*) AS "rows" FROM feed GROUP BY matchId""")
+@query("match_fingerprint_counts", "S10", FEED + """ SELECT matchId, count(*) AS "rows" FROM feed GROUP BY matchId""")
 def match_fingerprint_counts(spark, sf_dir):
     return store.fingerprint(match_feed(spark, sf_dir)).select("matchId", "rows")
 

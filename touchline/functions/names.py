@@ -62,26 +62,11 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return 1.0 - F.levenshtein(a, b) / F.greatest(F.lit(1), F.length(a), F.length(b))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def literal_qualifiers(s: pd.Series) -> pd.Series:
-    """Qualifier names out of Python-literal text (a list of dicts with type and value, or of words)."""
-    import ast
-
-    def names(text):
-        if text is None:
-            return None
-        try:
-            items = ast.literal_eval(text)
-        except (ValueError, SyntaxError):
-            return None
-        items = items if isinstance(items, list) else [items]
-        out = []
-        for i in items:
-            t = i.get("type") if isinstance(i, dict) else i
-            out.append(str(t.get("displayName")) if isinstance(t, dict) else str(t))
-        return out
-
-    return s.map(names)
+def literal_qualifiers(c: Column) -> Column:
+    """Qualifier names out of Python-literal text: a list of dicts with a type (a word, or a dict with a display name), or of words."""
+    typed = F.regexp_extract_all(c, F.lit(r"""["']type["']\s*:\s*(?:\{[^{}]*?["']displayName["']\s*:\s*)?["']([^"']*)["']"""), F.lit(1))
+    words = F.regexp_extract_all(c, F.lit(r"""["']([^"']*)["']"""), F.lit(1))
+    return F.when(c.rlike(r"^\s*[\[({]"), F.when(c.rlike(r"""["']type["']\s*:"""), typed).otherwise(words))
 
 
 def qualifier_names(c: Column) -> Column:
@@ -89,4 +74,4 @@ def qualifier_names(c: Column) -> Column:
     parsed = F.from_json(c, "array<struct<type:string,value:string>>", {"allowSingleQuotes": "false"})
     named = F.transform(parsed, lambda q: q["type"])
     good = parsed.isNotNull() & F.coalesce(F.forall(named, lambda n: n.isNotNull()), F.lit(False))
-    return F.coalesce(F.when(good, named), literal_qualifiers(c))
+    return F.when(good, named).otherwise(literal_qualifiers(c))

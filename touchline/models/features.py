@@ -14,7 +14,7 @@ POST_LEFT, POST_RIGHT, BAR, CENTRE, GOAL_WIDTH = 30.34, 37.66, 2.44, 34.0, 7.32
 MIN_SHOT_X, MAX_SHOT_DISTANCE, PENALTY_XG = 52.5, 60.0, 0.78
 
 SHOT_NUMERIC = ["x", "y", "shot_distance", "shot_angle", "shot_lateral_distance", "shot_distance_sq", "minute", "is_header", "is_left_foot", "is_right_foot",
-                "is_open_play", "is_set_piece", "is_from_corner", "is_direct_free_kick", "is_penalty", "is_big_chance", "is_on_target", "game_state_goal_diff",
+                "is_open_play", "is_set_piece", "is_from_corner", "is_direct_free_kick", "is_penalty", "is_big_chance", "game_state_goal_diff",
                 "prev_time_delta", "prev_action_distance", "prev_action_angle", "prev_action_into_box", "prev_action_same_team", "prev_action_success",
                 "shot_after_carry", "shot_after_takeon", "shot_after_cross", "shot_after_through_ball", "shot_after_recovery", "shot_after_duel"]
 SHOT_CATEGORIES = ["shot_zone", "minute_bucket", "score_state", "situation_clean", "body_part", "shot_family", "prev_action_type", "prev_action_subtype", "h_a"]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from touchline.functions.names import ascii_fold
@@ -26,17 +31,38 @@ def with_progress(events: DataFrame) -> DataFrame:
                                "pass_or_carry_angle": F.degrees(F.atan2(F.col("endY") - F.col("y"), F.col("endX") - F.col("x")))})
 
 
+@dataclass(frozen=True)
+class ModelStep:
+    """A scoring step: its name, the columns it adds with their types, and the function on events."""
+    name: str
+    columns: dict[str, str]
+    apply: Callable[[DataFrame], DataFrame]
+
+
+def with_models(events: DataFrame, steps) -> DataFrame:
+    """Run scoring steps in order. A step that cannot be planned (a model file or an input column is missing) leaves its
+    columns NULL and its name in ``failed_models``; the others still run."""
+    failed = []
+    for step in steps:
+        try:
+            done = step.apply(events)
+            if set(step.columns) - set(done.columns):
+                raise ValueError(f"{step.name} adds {sorted(done.columns)}")
+            events = done
+        except (AnalysisException, ValueError, OSError, Py4JError):
+            failed.append(step.name)
+            events = events.withColumns({n: F.lit(None).cast(t) for n, t in step.columns.items()})
+    return events.withColumn("failed_models", F.array(*map(F.lit, failed)).cast("array<string>"))
+
+
 def enrich(events: DataFrame, xt_grid: DataFrame | None = None, epv_grid: DataFrame | None = None, raw_scale: bool = False, models=()) -> DataFrame:
     """Clock, carries, scale, xT, EPV, progress, plain names, then the given model steps in order.
 
-    A model step takes and returns the events. A step that is not given leaves its columns NULL with a
-    NULL version, so a missing model shows in the data instead of turning into zeros.
+    A model step that fails leaves its columns NULL, so a missing model shows in the data instead of turning into zeros.
     """
     ev = scale_pitch(events) if raw_scale else events
     ev = with_carries(with_match_clock(ev))
     ev = with_xt(ev) if xt_grid is None else with_xt_grid(ev, xt_grid, 8, 12)
     ev = with_progress(with_epv(ev, epv_grid))
     ev = ev.withColumn("playerName", ascii_fold(F.col("playerName")))
-    for step in models:
-        ev = step(ev)
-    return ev
+    return with_models(ev, models)

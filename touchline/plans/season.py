@@ -8,6 +8,7 @@ from touchline.functions import predicates as p
 from touchline.functions.core import dist, fmean, fsum, has_like, n_if, pct, ratio, sum_if
 from touchline.operators.scan import LastBefore, scan
 from touchline.operators.state import with_receiver
+from touchline.sources.store import dedupe_events, validate_matches
 
 KEYS = ["league", "season", "matchId"]
 
@@ -237,3 +238,15 @@ def season_verification(team_rows: DataFrame, player_rows: DataFrame) -> DataFra
     counts = counts.unpivot(["league", "season"], ["rows", "matches", "teams"], "name", "value").select(
         "league", "season", F.lit("count").alias("check"), F.lit(0).alias("rank"), "name", "value")
     return counts.unionByName(top(team_rows, "teamName")).unionByName(top(player_rows, "playerName"))
+
+
+def season_tables(events: DataFrame, minimum: int = 50) -> dict[str, DataFrame]:
+    """The four season tables of an event table: repeats dropped, team names repaired by the side's name, matches that fail
+    validation left out."""
+    bad = validate_matches(events, minimum).where(F.size("violations") > 0).select("matchId")
+    named = events.where(c("teamName").isNotNull() & (c("teamName") != "None")).groupBy("matchId", "teamId").agg(F.min("teamName").alias("_name"))
+    rows = dedupe_events(events, "index").join(bad, "matchId", "left_anti").join(named, ["matchId", "teamId"], "left")
+    rows = rows.withColumn("teamName", F.coalesce("_name", "teamName")).drop("_name")
+    of = rows.select("league", "season", "matchId").distinct()
+    return {"team_matches": team_match_stats(rows), "player_matches": player_match_stats(rows), "keeper_matches": keeper_match_stats(rows).join(of, "matchId"),
+            "event_locations": event_locations(rows)}

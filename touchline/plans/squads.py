@@ -49,8 +49,17 @@ def team_transfers(rows: DataFrame) -> DataFrame:
 
 
 def season_coaches(stints: DataFrame, seasons: DataFrame) -> DataFrame:
-    """The coach of each team season: the overlapping stint that started last."""
-    hit = stints.join(seasons, "league").where((c("start") <= c("season_end")) & (F.coalesce(c("end"), c("season_end")) >= c("season_start")))
+    """The coach of each team season: the overlapping stint that started last.
+
+    Stints and seasons are spread over the years they touch, so the join has keys; a pair counts in its first common year.
+    """
+    years = lambda a, b: F.explode(F.sequence(F.year(a), F.year(b)))
+    ends = seasons.groupBy("league").agg(F.max("season_end").alias("_last"))
+    open_end = F.coalesce("end", "_last")
+    spread = stints.join(ends, "league").where((c("start") <= open_end) & (F.year("start") <= F.year("_last"))).withColumn("_y", years("start", F.least(open_end, "_last")))
+    of = seasons.withColumn("_y", years("season_start", "season_end"))
+    hit = spread.join(of, ["league", "_y"]).where(
+        (c("start") <= c("season_end")) & (F.coalesce(c("end"), c("season_end")) >= c("season_start")) & (c("_y") == F.greatest(F.year("start"), F.year("season_start"))))
     return hit.groupBy(*LS, "teamName").agg(F.max_by("coach", F.struct("start", "coach")).alias("coach"), F.count("*").alias("stints"))
 
 

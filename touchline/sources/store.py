@@ -4,18 +4,27 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from touchline.operators.scan import bounded
 from touchline.schema import conform, event_ddl
 
 
 def read_events(spark: SparkSession, root: str) -> DataFrame:
     """Canonical events below a folder partitioned by league and season; an absent folder is empty."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    try:
+        return conform(spark.read.schema(event_ddl()).parquet(root))
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], event_ddl())
-    return conform(spark.read.option("mergeSchema", "true").parquet(root))
+
+
+def with_bound(events: DataFrame, pos: str = "index") -> DataFrame:
+    """Events whose position column carries the bound that one pass over that column proves (see operators.scan)."""
+    most = events.agg(F.max(pos)).first()[0]
+    return events.withColumn(pos, bounded(F.col(pos), pos, None if most is None else int(most) + 1))
 
 
 def read_jdbc_events(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options) -> DataFrame:
@@ -96,10 +105,11 @@ def publish(events: DataFrame, root: str, league: str = "league", season: str =
     """Write matches not yet stored, verified before they become visible; stored ones stay untouched.
 
     New matches go to a staging folder first, are read back and compared by count and hash, and only then
-    appended. Returns the ids that were published.
+    appended. Rows are written in the canonical column types. Returns the ids that were published.
     """
-    spark = events.sparkSession
-    known = read_events(spark, root).select("matchId").distinct()
+    spark, events = events.sparkSession, conform(events)
+    parts = events.select(league, season).distinct()  # one row per league season
+    known = read_events(spark, root).join(F.broadcast(parts), [league, season]).select("matchId").distinct()
     new = events.join(known, "matchId", "left_anti")
     staged_at = f"{root.rstrip('/')}_staging/{uuid.uuid4().hex}"
     new.write.partitionBy(league, season).parquet(staged_at)
@@ -119,6 +129,16 @@ def write_season_tables(tables: dict, root: str, source: str, schema_version: in
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("league", "season").parquet(f"{root}/{name}"))
 
 
+def read_season_table(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
+    """The given columns of a season table, or an empty one where it is absent."""
+    try:
+        return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{name}")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def backup(df: DataFrame, root: str, version: str) -> str:
     path = f"{root.rstrip('/')}_backup/{version}"
     df.write.mode("errorifexists").parquet(path)

@@ -86,8 +86,8 @@ def _score(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         state.remove()
         return
     home, away = state.get if state.exists else (0, 0)
-    for pdf in frames:
-        pdf = pdf.sort_values("index")
+    # a group comes in several pieces in no order; all of them are put in order by position first
+    for pdf in [pd.concat(list(frames)).sort_values("index")]:
         goal = pdf["type"].eq("Goal")
         own = pdf["goalOwn"].fillna(False).astype(bool)
         for_home = goal & (pdf["h_a"].eq("h") != own)
@@ -107,36 +107,42 @@ def running_score(stream: DataFrame) -> DataFrame:
 
 
 REGAIN_OUT = "matchId string, teamName string, loss_id bigint, regain_id bigint, seconds bigint"
-REGAIN_STATE = "ids array<bigint>, times array<bigint>"
+REGAIN_STATE = "ids array<bigint>, times array<bigint>, periods array<string>"
 
 
-def regain_timer(stream: DataFrame, limit: int = 60) -> DataFrame:
-    """Open losses of a side wait for its next controlling action; after ``limit`` seconds they close empty.
+def regain_timer(stream: DataFrame, limit: int = 60, quiet_ms: int = 6 * 3600 * 1000) -> DataFrame:
+    """Open losses of a side wait for its next controlling action of the same period; after ``limit`` seconds, in the next
+    period, or when the side stays quiet for ``quiet_ms``, they close empty.
 
     State holds the losses of at most ``limit`` seconds of one side.
     """
     from touchline.plans.defending import confirms_control, is_loss
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, times = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-        for pdf in frames:
-            out = []
-            for r in pdf.sort_values("index").itertuples():
-                while times and r.t - times[0] > limit:
-                    out.append((key[0], key[1], ids.pop(0), None, None))
-                    times.pop(0)
+        waiting = list(zip(*state.get)) if state.exists else []
+        out = []
+        if state.hasTimedOut:
+            out = [(i, None, None) for i, _, _ in waiting]
+            state.remove()
+        else:
+            # a group comes in several pieces in no order
+            for r in pd.concat(list(frames)).sort_values("index").itertuples():
+                late = lambda w: w[2] != r.period or not 0 <= r.t - w[1] <= limit  # noqa: E731, B023
+                out += [(w[0], None, None) for w in waiting if late(w)]
+                waiting = [w for w in waiting if not late(w)]
                 if r.control:
-                    out += [(key[0], key[1], i, r.eventId, r.t - t) for i, t in zip(ids, times)]
-                    ids, times = [], []
+                    out += [(i, r.eventId, r.t - t) for i, t, _ in waiting]
+                    waiting = []
                 if r.loss:
-                    ids.append(r.eventId)
-                    times.append(r.t)
-            yield pd.DataFrame(out, columns=["matchId", "teamName", "loss_id", "regain_id", "seconds"]).astype({"regain_id": "Int64", "seconds": "Int64"})
-        state.update((ids, times))
+                    waiting.append((r.eventId, r.t, r.period))
+            state.update(tuple([w[k] for w in waiting] for k in range(3)))
+            state.setTimeoutDuration(quiet_ms)
+        rows = [(key[0], key[1], *o) for o in out]
+        yield pd.DataFrame(rows, columns=["matchId", "teamName", "loss_id", "regain_id", "seconds"]).astype({"regain_id": "Int64", "seconds": "Int64"})
 
     t = (c("minute") * 60 + c("second")).cast("bigint")
-    rows = stream.select("matchId", "teamName", "eventId", "index", t.alias("t"), is_loss().alias("loss"), confirms_control().alias("control")).where("loss or control")
-    return rows.groupBy("matchId", "teamName").applyInPandasWithState(step, REGAIN_OUT, REGAIN_STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select("matchId", "teamName", "eventId", "index", "period", t.alias("t"), is_loss().alias("loss"), confirms_control().alias("control")).where("loss or control")
+    return rows.groupBy("matchId", "teamName").applyInPandasWithState(step, REGAIN_OUT, REGAIN_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def merge_schedule(ledger: DataFrame, feed: DataFrame) -> DataFrame:
