@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,6 +43,25 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that Spark keeps for later tasks then holds little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def mapped(df: DataFrame, batches, schema) -> DataFrame:
+    """Map Arrow batches in tasks, with memory given back at the end of each task."""
+    def run(source):
+        try:
+            yield from batches(source)
+        finally:
+            release()
+
+    return in_batches(df).mapInArrow(run, schema)
+
+
 def arrow_rows(df: DataFrame, schema: str, rows: Callable[..., Iterator[tuple]]) -> DataFrame:
     """Map whole rows in tasks. `rows` gets an iterator of tuples in the frame's column order (one Arrow batch in
     memory at a time) and yields tuples in the order of `schema`."""
@@ -61,7 +83,7 @@ def arrow_rows(df: DataFrame, schema: str, rows: Callable[..., Iterator[tuple]])
         if pending:
             yield _batch(pending, out)
 
-    return in_batches(df).mapInArrow(batches, fields)
+    return mapped(df, batches, fields)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -86,7 +108,7 @@ def replace_text(df: DataFrame, change: Callable[[str], str], column: str = "tex
                 batch = batch.set_column(k, batch.schema.field(k), pa.array(new, batch.schema.field(k).type))
             yield batch
 
-    return in_batches(df).mapInArrow(batches, df.schema)
+    return mapped(df, batches, df.schema)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import arrow_rows, in_batches, written
+from touchline.llm.common import arrow_rows, mapped, written
 from touchline.llm.components import components
 from touchline.llm.shingles import MIX1, MIX2, WordHasher, mixed, shingle_sets
 from touchline.llm.string_tiling import without
@@ -150,7 +150,7 @@ def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), pa.int64()), pa.array(at),
                                           pa.array(slots[at] - int(mean)), pa.nulls(len(at), pa.binary())], names=["kind", "doc_id", "set_id", "n", "point"])
 
-    both = written(in_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    both = written(mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")),
         batches, "kind int, doc_id long, set_id long, n long, point binary"), "sets")
     common = (both.where("kind = 1").groupBy(F.col("set_id").alias("slot")).agg(F.sum("n").alias("n"))
               .orderBy(F.desc("n"), "slot").limit(COMMON))
@@ -186,7 +186,7 @@ def _keys(docs: DataFrame, common: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), counts)),
                                                   pa.array(np.repeat(np.array(sizes, np.int32), counts))], names=["key", "set_id", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(batches, "key long, set_id long, n int")
+    return mapped(docs.select(F.col("text").cast("string")), batches, "key long, set_id long, n int")
 
 
 def _met(rows: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def _met(rows: DataFrame) -> DataFrame:
         if held is not None and same:
             yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]]), pa.array(np.array([held[2]], np.int32))], names=["key", "set_id", "n"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(batches, "key long, set_id long, n int")
+    return mapped(rows.repartition("key").sortWithinPartitions("key", "set_id"), batches, "key long, set_id long, n int")
 
 
 def _runs(source, width: int):
@@ -285,7 +285,7 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
             if len(has):
                 yield _pairs_batch([name[has]], [name[partner[has]]])
 
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(batches, "a long, b long").distinct()
+    return mapped(rows.repartition("key", "block").sortWithinPartitions("key", "block"), batches, "a long, b long").distinct()
 
 
 def _rest_pairs(rows: DataFrame) -> DataFrame:
@@ -324,8 +324,7 @@ def _rest_pairs(rows: DataFrame) -> DataFrame:
                 yield _pairs_batch(a, b)
                 a, b = [], []
 
-    return (rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("builds"))
-            .mapInArrow(batches, "a long, b long").distinct())
+    return mapped(rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("builds")), batches, "a long, b long").distinct()
 
 
 def _ends(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -390,7 +389,7 @@ def _sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     few = chosen.limit(SENT + 1).count() <= SENT
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = held.join(F.broadcast(chosen) if few else chosen, held["doc_id"].eqNullSafe(F.col("member"))).select("set_id", "text")
-    return joined.mapInArrow(batches, "set_id long, fine binary, shingles binary")
+    return mapped(joined, batches, "set_id long, fine binary, shingles binary")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:

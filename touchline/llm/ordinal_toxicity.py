@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import arrow_rows, in_batches
+from touchline.llm.common import arrow_rows, mapped
 
 SAMPLE = 8000      # most labelled rows used
 FEATURES = 2048    # most features kept
@@ -170,4 +170,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in source:
             yield batch.filter(pa.array([model.measure(t)[1] < REJECT for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return in_batches(docs).mapInArrow(batches, docs.schema)
+    return mapped(docs, batches, docs.schema)

@@ -40,10 +40,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 65536        # code points; longer texts are giants
 SCALE = 1000  # fixed point of scores
 NEVER = -(1 << 61)
-REMEMBERED = 120_000  # words kept between cuts, per worker
+REMEMBERED = 60_000  # words kept between cuts, per worker
 TABLE_CHARACTERS = 191  # most frequent characters of the vocabulary, which the trie table covers
 TABLE_WORD = 100     # longest word solved by the table
-TEXTS, CHARACTERS = 512, 2_000_000  # most texts, and about most characters, whose words are solved together
+TEXTS, CHARACTERS = 512, 1_000_000  # most texts, and about most characters, whose words are solved together
 
 
 class Vocabulary:
