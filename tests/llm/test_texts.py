@@ -57,6 +57,39 @@ def test_encoded_keys_are_found_and_look_alikes_are_not():
     assert not {k for k, _, _ in secret_scan.find_secrets(noise)} & {"private_key", "openssh_key", "jwt"}
 
 
+def pkcs8_rsa(size):
+    """PKCS#8 of that many bytes with an RSA algorithm and an integer as key, which the structure rule takes too."""
+    head = integer(0) + tlv(0x30, tlv(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + tlv(5, b""))
+    return next(k for n in range(size) if len(k := tlv(0x30, head + tlv(4, tlv(2, bytes([1]) * n)))) == size)
+
+
+def openssh_of(size):
+    s = lambda b: len(b).to_bytes(4, "big") + b
+    head = b"openssh-key-v1\0" + s(b"none") + s(b"none") + s(b"") + (1).to_bytes(4, "big") + s(b"public" * 9)
+    return head + s(bytes(i % 251 for i in range(size - len(head) - 4)))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("width", [64, 70, 76])
+def test_wrapped_keys_with_any_last_line(width, end):
+    bodies = [(pkcs8_rsa(n), "private_key") for n in (636, 1216, 1217, 1218, 1219, 2374, 2375)] + [(openssh_of(n), "openssh_key") for n in (399, 1823)]
+    bodies += [(openssh_of(n), "openssh_key") for n in range(400, 400 + width)]  # last lines of every length
+    for data, kind in bodies:
+        one = base64.b64encode(data).decode()
+        body = end.join(one[i:i + width] for i in range(0, len(one), width))
+        for before, after in (("-----BEGIN KEY-----" + end, end + "-----END KEY-----"), ("key ", ""), ("", end + "done" + end), ("", end + end + "A" * 40)):
+            assert (kind, len(before), len(before) + len(body)) in secret_scan.find_secrets(before + body + after), (len(data), before, after)
+            assert secret_scan.redact(before + body + after) == f"{before}[{kind}]{after}"
+    broken = base64.encodebytes(pkcs8_rsa(1216)[:-1]).decode()
+    assert not secret_scan.find_secrets(broken)
+
+
+def test_short_line_takes_nothing_from_the_next_candidate():
+    line = base64.b64encode(EC).decode()
+    for before in ("a_b-" * 10 + "\n", "Zz09" * 12 + "\nshort\n", "Zz09" * 12 + "=\n"):
+        assert ("private_key", len(before), len(before) + len(line)) in secret_scan.find_secrets(before + line)
+
+
 def plain_base(text):
     out = []
     for kind, pattern in (("assign", r"""(?:(?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")):

@@ -27,8 +27,8 @@ ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so the length can stand in the pattern
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: One line, or wrapped lines of equal style as in PEM bodies.
-ENCODED = re.compile(r"(?:[A-Za-z0-9+/]{32,}\r?\n)*[A-Za-z0-9+/_-]{32,}={0,2}")
+#: One line, or wrapped lines of equal style as in PEM bodies, whose last line (group 1) may be shorter or padding alone.
+ENCODED = re.compile(r"(?:[A-Za-z0-9+/]{32,}\r?\n)*[A-Za-z0-9+/_-]{32,}={0,2}(\r?\n(?=[A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{0,31}(?![A-Za-z0-9+/_-])={0,2})?")
 ENCODED_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 #: Signature bytes by algorithm; RSA signatures have the key's length.
 SIGNATURE = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64}
@@ -148,12 +148,14 @@ def _key_kind(data: bytes | None) -> str | None:
     return "private_key" if der_key(data) else "openssh_key" if openssh_key(data) else None
 
 
-def _encoded(text: str, start: int, end: int, spans: list) -> None:
-    """Keys in one base64 candidate; a wrapped block that does not parse whole is tried line by line."""
-    kind = _key_kind(_base64(text[start:end]))
-    if kind:
-        spans.append((kind, start, end))
-    elif "\n" in text[start:end]:
+def _encoded(text: str, match: re.Match, spans: list) -> None:
+    """Keys in one base64 candidate: with its short last line, without it (the line may be other text), then line by line."""
+    start, end = match.span()
+    for stop in (end, match.start(1)):
+        if stop >= 0 and (kind := _key_kind(_base64(text[start:stop]))):
+            spans.append((kind, start, stop))
+            return
+    if "\n" in text[start:end]:
         at = start
         for line in text[start:end].split("\n"):
             if len(line) >= 32 and (kind := _key_kind(_base64(line.rstrip("\r")))):
@@ -170,7 +172,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     spans += [("jwt", m.start(), m.end()) for m in TOKEN.finditer(text) if signed_token(m[0])]
     for m in ENCODED.finditer(text):
-        _encoded(text, m.start(), m.end(), spans)
+        _encoded(text, m, spans)
     for m in ENCODED_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
             spans.append((kind, m.start(), m.end()))
