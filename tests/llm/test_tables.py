@@ -149,6 +149,15 @@ def test_quotes_link_messages_and_leave_the_text(spark):
     assert quote_linking.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_nested_quotes_link_where_no_lower_level_does(spark):
+    talk = [(1, 0, "user", "Where is the map?"), (1, 1, "assistant", "On the table."), (1, 2, "user", "It is not there at all."),
+            (1, 3, "user", ">> Where is the map?\nGone."), (1, 4, "user", "> nobody said this\n> > On the table.\n>>> Where is the map?\nNo."),
+            (1, 5, "user", ">>> It is not there at all.\n> Gone.\nOh."), (1, 6, "user", ">> nobody\nbye")]
+    rows = quote_linking.formatted(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: (r.reply_to, r.thread) for r in rows} == {0: (None, 0), 1: (None, 1), 2: (None, 2), 3: (0, 0), 4: (1, 1), 5: (3, 0), 6: (None, 6)}
+    assert [r.turn for r in sorted(rows, key=lambda r: r.place)] == [0, 3, 5, 1, 4, 2, 6]
+
+
 def test_long_thread(spark):
     talk = [(7, i, "user", f"line {i}" + (f"\n> line {i - 1}" if i else "")) for i in range(50)]
     rows = quote_linking.formatted(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()

@@ -2,8 +2,9 @@
 
 Lines that begin with '>' marks are quotes; the number of marks is their level. Lines of one level in a row are a passage. A
 quoted passage, and each of its lines, is normalised (lower case, single blanks) and hashed; so are the own (unquoted)
-passages and lines of every message. A level-1 passage is joined to the latest earlier message of its conversation whose
-own text holds it. A message replies to the message that most quoted characters lead to (then the latest). Replies
+passages and lines of every message. A quoted passage of any level is joined to the latest earlier message of its
+conversation whose own text holds it. The lowest level that finds a message decides: the reply goes to the message that
+most quoted characters of that level lead to (then the latest). Replies
 form threads; a conversation in reply order goes by thread (its first turn), then turn. Quotes that are linked or not are
 left out of the formatted text.
 
@@ -72,16 +73,19 @@ def parsed(messages: DataFrame) -> DataFrame:
 def replies(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to) of messages whose quotes are found in an earlier message."""
     keyed = rows.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    unit = lambda level: keyed.select("conv_id", "turn", F.explode(F.filter("passages", lambda p: p["level"] == level)).alias("p")).select(
-        "conv_id", "turn", F.explode(_units(F.col("p"))).alias("unit")).select("conv_id", "turn", F.sha2("unit", 256).alias("mark"), F.length("unit").alias("size"))
-    quoted = unit(1)
+    unit = lambda wanted: keyed.select("conv_id", "turn", F.explode(F.filter("passages", wanted)).alias("p")).select(
+        "conv_id", "turn", F.col("p")["level"].alias("level"), F.explode(_units(F.col("p"))).alias("unit")).select(
+        "conv_id", "turn", "level", F.sha2("unit", 256).alias("mark"), F.length("unit").alias("size"))
+    # A mark leads to the same message at each level of a row, so its lowest level is enough.
+    quoted = unit(lambda p: p["level"] > 0).groupBy("conv_id", "turn", "mark", "size").agg(F.min("level").alias("level"))
     asked = quoted.select("conv_id", "mark").distinct()
-    own = unit(0).join(asked, ["conv_id", "mark"], "left_semi").distinct()
-    both = own.withColumn("source", F.col("turn")).unionByName(quoted.distinct().withColumn("source", F.lit(None).cast("long")))
+    own = unit(lambda p: p["level"] == 0).drop("level").join(asked, ["conv_id", "mark"], "left_semi").distinct()
+    nothing = F.lit(None).cast("long")
+    both = own.withColumn("source", F.col("turn")).withColumn("level", nothing).unionByName(quoted.withColumn("source", nothing))
     before = Window.partitionBy("conv_id", "mark").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("at", F.max("source").over(before)).where(F.col("source").isNull() & F.col("at").isNotNull())
-    weight = found.groupBy("conv_id", "turn", "at").agg(F.sum("size").alias("weight"))
-    return weight.groupBy("conv_id", "turn").agg(F.max_by("at", F.struct("weight", "at")).alias("reply_to"))
+    weight = found.groupBy("conv_id", "turn", "level", "at").agg(F.sum("size").alias("weight"))
+    return weight.groupBy("conv_id", "turn").agg(F.max_by("at", F.struct(-F.col("level"), "weight", "at")).alias("reply_to"))
 
 
 def threads(links: DataFrame) -> DataFrame:
