@@ -164,6 +164,35 @@ def test_long_thread(spark):
     assert {r.thread for r in rows} == {0} and all(r.place == r.turn for r in rows)
 
 
+def test_no_task_places_a_whole_conversation(spark, monkeypatch):
+    chain = [(7, i, "user", f"line {i}" + (f"\n> line {i - 1}" if i else "")) for i in range(3000)]
+    talk = chain + [(8, None, "user", f"note {i:04}") for i in range(1500)] + [(None, i % 3, "user", f"stray {i:04}") for i in range(1500)]
+    messages = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    parts, real = [], quote_linking.written
+
+    def kept(df, name):
+        out = real(df, name)
+        if name == "placed":
+            parts.extend(out.groupBy("conv_id").agg(F.countDistinct("part").alias("parts"), F.count("*").alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(quote_linking, "written", kept)
+    monkeypatch.setattr(quote_linking, "threads", lambda links: links.withColumn("thread", F.lit(0).cast("long")))  # one chain from turn 0
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        rows = quote_linking.formatted(messages).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.conv_id: r.n for r in parts} == {7: 3000, 8: 1500, None: 1500} and min(r.parts for r in parts) >= 3
+    order = lambda c, key: [key(r) for r in sorted((r for r in rows if r.conv_id == c), key=lambda r: r.place)]
+    assert order(7, lambda r: (r.place, r.turn)) == [(i, i) for i in range(3000)]
+    assert order(8, lambda r: (r.place, r.chat.split("\n")[1])) == [(i, f"note {i:04}") for i in range(1500)]
+    assert order(None, lambda r: (r.turn, r.chat)) == sorted(order(None, lambda r: (r.turn, r.chat))) and {r.place for r in rows if r.conv_id is None} == {*range(1500)}
+
+
 # --- archives
 
 def test_ranges_own_each_record_once(spark, tmp_path):

@@ -23,7 +23,7 @@ from touchline.llm.common import written
 from touchline.llm.native import let, neighbours
 
 QUOTE = r"^[ \t]*((?:>[ \t]*)*)"
-TURNS = 1024  # turns of a bucket when places are counted
+PREFIX = 64  # characters of the own text that deal rows to tasks when places are counted
 
 
 def _lines(text: Column) -> Column:
@@ -101,19 +101,29 @@ def threads(links: DataFrame) -> DataFrame:
             return now
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """The rows with their place in the conversation: by thread, turn, role, own text, null first.
+
+    Rows are dealt to tasks by ranges of these columns and sorted there, so a conversation may lie in many tasks, whether it
+    is one thread or has no turns. A row's place is the number of rows its conversation has in earlier tasks and its own
+    number in its task. Texts are formatted after they are dealt. Ranges look at the beginning of the text only, which keeps the order and what the driver samples small."""
+    key = ["conv_id", "thread", "turn", "role"]
+    dealt = rows.repartitionByRange(*key, F.substring("own_text", 1, PREFIX)).sortWithinPartitions(*key, "own_text")
+    safe = F.regexp_replace("own_text", r"<\|", "< |")
+    chat = F.concat(F.lit("<|"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")), F.lit("|>\n"), safe, F.lit("\n<|end|>\n"))
+    numbered = written(dealt.select(*key, "reply_to", "quote_level", "n_quotes", chat.alias("chat")).withColumn("number", F.monotonically_increasing_id())
+                       .withColumn("part", F.shiftright("number", 33)), "placed")
+    counts = numbered.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.min("number").alias("first"))
+    earlier = counts.select(F.col("conv_id").alias("c2"), F.col("part").alias("p2"), "first", (F.sum("n").over(
+        Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("earlier"))
+    return (numbered.join(earlier, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("part") == F.col("p2")))
+            .withColumn("place", F.col("earlier") + F.col("number") - F.col("first")))
+
+
 def formatted(messages: DataFrame) -> DataFrame:
     """One row per row: conv_id, turn, role, reply_to, thread, place (in reply order, from 0), quote_level, n_quotes, chat."""
     rows = parsed(messages)
     tied = threads(replies(rows)).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "reply_to", "thread")
     joined = (rows.join(tied, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left")
-              .withColumn("thread", F.coalesce("thread", "turn")).withColumn("bucket", F.floor(F.col("thread") / TURNS)))
-    # Places: rows in earlier buckets of threads, then order inside the bucket, so no task orders a whole long conversation.
-    counts = joined.groupBy("conv_id", "bucket").agg(F.count("*").alias("n"))
-    earlier = counts.select(F.col("conv_id").alias("c2"), F.col("bucket").alias("b2"), (F.sum("n").over(
-        Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("earlier"))
-    inside = F.row_number().over(Window.partitionBy("conv_id", "bucket").orderBy("thread", "turn", "role", "own_text")) - 1
-    placed = (joined.withColumn("inside", inside).join(earlier, F.col("conv_id").eqNullSafe(F.col("c2")) & F.col("bucket").eqNullSafe(F.col("b2")), "left"))
-    safe = F.regexp_replace("own_text", r"<\|", "< |")
-    chat = F.concat(F.lit("<|"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")), F.lit("|>\n"), safe, F.lit("\n<|end|>\n"))
-    return placed.select("conv_id", "turn", "role", "reply_to", "thread", (F.col("earlier") + F.col("inside")).cast("long").alias("place"),
-                         "quote_level", "n_quotes", chat.alias("chat"))
+              .withColumn("thread", F.coalesce("thread", "turn")))
+    return _placed(joined).select("conv_id", "turn", "role", "reply_to", "thread", "place", "quote_level", "n_quotes", "chat")
