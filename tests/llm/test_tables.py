@@ -255,6 +255,26 @@ def test_license_spans_with_edits_repeats_and_look_alikes(spark):
 
 # --- pipeline
 
+def test_stages_take_rows_without_an_own_id(spark):
+    from touchline.llm import string_tiling
+    words = lambda k, n=30: " ".join(f"{k}{i}" for i in range(n))
+    item = words("item", 40)
+    rows = [(None, item), (1, item + " x"), (1, words("clean")), (1, words("other")), (None, None), (2, item), (2, item)]
+    docs = lambda r: spark.createDataFrame([(i, t, "en", "s") for i, t in r], "doc_id long, text string, lang string, named_row string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    left = string_tiling.decontaminated(docs(rows), bench)
+    assert left.columns == docs(rows).columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, words("clean")), (1, words("other")), (None, None)], key=str)
+    a, b, c, d, e = map(words, "abcde")
+    near = d[:-3] + "end"
+    rows = [(None, a), (5, a), (None, b), (None, b), (None, b), (7, c), (7, c), (7, e), (9, d), (9, near), (None, near), (8, None), (8, None), (None, ""), (4, e + "x")]
+    kept = count_tree_join.one_of_each(docs(rows))
+    assert kept.columns == docs(rows).columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    fixed = [(5, a), (None, b), (7, c), (8, None), (None, ""), (4, e + "x")]
+    assert got in [sorted([*fixed, (9, t)], key=str) for t in (d, near)]
+
+
 def test_pipeline_takes_out_what_it_should(spark, tmp_path):
     import corpus_pipeline
     item = [f"b{i}" for i in range(40)]

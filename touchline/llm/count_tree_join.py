@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from touchline.llm.common import arrow_rows, mapped, written
 from touchline.llm.components import components
 from touchline.llm.shingles import MIX1, MIX2, WordHasher, mixed, shingle_sets
-from touchline.llm.string_tiling import without
+from touchline.llm.string_tiling import joined_by_key, row_key, without
 
 GROUPS = 128
 LEAF = 16            # points of a leaf, and children of a node
@@ -132,26 +132,29 @@ class CountTree:
         return keep
 
 
-def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, set_id, n, point) of all rows, and the slots of shingles that many documents hold with a level 1..15."""
+def described(docs: DataFrame, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, set_id, n, point, carried long columns) of all rows, and the slots of shingles that many documents hold with a level 1..15."""
+    names = ["kind", "doc_id", "set_id", "n", "point", *carried]
+
     def batches(source):
         hasher, slots = WordHasher(), np.zeros(SLOTS, np.int64)
         for batch in source:
-            ids, rows = batch.column(0), []
+            ids, others, rows = batch.column(0), batch.columns[2:], []
             for s in shingle_sets(batch.column(1), hasher):
                 rows.append((set_name(s), len(s), vector(s).tobytes() if len(s) else None))
                 np.add.at(slots, (s & np.uint64(SLOTS - 1)).astype(np.int64), 1)
             a, n, v = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), ids.cast(pa.int64()), pa.array(a, pa.int64()),
-                                              pa.array(n, pa.int64()), pa.array(v, pa.binary())], names=["kind", "doc_id", "set_id", "n", "point"])
+                                              pa.array(n, pa.int64()), pa.array(v, pa.binary()), *others], names=names)
         # shingles of one task that stand out of the mean slot by far
         mean = slots.mean()
         at = np.flatnonzero(slots > mean + 8 * np.sqrt(mean) + 4)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), pa.int64()), pa.array(at),
-                                          pa.array(slots[at] - int(mean)), pa.nulls(len(at), pa.binary())], names=["kind", "doc_id", "set_id", "n", "point"])
+                                          pa.array(slots[at] - int(mean)), pa.nulls(len(at), pa.binary()),
+                                          *(pa.nulls(len(at), pa.int64()) for _ in carried)], names=names)
 
-    both = written(mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")),
-        batches, "kind int, doc_id long, set_id long, n long, point binary"), "sets")
+    both = written(mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.col(c).cast("long") for c in carried)),
+        batches, ", ".join(["kind int, doc_id long, set_id long, n long, point binary", *(f"{c} long" for c in carried)])), "sets")
     common = (both.where("kind = 1").groupBy(F.col("set_id").alias("slot")).agg(F.sum("n").alias("n"))
               .orderBy(F.desc("n"), "slot").limit(COMMON))
     return both.where("kind = 0").drop("kind"), common
@@ -399,9 +402,9 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "key", "left").withColumn("block", F.pmod(F.xxhash64("key", "set_id"), blocks * 2).cast("int") * (blocks > 1).cast("int")).drop("size")
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row."""
-    described_rows, common = described(docs)
+def joined(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row, and the carried long columns."""
+    described_rows, common = described(docs, carried)
     classes = (described_rows.where("n > 0").groupBy("set_id")
                .agg(F.min("doc_id").alias("member"), F.min("n").cast("int").alias("size"), F.min("point").alias("point")))
     met = written(_met(_keys(docs, common)), "met")
@@ -449,14 +452,24 @@ def joined(docs: DataFrame) -> DataFrame:
              .withColumn("component", F.coalesce("component", "set_id")))
     least = reach.groupBy("component").agg(F.min("member").alias("component_id"))
     labels = reach.join(least, "component").select(F.col("set_id").alias("label_of"), "component_id")
-    rows = described_rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
+    rows = described_rows.select("doc_id", *carried, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
     return (rows.join(labels, F.col("set_id") == F.col("label_of"), "left")
-            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+            .select("doc_id", *carried, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Documents, all columns as they are, of which the one with the smallest id of each linked group stays. Rows that
-    share an id are one document: it goes if each of them is a copy of another's. Rows without an id stay."""
-    gone = written(joined(docs).groupBy("doc_id").agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("gone"))
-                   .where("gone").select("doc_id"), "copies")
-    return without(docs, gone)
+    """Documents, all columns as they are, of which one row of each linked group stays: the one with the smallest id, null
+    last. Rows count by id and text together, so null and repeated ids are rows like others. Of rows equal in both one stays,
+    also where the text has no words."""
+    marked = docs.select(row_key().alias("doc_id"), "text", F.col("doc_id").cast("long").alias("own_id"))
+    keys = written(joined(marked, ("own_id",)).groupBy("doc_id", "own_id", "component_id").agg(F.count("*").alias("n")), "row-keys")
+    first = F.min(F.struct(F.col("own_id").isNull().alias("last"), "own_id", "doc_id"))["doc_id"]
+    stay = keys.groupBy("component_id").agg(first.alias("stays")).select(F.col("stays").alias("doc_id"))
+    gone = written(keys.join(stay, "doc_id", "left_anti").select("doc_id"), "copies")
+    repeated = written(keys.where("n > 1").join(gone, "doc_id", "left_anti").select("doc_id"), "repeats")
+    left = without(docs, gone.unionByName(repeated))
+    if repeated.isEmpty():
+        return left
+    again = joined_by_key(docs, repeated, "left_semi").groupBy(row_key().alias("key")).agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return left.unionByName(again)

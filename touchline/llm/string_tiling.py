@@ -23,7 +23,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.common import arrow_rows, written
@@ -230,14 +230,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
         [], "doc_id long, item_id long, item_words int, covered_words int, n_tiles int, longest_tile int, coverage double")
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose doc_id is not among `ids` (one column, doc_id). The ids are sent to all tasks if they are few
-    (checked), else joined by a shuffle. A document without an id stays."""
-    ids = ids.where(F.col("doc_id").isNotNull()).distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+def row_key() -> Column:
+    """Name of a row by its id and text, null in either or not; rows equal in both share it."""
+    return F.xxhash64("doc_id", "text")
+
+
+def joined_by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """left_anti or left_semi join of documents with row keys (one column, doc_id). The keys are sent to all tasks if they
+    are few (checked), else joined by a shuffle."""
+    keys = keys.distinct().select(F.col("doc_id").alias("named_row"))
+    few = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(keys) if few else keys, row_key() == keys["named_row"], how)
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Documents whose row key is not among `keys`."""
+    return joined_by_key(docs, keys, "left_anti")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents, all columns as they are, less those that hold a test item."""
-    return without(docs, written(leaks(docs, benchmark).select("doc_id"), "leaks"))
+    """Documents, all columns as they are, less the rows that hold a test item, whether their id is null, repeated or neither."""
+    marked = docs.select(row_key().alias("doc_id"), "text")
+    return without(docs, written(leaks(marked, benchmark).select("doc_id"), "leaks"))
