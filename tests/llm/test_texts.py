@@ -244,6 +244,21 @@ def test_language_on_held_out_documents(spark):
     assert sum(r.lang == r.lang_pred for r in rows) > 0.98 * len(rows) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_is_learned_from_all_parts_of_long_texts(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    own = {lang: [word() for _ in range(60)] for lang in ("xx", "yy")}
+    header = " ".join(word() for _ in range(250))  # longer than a piece
+    say = lambda lang, n: " ".join(rng.choice(own[lang]) for _ in range(n))
+    rows = [(i, header + " " + say(lang, 900), lang) for i, lang in enumerate(["xx", "yy"] * 40)]
+    content = zstd_language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(w.encode() in content[lang] for lang in own for w in own[lang]) and header[200:260].encode() in content["xx"]
+    assert all(len(c) <= 80 * (zstd_language.PIECE + 1) for c in content.values())
+    new = [(i, say(lang, 60), lang) for i, lang in enumerate(["xx", "yy"] * 10)]
+    found = zstd_language.predict(spark.createDataFrame(new, "doc_id long, text string, lang string"), content).collect()
+    assert all(r.lang_pred == new[r.doc_id][2] and not r.rejected for r in found)
+
+
 def test_language_odd_rows(spark):
     docs = cases.with_null_id(cases.documents(spark, [*cases.ODD, "123 !?", *["the house is on the hill"] * 8]))
     rows = {r.doc_id: r for r in zstd_language.identified(docs).collect()}

@@ -7,7 +7,8 @@ language: texts and dictionaries are in lower case with letters only, one blank
 share of the second's size, from 0 to 1; a prediction with a margin below `MARGIN` is marked rejected.
 
 Training: of documents with a language and a text whose crc32(doc_id as text) mod 4 is not 2, for each language the `TEXTS`
-of least hashed id, `PIECE` characters of each at most (the bound of what is learned from); prediction reads whole texts
+of least hashed id, `PIECE` characters of each at most (the bound of what is learned from), from a place that a second hash of
+the id gives, so every part of long texts is learned from; prediction reads whole texts
 and nothing but the text. Of equal sums the language with more training texts wins, then the first by name. Null text, or text without a letter, is `und` with score 0. So is
 every text if there is nothing to learn from. With one language the score is 1. Rows without a doc_id are not held out and not learned from.
 """
@@ -47,8 +48,10 @@ def learn(docs: DataFrame, texts: int = TEXTS, piece: int = PIECE) -> dict[str,
     rows = docs.select(F.col("doc_id"), "lang", F.col("text").cast("string").alias("text")).where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0) & ~held_out())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "piece")
+    places = F.greatest(F.length("text") - piece, F.lit(0)) + 1
+    start = (F.pmod(F.xxhash64("doc_id", F.lit("place")), places) + 1).cast("int")
     # the window keeps the first rows of each task before anything is shuffled
-    first = rows.select("lang", "doc_id", F.substring("text", 1, piece).alias("piece")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts)
+    first = rows.select("lang", "doc_id", F.substring("text", start, F.lit(piece)).alias("piece")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts)
     counts = {str(r["lang"]): r["count"] for r in rows.groupBy("lang").count().collect()}
     content: dict[str, list] = {}
     for r in first.orderBy("lang", "n").collect():
