@@ -20,12 +20,15 @@ def local_session(cpus: int = 8, app: str = "touchline", shuffle: int | None = N
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="touchline-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    """Shared folder named by the cluster. Where none is named, a local session gets a temporary one of its own; a cluster must name one,
+    as a folder of one machine would be lost to the others."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="touchline-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialise(df, name: str = "rows"):
