@@ -21,7 +21,7 @@ def table(sf_dir, name):
 
 def oracle(sf_dir, sql):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark", "conversations"):
+    for t in ("documents", "pages", "labels", "benchmark", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     cur = con.execute(sql)
     return [d[0] for d in cur.description], cur.fetchall()

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from touchline.llm import (count_tree_join, license_diagonals, ordinal_toxicity, piece_codec, quote_linking, risk_rules, secret_scan,
-                           string_tiling, warc_archive, zstd_language)
+from touchline.llm import (centroid_walk, count_tree_join, license_diagonals, ordinal_toxicity, piece_codec, quote_linking, risk_rules,
+                           secret_scan, simhash_slices, source_divergence, string_tiling, warc_archive, zstd_language)
 from touchline.llm.common import table
 
 
@@ -47,8 +47,21 @@ def op10_license_diagonals(spark, sf_dir):
     return license_diagonals.scanned(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_walk(spark, sf_dir):
+    return centroid_walk.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash_slices(spark, sf_dir):
+    return simhash_slices.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_piece_codec, op3_ordinal_toxicity, op4_string_tiling, op5_count_tree_join,
-                                   op6_quote_linking, op7_risk_rules, op8_warc_archive, op9_zstd_language, op10_license_diagonals)}
+                                   op6_quote_linking, op7_risk_rules, op8_warc_archive, op9_zstd_language, op10_license_diagonals, op11_centroid_walk, op12_source_divergence,
+                                   op13_simhash_slices)}
 #: Lower-cased words of each document, and each document's distinct shingles, for the SQL below.
 _SHINGLES = r"""
 words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -92,7 +105,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 FROM measures LEFT JOIN rejected USING (doc_id)"""
 
 
+def _centroid_sql(k: int = 8, rounds: int = 10) -> str:
+    ctes = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM v ORDER BY c LIMIT {k})"""]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} AS MATERIALIZED (SELECT r, min((d, c)) AS best FROM (SELECT r, c, list_sum(list_transform(list_zip(v.v, c{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM v, c{i}) GROUP BY r)""")
+        if i < rounds:
+            ctes.append(f"""s{i} AS (SELECT best[2] AS c, j, sum(v.v[j]) AS s, count(*) AS n FROM a{i} JOIN v USING (r), range(1, 65) u(j) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM s{i} GROUP BY c) m USING (c))""")
+    return f"""WITH {", ".join(ctes)}
+SELECT vec_id, best[2]::INTEGER AS cluster, best[1] AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia,
+    (sum(best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c = best[2]"""
+
+
+#: Every count of every term with every other source, as the definition reads.
+_DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS term FROM d),
+vocabulary AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM vocabulary GROUP BY lang),
+groups AS (SELECT lang, source, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN sizes USING (lang)),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN vocabulary USING (lang, term) GROUP BY ALL),
+full_c AS (SELECT g.lang, g.source, g.v, y.term, coalesce(c.n, 0) AS n, y.n AS lang_n FROM groups g JOIN vocabulary y USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = y.term),
+p AS MATERIALIZED (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p,
+    1 + (1000000000::HUGEINT * (lang_n + 1)) // (sum(lang_n) OVER (PARTITION BY lang, source) + v) AS q FROM full_c),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_centroid_walk": _centroid_sql(),
+    "op12_source_divergence": _DIVERGENCE,
     "op8_warc_archive": """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (SELECT page_id, size, min(page_id) OVER (PARTITION BY h, size) AS first, array_to_string(list_transform(range(0, 8), lambda g:
     array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
