@@ -134,11 +134,17 @@ def test_divergences_count_long_texts_whole(spark):
     assert got == plain_audit(rows * 2) and any(r[3] == "left" for r in got)
 
 
-def test_partial_counts_are_handed_on_in_bounded_pieces(monkeypatch, spark):
-    monkeypatch.setattr(source_divergence, "HELD", 20)
-    monkeypatch.setattr(source_divergence, "SLICE", 200)
-    rows = some_texts(2)
-    assert sorted(map(tuple, source_divergence.audit(texts(spark, rows)).collect())) == plain_audit(rows)
+def test_partial_counts_of_small_slices(spark):
+    """Slices of a batch and early hand-ons count like one pass; texts with characters of several bytes."""
+    rows = [(g, s, t * 3) for g, s, t in some_texts(2, 300)] + [("en", "x", "É日本 " * 500)]
+    got = {(r.lang, r.source, r.term): (r.n, r.docs) for r in source_divergence.counts(texts(spark, rows).coalesce(1), 500, 20).collect()}
+    n, docs = Counter(), Counter()
+    for g, s, t in rows:
+        w = re.findall("[a-z\u0080-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        n.update((g or "", s or "", x) for x in w)
+        docs.update((g or "", s or "", x) for x in set(w))
+        n[(g or "", s or "", None)] = docs[(g or "", s or "", None)] = 0
+    assert got == {k: (n[k], docs[k]) for k in n}
 
 
 def test_divergences_of_nothing(spark):

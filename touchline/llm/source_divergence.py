@@ -2,8 +2,8 @@
 
 Tasks lower A-Z (`ascii_lower`), split texts (`split_pattern_regex`), encode the terms (`dictionary_encode`) and count them by hash
 `group_by`; what leaves a task are partial counts by language, source and term. Spark adds them up, keeps the terms that stand in enough
-documents of their language, and deals each language's terms to shards of about `SHARD` counts. A shard is columnar again: sorted runs of
-counts for each source, from which the shard's share of every divergence follows, and its candidates for the leading terms. Shares are
+documents of their language, a row each with its counts by source, and deals each language's terms to shards of about `SHARD` counts.
+A shard is columnar again: runs of counts for each source, from which the shard's share of every divergence follows, and its candidates for the leading terms. Shares are
 added and ranked by Spark.
 
 With p and q scaled to whole numbers by `SCALE`, the divergence of p from q adds floor((p-q)^2 / q) over terms. A source pair costs its counts
@@ -32,22 +32,31 @@ TOP = 200
 STEP, STEPS = 1000, 3  # SCALE is STEP ** STEPS
 SCALE = STEP ** STEPS
 SHARD = 100_000        # counts of a shard
-SLICE = 4_000_000      # characters split at a time
-HELD = 300_000         # partial counts that a task holds before it hands them on
+SLICE = 12_000_000     # bytes of text split at a time
+HELD = 1_000_000       # partial counts that a task holds before it hands them on
 
 KEY = ["lang", "source", "term"]
 
 
 # --- counting
 
-def _slices(batch: pa.RecordBatch):
-    """Row ranges of a batch with at most SLICE bytes of text, one row at least."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))
-    at, before = 0, 0
-    while at < len(size):
-        upto = max(at + 1, int(np.searchsorted(size, before + SLICE, side="right")))
-        yield batch.slice(at, upto - at)
-        before, at = int(size[upto - 1]), upto
+def _slices(batches, most: int):
+    """The rows of Arrow batches in pieces of about `most` bytes of text, one row at least. Pieces are copies: `ascii_lower` reads wrong
+    bytes where an array's values do not begin at its buffer's start."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))
+        at, before = 0, 0
+        while at < len(ends):
+            upto = max(at + 1, int(np.searchsorted(ends, before + most - size, side="right")))
+            held.append(batch.take(pa.array(np.arange(at, upto))))
+            size += int(ends[upto - 1]) - before
+            before, at = int(ends[upto - 1]), upto
+            if size >= most or at < len(ends):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _counted(batch: pa.RecordBatch) -> pa.Table:
@@ -56,39 +65,42 @@ def _counted(batch: pa.RecordBatch) -> pa.Table:
     words = pc.split_pattern_regex(pc.ascii_lower(text), GAP)
     row, term = pc.list_parent_indices(words), pc.list_flatten(words)
     some = pc.not_equal(term, "")
-    code = term.filter(some).dictionary_encode()
-    pairs = pa.table({"row": row.filter(some), "code": code.indices}).group_by(["row", "code"], use_threads=False).aggregate([([], "count_all")])
-    per_row = pa.table({"lang": lang.take(pairs["row"]).combine_chunks(), "source": source.take(pairs["row"]).combine_chunks(),
-                        "term": code.dictionary.take(pairs["code"]), "n": pairs["count_all"]})
-    terms = per_row.group_by(KEY, use_threads=False).aggregate([("n", "sum"), ([], "count_all")])
-    terms = pa.table({**{k: terms[k] for k in KEY}, "n": terms["n_sum"].cast(pa.int64()), "docs": terms["count_all"].cast(pa.int64())})
-    groups = pa.table({"lang": lang, "source": source}).group_by(["lang", "source"], use_threads=False).aggregate([])
-    zero = pa.array(np.zeros(groups.num_rows, np.int64))
-    return pa.concat_tables([terms, pa.table({"lang": groups["lang"], "source": groups["source"],
-                                              "term": pa.nulls(groups.num_rows, pa.large_string()), "n": zero, "docs": zero})])
+    row, term, lang, source = row.filter(some), term.filter(some).dictionary_encode(), lang.dictionary_encode(), source.dictionary_encode()
+    pairs = pa.table({"row": row, "term": term.indices}).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
+    codes = pa.table({"lang": lang.indices.take(pairs["row"].combine_chunks()), "source": source.indices.take(pairs["row"].combine_chunks()),
+                      "term": pairs["term"], "n": pairs["count_all"]}).group_by(KEY, use_threads=False).aggregate([("n", "sum"), ([], "count_all")])
+    groups = pa.table({"lang": lang.indices, "source": source.indices}).group_by(KEY[:2], use_threads=False).aggregate([])
+    none, zero = pa.nulls(groups.num_rows, pa.int32()), pa.array(np.zeros(groups.num_rows, np.int64))
+    codes = pa.concat_tables([codes, pa.table({"lang": groups["lang"], "source": groups["source"], "term": none, "n_sum": zero, "count_all": zero})])
+    return pa.table({k: c.dictionary.take(codes[k].combine_chunks()) for k, c in zip(KEY, (lang, source, term))} | {"n": codes["n_sum"], "docs": codes["count_all"]})
 
 
 def _merged(tables: list[pa.Table]) -> pa.Table:
-    out = pa.concat_tables(tables).group_by(KEY, use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
-    return pa.table({**{k: out[k] for k in KEY}, "n": out["n_sum"], "docs": out["docs_sum"]})
+    """Counts of several pieces added up, by the dictionary codes of their keys."""
+    if len(tables) == 1:
+        return tables[0]
+    table = pa.concat_tables(tables)
+    keys = {k: table[k].combine_chunks().dictionary_encode() for k in KEY}
+    out = pa.table({k: c.indices for k, c in keys.items()} | {k: table[k] for k in ("n", "docs")}).group_by(KEY, use_threads=False).aggregate(
+        [("n", "sum"), ("docs", "sum")])
+    return pa.table({k: c.dictionary.take(out[k].combine_chunks()) for k, c in keys.items()} | {"n": out["n_sum"], "docs": out["docs_sum"]})
 
 
-def counts(df: DataFrame) -> DataFrame:
+def counts(df: DataFrame, size_of_slice: int = SLICE, most_held: int = HELD) -> DataFrame:
     """Counts by lang, source and term over all rows."""
     schema = pa.schema([(k, pa.string()) for k in KEY] + [("n", pa.int64()), ("docs", pa.int64())])
 
     def partial(batches):
         held, size = [], 0
-        for batch in batches:
-            for part in _slices(batch):
-                held.append(_counted(part))
-                size += held[-1].num_rows
-                if size > HELD:
-                    held = [_merged(held)]
-                    size = held[0].num_rows
-                    if size > HELD // 2:
-                        yield from held[0].cast(schema).to_batches(20_000)
-                        held, size = [], 0
+        for part in _slices(batches, size_of_slice):
+            held.append(_counted(part))
+            size += held[-1].num_rows
+            if size > most_held:
+                held = [_merged(held)]
+                size = held[0].num_rows
+                if size > most_held // 2:
+                    yield from held[0].cast(schema).to_batches(20_000)
+                    held, size = [], 0
         if held:
             yield from _merged(held).cast(schema).to_batches(20_000)
 
@@ -112,26 +124,24 @@ def _distance(p, q):
     return (p - q) ** 2 // q
 
 
-def _shard(key: tuple, rows: pa.Table, groups: pa.Table, top: int) -> pa.Table:
-    """Shares of all pairs and leading terms of one shard. rows: source, term, n, lang_n; groups: every source of the language with its
-    total, and the language's terms and total."""
+def _shard(rows: pa.Table, groups: pa.Table, top: int) -> pa.Table:
+    """Shares of all pairs and leading terms of one shard. rows: term, lang_n and the term's counts by source; groups: every source of the
+    language with its total, and the language's terms and total."""
     groups = groups.sort_by("source")
     names, total = groups["source"].combine_chunks(), groups["total"].to_numpy()
     v, lang_total = groups["terms"][0].as_py(), groups["lang_total"][0].as_py()
     out = {"source": [], "part": [], "item": [], "value": []}
-    if rows.num_rows == 0:
-        share = np.zeros((len(names), len(names)), np.int64)
-    else:
-        code = rows["term"].combine_chunks().dictionary_encode()
-        s, t, n = pc.index_in(rows["source"], names).to_numpy(), code.indices.to_numpy(), rows["n"].to_numpy()
-        by = np.lexsort((t, s))
+    if rows.num_rows:
+        counted, terms = rows["counts"].combine_chunks(), rows["term"].to_pylist()
+        t, cells = pc.list_parent_indices(counted).to_numpy(), pc.list_flatten(counted)
+        s, n = pc.index_in(cells.field("source"), names).to_numpy(), cells.field("n").to_numpy()
+        by = np.argsort(s, kind="stable")
         s, t, n = s[by], t[by], n[by]
         p, p0 = scaled_share(n, total[s], v), scaled_share(np.zeros_like(total), total, v)
         first = np.flatnonzero(np.diff(s, prepend=-1))
         bounds = np.searchsorted(s, np.arange(len(names) + 1))
-        q = scaled_share(rows["lang_n"].to_numpy()[by], lang_total, v)
+        q = scaled_share(rows["lang_n"].to_numpy(), lang_total, v)[t]
         value = _distance(p, q)
-        terms = code.dictionary.to_pylist()
         for g in range(len(names)):
             at = np.arange(bounds[g], bounds[g + 1])
             at = at[p[at] > q[at]]
@@ -144,7 +154,7 @@ def _shard(key: tuple, rows: pa.Table, groups: pa.Table, top: int) -> pa.Table:
             out["value"] += [int(value[i]) for i in lead]
     for g in range(len(names)):
         if rows.num_rows:
-            other = np.full(len(code.dictionary), p0[g])
+            other = np.full(len(terms), p0[g])
             other[t[bounds[g]:bounds[g + 1]]] = p[bounds[g]:bounds[g + 1]]
             levels, times = np.unique(other, return_counts=True)
             sums = np.zeros(len(names), np.int64)
@@ -152,7 +162,7 @@ def _shard(key: tuple, rows: pa.Table, groups: pa.Table, top: int) -> pa.Table:
                 sums += (_distance(p0[:, None], levels[None, at:at + 256]) * times[None, at:at + 256]).sum(axis=1)
             sums[s[first]] += np.add.reduceat(_distance(p, other[t]) - _distance(p0[s], other[t]), first)
         else:
-            sums = share[g]
+            sums = np.zeros(len(names), np.int64)
         rest = [i for i in range(len(names)) if i != g]
         out["source"] += [names[i].as_py() for i in rest]
         out["part"] += ["pair"] * len(rest)
@@ -167,19 +177,19 @@ def audit(df: DataFrame, documents: int = DOCUMENTS, top: int = TOP, shard: int
     """lang, source, part, item, value, rank: divergences from every other source of the language (`pair`), and the terms that the
     source has more of than its language (`term`, the first `top`)."""
     found = written(counts(df), "term-counts")
-    terms = found.where(F.col("term").isNotNull())
-    keep = terms.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= documents)
-    kept = written(terms.select("lang", "source", "term", "n").join(keep.select("lang", "term", "lang_n"), ["lang", "term"]), "kept-terms")
-    langs = kept.groupBy("lang").agg(F.countDistinct("term").alias("terms"), F.sum("n").alias("lang_total"), F.count("*").alias("rows"))
-    langs = written(langs.withColumn("shards", F.ceil(F.col("rows") / shard).cast("int")), "languages")
-    groups = (found.groupBy("lang", "source").agg(F.lit(1).alias("one")).drop("one")
-              .join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(langs, "lang", "left")
+    terms = found.where(F.col("term").isNotNull()).groupBy("lang", "term").agg(
+        F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.collect_list(F.struct("source", "n")).alias("counts"))
+    kept = written(terms.where(F.col("docs") >= documents).drop("docs"), "kept-terms")
+    langs = written(kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"),
+                                             F.ceil(F.sum(F.size("counts")) / shard).cast("int").alias("shards")), "languages")
+    totals = kept.select("lang", F.explode("counts").alias("c")).groupBy("lang", F.col("c.source").alias("source")).agg(F.sum("c.n").alias("total"))
+    groups = (found.where(F.col("term").isNull()).select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
               .select("lang", "source", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total", "terms", "lang_total")],
                       F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1)).alias("shard")))
     rows = kept.join(langs.select("lang", "shards"), "lang").withColumn("shard", F.pmod(F.hash("term"), "shards")).drop("shards")
 
-    def merge(key, left, right):
-        return _shard(key, left, right, top)
+    def merge(left, right):
+        return _shard(left, right, top)
 
     parts = rows.groupBy("lang", "shard").cogroup(groups.groupBy("lang", "shard")).applyInArrow(
         merge, "lang string, source string, part string, item string, value long")
