@@ -32,8 +32,8 @@ TOP = 200
 STEP, STEPS = 1000, 3  # SCALE is STEP ** STEPS
 SCALE = STEP ** STEPS
 SHARD = 100_000        # counts of a shard
-SLICE = 12_000_000     # bytes of text split at a time
-HELD = 1_000_000       # partial counts that a task holds before it hands them on
+SLICE = 4_000_000      # bytes of text split at a time
+HELD = 500_000         # partial counts that a task holds before it hands them on
 
 KEY = ["lang", "source", "term"]
 
