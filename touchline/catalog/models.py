@@ -1,5 +1,7 @@
 """Feature tables, splits, audits, metrics and prediction comparison."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from touchline.catalog.feed_checks import DENSE, FEED
@@ -8,6 +10,7 @@ from touchline.catalog.registry import fmean_sql, fsum_sql, n_sql, query, ratio_
 from touchline.functions.core import fixed, n_if
 from touchline.models import evaluate as e, features as f
 from touchline.operators import state
+from touchline.session import checkpoint_dir
 from touchline.sources.feed import match_feed
 
 MB = "CASE WHEN \"minute\" < 15 THEN '00-15' WHEN \"minute\" < 30 THEN '15-30' WHEN \"minute\" < 45 THEN '30-45' WHEN \"minute\" < 60 THEN '45-60' WHEN \"minute\" < 75 THEN '60-75' WHEN \"minute\" < 90 THEN '75-90' ELSE '90+' END"
@@ -17,7 +20,7 @@ FAM = "CASE WHEN situation='Penalty' THEN 'penalty' WHEN situation='DirectFreeki
 SHOT_SQL = SCORE_SQL + f""",
 a AS (SELECT *, "minute"*60+"second" AS t, CASE WHEN type <> 'Card' THEN "index" END AS ai FROM gamestate),
 b AS (SELECT *, max(ai) OVER (PARTITION BY matchId ORDER BY "index" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pi FROM a),
-sf AS (SELECT s.matchId, s.eventId, s.h_a, s.type, s."minute", CASE WHEN s.type='Goal' THEN 1 ELSE 0 END AS "isGoal", s.x, s.y, s.xG, s.goalMouthY AS goal_mouth_y, s.goalMouthZ AS goal_mouth_z, s.goalOwn, sqrt((105-s.x)*(105-s.x)+(34-s.y)*(34-s.y)) AS shot_distance,
+sf AS (SELECT s.matchId, s.eventId, s.h_a, s.type, s."minute", CASE WHEN s.type='Goal' THEN 1 ELSE 0 END AS "isGoal", s.x, s.y, s.xG, s.goalMouthY AS goal_mouth_y, s.goalMouthZ AS goal_mouth_z, s.goalOwn, s.qualifiers, s."expandedMinute", sqrt((105-s.x)*(105-s.x)+(34-s.y)*(34-s.y)) AS shot_distance,
   CASE WHEN s.x >= 99 AND s.y BETWEEN 24.84 AND 43.16 THEN 'six_yard_box' WHEN s.x >= 88.5 AND s.y BETWEEN 13.84 AND 54.16 THEN 'penalty_area' WHEN s.x >= 88.5 THEN 'wide_box_channel' WHEN s.x >= 70 THEN 'outside_box_final_third' ELSE 'deep_shot' END AS shot_zone,
   {MB.replace('"minute"','s."minute"')} AS minute_bucket, {SS.replace('team_goal','s.team_goal')} AS score_state, {FAM.replace('situation','s.situation').replace('qualifiers','s.qualifiers')} AS shot_family,
   p.eventId AS pid, s.t - p.t AS age, p.type AS p_type, p.teamId = s.teamId AS p_same, p.outcomeType = 'Successful' AS p_ok, p.qualifiers AS pq, p.endX AS pex, p.endY AS pey, p.x AS px, p.y AS py
@@ -31,13 +34,15 @@ def scored(spark, sf_dir, pace=4):
 
 
 SHOT_COLS = ["matchId", "eventId", "h_a", "isGoal", "shot_zone", "minute_bucket", "score_state", "shot_family", "prev_action_subtype", "prev_action_type", "prev_time_delta", "prev_action_same_team",
-             "prev_action_success", "prev_action_into_box", "prev_action_distance", "shot_after_cross", "shot_angle_micro", "shot_distance"]
+             "prev_action_success", "prev_action_into_box", "prev_action_distance", "shot_after_cross", "shot_angle_micro", "shot_distance", "prev_action_outcome", "is_counter",
+             "is_direct_corner", "expanded_minute"]
 
 
 @query("shot_features", "M1 P28 P31 P32 P34", DENSE + SHOT_SQL + f"""
 SELECT matchId, eventId, h_a, "isGoal", shot_zone, minute_bucket, score_state, shot_family, prev_action_subtype, coalesce(p_type,'none') AS prev_action_type, coalesce(age,99)::double AS prev_time_delta, coalesce(p_same,false)::int AS prev_action_same_team,
  coalesce(p_ok,false)::int AS prev_action_success, coalesce(pex >= 88.5 AND pey BETWEEN 13.84 AND 54.16,false)::int AS prev_action_into_box, CASE WHEN pex IS NOT NULL THEN sqrt((pex-px)*(pex-px)+(pey-py)*(pey-py)) ELSE 0 END AS prev_action_distance,
- (prev_action_subtype='cross')::int AS shot_after_cross, shot_distance,
+ (prev_action_subtype='cross')::int AS shot_after_cross, shot_distance, CASE WHEN coalesce(p_ok,false) THEN 'successful' ELSE 'unsuccessful' END AS prev_action_outcome,
+ list_contains(qualifiers, 'ShotCounter')::int AS is_counter, list_contains(qualifiers, 'ShotDirectCorner')::int AS is_direct_corner, "expandedMinute" AS expanded_minute,
  CAST(floor(acos(greatest(-1, least(1, ((105-x)*(105-x)+(34-3.66::double-y)*(34-3.66::double-y) + (105-x)*(105-x)+(34+3.66::double-y)*(34+3.66::double-y) - 7.32::double*7.32::double) / nullif(2*sqrt((105-x)*(105-x)+(34-3.66::double-y)*(34-3.66::double-y))*sqrt((105-x)*(105-x)+(34+3.66::double-y)*(34+3.66::double-y)),0))))*1e6+0.5) AS BIGINT) AS shot_angle_micro FROM sg""")
 def shot_features(spark, sf_dir):
     out = f.shot_features(scored(spark, sf_dir))
@@ -227,23 +232,142 @@ def shot_value_rules(spark, sf_dir):
     return e.apply_xgot_rules(e.apply_shot_rules(rows, "raw"), "raw").select("eventId", "xG", "xGOT")
 
 
+def model_rows(spark, sf_dir, name):
+    """Training rows of one model: its feature table over the feed, split by match time and dealt to folds."""
+    from touchline.models import training as t
+    ev = scored(spark, sf_dir)
+    tables = {"xG": lambda: f.shot_features(ev), "xGOT": lambda: f.xgot_features(f.shot_features(ev)), "xA": lambda: f.assist_features(ev),
+              "xPass": lambda: completion(spark, sf_dir)}
+    return t.training_rows(tables[name](), f.time_split(match_feed(spark, sf_dir)), t.SPECS[name])
+
+
+def model_store(spark):
+    from touchline.models.artifacts import ModelStore
+    return ModelStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}")
+
+
+def ranking(spark, sf_dir, name, minimum=20):
+    """Candidates of a model ranked on the test matches; the best one is saved, loaded and scored again."""
+    from touchline.models import training as t
+    rows = model_rows(spark, sf_dir, name)
+    table, fitted = t.train_ranked(rows, t.SPECS[name], minimum=minimum)
+    best = table.first()["model"]
+    store = model_store(spark)
+    store.save(fitted[best], "v1")
+    test = rows.where("part = 'test'")
+    again = store.load(name, "v1").score(fitted[best].score(test, "_first"), "_again")
+    off = again.agg(F.coalesce(F.max(F.abs(F.col("_first") - F.col("_again"))), F.lit(0.0))).first()[0]
+    return table.withColumn("selected", F.col("model") == best).withColumn("reload_difference", F.lit(float(off)))
+
+
+@query("shot_model_ranking", "M6 M7 M8 M9")
+def shot_model_ranking(spark, sf_dir):
+    return ranking(spark, sf_dir, "xG")
+
+
+@query("placement_model_ranking", "M6 M7 M8 M9")
+def placement_model_ranking(spark, sf_dir):
+    return ranking(spark, sf_dir, "xGOT")
+
+
+@query("assist_model_ranking", "M6 M7 M8 M9")
+def assist_model_ranking(spark, sf_dir):
+    return ranking(spark, sf_dir, "xA")
+
+
 @query("completion_model_ranking", "M6 M7 M8 M9")
 def completion_model_ranking(spark, sf_dir):
+    return ranking(spark, sf_dir, "xPass")
+
+
+SPLIT_SQL = """,
+sm AS (SELECT DISTINCT matchId, startDate FROM feed), sr AS (SELECT *, row_number() OVER (ORDER BY startDate, matchId) AS k, count(*) OVER () AS n FROM sm),
+split AS (SELECT matchId, CASE WHEN k <= greatest(1, floor(n*0.7)) THEN 'train' WHEN k <= greatest(greatest(1, floor(n*0.7))+1, floor(n*0.85)) THEN 'calibrate' ELSE 'test' END AS part,
+    (('0x' || substr(md5(matchId), 1, 8))::BIGINT % 3)::INT AS fold FROM sr)"""
+_XG_ROWS = "shot_family <> 'penalty' AND x >= 52.5 AND shot_distance <= 60 AND NOT goalOwn"
+
+
+@query("cross_fitted_scores", "M8", DENSE + SHOT_SQL + SPLIT_SQL + f"""
+SELECT matchId, eventId, fold, "isGoal"::INT AS goal, false AS seen, true AS in_range, 3 AS members, 3 AS curves FROM sg JOIN split USING (matchId) WHERE {_XG_ROWS} AND part <> 'test'""")
+def cross_fitted_scores(spark, sf_dir):
+    """Each training shot scored by the member of its fold: whether that member's training rows held its match, and how many members
+    and different curves there are."""
     from touchline.models import training as t
-    rows = f.completion_training_rows(completion(spark, sf_dir))
-    table, _ = t.train_ranked(rows, f.time_split(match_feed(spark, sf_dir)), "xpass_completed", ["pass_distance", "start_distance_to_goal", "end_distance_to_goal", "pass_count_log"],
-                              ["pass_type", "play_pattern", "previous_action_type"], minimum=20)
-    return table
+    spec = t.SPECS["xG"]
+    rows = model_rows(spark, sf_dir, "xG").where("part <> 'test'")
+    members = t.fold_members(rows, spec, "logistic", 20)
+    seen = rows.select(F.explode(F.array_except(F.array(*[F.lit(k) for k in range(t.FOLDS)]), F.array("fold"))).alias("fold"), "matchId").distinct().withColumn("_seen", F.lit(True))
+    out = t.out_of_fold(rows, members).join(seen, ["fold", "matchId"], "left")
+    return out.select("matchId", "eventId", "fold", F.col("label").cast("int").alias("goal"), F.coalesce("_seen", F.lit(False)).alias("seen"),
+                      ((F.col("score") > 0) & (F.col("score") < 1)).alias("in_range"), F.lit(len(members)).alias("members"),
+                      F.lit(len({(m.slope, m.shift) for m in members})).alias("curves"))
+
+
+@query("training_tables", "M5 M9", FEED + SPLIT_SQL + f""",
+r AS (SELECT 'xPass' AS model, part, fold, (outcomeType = 'Successful')::INT AS y FROM feed JOIN split USING (matchId) WHERE type = 'Pass' AND {PDIST} BETWEEN 0.1 AND 105
+    UNION ALL SELECT 'xA', part, fold, list_contains(qualifiers, 'IntentionalGoalAssist')::INT FROM feed JOIN split USING (matchId) WHERE type = 'Pass' AND outcomeType = 'Successful' AND {PDIST} BETWEEN 0.1 AND 105
+    UNION ALL SELECT 'xGOT', part, fold, (type = 'Goal')::INT FROM feed JOIN split USING (matchId) WHERE type IN ('Goal', 'SavedShot') AND NOT goalOwn
+    UNION ALL SELECT 'xG', part, fold, (type = 'Goal')::INT FROM feed JOIN split USING (matchId) WHERE isShot AND situation <> 'Penalty' AND NOT goalOwn AND x >= 52.5 AND sqrt((105-x)*(105-x)+(34-y)*(34-y)) <= 60)
+SELECT model, part, fold, count(*) AS "rows", sum(y)::BIGINT AS positives FROM r GROUP BY ALL""")
+def training_tables(spark, sf_dir):
+    """The four training tables as they are written for fitting: rows and positives by part and fold."""
+    out = None
+    for name in ("xG", "xGOT", "xA", "xPass"):
+        one = model_rows(spark, sf_dir, name).groupBy(F.lit(name).alias("model"), "part", "fold").agg(
+            F.count("*").alias("rows"), F.sum("label").cast("bigint").alias("positives"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("scored_events", "M10 M11", DENSE + SHOT_SQL + """,
+s AS (SELECT eventId, goalOwn AS own, shot_family = 'penalty' AS pen, type IN ('Goal', 'SavedShot') AS target FROM sg)
+SELECT f.eventId, CASE WHEN own THEN 0.0::DOUBLE WHEN pen THEN 0.78::DOUBLE END AS fixed_xg, CASE WHEN NOT own AND NOT pen THEN true END AS xg_in_range,
+    CASE WHEN own OR NOT target THEN 0.0::DOUBLE END AS fixed_xgot, CASE WHEN target AND NOT own THEN true END AS xgot_in_range,
+    CASE WHEN f.type = 'Pass' AND f.outcomeType = 'Successful' THEN true END AS xa_in_range, CASE WHEN f.type = 'Pass' THEN true END AS xpass_in_range,
+    CASE WHEN s.eventId IS NOT NULL THEN 'v1' END AS xg_model_version, CASE WHEN s.eventId IS NOT NULL THEN 'v1' END AS xgot_model_version,
+    CASE WHEN f.type = 'Pass' AND f.outcomeType = 'Successful' THEN 'v1' END AS xa_model_version, CASE WHEN f.type = 'Pass' THEN 'v1' END AS xpass_model_version,
+    '' AS failed FROM feed f LEFT JOIN s USING (eventId)""")
+def scored_events(spark, sf_dir):
+    """Four models fitted, stored, loaded and run in order on the feed without its own values; each reads what the ones before it wrote."""
+    out = score_chain(spark, sf_dir)[0]
+    shot, own = F.col("xg_model_version").isNotNull(), F.coalesce(F.col("xg_shot_family") == "own_goal", F.lit(False))
+    fixed_xg = own | F.coalesce(F.col("xg_shot_family") == "penalty", F.lit(False))
+    off = shot & (own | ~F.col("type").isin("Goal", "SavedShot"))
+    inside = lambda n, low, high: F.col(n).between(low, high)
+    return out.select(
+        "eventId", F.when(fixed_xg, F.col("xG")).alias("fixed_xg"), F.when(shot & ~fixed_xg, inside("xG", 0.003, 0.95)).alias("xg_in_range"),
+        F.when(off, F.col("xGOT")).alias("fixed_xgot"), F.when(shot & ~off, inside("xGOT", 0.001, 0.995)).alias("xgot_in_range"),
+        F.when(F.col("xa_model_version").isNotNull(), inside("xA", 0.0, 1.0)).alias("xa_in_range"), F.when(F.col("xpass_model_version").isNotNull(), inside("xPass", 0.0, 1.0)).alias("xpass_in_range"),
+        "xg_model_version", "xgot_model_version", "xa_model_version", "xpass_model_version", F.array_join("failed_models", ",").alias("failed"))
+
+
+def score_chain(spark, sf_dir, candidate="logistic_calibrated", minimum=20):
+    """The feed scored by four models of one version, and their store. The xGOT model learns on the xG that the first model gives."""
+    from touchline.models import scoring, training as t
+    from touchline.plans.enrich import with_models
+    store, split = model_store(spark), f.time_split(match_feed(spark, sf_dir))
+    ev = scored(spark, sf_dir).drop("xG", "xGOT", "xA", "xPass").withColumns({n: F.lit(None).cast("double") for n in ("xG", "xGOT", "xA", "xPass")})
+
+    def learn(name, features):
+        store.save(t.fit(t.training_rows(features, split, t.SPECS[name]), t.SPECS[name], candidate, minimum), "v1")
+
+    learn("xG", f.shot_features(ev))
+    learn("xA", f.assist_features(ev))
+    learn("xPass", completion(spark, sf_dir))
+    shots = with_models(ev, scoring.model_steps(store, {"xG": "v1"}))
+    learn("xGOT", f.xgot_features(f.shot_features(shots)))
+    return with_models(ev, scoring.model_steps(store, dict.fromkeys(scoring.STEPS, "v1"))), store
 
 
 @query("models_that_fail", "M16", FEED + """
-SELECT eventId, v100 / 100.0::double AS "xG", NULL::double AS "xA", 0.5::double AS "xPass", 'assists,wrong' AS failed FROM feed""")
+SELECT eventId, v100 / 100.0::double AS "xG", NULL::double AS "xA", 0.5::double AS "xPass", 'assists,wrong,rows' AS failed FROM feed""")
 def models_that_fail(spark, sf_dir):
-    """Four steps of which two cannot run: a missing column, and a step that does not add what it says."""
+    """Five steps of which three cannot run: a missing column, a step that does not add what it says, and one that fails on some rows."""
     from touchline.plans.enrich import ModelStep, with_models
     steps = [ModelStep("shots", {"xG": "double"}, lambda d: d.withColumn("xG", F.col("v100") / 100.0)),
              ModelStep("assists", {"xA": "double"}, lambda d: d.withColumn("xA", F.col("no such column"))),
              ModelStep("wrong", {"other": "double"}, lambda d: d),
+             ModelStep("rows", {"xA": "double"}, lambda d: d.withColumn("xA", F.when(F.col("index") % 100 == 7, F.raise_error(F.lit("no score for this row"))).otherwise(0.1))),
              ModelStep("passes", {"xPass": "double"}, lambda d: d.withColumn("xPass", F.lit(0.5)))]
     out = with_models(match_feed(spark, sf_dir).drop("xG", "xA", "xPass"), steps)
     return out.select("eventId", "xG", "xA", "xPass", F.array_join("failed_models", ",").alias("failed"))

@@ -13,17 +13,26 @@ from touchline.operators.state import clock_seconds, with_previous_action
 POST_LEFT, POST_RIGHT, BAR, CENTRE, GOAL_WIDTH = 30.34, 37.66, 2.44, 34.0, 7.32
 MIN_SHOT_X, MAX_SHOT_DISTANCE, PENALTY_XG = 52.5, 60.0, 0.78
 
-SHOT_NUMERIC = ["x", "y", "shot_distance", "shot_angle", "shot_lateral_distance", "shot_distance_sq", "minute", "is_header", "is_left_foot", "is_right_foot",
-                "is_open_play", "is_set_piece", "is_from_corner", "is_direct_free_kick", "is_penalty", "is_big_chance", "game_state_goal_diff",
-                "prev_time_delta", "prev_action_distance", "prev_action_angle", "prev_action_into_box", "prev_action_same_team", "prev_action_success",
-                "shot_after_carry", "shot_after_takeon", "shot_after_cross", "shot_after_through_ball", "shot_after_recovery", "shot_after_duel"]
-SHOT_CATEGORIES = ["shot_zone", "minute_bucket", "score_state", "situation_clean", "body_part", "shot_family", "prev_action_type", "prev_action_subtype", "h_a"]
-PASS_NUMERIC = ["x", "y", "endX", "endY", "minute", "pass_distance", "pass_angle", "pass_forward_distance", "pass_lateral_distance", "start_distance_to_goal",
-                "end_distance_to_goal", "distance_to_goal_delta", "start_lateral_to_goal", "end_lateral_to_goal", "is_cross", "is_through_ball", "is_long_ball",
-                "is_chipped", "is_headed", "is_corner", "is_free_kick", "is_throw_in", "enters_final_third", "enters_penalty_area", "ends_in_penalty_area"]
-PASS_CATEGORIES = ["h_a", "pass_type", "play_pattern", "pass_direction", "start_third", "end_third", "start_lane", "end_lane", "minute_bucket", "score_state"]
-COMPLETION_NUMERIC = PASS_NUMERIC + ["is_switch", "previous_action_team_same", "previous_pass_distance", "previous_pass_angle", "carry_distance_before_pass",
-                                     "pass_count_in_possession", "pass_count_log", "game_state_goal_diff"]
+SHOT_NUMERIC = ["x", "y", "minute", "second", "expanded_minute", "shot_distance", "shot_angle", "shot_lateral_distance", "shot_distance_sq", "is_header",
+                "is_left_foot", "is_right_foot", "is_big_chance", "is_open_play", "is_counter", "is_set_piece", "is_direct_corner", "is_from_corner",
+                "is_direct_free_kick", "is_penalty", "prev_time_delta", "prev_action_distance", "prev_action_angle", "prev_action_into_box",
+                "prev_action_same_team", "prev_action_success", "shot_after_carry", "shot_after_takeon", "shot_after_cross", "shot_after_through_ball",
+                "shot_after_recovery", "shot_after_duel", "game_state_goal_diff"]
+SHOT_CATEGORIES = ["league", "season", "h_a", "situation_clean", "body_part", "shot_family", "shot_zone", "minute_bucket", "score_state", "prev_action_type",
+                   "prev_action_subtype", "prev_action_outcome"]
+PLACEMENT_NUMERIC = ["xG", "x", "y", "shot_distance", "shot_angle", "goal_mouth_y", "goal_mouth_z", "goal_mouth_y_centered", "goal_mouth_z_normalized",
+                     "goal_mouth_distance_to_center", "goal_mouth_distance_to_nearest_post", "goal_mouth_distance_to_crossbar", "is_header", "is_left_foot",
+                     "is_right_foot", "is_big_chance", "is_penalty", "is_open_play", "is_counter", "is_set_piece", "game_state_goal_diff"]
+PLACEMENT_CATEGORIES = ["league", "season", "h_a", "situation_clean", "body_part", "shot_family", "shot_zone", "goal_mouth_zone", "score_state"]
+_PASS_NUMERIC = ["x", "y", "endX", "endY", "minute", "second", "expanded_minute", "pass_distance", "pass_angle", "pass_forward_distance", "pass_lateral_distance",
+                 "start_distance_to_goal", "end_distance_to_goal", "distance_to_goal_delta", "start_lateral_to_goal", "end_lateral_to_goal", "is_cross",
+                 "is_through_ball", "is_long_ball", "is_chipped", "is_headed", "is_corner", "is_free_kick", "is_throw_in", "enters_final_third",
+                 "enters_penalty_area", "ends_in_penalty_area", "game_state_goal_diff"]
+PASS_NUMERIC = _PASS_NUMERIC + ["ends_in_box_centre", "is_cutback_proxy"]
+PASS_CATEGORIES = ["league", "season", "h_a", "pass_type", "play_pattern", "pass_direction", "start_third", "end_third", "start_lane", "end_lane", "minute_bucket",
+                   "score_state"]
+COMPLETION_NUMERIC = _PASS_NUMERIC + ["is_right_foot", "is_left_foot", "is_switch", "previous_action_team_same", "previous_pass_distance", "previous_pass_angle",
+                                      "carry_distance_before_pass", "pass_count_in_possession", "pass_count_log"]
 COMPLETION_CATEGORIES = PASS_CATEGORIES + ["previous_action_type"]
 
 
@@ -88,19 +97,21 @@ def shot_features(events: DataFrame) -> DataFrame:
     shots = ev.where(p.is_shot() | F.coalesce(c("isShot"), F.lit(False))).withColumn("prev_action_subtype", sub)
     after = {k: flag(c("prev_action_subtype") == k) for k in ("carry", "takeon", "cross", "through_ball", "recovery", "duel")}
     out = shots.select(
-        "matchId", "eventId", "league", "season", "startDate", "teamId", "teamName", "opponentName", "h_a", "playerId", "playerName", "period", "type", "minute", "second",
-        flag(c("type") == "Goal").alias("isGoal"), "xG", x.alias("x"), y.alias("y"), c("goalMouthY").alias("goal_mouth_y"), c("goalMouthZ").alias("goal_mouth_z"),
+        "matchId", "eventId", "index", "league", "season", "startDate", "teamId", "teamName", "opponentName", "h_a", "playerId", "playerName", "period", "type", "minute", "second",
+        c("expandedMinute").alias("expanded_minute"), "goalOwn", flag(c("type") == "Goal").alias("isGoal"), "xG", x.alias("x"), y.alias("y"), c("goalMouthY").alias("goal_mouth_y"), c("goalMouthZ").alias("goal_mouth_z"),
         sd.alias("shot_distance"), (sd * sd).alias("shot_distance_sq"), z.shot_angle(x, y).alias("shot_angle"), F.abs(y - 34.0).alias("shot_lateral_distance"),
         z.shot_zone(x, y).alias("shot_zone"), z.minute_bucket(c("minute")).alias("minute_bucket"),
         F.when(c("team_goal_diff_before") > 0, "leading").when(c("team_goal_diff_before") < 0, "trailing").otherwise("level").alias("score_state"),
         c("team_goal_diff_before").alias("game_state_goal_diff"), F.coalesce("situation", F.lit("Unknown")).alias("situation_clean"), body_part().alias("body_part"),
         shot_family().alias("shot_family"), flag(has("BigChance")).alias("is_big_chance"), flag(has("Head")).alias("is_header"), flag(has("LeftFoot")).alias("is_left_foot"),
         flag(has("RightFoot")).alias("is_right_foot"), flag(s.isin("openplay", "open play")).alias("is_open_play"), flag(s.contains("set")).alias("is_set_piece"),
+        flag((s == "counter") | has("ShotCounter")).alias("is_counter"), flag(has("ShotDirectCorner")).alias("is_direct_corner"),
         flag((s == "fromcorner") | has_like("(?i)corner")).alias("is_from_corner"), flag(p.shot_blocked()).alias("is_blocked"), flag(p.kind("Goal", "SavedShot")).alias("is_on_target"),
         F.coalesce(prev["type"], F.lit("none")).alias("prev_action_type"), "prev_action_subtype", F.coalesce((clock_seconds() - prev["t"]).cast("double"), F.lit(99.0)).alias("prev_time_delta"),
         F.when(moved, F.sqrt(dx * dx + dy * dy)).otherwise(0.0).alias("prev_action_distance"), F.when(moved, F.atan2(dy, dx)).otherwise(0.0).alias("prev_action_angle"),
         flag(moved & p.in_box(prev["endX"], prev["endY"])).alias("prev_action_into_box"), flag(prev["teamId"] == c("teamId")).alias("prev_action_same_team"),
-        flag(prev["outcomeType"] == "Successful").alias("prev_action_success"), *[v.alias(f"shot_after_{k}") for k, v in after.items()])
+        flag(prev["outcomeType"] == "Successful").alias("prev_action_success"),
+        F.when(prev["outcomeType"] == "Successful", "successful").otherwise("unsuccessful").alias("prev_action_outcome"), *[v.alias(f"shot_after_{k}") for k, v in after.items()])
     return (out.withColumn("is_penalty", flag(c("shot_family") == "penalty")).withColumn("is_direct_free_kick", flag(c("shot_family") == "direct_free_kick"))
             .withColumn("xg_fixed", F.when(c("shot_family") == "penalty", PENALTY_XG)))
 
@@ -144,6 +155,7 @@ def pass_geometry(passes: DataFrame) -> DataFrame:
     d0, d1 = dist(gx, gy, x, y), dist(gx, gy, ex, ey)
     diff = c("team_goal_diff_before")
     out = passes.withColumns({
+        "expanded_minute": c("expandedMinute"), "is_right_foot": flag(has("RightFoot")), "is_left_foot": flag(has("LeftFoot")),
         "pass_distance": F.sqrt(dx * dx + dy * dy), "pass_angle": F.atan2(dy, dx), "pass_forward_distance": dx, "pass_lateral_distance": F.abs(dy),
         "start_distance_to_goal": d0, "end_distance_to_goal": d1, "distance_to_goal_delta": d0 - d1, "start_lateral_to_goal": F.abs(y - 34.0),
         "end_lateral_to_goal": F.abs(ey - 34.0), "pass_type": pass_type(), "play_pattern": play_pattern(),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JError
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
 from touchline.functions.names import ascii_fold
@@ -14,6 +14,7 @@ from touchline.functions.predicates import prog_carry, prog_pass
 from touchline.operators.carries import with_carries
 from touchline.operators.grids import with_epv, with_xt, with_xt_grid
 from touchline.operators.state import with_match_clock
+from touchline.session import materialise
 
 
 def scale_pitch(events: DataFrame) -> DataFrame:
@@ -33,25 +34,39 @@ def with_progress(events: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ModelStep:
-    """A scoring step: its name, the columns it adds with their types, and the function on events."""
+    """A scoring step: its name, the columns it adds with their types, and the function on events. A keyed step gives only the rows it has values
+    for, with match and position; another one gives the events with the columns added."""
     name: str
     columns: dict[str, str]
     apply: Callable[[DataFrame], DataFrame]
+    keyed: bool = False
 
 
-def with_models(events: DataFrame, steps) -> DataFrame:
-    """Run scoring steps in order. A step that cannot be planned (a model file or an input column is missing) leaves its
-    columns NULL and its name in ``failed_models``; the others still run."""
-    failed = []
+def with_models(events: DataFrame, steps, keys=("matchId", "index")) -> DataFrame:
+    """Run scoring steps in order, each on what the ones before it wrote.
+
+    The events are written once and each step's values into a table of their own before they reach the events: a step that cannot be planned
+    or that fails on some row leaves its columns as they were, or NULL, and its name in ``failed_models``, and the others still run. A row for
+    which a keyed step has no value keeps what it had.
+    """
+    keys, failed = list(keys), []
+    if steps:
+        events = materialise(events, "events")
     for step in steps:
+        names = list(step.columns)
         try:
             done = step.apply(events)
-            if set(step.columns) - set(done.columns):
+            if set(names) - set(done.columns):
                 raise ValueError(f"{step.name} adds {sorted(done.columns)}")
-            events = done
-        except (AnalysisException, ValueError, OSError, Py4JError):
+            values = materialise(done.select(*keys, F.struct(*[F.col(n).cast(t).alias(n) for n, t in step.columns.items()]).alias("_new")), "scores")
+        except (PySparkException, ValueError, OSError, Py4JError):
             failed.append(step.name)
-            events = events.withColumns({n: F.lit(None).cast(t) for n, t in step.columns.items()})
+            events = events.withColumns({n: F.lit(None).cast(t) for n, t in step.columns.items() if n not in events.columns})
+            continue
+        have = set(events.columns)
+        joined = events.join(values, keys, "left")
+        new = F.col("_new").isNotNull()
+        events = joined.withColumns({n: F.when(new, F.col("_new")[n]).otherwise(F.col(n) if n in have else F.lit(None).cast(t)) for n, t in step.columns.items()}).drop("_new")
     return events.withColumn("failed_models", F.array(*map(F.lit, failed)).cast("array<string>"))
 
 

@@ -14,6 +14,7 @@ def local_session(cpus: int = 8, app: str = "touchline", shuffle: int | None = N
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.ui.enabled", "false")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # a stack walk for every column expression
             .config("spark.driver.memory", "12g")
             .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "touchline-warehouse"))
             .getOrCreate())
