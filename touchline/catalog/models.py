@@ -5,13 +5,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from touchline.catalog.feed_checks import DENSE, FEED
-from touchline.catalog.match_state import SCORE_SQL, STATE_SQL
+from touchline.catalog.match_state import CARRY_SQL, SCORE_SQL, STATE_SQL
 from touchline.catalog.registry import fmean_sql, fsum_sql, n_sql, query, ratio_sql
 from touchline.functions.core import fixed, n_if
 from touchline.models import evaluate as e, features as f
 from touchline.operators import state
+from touchline.schema import conform
 from touchline.session import checkpoint_dir
-from touchline.sources.feed import match_feed
+from touchline.sources import store
+from touchline.sources.feed import feed_sql, match_feed
 
 MB = "CASE WHEN \"minute\" < 15 THEN '00-15' WHEN \"minute\" < 30 THEN '15-30' WHEN \"minute\" < 45 THEN '30-45' WHEN \"minute\" < 60 THEN '45-60' WHEN \"minute\" < 75 THEN '60-75' WHEN \"minute\" < 90 THEN '75-90' ELSE '90+' END"
 SS = "CASE WHEN team_goal_diff_before > 0 THEN 'leading' WHEN team_goal_diff_before < 0 THEN 'trailing' ELSE 'level' END"
@@ -378,3 +380,87 @@ def enriched_events(spark, sf_dir):
     from touchline.plans.enrich import enrich
     out = enrich(match_feed(spark, sf_dir, pace=4))
     return out.select("matchId", "index", "event_ord", "type", "is_generated", "cumulative_mins", "xT", "epv_added", "prog_pass", "prog_carry", "pass_or_carry_angle")
+
+
+_NX = "((eventId * 7) % 100) / 100.0::DOUBLE"
+
+
+@query("backfill_run", "M12 S24 S21", feed_sql(teams=4) + f"""
+SELECT league, season, 'applied' AS status, count(*) AS "rows", count(*) AS rows_before, count(DISTINCT CASE WHEN type = 'Pass' AND xPass <> {_NX} THEN matchId END) AS changed_matches,
+    {n_sql(f"type = 'Pass' AND xPass <> {_NX}")} AS changed_rows, true AS equals_clean_run, true AS backup_is_old, 'skipped_complete' AS again, 'applied' AS forced FROM feed GROUP BY league, season""")
+def backfill_run(spark, sf_dir):
+    """Two archives of the feed get new xPass values: one in a clean run, one in a run that dies before each kind of step and is called again.
+    A second run finds every unit complete; a forced one with other values writes again."""
+    from touchline.sources.rewrite import Rewrite
+    ev = match_feed(spark, sf_dir, teams=4).drop("k", "ts", "v100", "x10", "y10", "endX10", "endY10", "q")
+    home = f"{checkpoint_dir(spark).rstrip('/')}/backfill-{uuid.uuid4().hex}"
+    for name in ("clean", "killed"):
+        store.publish(ev, f"{home}/{name}")
+
+    def change(version, add=0, force=False):
+        def put(rows):
+            new = rows.where("type = 'Pass'").select("matchId", "teamId", "eventId", F.lit(0).alias("seq"), ((F.col("eventId") * 7 + add) % 100 / F.lit(100.0)).alias("xPass"))
+            return e.write_back(rows, new, "xPass", "xpass_model_version", version, force=force).select(*rows.columns, *({"xpass_model_version"} - set(rows.columns)))
+        return put
+
+    def complete(rows):
+        if "xpass_model_version" not in rows.columns:
+            return False
+        return e.completeness(rows, "xPass", "xpass_model_version", F.col("type") == "Pass").where("not complete or version <> 'v2'").isEmpty()
+
+    class Killed(RuntimeError):
+        pass
+
+    def dying(step):
+        def before(now, folder):
+            if now == step:
+                raise Killed(step)
+        return before
+
+    clean = Rewrite(spark, f"{home}/clean", "first", change("v2"), complete)
+    clean.plan()
+    clean.apply()
+    for step in ("stage", "compare", "backup", "swap", "ledger"):
+        try:
+            Rewrite(spark, f"{home}/killed", "first", change("v2"), complete, dying(step)).apply(parallel=1)
+        except Killed:
+            continue
+    first = Rewrite(spark, f"{home}/killed", "first", change("v2"), complete)
+    report = first.apply()
+    again = Rewrite(spark, f"{home}/killed", "second", change("v2"), complete).apply(skip_complete=True)
+    facts = []
+    for folder in first.planned():
+        _, league, season = first._names(folder)
+        a, b = (store.fingerprint(x) for x in (first.read(folder), clean.read(folder)))
+        same = a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+        backup = first.read(folder, f"{first.home}/backup")
+        source = store.fingerprint(conform(ev.where((F.col("league") == league) & (F.col("season") == season))).select(*backup.columns))
+        facts.append((league, season, same, source.exceptAll(store.fingerprint(backup)).isEmpty()))
+    forced = Rewrite(spark, f"{home}/killed", "forced", change("v2", add=50, force=True)).apply()
+    facts = spark.createDataFrame(facts, "league string, season string, equals_clean_run boolean, backup_is_old boolean")
+    return (report.join(facts, ["league", "season"]).join(again.select("league", "season", F.col("status").alias("again")), ["league", "season"])
+            .join(forced.select("league", "season", F.col("status").alias("forced")), ["league", "season"]))
+
+
+@query("carry_rebuild", "M15", DENSE + CARRY_SQL + """,
+n AS (SELECT '' || (2000 + matchId::BIGINT % 3) AS season, count(*) AS made, count(*) FILTER (WHERE eventId % 3 = 0 AND matchId::BIGINT % 3 = 1) AS lost FROM carry GROUP BY 1),
+m AS (SELECT '' || (2000 + matchId::BIGINT % 3) AS season, count(*) AS n FROM feed GROUP BY 1)
+SELECT season, CASE WHEN coalesce(lost, 0) > 0 THEN 'applied' ELSE 'unchanged' END AS status, n + coalesce(made, 0) AS "rows", n + coalesce(made, 0) - coalesce(lost, 0) AS rows_before, 'unchanged' AS again FROM m LEFT JOIN n USING (season)""")
+def carry_rebuild(spark, sf_dir):
+    """An archive of enriched events that lost some generated carries in one season is rebuilt: carries dropped, found and scored again; only changed
+    partitions are swapped, and a second run changes nothing."""
+    from touchline.operators import carries, grids
+    from touchline.plans.enrich import enrich, with_progress
+    from touchline.sources.rewrite import Rewrite
+    ev = enrich(match_feed(spark, sf_dir, pace=4).drop("k", "ts", "v100", "x10", "y10", "endX10", "endY10", "q")).drop("failed_models")
+    ev = ev.withColumn("season", (2000 + F.col("matchId").cast("bigint") % 3).cast("string"))
+    lost = F.col("is_generated") & (F.floor("event_ord") % 3 == 0) & (F.col("season") == "2001")
+    root = f"{checkpoint_dir(spark).rstrip('/')}/carries-{uuid.uuid4().hex}/archive"
+    ev.where(~lost).write.partitionBy("league", "season").parquet(root)
+
+    def rebuilt(rows):
+        return with_progress(grids.with_epv(grids.with_xt(carries.rebuild_carries(rows)), None)).select(*rows.columns)
+
+    first = Rewrite(spark, root, "first", rebuilt).apply()
+    again = Rewrite(spark, root, "second", rebuilt).apply()
+    return first.select("season", "status", "rows", "rows_before").join(again.select("season", F.col("status").alias("again")), "season")
