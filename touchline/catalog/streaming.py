@@ -1,13 +1,16 @@
 """Batch twins of the stream jobs (tests run both forms against each other)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from touchline.catalog.feed_checks import FEED
-from touchline.catalog.match_state import XT_SQL
+from touchline.catalog.match_state import XT_SQL, possession_sql
 from touchline.catalog.registry import fsum_sql, n_sql, pct_sql, query
 from touchline.operators import grids
+from touchline.session import checkpoint_dir
 from touchline.sources.feed import match_feed
-from touchline.streaming import jobs
+from touchline.streaming import ingest, jobs, possessions
 
 PRESS = "type IN ('Interception','Tackle','Clearance','BlockedPass','BallRecovery','Challenge')"
 OK = "outcomeType = 'Successful'"
@@ -70,3 +73,46 @@ SELECT r.matchId, r.eventId FROM r JOIN k USING (matchId, arrival) WHERE ts < mk
 def late_rows(spark, sf_dir):
     r = timed(spark, sf_dir).withColumn("arrival", F.when(F.col("eventId") % 17 == 0, F.col("index") + 40).otherwise(F.col("index")))
     return jobs.late_rows(r.select("matchId", "eventId", "ts", "arrival")).select("matchId", "eventId")
+
+
+def in_files(spark, rows, parts, home):
+    """Rows written as one landing after another, by the values 0, 1, ... of the column ``part``; a stream reads one file a batch."""
+    for n in range(parts):
+        rows.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(f"{home}/landed")
+    return spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/landed")
+
+
+@query("streamed_possessions", "ST6", FEED + possession_sql(True) + """
+SELECT f.eventId, p.possession_id, p.possession_team, false AS late FROM feed f LEFT JOIN poss p USING (matchId, "index")""")
+def streamed_possessions(spark, sf_dir):
+    """The feed lands in five batches, a third of its rows one and another third two batches away from their place; the stream's state puts them in order."""
+    home = f"{checkpoint_dir(spark).rstrip('/')}/possessions-{uuid.uuid4().hex}"
+    ev = match_feed(spark, sf_dir).select("matchId", "eventId", "index", "teamName", "type", "outcomeType", "turnover",
+                                          F.timestamp_seconds(F.lit(1_700_000_000) + F.col("minute") * 60 + F.col("second")).alias("ts"),
+                                          F.pmod(F.floor(F.col("index") / 100) + F.col("eventId") % 3, F.lit(5)).alias("part"))
+    stream = in_files(spark, ev, 5, home).withWatermark("ts", "3 hours")
+    name, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, possessions.ROCKSDB)
+    try:
+        job = possessions.possession_stream(stream).writeStream.option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start(
+            path=f"{home}/out", format="parquet", outputMode="append")
+        job.awaitTermination()
+    finally:
+        spark.conf.set(name, old)
+    return spark.read.schema(possessions.OUT).parquet(f"{home}/out").select("eventId", "possession_id", "possession_team", "late")
+
+
+@query("landed_once", "ST1 ST2", FEED + """
+SELECT eventId, type, "minute", x, season, 1 AS copies FROM feed""")
+def landed_once(spark, sf_dir):
+    """The feed lands in four batches with repeats inside a batch and over batches; then the whole source is replayed by a second stream."""
+    home = f"{checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    ev = match_feed(spark, sf_dir).drop("k", "ts", "v100", "x10", "y10", "endX10", "endY10", "q")
+    part = F.col("eventId") % 4
+    rows = (ev.withColumn("part", part).unionByName(ev.where("eventId % 5 = 0").withColumn("part", part))
+            .unionByName(ev.where("eventId % 7 = 0").withColumn("part", (part + 1 + F.col("eventId") % 2) % 4)))
+    stream = in_files(spark, rows, 4, home)
+    for again in range(2):
+        ingest.land_once(stream, f"{home}/table", f"{home}/checkpoint-{again}").awaitTermination()
+    return ingest.read_landed_events(spark, f"{home}/table").groupBy("eventId").agg(
+        F.min("type").alias("type"), F.min("minute").alias("minute"), F.min("x").alias("x"), F.min("season").alias("season"), F.count("*").alias("copies"))
