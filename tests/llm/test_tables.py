@@ -88,8 +88,9 @@ def test_tree_keeps_all_pairs_that_can_link():
     base = rng.poisson(2.5, (40, count_tree_join.GROUPS))
     points = np.repeat(base, 6, axis=0) + rng.integers(0, 2, (240, count_tree_join.GROUPS)) * (rng.random((240, 1)) < 0.5)
     sizes = points.sum(axis=1)
-    tree = count_tree_join.CountTree(points.astype(np.int32), sizes)
-    got = set(zip(*(x.tolist() for x in tree.survivors(points.astype(np.int32), sizes))))
+    none = np.zeros((240, 1), np.uint64)
+    tree = count_tree_join.CountTree(points.astype(np.int32), sizes, sizes, none)
+    got = set(zip(*(x.tolist() for x in tree.survivors(points.astype(np.int32), sizes, sizes, none))))
     want = {(i, j) for i in range(240) for j in range(240) if min(np.minimum(points[i], points[j]).sum(), sizes[i], sizes[j]) >= count_tree_join.needed(sizes[i], sizes[j])}
     assert got == want
 
@@ -115,6 +116,61 @@ def test_components_of_a_path_and_a_star(spark):
     assert {r.node: r.component for r in rows} == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_bounds_keep_every_pair_that_links(seed):
+    """Place, counts and map of random sets around the limit, at their first shared shingle in a common order."""
+    rng = np.random.default_rng(seed)
+    for _ in range(300):
+        n = int(rng.integers(4, 400))
+        base = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        drop = int(rng.integers(0, max(2, n // 4)))
+        x, y = np.sort(base[:n]), np.sort(np.concatenate([base[drop:n], base[n:n + int(rng.integers(0, max(2, n // 5)))]]))
+        common = np.intersect1d(x, y)
+        if not len(y) or 100 * len(common) < 80 * (len(x) + len(y) - len(common)):
+            continue
+        i, j = np.searchsorted(x, common[0]), np.searchsorted(y, common[0])
+        assert i < count_tree_join.prefix(len(x)) and j < count_tree_join.prefix(len(y))
+        rows = [(count_tree_join._wide(count_tree_join.vector(v)[None]), np.array([len(v)]), np.array([len(v) - k]),
+                 count_tree_join.bitmap(v)[None].view(np.uint64)) for v, k in ((x, i), (y, j))]
+        zero = np.array([0])
+        assert count_tree_join.pairs_fit(rows[0], zero, rows[1], zero).all()
+        assert any(9 * (len(v) - k) >= 8 * len(v) for v, k in ((x, i), (y, j)))  # one of them is at an inner place
+
+
+def test_pairs_of_a_loose_family_grow_with_it(spark, monkeypatch):
+    """Texts that share seven tenths with each other link with none: what the passes write must not grow with the square of the family."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(9000)}" for _ in range(260)]
+
+    def family(size):
+        out = []
+        for _ in range(size):
+            own = list(base)
+            for at in rng.sample(range(260), 9):
+                own[at] = f"e{rng.randrange(90000)}"
+            out.append(" ".join(own))
+        return out
+
+    written, made = count_tree_join.written, []
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(count_tree_join, "written", counted)
+    totals = []
+    for size in (100, 500):
+        made.clear()
+        texts = family(size)
+        rows = {r.doc_id: r.component_id for r in count_tree_join.joined(cases.documents(spark, texts)).collect()}
+        if size == 100:
+            assert [rows[i] for i in range(size)] == [c for _, c in plain_join(texts)]
+        totals.append(sum(made))
+    assert totals[1] <= 10 * max(totals[0], 50), totals
+
+
 # --- quality rules
 
 def test_exact_binomial_and_cutoffs(spark):

@@ -8,9 +8,13 @@ each document the smallest id it can reach by links.
   The order puts shingles last that occur in many documents, by counts over all of them in a fixed table of slots;
   any order is right, this one keeps the buckets of common passages out. Classes meet in the buckets of their
   prefix shingles.
+* At the first shingle that two sets share, at places i and j of their orders, no more than min(n - i, m - j) shingles can be common. So
+  a pair is looked at only where that reaches the overlap it needs, which its first shared shingle always does if it links; the
+  shorter set stands there within its first ninth, and buckets without such a place are dropped before anything else is read.
 * Each class is a point: its shingles are hashed into `GROUPS` groups and counted. The sum of coordinate minima bounds the
   overlap from above. A bucket's points are packed into an R-tree; a node's largest coordinates and least size bound
-  every point below it. Only pairs that pass are looked at further.
+  every point below it. A pair that passes is bounded once more in the task by a map of `BITS` hashed places: a place that only one set
+  fills holds a shingle of its own. Only pairs that pass are looked at further.
 * Star passes take from each bucket, for every point, the one survivor of another component that comes first in a fixed
   random order. These pairs are bounded once more by `FINE` groups, verified on the full sets, and give components. A group of
   copies costs rows in proportion to its size. They end when the pairs left across components are few.
@@ -29,7 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.common import arrow_rows, mapped, written
@@ -42,6 +46,7 @@ LEAF = 16            # points of a leaf, and children of a node
 ORDERS = 4           # random orders of the star passes
 STARS = 4            # most star passes
 WORTH = 8            # pairs for each row of a bucket above which another star pass is made
+BITS = 2048          # places of the map of a set, beside its counts
 FINE = 1024          # groups of the second bound, on pairs
 BLOCK = 4096         # most points of a bucket in one tree
 SLOTS = 1 << 20      # of the table of shingle counts
@@ -70,16 +75,30 @@ def prefix(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Map of hashed places that the set fills."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[((shingles >> np.uint64(30)) % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(bits)
+
+
+def _apart(n, m, x, y):
+    """Largest overlap that two maps of sets of n and m shingles allow."""
+    only_x = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+    only_y = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+    return np.minimum(n - only_x, m - only_y)
+
+
 def _wide(v: np.ndarray) -> np.ndarray:
     """Vectors for bounds: a cut count may be any larger one."""
     return np.where(v == 255, np.int32(1 << 20), v.astype(np.int32))
 
 
 class CountTree:
-    """R-tree over count vectors, packed by size and the widest coordinates."""
+    """R-tree over count vectors, packed by size and the widest coordinates. `rooms` are the shingles from the bucket's place on, `maps` the maps."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, rooms: np.ndarray, maps: np.ndarray):
+        self.points, self.sizes, self.rooms, self.maps = points, sizes, rooms, maps
         spread = points.std(axis=0)
         c1, c2 = np.argsort(spread)[-2:]
         n = len(sizes)
@@ -98,11 +117,11 @@ class CountTree:
             if len(least) == 1:
                 break
 
-    def survivors(self, query: np.ndarray, size: np.ndarray):
-        """(query place, point place) of all pairs whose bound reaches the overlap they need."""
+    def survivors(self, query: np.ndarray, size: np.ndarray, room: np.ndarray, maps: np.ndarray):
+        """(query place, point place) of all pairs whose bounds reach the overlap they need."""
         q, node = np.arange(len(size)), np.zeros(len(size), np.int64)
         for top, least in reversed(self.levels):
-            keep = self._reaches(query, size, q, top, least, node)
+            keep = self._reaches(query, size, room, q, top, least, node)
             q, node = q[keep], node[keep]
             width = len(self.order) if top is self.levels[0][0] else None
             child = (node[:, None] * LEAF + np.arange(LEAF)).ravel()
@@ -110,28 +129,42 @@ class CountTree:
             limit = width if width is not None else len(self._below(top))
             inside = child < limit
             q, node = q[inside], child[inside]
-        keep = self._reaches(query, size, q, self.points[self.order], self.sizes[self.order], node, exact=True)
-        return q[keep], self.order[node[keep]]
+        found = self.order[node]
+        keep = pairs_fit((query, size, room, maps), q, (self.points, self.sizes, self.rooms, self.maps), found)
+        return q[keep], found[keep]
 
     def _below(self, top):
         at = next(i for i, level in enumerate(self.levels) if level[0] is top)
         return self.levels[at - 1][1]
 
     @staticmethod
-    def _reaches(query, size, q, points, sizes, at, exact=False):
+    def _reaches(query, size, room, q, points, sizes, at):
         keep = np.zeros(len(q), bool)
         for s in range(0, len(q), 20_000):
             i, j = q[s:s + 20_000], at[s:s + 20_000]
             bound = np.minimum(query[i], points[j]).sum(axis=1)
-            n, m = size[i], sizes[j]
-            if exact:
-                keep[s:s + 20_000] = np.minimum(np.minimum(bound, n), m) >= needed(n, m)
-            else:  # every point below has at least m, and one that can link at least 0.8 n
-                m = np.maximum(m, (4 * n + 4) // 5)
-                keep[s:s + 20_000] = np.minimum(bound, n) >= needed(n, m)
+            n = size[i]
+            m = np.maximum(sizes[j], (4 * n + 4) // 5)  # every point below has at least its least size, and one that can link at least 0.8 n
+            keep[s:s + 20_000] = np.minimum(bound, room[i]) >= needed(n, m)
         return keep
 
 
+def pairs_fit(left: tuple, i: np.ndarray, right: tuple, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows i and j of two sets of (points, sizes, rooms, maps) can link: by place, by counts, then by maps."""
+    (points, n, room, maps), (others, m, space, charts) = left, right
+    need = needed(n[i], m[j])
+    keep = np.minimum(room[i], space[j]) >= need
+    at = np.flatnonzero(keep)
+    for s in range(0, len(at), 20_000):
+        x = at[s:s + 20_000]
+        keep[x] = np.minimum(points[i[x]], others[j[x]]).sum(axis=1) >= need[x]
+    at = np.flatnonzero(keep)
+    for s in range(0, len(at), 20_000):
+        x = at[s:s + 20_000]
+        keep[x] = _apart(n[i[x]], m[j[x]], maps[i[x]], charts[j[x]]) >= need[x]
+    return keep
+
+
 def described(docs: DataFrame, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(doc_id, set_id, n, point, carried long columns) of all rows, and the slots of shingles that many documents hold with a level 1..15."""
     names = ["kind", "doc_id", "set_id", "n", "point", *carried]
@@ -141,7 +174,7 @@ def described(docs: DataFrame, carried: tuple[str, ...] = ()) -> tuple[DataFrame
         for batch in source:
             ids, others, rows = batch.column(0), batch.columns[2:], []
             for s in shingle_sets(batch.column(1), hasher):
-                rows.append((set_name(s), len(s), vector(s).tobytes() if len(s) else None))
+                rows.append((set_name(s), len(s), vector(s).tobytes() + bitmap(s).tobytes() if len(s) else None))
                 np.add.at(slots, (s & np.uint64(SLOTS - 1)).astype(np.int64), 1)
             a, n, v = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), ids.cast(pa.int64()), pa.array(a, pa.int64()),
@@ -161,7 +194,7 @@ def described(docs: DataFrame, carried: tuple[str, ...] = ()) -> tuple[DataFrame
 
 
 def _keys(docs: DataFrame, common: DataFrame) -> DataFrame:
-    """(key, set_id, n): the prefix shingles of all rows, once for each class and task."""
+    """(key, set_id, sized): the prefix shingles of all rows, once for each class and task. `sized` holds the set's size and the key's place."""
     level = np.zeros(SLOTS, np.uint64)
     for slot, n in common.collect():  # at most COMMON rows; only the order depends on them
         level[slot] = min(15, max(1, int(n).bit_length() - 2))
@@ -181,40 +214,61 @@ def _keys(docs: DataFrame, common: DataFrame) -> DataFrame:
                 seen.add(name)
                 p = prefix(len(s))
                 rank = (level[(s & np.uint64(SLOTS - 1)).astype(np.int64)] << np.uint64(60)) | (s >> low)
-                keys.append(s[np.argpartition(rank, p - 1)[:p]] if p < len(s) else s)
+                first = np.argpartition(rank, p - 1)[:p] if p < len(s) else np.arange(len(s))
+                keys.append(s[first[np.argsort(rank[first])]])
                 names.append(name)
                 sizes.append(len(s))
             if keys:
                 counts = [len(k) for k in keys]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), counts)),
-                                                  pa.array(np.repeat(np.array(sizes, np.int32), counts))], names=["key", "set_id", "n"])
+                                                  pa.array(np.repeat(np.array(sizes, np.int64) << 32, counts) + np.concatenate([np.arange(c) for c in counts]))],
+                                                 names=["key", "set_id", "sized"])
 
-    return mapped(docs.select(F.col("text").cast("string")), batches, "key long, set_id long, n int")
+    return mapped(docs.select(F.col("text").cast("string")), batches, "key long, set_id long, sized long")
+
+
+def _inner() -> Column:
+    """Whether a place can be that of the shorter set of a pair: its needed overlap with an equally large set fits behind it."""
+    n, place = F.shiftright("sized", 32), F.col("sized").bitwiseAND(0xFFFFFFFF)
+    return 9 * (n - place) >= 8 * n
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """Rows of keys that two or more classes share, without repeats. Rows stream by in key order; one is held back."""
+    """(key, set_id, n, room) of keys that two or more classes share, one of them at an inner place, without repeats. Rows stream by in key order,
+    inner ones first; one is held back."""
     def batches(source):
-        held, same = None, False  # the last row so far, and whether it has met another class
+        held, same, lead = None, False, False  # the last row so far, whether it has met another class, whether its key has an inner row
         for batch in source:
-            k, s, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            k, outer, s, z = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if held is not None:
-                k, s, n = (np.concatenate([[h], c]) for h, c in zip(held, (k, s, n)))
+                k, outer, s, z = (np.concatenate([[h], c]) for h, c in zip(held, (k, outer, s, z)))
             if not len(k):
                 continue
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
-            k, s, n = k[new], s[new], n[new]
+            k, outer, s, z = k[new], outer[new], s[new], z[new]
             after = np.concatenate([k[1:] == k[:-1], [False]])
             before = np.concatenate([[same and held is not None], k[1:] == k[:-1]])
-            keep = after | before
-            held, same = (k[-1], s[-1], n[-1]), bool(before[-1])
+            begin = np.concatenate([[True], k[1:] != k[:-1]])
+            inner = ~outer.astype(bool)
+            if held is not None:
+                inner[0] = lead
+            leads = inner[np.maximum.accumulate(np.where(begin, np.arange(len(k)), 0))]
+            keep = (after | before) & leads
+            held, same, lead = (k[-1], outer[-1], s[-1], z[-1]), bool(before[-1]), bool(leads[-1])
             keep[-1] = False
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(s[keep]), pa.array(n[keep].astype(np.int32))], names=["key", "set_id", "n"])
-        if held is not None and same:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]]), pa.array(np.array([held[2]], np.int32))], names=["key", "set_id", "n"])
+                yield _met_batch(k[keep], s[keep], z[keep])
+        if held is not None and same and lead:
+            yield _met_batch(*(np.array([held[i]], np.int64) for i in (0, 2, 3)))
+
+    dealt = rows.select("key", (~_inner()).cast("int").alias("outer"), "set_id", "sized").repartition("key").sortWithinPartitions("key", "outer", "set_id")
+    return mapped(dealt, batches, "key long, set_id long, n int, room int")
+
 
-    return mapped(rows.repartition("key").sortWithinPartitions("key", "set_id"), batches, "key long, set_id long, n int")
+def _met_batch(key, name, sized) -> pa.RecordBatch:
+    n = sized >> 32
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(name), pa.array(n.astype(np.int32)), pa.array((n - (sized & 0xFFFFFFFF)).astype(np.int32))],
+                                      names=["key", "set_id", "n", "room"])
 
 
 def _runs(source, width: int):
@@ -237,8 +291,10 @@ def _runs(source, width: int):
         yield held, np.array([0, len(held[0])])
 
 
-def _points(column: np.ndarray) -> np.ndarray:
-    return _wide(np.frombuffer(b"".join(column), np.uint8).reshape(-1, GROUPS))
+def _points(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Count vectors and maps of a column of points."""
+    both = np.frombuffer(b"".join(column), np.uint8).reshape(-1, GROUPS + BITS // 8)
+    return _wide(both[:, :GROUPS]), np.ascontiguousarray(both[:, GROUPS:]).view(np.uint64)
 
 
 def _pairs_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -248,10 +304,12 @@ def _pairs_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _star_pairs(rows: DataFrame) -> DataFrame:
-    """For each point of a bucket the first survivor of another component, over (key, block, set_id, n, point, component)."""
+    """For each point of a bucket the first survivor of another component, over (key, block, set_id, n, room, point, component)."""
     def batches(source):
-        for (key, block, name, n, point, component), edges in _runs(source, 2):
-            n, points = n.astype(np.int64), _points(point)
+        for (key, block, name, n, room, point, component), edges in _runs(source, 2):
+            n, room = n.astype(np.int64), room.astype(np.int64)
+            points, maps = _points(point)
+            every = (points, n, room, maps)
             spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
             order = mixed(name.view(np.uint64) + (key.view(np.uint64) % np.uint64(ORDERS)) * MIX1)
             first, partner = np.full(len(key), np.iinfo(np.uint64).max), np.full(len(key), -1)
@@ -263,21 +321,18 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
                 i = np.flatnonzero(np.arange(len(key)) + d < end)
                 if not len(i):
                     break
-                i = i[(component[i] != component[i + d]) & (np.maximum(n[i], n[i + d]) * 4 <= np.minimum(n[i], n[i + d]) * 5)]
-                for at in range(0, len(i), 20_000):
-                    x = i[at:at + 20_000]
-                    bound = np.minimum(np.minimum(points[x], points[x + d]).sum(axis=1), np.minimum(n[x], n[x + d]))
-                    x = x[bound >= needed(n[x], n[x + d])]
-                    for one, other in ((x, x + d), (x + d, x)):
-                        better = order[other] < first[one]
-                        first[one[better]], partner[one[better]] = order[other[better]], other[better]
+                x = i[component[i] != component[i + d]]
+                x = x[pairs_fit(every, x, every, x + d)]
+                for one, other in ((x, x + d), (x + d, x)):
+                    better = order[other] < first[one]
+                    first[one[better]], partner[one[better]] = order[other[better]], other[better]
             for s, e in spans:
                 if e - s <= LEAF:
                     continue
-                tree = CountTree(points[s:e], n[s:e])
+                tree = CountTree(points[s:e], n[s:e], room[s:e], maps[s:e])
                 for at in range(s, e, 256):
                     upto = min(e, at + 256)
-                    q, found = tree.survivors(points[at:upto], n[at:upto])
+                    q, found = tree.survivors(points[at:upto], n[at:upto], room[at:upto], maps[at:upto])
                     q, found = q + at, found + s
                     apart = component[q] != component[found]
                     q, found = q[apart], found[apart]
@@ -292,35 +347,36 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _rest_pairs(rows: DataFrame) -> DataFrame:
-    """Pass 2 over (key, block, set_id, n, point, component, builds): survivors across components between the points that build a
+    """Pass 2 over (key, block, set_id, n, room, point, component, builds): survivors across components between the points that build a
     block's tree and all points of the bucket. Rows that build come first in each run."""
     def batches(source):
         run, tree, built, a, b = None, None, [], [], []
 
-        def search(name, n, points, component):
-            own, own_n, own_points, own_component = built
-            q, found = tree.survivors(points, n)
+        def search(name, n, room, points, maps, component):
+            own, *_, own_component = built
+            q, found = tree.survivors(points, n, room, maps)
             keep = component[q] != own_component[found]
             if keep.any():
                 a.append(name[q[keep]])
                 b.append(own[found[keep]])
 
         for batch in source:
-            key, block, name, n, point, component, builds = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key, block, name, n, room, point, component, builds = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(key):
                 continue
-            n, points = n.astype(np.int64), _points(point)
+            n, room = n.astype(np.int64), room.astype(np.int64)
+            points, maps = _points(point)
             changed = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (builds[1:] != builds[:-1])) + 1
             for s, e in zip([0, *changed.tolist()], [*changed.tolist(), len(key)]):
                 here = (key[s], block[s])
                 if run != here:
                     run, tree, built = here, None, []
-                part = (name[s:e], n[s:e], points[s:e], component[s:e])
+                part = tuple(c[s:e] for c in (name, n, room, points, maps, component))
                 if builds[s]:
                     built = part if not built else tuple(np.concatenate(x) for x in zip(built, part))
                     tree = None
                 if built:
-                    tree = tree or CountTree(built[2], built[1])
+                    tree = tree or CountTree(built[3], built[1], built[2], built[4])
                     for at in range(0, e - s, 256):
                         search(*(c[at:at + 256] for c in part))
             if a:
@@ -430,10 +486,10 @@ def joined(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     n_rows = met.count()
     rows = met.withColumn("component", F.col("set_id"))
     for star in range(STARS):
-        verified(written(_star_pairs(_dealt(rows).join(points, "set_id").select("key", "block", "set_id", "n", "point", "component")), "pairs"))
+        verified(written(_star_pairs(_dealt(rows).join(points, "set_id").select("key", "block", "set_id", "n", "room", "point", "component")), "pairs"))
         grouped = components(links)
         named = written(met.join(grouped, met["set_id"] == grouped["node"], "left")
-                        .select("key", "set_id", "n", F.coalesce("component", "set_id").alias("component")), "named")
+                        .select("key", "set_id", "n", "room", F.coalesce("component", "set_id").alias("component")), "named")
         mixed_keys = written(named.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(
             F.sum("m").alias("size"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"))
             .where(F.col("most") < F.col("size")), "mixed")
@@ -446,7 +502,7 @@ def joined(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     rest = (named.join(mixed_keys.withColumn("blocks", blocks), "key")
             .withColumn("own", F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("key", "set_id"), "blocks").cast("int")))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(points, "set_id"))
-    verified(written(_rest_pairs(rest.select("key", "block", "set_id", "n", "point", "component", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("builds"))), "pairs"))
+    verified(written(_rest_pairs(rest.select("key", "block", "set_id", "n", "room", "point", "component", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("builds"))), "pairs"))
     final = components(links)
     reach = (classes.select("set_id", "member").join(final, F.col("set_id") == F.col("node"), "left")
              .withColumn("component", F.coalesce("component", "set_id")))
