@@ -46,7 +46,7 @@ LEAF = 16            # points of a leaf, and children of a node
 ORDERS = 4           # random orders of the star passes
 STARS = 4            # most star passes
 WORTH = 8            # pairs for each row of a bucket above which another star pass is made
-BITS = 2048          # places of the map of a set, beside its counts
+BITS = 1536          # places of the map of a set, beside its counts
 FINE = 1024          # groups of the second bound, on pairs
 BLOCK = 4096         # most points of a bucket in one tree
 SLOTS = 1 << 20      # of the table of shingle counts
@@ -239,30 +239,30 @@ def _met(rows: DataFrame) -> DataFrame:
     def batches(source):
         held, same, lead = None, False, False  # the last row so far, whether it has met another class, whether its key has an inner row
         for batch in source:
-            k, outer, s, z = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            k, s, z = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if held is not None:
-                k, outer, s, z = (np.concatenate([[h], c]) for h, c in zip(held, (k, outer, s, z)))
+                k, s, z = (np.concatenate([[h], c]) for h, c in zip(held, (k, s, z)))
             if not len(k):
                 continue
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
-            k, outer, s, z = k[new], outer[new], s[new], z[new]
+            k, s, z = k[new], s[new], z[new]
             after = np.concatenate([k[1:] == k[:-1], [False]])
             before = np.concatenate([[same and held is not None], k[1:] == k[:-1]])
             begin = np.concatenate([[True], k[1:] != k[:-1]])
-            inner = ~outer.astype(bool)
+            n = z >> 32
+            inner = 9 * (n - (z & 0xFFFFFFFF)) >= 8 * n
             if held is not None:
                 inner[0] = lead
             leads = inner[np.maximum.accumulate(np.where(begin, np.arange(len(k)), 0))]
             keep = (after | before) & leads
-            held, same, lead = (k[-1], outer[-1], s[-1], z[-1]), bool(before[-1]), bool(leads[-1])
+            held, same, lead = (k[-1], s[-1], z[-1]), bool(before[-1]), bool(leads[-1])
             keep[-1] = False
             if keep.any():
                 yield _met_batch(k[keep], s[keep], z[keep])
         if held is not None and same and lead:
-            yield _met_batch(*(np.array([held[i]], np.int64) for i in (0, 2, 3)))
+            yield _met_batch(*(np.array([h], np.int64) for h in held))
 
-    dealt = rows.select("key", (~_inner()).cast("int").alias("outer"), "set_id", "sized").repartition("key").sortWithinPartitions("key", "outer", "set_id")
-    return mapped(dealt, batches, "key long, set_id long, n int, room int")
+    return mapped(rows.repartition("key").sortWithinPartitions("key", _inner().desc(), "set_id"), batches, "key long, set_id long, n int, room int")
 
 
 def _met_batch(key, name, sized) -> pa.RecordBatch:
@@ -297,6 +297,10 @@ def _points(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _wide(both[:, :GROUPS]), np.ascontiguousarray(both[:, GROUPS:]).view(np.uint64)
 
 
+def _counts_only(column: np.ndarray) -> np.ndarray:
+    return _wide(np.frombuffer(b"".join(column), np.uint8).reshape(-1, GROUPS))
+
+
 def _pairs_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     a, b = np.concatenate(a), np.concatenate(b)
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -308,7 +312,8 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
     def batches(source):
         for (key, block, name, n, room, point, component), edges in _runs(source, 2):
             n, room = n.astype(np.int64), room.astype(np.int64)
-            points, maps = _points(point)
+            points = _counts_only(point)
+            maps = np.zeros((len(key), 1), np.uint64)  # one pair a point leaves a star pass, so counts are enough
             every = (points, n, room, maps)
             spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
             order = mixed(name.view(np.uint64) + (key.view(np.uint64) % np.uint64(ORDERS)) * MIX1)
@@ -486,8 +491,10 @@ def joined(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     n_rows = met.count()
     rows = met.withColumn("component", F.col("set_id"))
     for star in range(STARS):
-        verified(written(_star_pairs(_dealt(rows).join(points, "set_id").select("key", "block", "set_id", "n", "room", "point", "component")), "pairs"))
-        grouped = components(links)
+        verified(written(_star_pairs(_dealt(rows).join(points.withColumn("point", F.substring("point", 1, GROUPS)), "set_id").select(
+            "key", "block", "set_id", "n", "room", "point", "component")), "pairs"))
+        grouped = written(components(links), "grouped")
+        links = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))  # the same classes, already as stars
         named = written(met.join(grouped, met["set_id"] == grouped["node"], "left")
                         .select("key", "set_id", "n", "room", F.coalesce("component", "set_id").alias("component")), "named")
         mixed_keys = written(named.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(
