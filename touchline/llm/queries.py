@@ -93,7 +93,8 @@ measures AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END
 stats AS ({values}),
 grid(rule, i, c) AS (VALUES {grid}),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
-tests AS (SELECT stratum, s.rule, i, c, count(*) AS n, count(*) FILTER (WHERE v >= c) AS k FROM stats s JOIN good USING (doc_id) JOIN grid g ON g.rule = s.rule GROUP BY ALL),
+trials AS (SELECT stratum, doc_id, rule, max(v) AS v FROM stats JOIN good USING (doc_id) GROUP BY ALL),
+tests AS (SELECT stratum, s.rule, i, c, count(*) AS n, count(*) FILTER (WHERE v >= c) AS k FROM trials s JOIN grid g ON g.rule = s.rule GROUP BY ALL),
 passed AS (SELECT *, CASE WHEN k >= n * {p} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1)
     - CASE WHEN j = n THEN 0 ELSE lgamma(n - j + 1) END + j * ln({p}) + (n - j) * ln(1 - {p})))) END
     <= {risk_rules.DELTA} / ((SELECT count(DISTINCT stratum) FROM measures) * {len(rules)}) AS ok FROM tests),

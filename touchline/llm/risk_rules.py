@@ -93,7 +93,8 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """One row per stratum: n_good and, for each rule, the strictest cutoff that passes (null: none)."""
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    good = measures.join(marked.where("quality = 1"), "doc_id")
+    # one trial for each labelled id, by the worst of its rows: copies of a row say nothing new about good documents
+    good = measures.join(marked.where("quality = 1"), "doc_id").groupBy("stratum", "doc_id").agg(*[F.max(rule).alias(rule) for rule in RULES])
     counts = good.groupBy("stratum").agg(F.count("*").alias("n_good"), *[
         F.sum((F.col(rule) >= c).cast("long")).alias(f"{rule}_{i}") for rule, cuts in RULES.items() for i, c in enumerate(cuts)])
     strata = measures.select("stratum").distinct().agg(F.count("*").alias("strata"))
