@@ -350,3 +350,22 @@ def test_pipeline_takes_out_what_it_should(spark, tmp_path):
     for name, step in corpus_pipeline.STAGES[:-1]:
         stage = step(spark, stage, str(tmp_path))
         assert stage.columns == docs.columns
+
+
+def test_a_range_is_a_task_under_adaptive_execution(spark, tmp_path):
+    from pyspark.sql import Row
+    pages = spark.createDataFrame([Row(page_id=i, url=f"u{i}", html=f"page {i} " * 400) for i in range(200)])
+    manifest = warc_archive.write(pages, str(tmp_path))
+    ranges = sum(-(-r["size"] // 2000) for r in manifest.collect())
+    read = warc_archive.read(manifest, 2000)
+    assert ranges > 8 and read.withColumn("task", F.spark_partition_id()).count() == 200 and read.rdd.getNumPartitions() == ranges
+
+
+def test_copies_of_a_labelled_row_are_one_trial(spark):
+    """Twenty good documents prove nothing, however often their rows stand in the table."""
+    rows = [(i, "en", " ".join(f"w{i}x{k}" for k in range(30))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    copies = docs.crossJoin(spark.range(200).select(F.col("id").alias("copy"))).drop("copy")
+    found = risk_rules.cutoffs(risk_rules.measured(copies), labels).collect()
+    assert [r.n_good for r in found] == [20] and all(r[f"cut_{rule}"] is None for r in found for rule in risk_rules.RULES)

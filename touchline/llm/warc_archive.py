@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from touchline.llm.common import arrow_rows, written
 from touchline.session import checkpoint_dir
 
+MOST_TASKS = 100_000  # of a read; beyond that a task reads several ranges
 RANGE = 8 << 20
 READ = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -89,7 +90,7 @@ class _Window:
     """Bytes of a file from some place on, read as they are needed."""
 
     def __init__(self, handle, size: int, start: int):
-        self.handle, self.size, self.start, self.data = handle, size, start, b""
+        self.handle, self.size, self.start, self.data = handle, size, start, bytearray()
 
     def more(self) -> bool:
         at = self.start + len(self.data)
@@ -102,7 +103,8 @@ class _Window:
 
     def drop(self, upto: int) -> None:
         """Forget what lies before a place."""
-        self.data, self.start = self.data[upto - self.start:], upto
+        del self.data[:upto - self.start]
+        self.start = upto
 
 
 def _headers(data: bytes) -> dict[str, str] | None:
@@ -171,7 +173,8 @@ def read(manifest: DataFrame, range_bytes: int = RANGE, payloads: bool = False)
     """One row per record: page_id, record_type, refers_to, payload_bytes, payload_digest, url, and the payload if asked for (null
     for a revisit). The digest and length of a response are of the payload as read; a revisit tells its response's."""
     ranges = manifest.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
-    spread = ranges.repartition("path", "start")
+    # A range is a few bytes as a row; only a stated number of tasks keeps adaptive execution from joining all ranges into one.
+    spread = ranges.repartition(max(1, min(ranges.count(), MOST_TASKS)))
 
     def rows(source):
         number = lambda v: None if v is None else int(v)
