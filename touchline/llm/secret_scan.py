@@ -5,6 +5,11 @@ are decoded and reported only if their bytes parse: DER keys whose nested length
 length-prefixed strings fill the body, signed tokens whose header and payload are JSON and whose signature has
 the length that the named algorithm gives.
 
+Keys may be wrapped: a candidate starts at a token of digits whose first bytes open a DER sequence or an OpenSSH key, and
+its own length says how many digits belong to it. They are gathered over line ends (also escaped, as in JSON and env
+files), blanks, quotes and comment marks, so lines may be indented, of any width, and stand next to other encoded lines.
+A start reads at most `MOST_KEY` bytes.
+
 Null or empty text has no findings. Repeated rows are each scanned. Nothing depends on other columns. Finding
 positions are code points, end exclusive. Work is linear in the text, one row at a time.
 """
@@ -27,9 +32,16 @@ ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so the length can stand in the pattern
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: One line, or wrapped lines of equal style as in PEM bodies, whose last line (group 1) may be shorter or padding alone.
-ENCODED = re.compile(r"(?:[A-Za-z0-9+/]{32,}\r?\n)*[A-Za-z0-9+/_-]{32,}={0,2}(\r?\n(?=[A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{0,31}(?![A-Za-z0-9+/_-])={0,2})?")
-ENCODED_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
+#: Where a key can start: first digits of a DER sequence or of the OpenSSH magic, at the beginning of a token.
+DER_START = re.compile(r"M[A-I](?:(?<![A-Za-z0-9+/_]M[A-I])|(?<=\\[nrt]M[A-I]))")
+OPENSSH_START = re.compile(r"b3BlbnNz(?:(?<![A-Za-z0-9+/_]b3BlbnNz)|(?<=\\[nrt]b3BlbnNz))")
+HEX_START = re.compile(r"30(?<![0-9A-Za-z]30)")
+DIGITS64, DIGITS16 = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f]+")
+GOES_ON64, GOES_ON16 = re.compile(r"[A-Za-z0-9+/_]"), re.compile(r"[0-9A-Za-z]")
+#: What may stand between the digits of one key: white space, escaped line ends, quotes, comment and joining marks.
+BETWEEN = re.compile(r"""(?:\s|\\+[nrt]|\\(?=\s)|["'`#*>|,;:&]|\+(?<=["'\s]\+)(?=["'\s])){1,64}""")
+LEAST_KEY, MOST_KEY = 24, 65_539  # bytes
+MAGIC = b"openssh-key-v1\0"
 #: Signature bytes by algorithm; RSA signatures have the key's length.
 SIGNATURE = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64}
 
@@ -93,10 +105,9 @@ def der_key(data: bytes) -> str | None:
 
 def openssh_key(data: bytes) -> bool:
     """True for an OpenSSH private key whose length-prefixed strings fill the bytes."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if not data.startswith(MAGIC):
         return False
-    at = len(magic)
+    at = len(MAGIC)
 
     def string(at: int) -> int:
         if at + 4 > len(data):
@@ -118,7 +129,7 @@ def openssh_key(data: bytes) -> bool:
 
 
 def _base64(text: str) -> bytes | None:
-    text = text.replace("\n", "").replace("\r", "").translate({45: "+", 95: "/"}).rstrip("=")
+    text = text.translate({45: "+", 95: "/"}).rstrip("=")
     try:
         return binascii.a2b_base64(text + "=" * (-len(text) % 4), strict_mode=True)
     except binascii.Error:
@@ -148,19 +159,96 @@ def _key_kind(data: bytes | None) -> str | None:
     return "private_key" if der_key(data) else "openssh_key" if openssh_key(data) else None
 
 
-def _encoded(text: str, match: re.Match, spans: list) -> None:
-    """Keys in one base64 candidate: with its short last line, without it (the line may be other text), then line by line."""
-    start, end = match.span()
-    for stop in (end, match.start(1)):
-        if stop >= 0 and (kind := _key_kind(_base64(text[start:stop]))):
-            spans.append((kind, start, stop))
-            return
-    if "\n" in text[start:end]:
-        at = start
-        for line in text[start:end].split("\n"):
-            if len(line) >= 32 and (kind := _key_kind(_base64(line.rstrip("\r")))):
-                spans.append((kind, at, at + len(line.rstrip("\r"))))
-            at += len(line) + 1
+def _gather(text: str, at: int, size: int, digits: re.Pattern) -> tuple[str, int] | None:
+    """`size` digits from a place on, with what stands between left out, and the place after the last one."""
+    parts = []
+    while run := digits.match(text, at):
+        taken = min(size, run.end() - at)
+        parts.append(text[at:at + taken])
+        at, size = at + taken, size - taken
+        if not size:
+            return "".join(parts), at
+        if not (gap := BETWEEN.match(text, at)):
+            return None
+        at = gap.end()
+    return None
+
+
+class _Candidate:
+    """Bytes written in base64 or hex digits from a place on; no more is read than is asked for."""
+
+    def __init__(self, text: str, start: int, hexadecimal: bool = False):
+        self.text, self.start, self.hexadecimal = text, start, hexadecimal
+
+    def _digits(self, size: int) -> tuple[str, int] | None:
+        wanted = size * 2 if self.hexadecimal else -(-size * 4 // 3)
+        return _gather(self.text, self.start, wanted, DIGITS16 if self.hexadecimal else DIGITS64)
+
+    def read(self, size: int) -> bytes | None:
+        found = self._digits(size) if size <= MOST_KEY else None
+        data = found and (bytes.fromhex(found[0]) if self.hexadecimal else _base64(found[0] + "A" * (len(found[0]) % 4 == 1)))
+        return data[:size] if data and len(data) >= size else None
+
+    def end(self, size: int) -> int | None:
+        """The place after the digits of `size` bytes and their padding; None if the token goes on there."""
+        _, at = self._digits(size)
+        for _ in range(0 if self.hexadecimal else -size % 3):
+            gap = BETWEEN.match(self.text, at)
+            pad = at if self.text[at:at + 1] == "=" else gap.end() if gap and self.text[gap.end():gap.end() + 1] == "=" else None
+            if pad is None:
+                break
+            at = pad + 1
+        return None if (GOES_ON16 if self.hexadecimal else GOES_ON64).match(self.text, at) else at
+
+
+def _der_size(data: bytes | None) -> int:
+    """Length of the DER sequence that opens with these ten bytes, 0 if no key starts so: its first element is a version of 0 or 1
+    with a further element behind it, or a sequence that begins with an object identifier."""
+    if not data or data[0] != SEQUENCE or data[1] > 0x82 or data[1] == 0x80:
+        return 0
+    head = 2 + max(0, data[1] - 0x80)
+    size = head + (int.from_bytes(data[2:head], "big") if head > 2 else data[1])
+    version = data[head:head + 2] == bytes([INTEGER, 1]) and data[head + 2] <= 1 and data[head + 3] in (INTEGER, SEQUENCE, OCTETS)
+    named = data[head] == SEQUENCE and OID in data[head + 2:head + 5]
+    return size if (version or named) and size >= LEAST_KEY else 0
+
+
+def _openssh_size(key: _Candidate) -> int:
+    """Length of the OpenSSH key that starts there, by its length-prefixed strings; 0 if there is none."""
+    at = len(MAGIC)
+    if key.read(at) != MAGIC:
+        return 0
+    keys, strings = 0, 3  # cipher, key derivation, its options; then public keys and the private block
+    while strings:
+        head = key.read(at + 4)
+        if head is None:
+            return 0
+        at, strings = at + 4 + int.from_bytes(head[at:], "big"), strings - 1
+        if not strings and not keys:
+            head = key.read(at + 4)
+            keys = int.from_bytes(head[at:], "big") if head else 0
+            if not 1 <= keys <= 64:
+                return 0
+            at, strings = at + 4, keys + 1
+    return at
+
+
+def _keys(text: str) -> list[tuple[str, int, int]]:
+    """Private keys in base64 or hex digits, each from its start to the end that its own lengths give; after a key the search
+    goes on behind it."""
+    found = []
+    for start, size_of, hexadecimal in ((DER_START, None, False), (OPENSSH_START, _openssh_size, False), (HEX_START, None, True)):
+        upto = 0
+        for m in start.finditer(text):
+            if m.start() < upto:
+                continue
+            key = _Candidate(text, m.start(), hexadecimal)
+            size = size_of(key) if size_of else _der_size(key.read(10))
+            data = key.read(size) if size else None
+            if (kind := _key_kind(data)) and (end := key.end(size)) is not None:
+                found.append((kind, m.start(), end))
+                upto = end
+    return found
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
@@ -171,11 +259,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     spans += [("jwt", m.start(), m.end()) for m in TOKEN.finditer(text) if signed_token(m[0])]
-    for m in ENCODED.finditer(text):
-        _encoded(text, m, spans)
-    for m in ENCODED_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
-            spans.append((kind, m.start(), m.end()))
+    spans += _keys(text)
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
