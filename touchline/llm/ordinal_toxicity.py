@@ -10,7 +10,9 @@ the number of telling words in the text, cut at thirds of the toxic texts of the
 
 Fitting uses at most `SAMPLE` labelled rows, those of least hashed id, and at most `FEATURES` features. Texts are
 scored whole. Null and empty texts, and any text without a known feature, score the model's bias alone (as clean).
-Labels that are null or whose document is missing are left out; of several labels of one document the largest holds.
+Labels that are null or whose document is missing are left out; of several labels of one document the largest holds. A labelled id
+counts once: of several rows with it the text of least hash is learned from (of equal hashes the first text), every row is scored. Features
+of equal worth are taken in the order of their names.
 Without toxic or without clean labelled texts nothing can be learned and every score is 0.
 """
 
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import arrow_rows, mapped
+from touchline.llm.common import arrow_rows, mapped, written
 
 SAMPLE = 8000      # most labelled rows used
 FEATURES = 2048    # most features kept
@@ -101,7 +103,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
               .groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").cast("int").alias("toxic")))
     chosen = marked.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     rows = (docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
-            .select("doc_id", "text", "toxic"))
+            .groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least"), F.first("toxic").alias("toxic"))
+            .select("doc_id", "least.text", "toxic"))
+    rows = written(rows, "labelled")  # read three times below, at most `sample` rows
 
     def present(source):
         for _, text, toxic in source:
