@@ -9,7 +9,8 @@ share of the second's size, from 0 to 1; a prediction with a margin below `MARGI
 Training: of documents with a language and a text whose crc32(doc_id as text) mod 4 is not 2, for each language the `TEXTS`
 of least hashed id, `PIECE` characters of each at most (the bound of what is learned from), from a place that a second hash of
 the id gives, so every part of long texts is learned from; prediction reads whole texts
-and nothing but the text. Of equal sums the language with more training texts wins, then the first by name. Null text, or text without a letter, is `und` with score 0. So is
+and nothing but the text. Repeated rows count as often as they stand there. The `LANGUAGES` of most training rows are learned, of equal ones the
+first by name, which bounds what reaches the driver and the tasks. Of equal sums the language with more training texts wins, then the first by name. Null text, or text without a letter, is `und` with score 0. So is
 every text if there is nothing to learn from. With one language the score is 1. Rows without a doc_id are not held out and not learned from.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql.window import Window
 
 from touchline.llm.common import arrow_rows
 
+LANGUAGES = 64
 TEXTS = 256
 PIECE = 1500
 BLOCK = 2048
@@ -43,20 +45,21 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, texts: int = TEXTS, piece: int = PIECE) -> dict[str, bytes]:
-    """Dictionary content of each language, those with most training texts first: at most texts * piece characters each."""
+def learn(docs: DataFrame, texts: int = TEXTS, piece: int = PIECE, languages: int = LANGUAGES) -> dict[str, bytes]:
+    """Dictionary content of at most `languages` languages, those with most training texts first: at most texts * piece characters each."""
     rows = docs.select(F.col("doc_id"), "lang", F.col("text").cast("string").alias("text")).where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0) & ~held_out())
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "piece")
     places = F.greatest(F.length("text") - piece, F.lit(0)) + 1
     start = (F.pmod(F.xxhash64("doc_id", F.lit("place")), places) + 1).cast("int")
     # the window keeps the first rows of each task before anything is shuffled
-    first = rows.select("lang", "doc_id", F.substring("text", start, F.lit(piece)).alias("piece")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts)
-    counts = {str(r["lang"]): r["count"] for r in rows.groupBy("lang").count().collect()}
-    content: dict[str, list] = {}
+    first = (rows.where(F.col("lang").isin(list(counts))).select("lang", "doc_id", F.substring("text", start, F.lit(piece)).alias("piece"))
+             .withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts))
+    content: dict = {lang: [] for lang in counts}
     for r in first.orderBy("lang", "n").collect():
-        content.setdefault(str(r["lang"]), []).append(r["piece"])
-    return {lang: plain(" ".join(reversed(pieces))) for lang, pieces in sorted(content.items(), key=lambda x: (-counts[x[0]], x[0]))}
+        content[r["lang"]].append(r["piece"])
+    return {str(lang): plain(" ".join(reversed(pieces))) for lang, pieces in content.items()}
 
 
 class Judge:
