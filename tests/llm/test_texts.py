@@ -84,6 +84,50 @@ def test_wrapped_keys_with_any_last_line(width, end):
     assert not secret_scan.find_secrets(broken)
 
 
+def layouts(digits, width):
+    """Ways in which texts hold the lines of one key: (before, body, after)."""
+    lines = [digits[i:i + width] for i in range(0, len(digits), width)]
+    yield '{"private_key": "-----BEGIN KEY-----\\n', "\\n".join(lines), '\\n-----END KEY-----\\n"}'
+    yield "KEY='-----BEGIN KEY-----\\r\\n", "\\r\\n".join(lines), "\\r\\n-----END"
+    yield "key: |\n  ", "\n  ".join(lines), "\n  -----END KEY-----"
+    yield "\t", " \n\t".join(lines), " \n"
+    yield '("', '"\n    "'.join(lines), '")'
+    yield "x = '", "' +\n  '".join(lines), "'"
+    yield "# ", "\n# ".join(lines), "\n# end"
+    yield "> ", "\r\n> ".join(lines), "\r\nnow"
+    yield "-----BEGIN KEY----- ", " ".join(lines), " -----END KEY-----"
+    yield "-----BEGIN KEY-----", "\n".join(lines), "-----END KEY-----"
+
+
+@pytest.mark.parametrize("width", [16, 24, 64, 10_000])
+def test_keys_in_other_layouts_are_found_whole_and_cut_out(width):
+    keys = [(RSA, "private_key"), (EC, "private_key"), (PKCS8, "private_key"), (pkcs8_rsa(1217), "private_key"), (openssh(), "openssh_key")]
+    for data, kind in keys:
+        for before, body, after in layouts(base64.b64encode(data).decode(), width):
+            assert (kind, len(before), len(before) + len(body)) in secret_scan.find_secrets(before + body + after), (len(data), before)
+            assert secret_scan.redact(before + body + after) == f"{before}[{kind}]{after}"
+        broken = data[:len(data) // 2]  # of a key less one byte the next word may stand in
+        for before, body, after in layouts(base64.b64encode(broken).decode(), width):
+            assert kind not in {k for k, _, _ in secret_scan.find_secrets(before + body + after)}
+
+
+def test_hex_keys_over_lines_and_keys_beside_encoded_lines():
+    for sep in ("\n", "\n  ", ":", " "):
+        body = sep.join(EC.hex()[i:i + 2 if sep in ": " else i + 32] for i in range(0, 2 * len(EC), 2 if sep in ": " else 32))
+        assert ("private_key", 4, 4 + len(body)) in secret_scan.find_secrets("hex " + body + "\nend")
+    line = base64.b64encode(bytes(range(48))).decode()
+    body = "\n".join(base64.b64encode(RSA).decode()[i:i + 64] for i in range(0, -(-len(RSA) // 3) * 4, 64))
+    text = f"{line}\n{body}\n{line}\n{body}\n"
+    assert [k[:2] for k in secret_scan.find_secrets(text) if k[0] == "private_key"] == [("private_key", len(line) + 1), ("private_key", 2 * len(line) + len(body) + 3)]
+
+
+def test_very_long_texts_of_false_starts():
+    for word in ("MIIEowIB ", "30 82 02 ", "b3BlbnNz ", "MC "):
+        assert not {k for k, _, _ in secret_scan.find_secrets(word * 20_000)} & {"private_key", "openssh_key"}
+    text = "plain words of no weight " * 40_000 + base64.b64encode(PKCS8).decode()
+    assert [k[:2] for k in secret_scan.find_secrets(text)] == [("private_key", 25 * 40_000)]
+
+
 def test_short_line_takes_nothing_from_the_next_candidate():
     line = base64.b64encode(EC).decode()
     for before in ("a_b-" * 10 + "\n", "Zz09" * 12 + "\nshort\n", "Zz09" * 12 + "=\n"):
@@ -269,6 +313,81 @@ def test_language_odd_rows(spark):
     assert zstd_language.identified(two.limit(0)).count() == 0 and zstd_language.identified(two).count() == docs.count()
 
 
+def test_languages_learned_are_bounded(spark):
+    rows = [(n, f"only words of kind {n % 40} stand here", f"l{n % 40:02d}") for n in range(400)] + [(1000 + n, "das ist ein deutscher satz", "zz") for n in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = docs.where(~zstd_language.held_out()).groupBy("lang").count().collect()
+    wanted = [r[0] for r in sorted(counts, key=lambda r: (-r[1], r[0]))[:3]]
+    assert list(zstd_language.learn(docs, languages=3)) == wanted and wanted[0] == "zz"
+    assert {r.lang_pred for r in zstd_language.predict(docs, zstd_language.learn(docs, languages=3)).collect()} <= set(wanted)
+
+
+def test_languages_by_a_plain_version(spark):
+    """Sizes by compressors that load the dictionary anew for every block; equal sums, long texts and repeats included."""
+    import zstandard
+    rows = [(n, ("the house and the garden " if n % 2 else "das haus und der garten ") * (1 + n % 5) + f"nr{n}", "en" if n % 2 else "de") for n in range(80)]
+    rows += [(200, "qqq", None), (201, "the garden " * 9000, None), (202, "der garten 1", None), (202, "der garten 1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    content = zstd_language.learn(docs)
+
+    def plain(text):
+        data, sizes = zstd_language.plain(text), {}
+        for lang, known in content.items():
+            made = lambda: zstandard.ZstdCompressor(
+                level=zstd_language.LEVEL, dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT),  # noqa: B023
+                write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(made().compress(data[i:i + zstd_language.BLOCK])) for i in range(0, len(data), zstd_language.BLOCK))
+        return min(content, key=lambda lang: (sizes[lang], list(content).index(lang)))
+
+    texts = {r[0]: r[1] for r in rows}
+    got = zstd_language.predict(docs, content).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.lang_pred == plain(texts[r.doc_id]), r.doc_id
+
+
+def test_ordinal_fit_reaches_a_least_loss():
+    """The fitted point against a plain loss: no step in any direction lowers it."""
+    rng = random.Random(5)
+    x = [[rng.random() if rng.random() < 0.6 else 0.0 for _ in range(4)] for _ in range(150)]
+    grade = np.array([min(3, int(3 * max(0.0, r[0] - 0.5 * r[1] + 0.4 * rng.random()))) for r in x])
+    entries = [(i, j, v) for i, r in enumerate(x) for j, v in enumerate(r) if v]
+    row, column, value = (np.array(c) for c in zip(*entries))
+    w, theta = ordinal_toxicity.fit_ordinal((row, column, value), 4, grade, 4, steps=4000, ridge=0.01)
+
+    def loss(w, theta):
+        total = 0.0
+        for r, g in zip(x, grade):
+            at = lambda k: 1.0 if k == 3 else 0.0 if k < 0 else 1 / (1 + np.exp(-(theta[k] - sum(a * b for a, b in zip(r, w)))))  # noqa: E731, B023
+            total -= np.log(at(g) - at(g - 1))
+        return total / len(x) + 0.01 * sum(v * v for v in w) / 2
+
+    least = loss(w, theta)
+    assert list(theta) == sorted(theta)
+    for k in range(7):
+        for step in (-0.02, 0.02):
+            moved = np.concatenate([w, theta])
+            moved[k] += step
+            assert loss(moved[:4], moved[4:]) > least - 1e-7, k
+
+
+def test_repeated_labelled_rows_are_learned_once(spark):
+    words = ["calm", "river", "stone", "light", "paper", "green"]
+    rows = [(n, " ".join(words[(n + k) % 6] for k in range(9)) + (" vileword hatefulword" if n % 3 == 0 else ""), int(n % 3 == 0)) for n in range(90)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    once = ordinal_toxicity.fit(docs, labels)
+    often = ordinal_toxicity.fit(docs.unionByName(docs.where("doc_id < 3").crossJoin(spark.range(200).select())), labels.unionByName(labels))
+    assert once.weights and once.weights == often.weights and once.thresholds == often.thresholds
+    for r in ordinal_toxicity.score(docs, once).collect():
+        text, push = rows[r.doc_id][1], 0.0
+        for name, weight in once.weights.items():
+            n = sum(w == name or (name.endswith("-") and w.startswith(name[:-1]) and len(w) > len(name) - 1) for w in text.split())
+            push += weight * np.log1p(n)
+        above = [1 / (1 + np.exp(t - push)) for t in once.thresholds]
+        assert abs(r.expected_severity - sum(above)) < 1e-9 and abs(r.toxic_chance - above[0]) < 1e-9
+
+
 @pytest.mark.parametrize("name", ["op1_secret_scan", "op2_piece_codec", "op3_ordinal_toxicity", "op4_string_tiling", "op9_zstd_language"])
 def test_queries_run(spark, sf, name):
     from touchline.llm.queries import QUERIES
