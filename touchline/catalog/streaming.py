@@ -10,7 +10,7 @@ from touchline.catalog.registry import fsum_sql, n_sql, pct_sql, query
 from touchline.operators import grids
 from touchline.session import checkpoint_dir
 from touchline.sources.feed import match_feed
-from touchline.streaming import ingest, jobs, possessions
+from touchline.streaming import ingest, jobs, keyed, possessions
 
 PRESS = "type IN ('Interception','Tackle','Clearance','BlockedPass','BallRecovery','Challenge')"
 OK = "outcomeType = 'Successful'"
@@ -116,3 +116,58 @@ def landed_once(spark, sf_dir):
         ingest.land_once(stream, f"{home}/table", f"{home}/checkpoint-{again}").awaitTermination()
     return ingest.read_landed_events(spark, f"{home}/table").groupBy("eventId").agg(
         F.min("type").alias("type"), F.min("minute").alias("minute"), F.min("x").alias("x"), F.min("season").alias("season"), F.count("*").alias("copies"))
+
+
+# Schedule rows of four batches: kick-offs move, fixtures are postponed, called off and played.
+BATCHES = 4
+STEP_SQL = """l{m} AS (SELECT coalesce(l.fixture_id, f.fixture_id) AS fixture_id, CASE WHEN l.state='uploaded' THEN l.kickoff ELSE coalesce(f.kickoff, l.kickoff) END AS kickoff,
+ CASE WHEN l.state='uploaded' THEN 'uploaded' WHEN f.state IN ('cancelled','postponed') THEN f.state WHEN l.state IS NULL OR (f.kickoff IS NOT NULL AND f.kickoff IS DISTINCT FROM l.kickoff) THEN 'pending' ELSE l.state END AS state,
+ CASE WHEN l.state='uploaded' OR NOT (f.kickoff IS NOT NULL AND f.kickoff IS DISTINCT FROM l.kickoff) THEN coalesce(l.attempts, 0) ELSE 0 END AS attempts
+ FROM l{n} l FULL JOIN (SELECT * FROM f WHERE part = {n}) f ON l.fixture_id = f.fixture_id)"""
+
+
+@query("streamed_ledger", "ST9", FEED + """
+, m AS (SELECT DISTINCT CAST(matchId AS BIGINT) AS m, startDate AS d FROM feed),
+l0 AS (SELECT CAST(m AS VARCHAR) AS fixture_id, epoch(d)::double AS kickoff, CASE WHEN m % 6 = 1 THEN 'uploaded' ELSE 'failed' END AS state, 3 AS attempts FROM m WHERE m % 3 <> 0),
+f AS (SELECT CAST(m AS VARCHAR) AS fixture_id, p.part, epoch(d + CAST((m // 2 + p.part) % 3 // 2 AS INT))::double AS kickoff,
+ CASE WHEN (m + p.part) % 7 = 2 THEN 'postponed' WHEN (m + p.part) % 11 = 3 THEN 'cancelled' ELSE 'upcoming' END AS state FROM m, (VALUES (0),(1),(2),(3)) p(part) WHERE (m + p.part) % 4 <> 1),
+""" + ",\n".join(STEP_SQL.format(n=n, m=n + 1) for n in range(BATCHES)) + """
+SELECT fixture_id, kickoff, state, attempts FROM l4""")
+def streamed_ledger(spark, sf_dir):
+    """The ledger starts with two thirds of the fixtures; four batches of schedule rows follow, the last two under a new checkpoint."""
+    home = f"{checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    m = match_feed(spark, sf_dir).select(F.col("matchId").cast("bigint").alias("m"), "startDate").distinct()
+    table = keyed.ledger(spark, f"{home}/table")
+    table.put(m.where("m % 3 <> 0").select(F.col("m").cast("string").alias("fixture_id"), F.col("startDate").cast("timestamp").alias("kickoff"),
+                                           F.when(F.expr("m % 6 = 1"), "uploaded").otherwise("failed").alias("state"), F.lit(3).alias("attempts")), 0)
+    feed = m.select("*", F.explode(F.sequence(F.lit(0), F.lit(BATCHES - 1))).alias("part")).where("(m + part) % 4 <> 1")
+    state = F.when(F.expr("(m + part) % 7 = 2"), "postponed").when(F.expr("(m + part) % 11 = 3"), "cancelled").otherwise("upcoming")
+    feed = feed.select(F.col("m").cast("string").alias("fixture_id"), F.expr("date_add(startDate, cast((m div 2 + part) % 3 div 2 as int))").cast("timestamp").alias("kickoff"),
+                       state.alias("state"), F.lit(2).alias("seq"), "part")
+    old = feed.withColumn("seq", F.lit(1)).withColumn("state", F.lit("cancelled"))
+    half = BATCHES // 2
+    for run in range(2):
+        rows = feed.unionByName(old).where(F.col("part").between(run * half, run * half + half - 1)).withColumn("part", F.col("part") - run * half)
+        keyed.schedule_ledger(in_files(spark, rows, half, f"{home}/{run}"), f"{home}/table", f"{home}/checkpoint-{run}").awaitTermination()
+    return table.rows().withColumn("kickoff", F.unix_timestamp("kickoff").cast("double"))
+
+
+PART_SQL = """CASE WHEN eventId % 17 = 0 THEN least("index" // 150 + 1, 5) ELSE least("index" // 150, 5) END"""
+
+
+@query("late_side_table", "ST10", FEED + f"""
+, r AS (SELECT eventId, matchId, league, season, ts, {PART_SQL} AS part FROM feed), p AS (SELECT matchId, part, max(ts) AS m FROM r GROUP BY ALL),
+k AS (SELECT matchId, part, max(m) OVER (PARTITION BY matchId ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mk FROM p),
+a AS (SELECT r.*, coalesce(ts < mk - INTERVAL 120 seconds, false) AS late FROM r JOIN k USING (matchId, part)),
+s AS (SELECT DISTINCT league, season FROM a WHERE late)
+SELECT a.eventId, a.late, s.league IS NOT NULL AS rerun, 1 AS copies FROM a LEFT JOIN s ON s.league = a.league AND s.season = a.season""")
+def late_side_table(spark, sf_dir):
+    """The feed lands in six batches by place in the match; every 17th event comes a batch later. Late rows go to the side table; their seasons are made again."""
+    home = f"{checkpoint_dir(spark).rstrip('/')}/late-{uuid.uuid4().hex}"
+    block = F.floor(F.col("index") / 150)
+    ev = timed(spark, sf_dir).select("eventId", "matchId", "league", "season", "ts", F.least(F.when(F.col("eventId") % 17 == 0, block + 1).otherwise(block), F.lit(5)).alias("part"))
+    keyed.split_late(in_files(spark, ev, 6, home), f"{home}/table", f"{home}/checkpoint").awaitTermination()
+    rows = keyed.read_split(spark, f"{home}/table", "eventId long, matchId string, league string, season string, ts timestamp")
+    again = keyed.seasons_to_rerun(rows).select(F.col("eventId").alias("_e")).distinct()
+    return rows.join(again, F.col("eventId") == F.col("_e"), "left").groupBy("eventId").agg(
+        F.max("late").alias("late"), F.max(F.col("_e").isNotNull()).alias("rerun"), F.count("*").cast("int").alias("copies"))
