@@ -21,7 +21,7 @@ XF_SQL = XT_SQL + """,
 xf AS (SELECT f.*, coalesce(xt.xt,0) AS xtv FROM feed f LEFT JOIN xt USING (eventId))"""
 NP_SQL = XF_SQL + f""",
 rr AS (SELECT *, lead(teamName) OVER w AS nt, lead(playerId) OVER w AS nid, lead(playerName) OVER w AS nn FROM xf WHERE type <> 'Card' WINDOW w AS (PARTITION BY matchId ORDER BY "index")),
-np AS (SELECT *, nid AS receiver, nn AS rname, {PROG} AS prog FROM rr WHERE type='Pass' AND {OK} AND nt = teamName AND playerId > 0 AND nid > 0)"""
+np AS MATERIALIZED (SELECT *, nid AS receiver, nn AS rname, {PROG} AS prog FROM rr WHERE type='Pass' AND {OK} AND nt = teamName AND playerId > 0 AND nid > 0)"""
 
 
 def feed(spark, sf_dir):
@@ -35,7 +35,7 @@ nd0 AS (SELECT matchId, teamName, playerId, min(pl) AS player, median(x) FILTER
   median(y) FILTER (WHERE role='r') AS receive_y, {n_sql("role='m'")} AS passes_made, {n_sql("role='r'")} AS passes_received, {n_sql("role='m' AND prog")} AS progressive_passes_made, {n_sql("role='r' AND prog")} AS progressive_passes_received,
   {n_sql("role='c'")} AS carries, {n_sql("role='c' AND prog")} AS progressive_carries, {n_sql("role='t'")} AS take_ons, coalesce({fmean_sql('len')},0) AS avg_pass_distance FROM rl GROUP BY matchId, teamName, playerId),
 nd1 AS (SELECT *, (coalesce(play_x,receive_x)+coalesce(receive_x,play_x))/2 AS x, (coalesce(play_y,receive_y)+coalesce(receive_y,play_y))/2 AS y, passes_made+passes_received AS "count" FROM nd0 WHERE passes_made+passes_received > 0),
-nodes AS (SELECT *, 18 + {ratio_sql('"count"', 'greatest(1, max("count") OVER (PARTITION BY matchId, teamName))', 38)} AS size, {ratio_sql('progressive_passes_made','greatest(1, max(progressive_passes_made) OVER (PARTITION BY matchId, teamName))')} AS progressive_intensity FROM nd1)"""
+nodes AS MATERIALIZED (SELECT *, 18 + {ratio_sql('"count"', 'greatest(1, max("count") OVER (PARTITION BY matchId, teamName))', 38)} AS size, {ratio_sql('progressive_passes_made','greatest(1, max(progressive_passes_made) OVER (PARTITION BY matchId, teamName))')} AS progressive_intensity FROM nd1)"""
 
 
 @query("pass_network_nodes", "A20 J17", SQUAD + NODE_SQL + " SELECT * FROM nodes")
@@ -200,22 +200,72 @@ _POINTS = {
     "Central Access": f"{_REACH('central_passes', 7, 58)} + {_REACH('central', 1.8, 22)} + {_THREAT(10, 28)}",
     "Final Third Threat": f"{_REACH('final', 1.25, 56)} + {_THREAT(24, 58)}",
     "Directness": f"{_REACH('direct', 1.45, 68)} + {_REACH('prog+pc', 5.5, 14)}"}
-PROFILE_SQL = NODE_SQL + f""",
+EDGE_SQL = NODE_SQL + f""",
 pe AS (SELECT matchId, teamName, playerId, receiver, count(*) AS pass_count, median(x) AS source_x, median(y) AS source_y, median(endX) AS target_x, median(endY) AS target_y, {fsum_sql('xtv')} AS total_xt, {n_sql('prog')} AS progressive_count
   FROM np WHERE playerId <> receiver GROUP BY matchId, teamName, playerId, receiver),
 ed AS (SELECT e.*, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, greatest(b.x, target_x) - least(a.x, source_x) AS gain FROM pe e JOIN nodes a ON a.matchId=e.matchId AND a.teamName=e.teamName AND a.playerId=e.playerId JOIN nodes b ON b.matchId=e.matchId AND b.teamName=e.teamName AND b.playerId=e.receiver),
-fl AS (SELECT *, (y1 <= 18 OR y1 >= 50 OR target_y <= 18 OR target_y >= 50) AND (progressive_count >= 1 OR gain >= 10) AND pass_count >= 2 AS wd, {_HALF('x0','y0')} OR {_HALF('x1','y1')} OR {_HALF('source_x','source_y')} OR {_HALF('target_x','target_y')} AS ce,
-  sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) >= 34 OR (progressive_count >= 2 AND gain >= 15) AS dr FROM ed),
+fl AS MATERIALIZED (SELECT *, (y1 <= 18 OR y1 >= 50 OR target_y <= 18 OR target_y >= 50) AND (progressive_count >= 1 OR gain >= 10) AND pass_count >= 2 AS wd, {_HALF('x0','y0')} OR {_HALF('x1','y1')} OR {_HALF('source_x','source_y')} OR {_HALF('target_x','target_y')} AS ce,
+  sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) >= 34 OR (progressive_count >= 2 AND gain >= 15) AS dr, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) AS far, x1 >= 70 OR target_x >= 70 AS fin,
+  total_xt >= 0.03::double OR total_xt/pass_count >= 0.01::double AS th FROM ed)"""
+PROFILE_SQL = EDGE_SQL + f""",
 es AS (SELECT matchId, teamName, sum(pass_count) AS passes, count(*) AS links, sum(progressive_count) AS prog, {fsum_sql('total_xt')} AS xt, {n_sql('x1 >= 70 OR target_x >= 70')} AS final, {n_sql('wd')} AS wide, {n_sql('ce')} AS central, sum(CASE WHEN ce THEN pass_count ELSE 0 END) AS central_passes, {n_sql('dr')} AS direct FROM fl GROUP BY ALL),
 ns AS (SELECT matchId, teamName, count(*) AS n, sum(progressive_carries) AS pc, sum(take_ons) AS tk FROM nodes GROUP BY ALL),
-sc AS (SELECT * FROM es JOIN ns USING (matchId, teamName)),
-lg AS (""" + " UNION ALL ".join(f"SELECT matchId, teamName, '{k}' AS profile, CAST(floor(greatest(0, least(100, {e}))+0.5) AS INT) AS score FROM sc" for k, e in _POINTS.items()) + """)
+sc AS MATERIALIZED (SELECT * FROM es JOIN ns USING (matchId, teamName)),
+lg AS MATERIALIZED (""" + " UNION ALL ".join(f"SELECT matchId, teamName, '{k}' AS profile, CAST(floor(greatest(0, least(100, {e}))+0.5) AS INT) AS score FROM sc" for k, e in _POINTS.items()) + """)
 SELECT a.*, CAST(CASE WHEN b.score IS NULL THEN a.score ELSE floor(greatest(0, least(100, 50 + (a.score-b.score)*0.65::double))+0.5) END AS INT) AS matchup_score FROM lg a LEFT JOIN lg b ON a.matchId=b.matchId AND a.profile=b.profile AND a.teamName<>b.teamName"""
 
 
 @query("team_possession_profiles", "A60", SQUAD + PROFILE_SQL)
 def team_possession_profiles(spark, sf_dir):
+    return v.team_possession_profiles(*_network(spark, sf_dir))
+
+
+def _network(spark, sf_dir):
     ev = feed(spark, sf_dir)
     passes = v.network_passes(ev)
     nodes = v.network_nodes(ev, passes)
-    return v.team_possession_profiles(nodes, v.network_edges(passes, nodes))
+    return nodes, v.network_edges(passes, nodes)
+
+
+_ONWARD, _REPEAT = ("progressive_count > 0", "progressive_count"), ("pass_count >= 3", "pass_count")
+_WIDE = ("wd", "progressive_count*2 + greatest(0, gain/10) + pass_count*0.35::double")
+_FINAL = ("fin AND th", "pass_count + greatest(0, total_xt*35)")
+_EDGES = {
+    "Build-up Control": _REPEAT, "Progressive Passing": _ONWARD, "Wide Progression": _WIDE, "Central Access": ("ce", "pass_count + greatest(0, total_xt*20)"),
+    "Final Third Threat": _FINAL, "Directness": ("dr", "greatest(1, far/18) + progressive_count*1.5::double"), "Progressor": _ONWARD, "Connector": _REPEAT,
+    "Final Third Creator": _FINAL, "Outlet Receiver": ("progressive_count > 0 OR fin", "pass_count + progressive_count*2"), "Build-up Anchor": ("x0 <= 45 AND pass_count >= 2", "pass_count"),
+    "Advanced Link Player": ("x1 >= 62 AND (th OR progressive_count > 0)", "pass_count + greatest(0, total_xt*30)"), "Wide Outlet": _WIDE}
+
+
+@query("profile_edges", "A60", SQUAD + EDGE_SQL + " " + " UNION ALL ".join(
+    f"SELECT matchId, teamName, playerId, receiver, '{k}' AS profile, CAST(floor(({w})::double*1e6+0.5) AS BIGINT) AS weight_micro FROM fl WHERE {on}" for k, (on, w) in _EDGES.items()))
+def profile_edges(spark, sf_dir):
+    return v.profile_edges(_network(spark, sf_dir)[1]).withColumn("weight_micro", fixed(F.col("weight"))).drop("weight")
+
+
+_SHARE = lambda n, top, w: f"({n})::double/greatest(1.0::double, max({top}) OVER side)*{float(w)}::double"
+_GOAL = lambda n, goal, w: f"least({float(w)}::double, ({n})::double/{float(goal)}::double*{float(w)}::double)"
+_XT, _TAKE = "greatest(0, xo)", "take_ons"
+_ACTS = "progressive_passes_made+progressive_carries"
+_ROLES = [
+    ("Progressor", "true", _SHARE("po+progressive_carries", _ACTS, 46) + " + " + _SHARE(_XT, "xo", 26) + " + " + _SHARE(_TAKE, _TAKE, 8)),
+    ("Connector", "true", _SHARE('"count"', '"count"', 46) + " + " + _SHARE("links", "links", 28) + " + " + _GOAL('"count"', 30, 10)),
+    ("Final Third Creator", "true", _SHARE("fo", "fo", 42) + " + " + _SHARE(_XT, "xo", 28) + " + " + _SHARE(_TAKE, _TAKE, 8)),
+    ("Outlet Receiver", "true", _SHARE("progressive_passes_received", "progressive_passes_received", 42) + " + " + _SHARE("passes_received", "passes_received", 34) + " + " + _GOAL("passes_received", 18, 8)),
+    ("Build-up Anchor", "x <= 45", _SHARE("passes_made", '"count"', 34) + " + " + _SHARE("de", "de", 44) + " + " + _GOAL("de", 8, 8)),
+    ("Advanced Link Player", "x >= 60", _SHARE("hi", "hi", 40) + " + " + _SHARE(_XT, "xo", 26) + " + " + _SHARE(_TAKE, _TAKE, 10)),
+    ("Wide Outlet", "(y <= 20 OR y >= 48)", _SHARE("wi", "wi", 42) + " + " + _SHARE("pi", "progressive_passes_received", 22)
+     + f" + (progressive_carries+take_ons)::double/(greatest(1.0::double, max({_ACTS}) OVER side)+greatest(1.0::double, max(take_ons) OVER side))*12.0::double")]
+
+
+@query("player_roles", "A60", SQUAD + EDGE_SQL + f""",
+en AS (SELECT matchId, teamName, playerId AS pid, true AS o, * EXCLUDE (matchId, teamName, playerId) FROM fl UNION ALL SELECT matchId, teamName, receiver, false, * EXCLUDE (matchId, teamName, playerId) FROM fl),
+ow AS (SELECT matchId, teamName, pid, count(*) AS links, sum(CASE WHEN o THEN progressive_count ELSE 0 END) AS po, sum(CASE WHEN o THEN 0 ELSE progressive_count END) AS pi, {fsum_sql('CASE WHEN o THEN total_xt END')} AS xo,
+  {n_sql('o AND x1 >= 70')} AS fo, {n_sql('x0 <= 45')} AS de, {n_sql('x1 >= 62')} AS hi, {n_sql('wd')} AS wi FROM en GROUP BY ALL),
+pl AS (SELECT n.*, coalesce(links,0) AS links, coalesce(po,0) AS po, coalesce(pi,0) AS pi, coalesce(xo,0) AS xo, coalesce(fo,0) AS fo, coalesce(de,0) AS de, coalesce(hi,0) AS hi, coalesce(wi,0) AS wi
+  FROM nodes n LEFT JOIN ow ON ow.matchId=n.matchId AND ow.teamName=n.teamName AND ow.pid=n.playerId),
+sc AS MATERIALIZED (SELECT matchId, teamName, playerId, player, x, y, """ + ", ".join(f"CAST(floor(greatest(0, least(100, {e}))+0.5) AS INT) AS s{i}" for i, (_, _, e) in enumerate(_ROLES)) + """ FROM pl WINDOW side AS (PARTITION BY matchId, teamName)),
+lg AS (""" + " UNION ALL ".join(f"SELECT matchId, teamName, playerId, player, '{k}' AS role, s{i} AS score, {i} AS place FROM sc WHERE {on}" for i, (k, on, _) in enumerate(_ROLES)) + """)
+SELECT matchId, teamName, playerId, player, role, score, CAST(row_number() OVER (PARTITION BY matchId, teamName, playerId ORDER BY score DESC, place) AS INT) AS "rank" FROM lg""")
+def player_roles(spark, sf_dir):
+    return v.player_roles(*_network(spark, sf_dir))

@@ -16,6 +16,11 @@ def c(name):
     return F.col(name)
 
 
+def whole(points):
+    """Points as a whole score between 0 and 100."""
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), points)) + 0.5).cast("int")
+
+
 def zero(name):
     return F.coalesce(F.col(name), F.lit(0.0))
 
@@ -255,6 +260,80 @@ def passing_triangles(chains: DataFrame, top: int = 6) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(w)).where((c("rank") <= top) & (c("count") >= 2))
 
 
+def edge_flags():
+    """What an edge says about the profiles it counts for; lines between places of nodes and of the passes themselves."""
+    gain = F.greatest("x1", "target_x") - F.least("x0", "source_x")
+    wide_y = lambda v: (v <= 18) | (v >= 50)
+    half = lambda x, y: (x >= 52.5) & (y.between(18, 30) | y.between(38, 50))
+    reach = dist(c("x1"), c("y1"), c("x0"), c("y0"))
+    return {
+        "gain": gain, "reach": reach, "progressive": c("progressive_count") > 0,
+        "wide": (wide_y(c("y1")) | wide_y(c("target_y"))) & ((c("progressive_count") >= 1) | (gain >= 10)) & (c("pass_count") >= 2),
+        "central": half(c("x0"), c("y0")) | half(c("x1"), c("y1")) | half(c("source_x"), c("source_y")) | half(c("target_x"), c("target_y")),
+        "direct": (reach >= 34) | ((c("progressive_count") >= 2) & (gain >= 15)),
+        "final": (c("x1") >= 70) | (c("target_x") >= 70), "threat": (c("total_xt") >= 0.03) | (c("avg_xt") >= 0.01)}
+
+
+def profile_edges(edges: DataFrame) -> DataFrame:
+    """Edges that stand for each team profile and player role, with their weight there; one row per edge and profile."""
+    f = edge_flags()
+    passes, prog, xt = c("pass_count"), c("progressive_count"), c("total_xt")
+    up = lambda v: F.greatest(F.lit(0.0), v)
+    repeat, onward = (passes >= 3, passes.cast("double")), (f["progressive"], prog.cast("double"))
+    wide = (f["wide"], prog * 2 + up(f["gain"] / 10) + passes * 0.35)
+    final = (f["final"] & f["threat"], passes + up(xt * 35))
+    rules = {
+        "Build-up Control": repeat, "Progressive Passing": onward, "Wide Progression": wide, "Central Access": (f["central"], passes + up(xt * 20)),
+        "Final Third Threat": final, "Directness": (f["direct"], F.greatest(F.lit(1.0), f["reach"] / 18) + prog * 1.5),
+        "Progressor": onward, "Connector": repeat, "Final Third Creator": final, "Outlet Receiver": (f["progressive"] | f["final"], passes + prog * 2.0),
+        "Build-up Anchor": ((c("x0") <= 45) & (passes >= 2), passes.cast("double")),
+        "Advanced Link Player": ((c("x1") >= 62) & (f["threat"] | f["progressive"]), passes + up(xt * 30)), "Wide Outlet": wide}
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("profile"), on.alias("on"), w.alias("weight")) for k, (on, w) in rules.items()]))
+    return edges.select("matchId", "teamName", "playerId", "receiver", rows.alias("r")).where("r.on").select(
+        "matchId", "teamName", "playerId", "receiver", "r.profile", "r.weight")
+
+
+def player_roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Role scores (0-100) of every player of a network, from the player's own edges, scaled by the side's best.
+
+    Four roles fit everyone; anchor, link player and wide outlet only those whose place is deep, high or wide. An edge is
+    read once and gives a row to each of its ends; sums come before the side's maxima, which are taken over its players.
+    """
+    keys = ["matchId", "teamName"]
+    end = lambda who, out: F.struct(c(who).alias("playerId"), F.lit(out).alias("out"))
+    e = edges.withColumn("_wide", edge_flags()["wide"]).withColumn("e", F.explode(F.array(end("playerId", True), end("receiver", False))))
+    out = c("e.out")
+    own = e.groupBy(*keys, c("e.playerId").alias("playerId")).agg(
+        F.count("*").alias("links"), F.sum(F.when(out, c("progressive_count")).otherwise(0)).alias("prog_out"),
+        F.sum(F.when(~out, c("progressive_count")).otherwise(0)).alias("prog_in"), sum_if(out, c("total_xt")).alias("xt_out"),
+        n_if(out & (c("x1") >= 70)).alias("final_out"), n_if(c("x0") <= 45).alias("deep"), n_if(c("x1") >= 62).alias("high"), n_if(c("_wide")).alias("wide"))
+    counts = ["links", "prog_out", "prog_in", "xt_out", "final_out", "deep", "high", "wide"]
+    s = nodes.join(own, keys + ["playerId"], "left").fillna(0, counts).withColumn("acts", c("prog_out") + c("progressive_carries"))
+    s = s.withColumn("made_acts", c("progressive_passes_made") + c("progressive_carries")).withColumn("xtp", F.greatest(F.lit(0.0), c("xt_out")))
+    side = W.partitionBy(*keys)
+    best = lambda v: F.greatest(F.lit(1.0), F.max(v).over(side))
+    s = s.withColumns({f"best_{k}": best(k) for k in ("links", "xt_out", "final_out", "deep", "high", "wide", "made_acts", "take_ons", "count",
+                                                      "passes_received", "progressive_passes_received")})
+    share = lambda v, top, w: c(v) / c(f"best_{top}") * float(w)
+    target = lambda v, goal, w: F.least(F.lit(float(w)), c(v) / float(goal) * float(w))
+    y = c("y")
+    roles = [
+        ("Progressor", None, share("acts", "made_acts", 46) + share("xtp", "xt_out", 26) + share("take_ons", "take_ons", 8)),
+        ("Connector", None, share("count", "count", 46) + share("links", "links", 28) + target("count", 30, 10)),
+        ("Final Third Creator", None, share("final_out", "final_out", 42) + share("xtp", "xt_out", 28) + share("take_ons", "take_ons", 8)),
+        ("Outlet Receiver", None, share("progressive_passes_received", "progressive_passes_received", 42)
+         + share("passes_received", "passes_received", 34) + target("passes_received", 18, 8)),
+        ("Build-up Anchor", c("x") <= 45, share("passes_made", "count", 34) + share("deep", "deep", 44) + target("deep", 8, 8)),
+        ("Advanced Link Player", c("x") >= 60, share("high", "high", 40) + share("xtp", "xt_out", 26) + share("take_ons", "take_ons", 10)),
+        ("Wide Outlet", (y <= 20) | (y >= 48), share("wide", "wide", 42) + share("prog_in", "progressive_passes_received", 22)
+         + (c("progressive_carries") + c("take_ons")) / (c("best_made_acts") + c("best_take_ons")) * 12.0)]
+    rows = F.array(*[F.struct((whole(v) if fits is None else F.when(fits, whole(v))).alias("score"), F.lit(i).alias("place"), F.lit(k).alias("role"))
+                     for i, (k, fits, v) in enumerate(roles)])
+    # At most seven entries a player: the order is that of scores, then of the list above.
+    ranked = F.array_sort(F.transform(F.filter(rows, lambda r: r["score"].isNotNull()), lambda r: F.struct(
+        (-r["score"]).alias("s"), r["place"].alias("place"), r["role"].alias("role"))))
+    return s.select(*keys, "playerId", "player", F.posexplode(ranked).alias("i", "r")).select(
+        *keys, "playerId", "player", c("r.role").alias("role"), (-c("r.s")).alias("score"), (c("i") + 1).alias("rank"))
 
 
 def team_possession_profiles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -263,15 +342,11 @@ def team_possession_profiles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     50 in the matchup is level. Node and edge sums come first; the scores work on two rows per match.
     """
     keys = ["matchId", "teamName"]
-    gain = F.greatest("x1", "target_x") - F.least("x0", "source_x")
-    wide_y = lambda v: (v <= 18) | (v >= 50)
-    half = lambda x, y: (x >= 52.5) & (y.between(18, 30) | y.between(38, 50))
-    wide = (wide_y(c("y1")) | wide_y(c("target_y"))) & ((c("progressive_count") >= 1) | (gain >= 10)) & (c("pass_count") >= 2)
-    central = half(c("x0"), c("y0")) | half(c("x1"), c("y1")) | half(c("source_x"), c("source_y")) | half(c("target_x"), c("target_y"))
-    direct = (dist(c("x1"), c("y1"), c("x0"), c("y0")) >= 34) | ((c("progressive_count") >= 2) & (gain >= 15))
+    f = edge_flags()
+    wide, central, direct = f["wide"], f["central"], f["direct"]
     e = edges.groupBy(*keys).agg(
         F.sum("pass_count").alias("passes"), F.count("*").alias("links"), F.sum("progressive_count").alias("prog"), fsum(c("total_xt")).alias("xt"),
-        n_if((c("x1") >= 70) | (c("target_x") >= 70)).alias("final"), n_if(wide).alias("wide"), n_if(central).alias("central"),
+        n_if(f["final"]).alias("final"), n_if(wide).alias("wide"), n_if(central).alias("central"),
         F.sum(F.when(central, c("pass_count")).otherwise(0)).alias("central_passes"), n_if(direct).alias("direct"))
     n = nodes.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("progressive_carries").alias("pc"), F.sum("take_ons").alias("to"))
     s = n.join(e, keys).withColumn("acts", c("prog") + c("pc")).withColumn("xtp", F.greatest(F.lit(0.0), c("xt")))
@@ -285,7 +360,6 @@ def team_possession_profiles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "Central Access": reach(c("central_passes"), 7, 58) + reach(c("central"), 1.8, 22) + threat(10, 28),
         "Final Third Threat": reach(c("final"), 1.25, 56) + threat(24, 58),
         "Directness": reach(c("direct"), 1.45, 68) + reach(c("acts"), 5.5, 14)}
-    whole = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), v)) + 0.5).cast("int")
     out = s.select(*keys, *[whole(v).alias(k) for k, v in points.items()]).unpivot(keys, list(points), "profile", "score")
     m = W.partitionBy("matchId", "profile")
     other = F.sum("score").over(m) - c("score")
