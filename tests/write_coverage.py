@@ -14,8 +14,8 @@ OTHER = {
 PARTIAL = {
     "S11": "nested columns as text are in no query", "S19": "reading a grid file is in no query", "S20": "takes rows, reads no JSON", "S21": "the report is a table; no JSON or CSV sink",
     "S25": "in no query", "S26": "takes rows, parses no payload", "P1": "in no query", "P57": "payload rows are in no query", "A16": "no substitution markers",
-    "A42": "some sections, no SQL", "A49": "facts of one view", "A50": "no highlight picks", "A53": "no SQL", "A54": "no deviation, first and last values; patterns without SQL",
-    "A56": "no possession-adjusted form", "A59": "no zone counts", "A60": "no player roles", "A61": "no duel profiles", "A62": "no stops", "J22": "one library call for each pair",
+    "A42": "some sections, no SQL", "A50": "no highlight picks", "A53": "no SQL", "A54": "no deviation, first and last values; patterns without SQL",
+    "A56": "no possession-adjusted form", "A59": "no zone counts", "A61": "no duel profiles", "A62": "no stops", "J22": "one library call for each pair",
     "J34": "close spellings of clubs are not matched", "UD1": "not built: a library call for each pair", "M7": "logistic and boosted trees of Spark ML; metrics without SQL",
     "M16": "covers planning and failing rows of a step, not a lost driver",
 }
