@@ -72,5 +72,5 @@ def test_player_roles_by_place_and_without_edges(spark):
     assert got["deep", "Connector"] == (77, 1) and got["high", "Outlet Receiver"] == (80, 1)
     assert got["alone", "Progressor"][0] == 0
     kinds = {r.profile for r in v.profile_edges(edges).collect()}
-    assert kinds == {"Build-up Control", "Progressive Passing", "Wide Progression", "Progressor", "Connector", "Outlet Receiver", "Build-up Anchor", "Advanced Link Player", "Wide Outlet"}
+    assert kinds == {"Build-up Control", "Progressive Passing", "Wide Progression", "Directness", "Progressor", "Connector", "Outlet Receiver", "Build-up Anchor", "Advanced Link Player", "Wide Outlet"}
     assert v.player_roles(nodes.where(F.lit(False)), edges).count() == 0
