@@ -1,5 +1,6 @@
 """Territory entries and set pieces."""
 
+from touchline.catalog.defending import DEF
 from touchline.catalog.feed_checks import feed_sql
 from touchline.catalog.match_state import possession_sql
 from touchline.catalog.registry import fsum_sql, n_sql, pct_sql, query, ratio_sql
@@ -67,6 +68,35 @@ def defender_accountability(spark, sf_dir):
     return a.defender_accountability(a.territory_entries(feed(spark, sf_dir)))
 
 
+LEDGER_SQL = ENTRY_SQL + f""",
+be AS (SELECT matchId, opponentName AS tm, last_defender AS d, player, led_to_shot, led_to_goal, "minute" FROM en WHERE kind IN ('final_third','box') AND last_defender IS NOT NULL),
+bg AS (SELECT matchId, tm, d, count(*) AS beaten, {n_sql('led_to_shot')} AS to_shot, {n_sql('led_to_goal')} AS to_goal, {n_sql('"minute" >= 60')} AS late FROM be GROUP BY ALL),
+bt AS (SELECT * FROM (SELECT matchId, tm, d, player, count(*) AS n FROM be GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY matchId, tm, d ORDER BY n DESC, player) = 1),
+sg AS (SELECT matchId, teamName AS tm, playerName AS d, count(*) AS stops, {n_sql('x <= 35')} AS deep, sum(CASE WHEN x <= 35 THEN CAST(floor(y*1e6+0.5) AS BIGINT) END) AS sy FROM feed WHERE {DEF} AND playerName IS NOT NULL GROUP BY ALL),
+lg AS MATERIALIZED (SELECT matchId, tm AS defending_team, d AS defender, coalesce(beaten,0) AS beaten, coalesce(to_shot,0) AS to_shot, coalesce(to_goal,0) AS to_goal, coalesce(late,0) AS late, coalesce(stops,0) AS stops,
+  {pct_sql('coalesce(stops,0)', 'coalesce(stops,0)+coalesce(beaten,0)')} AS stop_rate_pct, CASE WHEN deep >= 2 THEN {LANE('(sy::double/1e6::double/deep::double)')} END AS home_lane, bt.player AS top_attacker, bt.n AS top_attacker_times
+  FROM bg FULL JOIN sg USING (matchId, tm, d) LEFT JOIN bt USING (matchId, tm, d))"""
+
+
+def _ledger(spark, sf_dir):
+    ev = feed(spark, sf_dir)
+    entries = a.territory_entries(ev)
+    return entries, a.defender_ledger(entries, ev)
+
+
+@query("defender_ledger", "A62", FEED + LEDGER_SQL + " SELECT * FROM lg")
+def defender_ledger(spark, sf_dir):
+    return _ledger(spark, sf_dir)[1]
+
+
+@query("uncontested_lanes", "A62", FEED + LEDGER_SQL + f""",
+fr AS (SELECT matchId, opponentName AS defending_team, {LANE('(68-end_y)')} AS own_lane, count(*) AS entries, {n_sql('led_to_shot')} AS to_shot FROM en WHERE kind IN ('final_third','box') AND uncontested GROUP BY ALL),
+ow AS (SELECT matchId, defending_team, home_lane AS own_lane, string_agg(defender, ', ' ORDER BY defender) AS owners FROM lg WHERE home_lane IS NOT NULL GROUP BY ALL)
+SELECT fr.*, ow.owners FROM fr LEFT JOIN ow ON ow.matchId=fr.matchId AND ow.defending_team=fr.defending_team AND ow.own_lane=fr.own_lane""")
+def uncontested_lanes(spark, sf_dir):
+    return a.uncontested_lanes(*_ledger(spark, sf_dir))
+
+
 @query("defensive_vulnerability", "A62", FEED + ENTRY_SQL + f"""
 SELECT matchId, opponentName AS defending_team, {LANE('(68-end_y)')} AS own_lane, method, count(*) AS entries, {n_sql('led_to_shot')} AS to_shot, {pct_sql(n_sql('uncontested'),'count(*)')} AS uncontested_pct FROM en
 WHERE kind IN ('final_third','box') GROUP BY ALL""")

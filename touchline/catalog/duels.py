@@ -110,6 +110,25 @@ def duel_team_summary(spark, sf_dir):
     return d.duel_team_summary(d.with_duel_columns(ev).where("is_duel"), d.transitions(ev))
 
 
+_PROFILES = [("Ground Duel Edge", "category='Ground' AND won", "category='Ground'"), ("Aerial Control", "category='Aerial' AND won", "category='Aerial'"),
+             ("Attack Starter", "won AND duel_context='led_to_attack'", "won"), ("Risk Zone Losses", "zone <> 'Attacking Third' AND NOT won", "zone <> 'Attacking Third'")]
+
+
+@query("duel_profiles", "A61", DENSE + DUEL_SQL.replace("dctx AS (", "dctx AS MATERIALIZED (") + ", pf AS (" + " UNION ALL ".join(
+    f"SELECT matchId, teamName, '{k}' AS profile, {n_sql(x)} AS hits, {n_sql(y)} AS \"rows\" FROM dctx GROUP BY matchId, teamName" for k, x, y in _PROFILES)
+       + f""") SELECT *, CAST(floor({pct_sql('hits', '"rows"')}+0.5) AS INT) AS score FROM pf""")
+def duel_profiles(spark, sf_dir):
+    return d.duel_profiles(d.duels_with_context(feed(spark, sf_dir)))
+
+
+@query("transition_player_rows", "A61", DENSE + trans_sql("Offensive") + f""",
+g AS (SELECT matchId, team, player, count(*) AS transitions, {n_sql('led_to_attack')} AS to_attack, {n_sql('NOT led_to_attack')} AS stalled, {n_sql("third='Defensive Third'")} AS defensive_third, {n_sql("third='Middle Third'")} AS middle_third,
+ {n_sql("third='Attacking Third'")} AS attacking_third FROM tr WHERE player IS NOT NULL GROUP BY ALL)
+SELECT *, CAST(floor({pct_sql('to_attack','transitions')}+0.5) AS INT) AS hit_pct FROM g""")
+def transition_player_rows(spark, sf_dir):
+    return d.transition_player_rows(d.transitions(feed(spark, sf_dir)))
+
+
 @query("duel_zone_map", "A76", DENSE + BASE_SQL + f"""
 SELECT matchId, teamName, CAST(least(5, floor(x/17.5)) AS INT) AS zone_x, CAST(least(4, floor(y/13.6)) AS INT) AS zone_y, count(*) AS duels, {n_sql('ok')} AS won, {n_sql('NOT ok')} AS lost FROM du WHERE is_duel GROUP BY ALL""")
 def duel_zone_map(spark, sf_dir):

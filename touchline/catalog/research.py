@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from touchline.catalog.feed_checks import FEED, FEED4, feed_sql
 from touchline.catalog.match_state import EPV_SQL, possession_sql
 from touchline.catalog.models import PT
-from touchline.catalog.registry import fmean_sql, fsum_sql, n_sql, query
+from touchline.catalog.registry import fmean_sql, fsum_sql, n_sql, pct_sql, query, ratio_sql
 from touchline.catalog.season import TEAM_SQL, team_rows
 from touchline.operators import grids, state
 from touchline.plans import research as r, squads as q
@@ -33,9 +33,14 @@ def control_sequences(spark, sf_dir):
     return r.control_sequences(match_feed(spark, sf_dir))
 
 
+_LEN = "(CASE WHEN type='Pass' THEN sqrt((endX-x)*(endX-x)+(endY-y)*(endY-y)) END)"
+_SPREAD = f"CASE WHEN count({_LEN}) > 1 THEN sqrt(greatest(0, ({fsum_sql(_LEN + '*' + _LEN)} - {fsum_sql(_LEN)}*{fsum_sql(_LEN)}/count({_LEN})::double)/(count({_LEN})-1)::double)) ELSE 0 END"
+
+
 @query("possession_vectors", "A54 T5", FEED + possession_sql(True) + f""",
 e AS (SELECT f.*, p.possession_id FROM feed f JOIN poss p USING (matchId, "index"))
-SELECT matchId, teamName, possession_id, count(*) AS "events", coalesce({fmean_sql("CASE WHEN type='Pass' THEN sqrt((endX-x)*(endX-x)+(endY-y)*(endY-y)) END")},0) AS length_mean, coalesce(max(CASE WHEN type='Pass' THEN sqrt((endX-x)*(endX-x)+(endY-y)*(endY-y)) END),0) AS length_max,
+SELECT matchId, teamName, possession_id, count(*) AS "events", coalesce({fmean_sql("CASE WHEN type='Pass' THEN sqrt((endX-x)*(endX-x)+(endY-y)*(endY-y)) END")},0) AS length_mean, coalesce(max(CASE WHEN type='Pass' THEN sqrt((endX-x)*(endX-x)+(endY-y)*(endY-y)) END),0) AS length_max, {_SPREAD} AS length_std,
+ min_by(x, "index") AS first_x, min_by(y, "index") AS first_y, max_by(coalesce(endX,x), "index") AS last_x, max_by(coalesce(endY,y), "index") AS last_y, min_by(type, "index") AS first_type, max_by(type, "index") AS last_type,
  {n_sql("list_contains(qualifiers,'KeyPass')")} AS key_passes, {n_sql('"isShot"')} AS shots, {n_sql("type='Goal'")} AS goals, {n_sql('turnover')} AS turnovers, {n_sql("type='TakeOn' AND " + OK)} AS dribbles_won, {n_sql("type='Interception'")} AS interceptions,
  {fsum_sql("CASE WHEN type='Pass' THEN sqrt((105-x)*(105-x)+(34-y)*(34-y)) - sqrt((105-endX)*(105-endX)+(34-endY)*(34-endY)) ELSE 0 END")} AS prog_pass, {fsum_sql("CASE WHEN type='Carry' THEN sqrt((105-x)*(105-x)+(34-y)*(34-y)) - sqrt((105-endX)*(105-endX)+(34-endY)*(34-endY)) ELSE 0 END")} AS prog_carry,
  max_by(coalesce(endX,x), "index") - min_by(x, "index") AS net_x, max_by(coalesce(endY,y), "index") - min_by(y, "index") AS net_y FROM e GROUP BY matchId, teamName, possession_id""")
@@ -73,6 +78,26 @@ def passes_above_expected(spark, sf_dir):
     return r.passes_above_expected(match_feed(spark, sf_dir, 4).where("type = 'Pass'").withColumn("pass_type", pass_type()))
 
 
+_SHARES = f""", m AS (SELECT league, season, matchId, teamName, count(*) AS n FROM feed WHERE type='Pass' GROUP BY ALL),
+sh AS (SELECT league, season, teamName, {fmean_sql('s')} AS avg_possession_pct FROM (SELECT *, {pct_sql('n', 'sum(n) OVER (PARTITION BY league, season, matchId)')} AS s FROM m) GROUP BY ALL)"""
+
+
+@query("adjusted_pass_leaders", "A56", FEED4 + _SHARES + f""",
+g AS (SELECT league, season, teamName, playerName, {PT} AS pass_type, count(*) AS passes, {n_sql(OK)} AS completed, {fsum_sql('xPass')} AS expected FROM feed WHERE type='Pass' AND playerName IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+a AS (SELECT *, {ratio_sql('completed-expected', 'avg_possession_pct', 100)} AS above_per_100_possession FROM g JOIN sh USING (league, season, teamName))
+SELECT *, row_number() OVER (PARTITION BY pass_type ORDER BY above_per_100_possession DESC, league, season, teamName, playerName) AS "rank" FROM a QUALIFY "rank" <= 5""")
+def adjusted_pass_leaders(spark, sf_dir):
+    from touchline.models.features import pass_type
+    return r.adjusted_pass_leaders(match_feed(spark, sf_dir, 4).where("type = 'Pass'").withColumn("pass_type", pass_type()), 2)
+
+
+@query("adjusted_creators", "A56", FEED4 + _SHARES + f""",
+g AS (SELECT league, season, teamName, playerName, count(*) AS key_passes, {fmean_sql('xPass')} AS "avg_xPass", {pct_sql(n_sql(OK), 'count(*)')} AS accuracy_pct FROM feed WHERE type='Pass' AND playerName IS NOT NULL AND list_contains(qualifiers,'KeyPass') GROUP BY ALL HAVING count(*) >= 2)
+SELECT *, {ratio_sql('key_passes', 'avg_possession_pct', 100)} AS key_passes_per_100_possession FROM g JOIN sh USING (league, season, teamName)""")
+def adjusted_creators(spark, sf_dir):
+    return r.adjusted_creators(match_feed(spark, sf_dir, 4).where("type = 'Pass'"), 2)
+
+
 @query("chance_extremes", "A57", FEED + """
 SELECT * FROM (SELECT eventId, matchId, playerName, xG AS "xG", 'missed' AS kind FROM feed WHERE "isShot" AND type<>'Goal' ORDER BY xG DESC, eventId LIMIT 10) UNION ALL SELECT * FROM (SELECT eventId, matchId, playerName, xG, 'scored' FROM feed WHERE type='Goal' AND NOT goalOwn ORDER BY xG, eventId LIMIT 10)""")
 def chance_extremes(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from touchline.functions import predicates as p, zones as z
-from touchline.functions.core import has, has_like, n_if, pct, ratio, sum_if
+from touchline.functions.core import fixed, has, has_like, n_if, pct, ratio, sum_if
 from touchline.operators.scan import LastBefore, NextAfter, scan
 
 # Defending actions of the entry rule, rows that are no touch, and the set-piece tokens.
@@ -112,6 +112,42 @@ def defender_accountability(entries: DataFrame) -> DataFrame:
         F.count("*").alias("beaten"), n_if(c("led_to_shot")).alias("to_shot"), n_if(c("led_to_goal")).alias("to_goal"))
 
 
+def defender_ledger(entries: DataFrame, events: DataFrame) -> DataFrame:
+    """Defenders with what got past them and what they stopped: beaten rows and defending actions in one grouping.
+
+    ``home_lane`` is the lane of the mean place of at least two actions in the own third, seen from the own side; rows are folded to
+    one for each attacker first. Entries nobody defended count for no defender; those are in `uncontested_lanes`.
+    """
+    none = F.lit(None).cast("double")
+    beaten = entries.where(c("kind").isin("final_third", "box") & c("last_defender").isNotNull()).select(
+        "matchId", c("opponentName").alias("defending_team"), c("last_defender").alias("defender"), c("player").alias("attacker"), F.lit(True).alias("past"),
+        "led_to_shot", "led_to_goal", (c("minute") >= 60).alias("late"), none.alias("deep_y"))
+    no = F.lit(False)
+    stops = events.where(p.defensive_action() & c("playerName").isNotNull()).select(
+        "matchId", c("teamName").alias("defending_team"), c("playerName").alias("defender"), F.lit(None).cast("string").alias("attacker"), no.alias("past"),
+        no.alias("led_to_shot"), no.alias("led_to_goal"), no.alias("late"), F.when(c("x") <= 35, c("y")).alias("deep_y"))
+    keys = ["matchId", "defending_team", "defender"]
+    per = beaten.unionByName(stops).groupBy(*keys, "attacker").agg(
+        n_if(c("past")).alias("beaten"), n_if(c("led_to_shot")).alias("to_shot"), n_if(c("led_to_goal")).alias("to_goal"), n_if(c("late")).alias("late"),
+        n_if(~c("past")).alias("stops"), F.count("deep_y").alias("deep"), F.sum(fixed(c("deep_y"))).alias("y"))
+    out = per.groupBy(*keys).agg(
+        *[F.sum(n).alias(n) for n in ("beaten", "to_shot", "to_goal", "late", "stops", "deep")], F.sum("y").alias("y"),
+        F.min(F.when(c("attacker").isNotNull(), F.struct((-c("beaten")).alias("n"), "attacker"))).alias("_top"))
+    home = F.when(c("deep") >= 2, z.entry_lane(c("y").cast("double") / 1e6 / c("deep")))
+    return out.select(*keys, "beaten", "to_shot", "to_goal", "late", "stops", pct(c("stops"), c("stops") + c("beaten")).alias("stop_rate_pct"),
+                      home.alias("home_lane"), c("_top.attacker").alias("top_attacker"), (-c("_top.n")).alias("top_attacker_times"))
+
+
+def uncontested_lanes(entries: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Entries nobody defended by lane of the defending side, with the defenders at home there (a squad at most)."""
+    keys = ["matchId", "defending_team", "own_lane"]
+    free = entries.where(c("kind").isin("final_third", "box") & c("uncontested")).groupBy(
+        "matchId", c("opponentName").alias("defending_team"), z.entry_lane(68.0 - c("end_y")).alias("own_lane")).agg(F.count("*").alias("entries"), n_if(c("led_to_shot")).alias("to_shot"))
+    at_home = ledger.where(c("home_lane").isNotNull()).groupBy("matchId", "defending_team", c("home_lane").alias("own_lane")).agg(
+        F.array_join(F.array_sort(F.collect_list("defender")), ", ").alias("owners"))
+    return free.join(at_home, keys, "left")
+
+
 def vulnerability(entries: DataFrame) -> DataFrame:
     """Where and how a side is entered: counts by own lane and method with danger and uncontested share."""
     e = entries.where(c("kind").isin("final_third", "box"))

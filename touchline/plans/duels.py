@@ -191,6 +191,29 @@ def duel_team_summary(duels: DataFrame, moves: DataFrame) -> DataFrame:
     return out.withColumn("duel_win_pct", pct(c("duels_won"), c("duels")))
 
 
+def duel_profiles(duels: DataFrame) -> DataFrame:
+    """Four scores (0-100) of a side's duels: won on the ground, won in the air, wins that start attacks, losses before the last third."""
+    c = F.col
+    ground, aerial, deep = c("category") == "Ground", c("category") == "Aerial", c("zone").isin("Defensive Third", "Middle Third")
+    won = F.coalesce(c("won"), F.lit(False))
+    n = duels.groupBy("matchId", "teamName").agg(
+        n_if(ground).alias("g"), n_if(ground & won).alias("gw"), n_if(aerial).alias("a"), n_if(aerial & won).alias("aw"), n_if(won).alias("w"),
+        n_if(won & (c("duel_context") == "led_to_attack")).alias("s"), n_if(deep).alias("d"), n_if(deep & ~won).alias("dl"))
+    parts = [("Ground Duel Edge", "gw", "g"), ("Aerial Control", "aw", "a"), ("Attack Starter", "s", "w"), ("Risk Zone Losses", "dl", "d")]
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("profile"), c(x).alias("hits"), c(y).alias("rows")) for k, x, y in parts]))
+    return n.select("matchId", "teamName", rows.alias("r")).select("matchId", "teamName", "r.*").withColumn(
+        "score", F.floor(pct(c("hits"), c("rows")) + 0.5).cast("int"))
+
+
+def transition_player_rows(moves: DataFrame) -> DataFrame:
+    """Players' transitions by third, led to an attack or stalled."""
+    c = F.col
+    out = moves.where(c("player").isNotNull()).groupBy("matchId", "team", "player").agg(
+        F.count("*").alias("transitions"), n_if(c("led_to_attack")).alias("to_attack"), n_if(~c("led_to_attack")).alias("stalled"),
+        *[n_if(c("third") == f"{t} Third").alias(f"{t.lower()}_third") for t in ("Defensive", "Middle", "Attacking")])
+    return out.withColumn("hit_pct", F.floor(pct(c("to_attack"), c("transitions")) + 0.5).cast("int"))
+
+
 def duel_zone_map(duels: DataFrame) -> DataFrame:
     """Duels won and lost on a 6 x 5 grid per match and team."""
     c = F.col

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from touchline.functions import predicates as p
-from touchline.functions.core import dist, fixed, fmean, fsum, has, n_if, ratio
+from touchline.functions.core import dist, fixed, fmean, fsum, has, n_if, pct, ratio
 from touchline.operators.scan import LastBefore, scan, with_halo
 from touchline.operators.state import CONTROL, DEFENCE, STOPPAGE
 
@@ -111,15 +111,20 @@ def dynamic_value_per90(events: DataFrame, minutes: DataFrame) -> DataFrame:
 
 
 def possession_vectors(events: DataFrame) -> DataFrame:
-    """One feature row per team possession: pass lengths, counts, progress and net movement."""
+    """One feature row per team possession: pass lengths (mean, longest, sample deviation), counts, progress, first and last place and kind."""
     passed = p.is_pass()
     ln = F.when(passed, dist(c("endX"), c("endY"), c("x"), c("y")))
+    n, total = F.count(ln), fsum(ln)
+    spread = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (fsum(ln * ln) - total * total / n) / (n - 1)))).otherwise(0.0)
+    end = lambda v: F.max_by(F.coalesce(f"end{v.upper()}", v), "index")
     return events.where(c("possession_id").isNotNull()).groupBy("matchId", "teamName", "possession_id").agg(
-        F.count("*").alias("events"), F.coalesce(fmean(ln), F.lit(0.0)).alias("length_mean"), F.coalesce(F.max(ln), F.lit(0.0)).alias("length_max"),
+        F.count("*").alias("events"), F.coalesce(fmean(ln), F.lit(0.0)).alias("length_mean"), F.coalesce(F.max(ln), F.lit(0.0)).alias("length_max"), spread.alias("length_std"),
         n_if(has("KeyPass")).alias("key_passes"), n_if(p.is_shot()).alias("shots"), n_if(c("type") == "Goal").alias("goals"), n_if(c("turnover")).alias("turnovers"),
         n_if((c("type") == "TakeOn") & p.completed()).alias("dribbles_won"), n_if(c("type") == "Interception").alias("interceptions"),
         fsum(p.prog_pass()).alias("prog_pass"), fsum(p.prog_carry()).alias("prog_carry"),
-        (F.max_by(F.coalesce("endX", "x"), "index") - F.min_by("x", "index")).alias("net_x"), (F.max_by(F.coalesce("endY", "y"), "index") - F.min_by("y", "index")).alias("net_y"))
+        F.min_by("x", "index").alias("first_x"), F.min_by("y", "index").alias("first_y"), end("x").alias("last_x"), end("y").alias("last_y"),
+        F.min_by("type", "index").alias("first_type"), F.max_by("type", "index").alias("last_type"),
+        (end("x") - F.min_by("x", "index")).alias("net_x"), (end("y") - F.min_by("y", "index")).alias("net_y"))
 
 
 def pattern_summary(clustered: DataFrame) -> DataFrame:
@@ -142,6 +147,31 @@ def passes_above_expected(passes: DataFrame) -> DataFrame:
     return g.withColumn("above", c("completed") - c("expected")).withColumn("above_per_100", c("above") * 100.0 / c("passes"))
 
 
+def pass_shares(passes: DataFrame) -> DataFrame:
+    """Mean share of a match's passes, per side and season; sums come before the window over a match's two sides."""
+    per = passes.groupBy("league", "season", "matchId", "teamName").agg(F.count("*").alias("n"))
+    per = per.withColumn("share", pct(c("n"), F.sum("n").over(W.partitionBy("league", "season", "matchId"))))
+    return per.groupBy("league", "season", "teamName").agg(fmean(c("share")).alias("avg_possession_pct"))
+
+
+def adjusted_pass_leaders(passes: DataFrame, minimum: int = 10, top: int = 5) -> DataFrame:
+    """Players of a side by completions over expectation for each hundredth of the side's ball, best ``top`` of each pass type."""
+    keys = ["league", "season", "teamName"]
+    g = passes.where(c("playerName").isNotNull()).groupBy(*keys, "playerName", "pass_type").agg(
+        F.count("*").alias("passes"), n_if(p.completed()).alias("completed"), fsum(c("xPass")).alias("expected")).where(c("passes") >= minimum)
+    out = g.join(pass_shares(passes), keys).withColumn("above_per_100_possession", ratio(c("completed") - c("expected"), c("avg_possession_pct"), 100.0))
+    w = W.partitionBy("pass_type").orderBy(F.desc("above_per_100_possession"), *keys, "playerName")
+    return out.withColumn("rank", F.row_number().over(w)).where(c("rank") <= top)
+
+
+def adjusted_creators(passes: DataFrame, minimum: int = 30) -> DataFrame:
+    """Key passes of players for each hundredth of their side's ball, with their mean difficulty and accuracy."""
+    keys = ["league", "season", "teamName"]
+    g = passes.where(c("playerName").isNotNull() & has("KeyPass")).groupBy(*keys, "playerName").agg(
+        F.count("*").alias("key_passes"), fmean(c("xPass")).alias("avg_xPass"), pct(n_if(p.completed()), F.count("*")).alias("accuracy_pct")).where(c("key_passes") >= minimum)
+    return g.join(pass_shares(passes), keys).withColumn("key_passes_per_100_possession", ratio(c("key_passes"), c("avg_possession_pct"), 100.0))
+
+
 def chance_extremes(shots: DataFrame, top: int = 10) -> DataFrame:
     """Best chances missed and least likely goals."""
     cols = ["eventId", "matchId", "playerName", "xG"]
