@@ -1,7 +1,7 @@
 """Defender ledgers, duel profiles, spread of pass lengths and possession-adjusted tables: ties, nulls, single rows, empty tables."""
 from pyspark.sql import functions as F
 
-from touchline.plans import attacking as a, duels as d, research as r
+from touchline.plans import attacking as a, duels as d, lineups as ln, research as r
 
 ENTRY = "matchId int, opponentName string, kind string, minute int, player string, end_y double, led_to_shot boolean, led_to_goal boolean, last_defender string, uncontested boolean"
 ACT = "matchId int, teamName string, playerName string, type string, outcomeType string, x double, y double"
@@ -52,3 +52,14 @@ def test_adjusted_tables_use_the_mean_share_of_matches(spark):
     made = {x.playerName: (x.key_passes, x.avg_xPass, x.key_passes_per_100_possession) for x in r.adjusted_creators(passes, 2).collect()}
     assert made == {"p": (3, 0.5, 3 * 100 / 62.5), "q": (2, 0.9, 2 * 100 / 37.5)}
     assert r.adjusted_creators(passes.limit(0), 2).count() == 0
+
+
+def test_substitution_markers_keep_to_full_time(spark):
+    side = ("l", "s", "m", "A")
+    rows = [(*side, "SubstitutionOn", 97, 1, 11, 10, 4), (*side, "SubstitutionOff", 97, 2, 10, None, None), (*side, "SubstitutionOn", 60, 3, 13, 99, 5), (*side, "SubstitutionOn", -1, 5, 14, None, 5), (*side, "SubstitutionOn", None, 6, 15, None, 5)]
+    made = spark.createDataFrame(rows, "league string, season string, matchId string, teamName string, type string, minute int, eventId long, playerId long, relatedEventId long, slot int")
+    made = made.withColumns({n: F.lit("x") for n in ln.SIDE if n not in made.columns}).withColumn("relatedEventId", F.when(F.col("eventId") == 1, 2).otherwise(F.col("relatedEventId")))
+    got = {x.player_on: (x.minute, x.player_off) for x in ln.substitution_markers(made).collect()}
+    assert got == {11: (95, 10), 13: (60, None)}
+    got = {x.player_on: x.minute for x in ln.substitution_markers(made, spark.createDataFrame([("m", 92)], "matchId string, minute int")).collect()}
+    assert got == {11: 92, 13: 60}

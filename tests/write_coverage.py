@@ -13,7 +13,7 @@ OTHER = {
 #: Rows that are not whole, and what they lack.
 PARTIAL = {
     "S11": "nested columns as text are in no query", "S19": "reading a grid file is in no query", "S20": "takes rows, reads no JSON", "S21": "the report is a table; no JSON or CSV sink",
-    "S25": "in no query", "S26": "takes rows, parses no payload", "P1": "in no query", "P57": "payload rows are in no query", "A16": "no substitution markers",
+    "S25": "in no query", "S26": "takes rows, parses no payload", "P1": "in no query", "P57": "payload rows are in no query",
     "A42": "some sections, no SQL", "A50": "no highlight picks", "A53": "no SQL", "A54": "patterns without SQL",
     "A59": "no zone counts", "J22": "one library call for each pair",
     "J34": "close spellings of clubs are not matched", "UD1": "not built: a library call for each pair", "M7": "logistic and boosted trees of Spark ML; metrics without SQL",

@@ -51,6 +51,13 @@ def substitution_pairs(spark, sf_dir):
     return l.substitution_pairs(both(spark, sf_dir)[1])
 
 
+@query("substitution_markers", "A16", SQUAD + LINEUP_SQL + """, fm AS (SELECT matchId, greatest(90, max("minute")) AS full_time FROM feed GROUP BY matchId)
+SELECT su.matchId, teamName, CAST(least(su."minute", 95, full_time) AS INT) AS "minute", 'substitution' AS event_type, on_id AS player_on, off_id AS player_off FROM su JOIN fm ON fm.matchId=su.matchId""")
+def substitution_markers(spark, sf_dir):
+    f, li = both(spark, sf_dir)
+    return l.substitution_markers(li, f)
+
+
 @query("lineup_phases", "W15 UD5 P40", PHASE_REC(SQUAD) + PHASE_SQL + " SELECT * FROM phs")
 def lineup_phases(spark, sf_dir):
     f, li = both(spark, sf_dir)
