@@ -110,3 +110,11 @@ def test_failing_steps_leave_what_was_there(spark):
              ModelStep("next", {"twice": "double"}, lambda d: d.withColumn("twice", F.col("xG") * 2))]
     got = sorted((r["index"], r.xG, r.v, r.twice, tuple(r.failed_models)) for r in with_models(ev, steps).collect())
     assert got == [(i, x, None, 2 * x, ("rows",)) for i, x in enumerate([0.5, 0.5, 2.0, 3.0, 4.0])]
+
+
+def test_values_of_a_step_are_never_sent_whole(spark):
+    """A constant score is as many rows as the events but a few bytes on disk, so that file sizes call for a broadcast."""
+    ev = spark.range(20_000).select(F.lit("1").alias("matchId"), F.col("id").alias("index"))
+    out = with_models(ev, [ModelStep("all", {"xPass": "double"}, lambda d: d.withColumn("xPass", F.lit(0.5)))])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("xPass = 0.5").count() == 20_000

@@ -64,7 +64,8 @@ def with_models(events: DataFrame, steps, keys=("matchId", "index")) -> DataFram
             events = events.withColumns({n: F.lit(None).cast(t) for n, t in step.columns.items() if n not in events.columns})
             continue
         have = set(events.columns)
-        joined = events.join(values, keys, "left")
+        # Values are as many as the events but compress to a few MB, which a planner that goes by file size would send to the driver.
+        joined = events.join(values.hint("merge"), keys, "left")
         new = F.col("_new").isNotNull()
         events = joined.withColumns({n: F.when(new, F.col("_new")[n]).otherwise(F.col(n) if n in have else F.lit(None).cast(t)) for n, t in step.columns.items()}).drop("_new")
     return events.withColumn("failed_models", F.array(*map(F.lit, failed)).cast("array<string>"))
