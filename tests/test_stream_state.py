@@ -89,3 +89,19 @@ def test_null_keys_and_names_and_empty_batches(spark, home):
     ingest.land_batch(events(spark, [5]).limit(0), home, "a", 2)
     ingest.land_batch(events(spark, [5]), home, "a", 3)
     assert sorted(str(r.eventId) for r in ingest.read_landed_events(spark, home).collect()) == ["1", "5", "None"]
+
+
+def test_a_landing_of_many_files_is_one_batch(spark, tmp_path):
+    from touchline.catalog.streaming import landings, replay
+    rows = spark.range(0, 400, 1, 4).withColumn("part", F.col("id") % 3)
+    seen = []
+
+    def start(stream, at="a"):
+        return stream.writeStream.foreachBatch(lambda b, n: seen.append((n, b.count(), len(b.inputFiles())))).option(
+            "checkpointLocation", str(tmp_path / at)).trigger(availableNow=True).start()
+
+    landings(spark, rows, 3, str(tmp_path), start)
+    assert [s[:2] for s in seen] == [(0, 134), (1, 133), (2, 133)] and len(list((tmp_path / "landed").glob("*.parquet"))) == 12
+    seen.clear()
+    start(replay(spark, rows, 3, str(tmp_path)), "b").awaitTermination()
+    assert len(seen) == 3 and sum(s[1] for s in seen) == 400

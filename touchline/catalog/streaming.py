@@ -75,11 +75,19 @@ def late_rows(spark, sf_dir):
     return jobs.late_rows(r.select("matchId", "eventId", "ts", "arrival")).select("matchId", "eventId")
 
 
-def in_files(spark, rows, parts, home):
-    """Rows written as one landing after another, by the values 0, 1, ... of the column ``part``; a stream reads one file a batch."""
+def landings(spark, rows, parts, home, start):
+    """Rows land one part after another, by the values 0, 1, ... of the column ``part``, each written by all tasks; ``start`` starts the stream
+    on from its checkpoint after every landing and takes it as one batch."""
     for n in range(parts):
-        rows.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(f"{home}/landed")
-    return spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/landed")
+        rows.where(F.col("part") == n).drop("part").write.mode("append").parquet(f"{home}/landed")
+        start(spark.readStream.schema(rows.drop("part").schema).parquet(f"{home}/landed")).awaitTermination()
+
+
+def replay(spark, rows, parts, home):
+    """A stream over all that has landed, about a landing's number of files a batch."""
+    schema = rows.drop("part").schema
+    files = len(spark.read.schema(schema).parquet(f"{home}/landed").inputFiles())
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // parts))).parquet(f"{home}/landed")
 
 
 @query("streamed_possessions", "ST6", FEED + possession_sql(True) + """
@@ -90,13 +98,11 @@ def streamed_possessions(spark, sf_dir):
     ev = match_feed(spark, sf_dir).select("matchId", "eventId", "index", "teamName", "type", "outcomeType", "turnover",
                                           F.timestamp_seconds(F.lit(1_700_000_000) + F.col("minute") * 60 + F.col("second")).alias("ts"),
                                           F.pmod(F.floor(F.col("index") / 100) + F.col("eventId") % 3, F.lit(5)).alias("part"))
-    stream = in_files(spark, ev, 5, home).withWatermark("ts", "3 hours")
     name, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set(name, possessions.ROCKSDB)
     try:
-        job = possessions.possession_stream(stream).writeStream.option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start(
-            path=f"{home}/out", format="parquet", outputMode="append")
-        job.awaitTermination()
+        landings(spark, ev, 5, home, lambda stream: possessions.possession_stream(stream.withWatermark("ts", "3 hours")).writeStream.option(
+            "checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start(path=f"{home}/out", format="parquet", outputMode="append"))
     finally:
         spark.conf.set(name, old)
     return spark.read.schema(possessions.OUT).parquet(f"{home}/out").select("eventId", "possession_id", "possession_team", "late")
@@ -111,9 +117,8 @@ def landed_once(spark, sf_dir):
     part = F.col("eventId") % 4
     rows = (ev.withColumn("part", part).unionByName(ev.where("eventId % 5 = 0").withColumn("part", part))
             .unionByName(ev.where("eventId % 7 = 0").withColumn("part", (part + 1 + F.col("eventId") % 2) % 4)))
-    stream = in_files(spark, rows, 4, home)
-    for again in range(2):
-        ingest.land_once(stream, f"{home}/table", f"{home}/checkpoint-{again}").awaitTermination()
+    landings(spark, rows, 4, home, lambda stream: ingest.land_once(stream, f"{home}/table", f"{home}/checkpoint-0"))
+    ingest.land_once(replay(spark, rows, 4, home), f"{home}/table", f"{home}/checkpoint-1").awaitTermination()
     return ingest.read_landed_events(spark, f"{home}/table").groupBy("eventId").agg(
         F.min("type").alias("type"), F.min("minute").alias("minute"), F.min("x").alias("x"), F.min("season").alias("season"), F.count("*").alias("copies"))
 
@@ -148,7 +153,7 @@ def streamed_ledger(spark, sf_dir):
     half = BATCHES // 2
     for run in range(2):
         rows = feed.unionByName(old).where(F.col("part").between(run * half, run * half + half - 1)).withColumn("part", F.col("part") - run * half)
-        keyed.schedule_ledger(in_files(spark, rows, half, f"{home}/{run}"), f"{home}/table", f"{home}/checkpoint-{run}").awaitTermination()
+        landings(spark, rows, half, f"{home}/{run}", lambda stream: keyed.schedule_ledger(stream, f"{home}/table", f"{home}/checkpoint-{run}"))  # noqa: B023
     return table.rows().withColumn("kickoff", F.unix_timestamp("kickoff").cast("double"))
 
 
@@ -166,7 +171,7 @@ def late_side_table(spark, sf_dir):
     home = f"{checkpoint_dir(spark).rstrip('/')}/late-{uuid.uuid4().hex}"
     block = F.floor(F.col("index") / 150)
     ev = timed(spark, sf_dir).select("eventId", "matchId", "league", "season", "ts", F.least(F.when(F.col("eventId") % 17 == 0, block + 1).otherwise(block), F.lit(5)).alias("part"))
-    keyed.split_late(in_files(spark, ev, 6, home), f"{home}/table", f"{home}/checkpoint").awaitTermination()
+    landings(spark, ev, 6, home, lambda stream: keyed.split_late(stream, f"{home}/table", f"{home}/checkpoint"))
     rows = keyed.read_split(spark, f"{home}/table", "eventId long, matchId string, league string, season string, ts timestamp")
     again = keyed.seasons_to_rerun(rows).select(F.col("eventId").alias("_e")).distinct()
     return rows.join(again, F.col("eventId") == F.col("_e"), "left").groupBy("eventId").agg(

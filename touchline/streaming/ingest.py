@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.schema import conform, event_ddl
+from touchline.sources.store import by_folder
 
 KEYS = ("matchId", "teamId", "eventId")
 MOST_PARTS = 10_000  # league seasons of a batch whose names prune the index; a batch of more reads all of it
@@ -45,9 +46,10 @@ def known_keys(spark: SparkSession, root: str, run: str, batch: int, parts: list
 def land_batch(rows: DataFrame, root: str, run: str, batch: int, keys=KEYS) -> None:
     """Write what is new of one batch. Rows without a league or season are filed under an empty name in the index."""
     spark, keys = rows.sparkSession, list(keys)
-    rows = first_of_key(conform(rows), keys)
     where = [F.coalesce(n, F.lit("")).alias(n) for n in ("league", "season")]
+    rows = conform(rows)
     names = rows.select(*where).distinct().limit(MOST_PARTS + 1).collect()
+    rows = first_of_key(rows, keys)
     known = known_keys(spark, root, run, batch, [tuple(r) for r in names] if len(names) <= MOST_PARTS else None, keys)
     same = [F.col(f"r.{n}").eqNullSafe(F.col(f"k.{n}")) for n in keys]
     cond = same[0]
@@ -57,7 +59,7 @@ def land_batch(rows: DataFrame, root: str, run: str, batch: int, keys=KEYS) -> N
     at = f"{root}/events/run={run}/batch={batch}"
     new.write.mode("overwrite").parquet(at)
     done = spark.read.schema(new.schema).parquet(at)
-    done.select(*keys, *where).write.mode("overwrite").partitionBy("league", "season").parquet(f"{root}/keys/run={run}/batch={batch}")
+    by_folder(done.select(*keys, *where), "league", "season").write.mode("overwrite").partitionBy("league", "season").parquet(f"{root}/keys/run={run}/batch={batch}")
 
 
 def land_once(stream: DataFrame, root: str, checkpoint: str, keys=KEYS):
