@@ -183,3 +183,10 @@ def test_control_sequences_cross_spans(spark, sf, monkeypatch):
     monkeypatch.setattr(research, "SPAN", 37)
     monkeypatch.setattr(research, "RUN", 5)
     assert sorted(map(tuple, research.control_sequences(feed).collect()), key=str) == want
+
+
+def test_a_season_folder_gets_one_file_not_one_of_each_task(spark, tmp_path):
+    rows = spark.range(0, 900, 1, 6).select(F.lit("L").alias("league"), (F.col("id") % 5).cast("string").alias("season"), F.col("id").cast("string").alias("matchId"))
+    store.write_season_tables({"t": rows}, str(tmp_path), "test")
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) == 5
+    assert store.read_season_table(spark, str(tmp_path), "t", "league string, season string, matchId string").count() == 900

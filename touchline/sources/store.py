@@ -101,6 +101,11 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return plain_columns(df).groupBy("matchId").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*[c for c in df.columns])).alias("hash"))
 
 
+def by_folder(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt by the columns that name their folders, so that a folder gets one file, or some where it holds much, and not one of each task."""
+    return df.hint("rebalance", *[F.col(n) for n in columns])
+
+
 def publish(events: DataFrame, root: str, league: str = "league", season: str = "season") -> DataFrame:
     """Write matches not yet stored, verified before they become visible; stored ones stay untouched.
 
@@ -112,13 +117,13 @@ def publish(events: DataFrame, root: str, league: str = "league", season: str =
     known = read_events(spark, root).join(F.broadcast(parts), [league, season]).select("matchId").distinct()
     new = events.join(known, "matchId", "left_anti")
     staged_at = f"{root.rstrip('/')}_staging/{uuid.uuid4().hex}"
-    new.write.partitionBy(league, season).parquet(staged_at)
+    by_folder(new, league, season).write.partitionBy(league, season).parquet(staged_at)
     staged = spark.read.schema(new.schema).parquet(staged_at)
     bad = fingerprint(new).withColumnsRenamed({"rows": "r1", "hash": "h1"}).join(fingerprint(staged.select(*new.columns)), "matchId", "full").where(
         ~(F.col("r1").eqNullSafe(F.col("rows")) & F.col("h1").eqNullSafe(F.col("hash"))))
     if not bad.isEmpty():
         raise ValueError("staged rows differ from their source; nothing was published")
-    staged.write.mode("append").partitionBy(league, season).parquet(root)
+    by_folder(staged, league, season).write.mode("append").partitionBy(league, season).parquet(root)
     return staged.select("matchId").distinct()
 
 
@@ -126,7 +131,8 @@ def write_season_tables(tables: dict, root: str, source: str, schema_version: in
     """The season tables with lineage columns; only the partitions present are replaced."""
     for name, df in tables.items():
         out = df.withColumns({"schema_version": F.lit(schema_version), "source": F.lit(source)})
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("league", "season").parquet(f"{root}/{name}"))
+        (by_folder(out, "league", "season").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("league", "season").parquet(f"{root}/{name}"))
 
 
 def read_season_table(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
