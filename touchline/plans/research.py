@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from touchline.functions import predicates as p
 from touchline.functions.core import dist, fixed, fmean, fsum, has, n_if, pct, ratio
@@ -304,9 +304,9 @@ def match_facts(team_rows: DataFrame) -> DataFrame:
     return g.withColumn("gap", F.round(c("best") - c("other"), 6))
 
 
-def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Convex outline of one player's points."""
-    pts = sorted(set(zip(pdf["x"], pdf["y"])))
+def _hull(points) -> tuple[int, float]:
+    """Corners and area of the convex outline of one player's points."""
+    pts = sorted(points)
     def half(points):
         out = []
         for q in points:
@@ -316,16 +316,22 @@ def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
         return out[:-1]
     ring = half(pts) + half(pts[::-1]) if len(pts) > 2 else pts
     area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2 if len(ring) > 2 else 0.0
-    return pd.DataFrame([(pdf["matchId"].iloc[0], pdf["playerName"].iloc[0], len(pdf), len(ring), area)], columns=["matchId", "playerName", "points", "corners", "area"])
+    return len(ring), area
+
+
+@F.pandas_udf(T.StructType([T.StructField("corners", T.IntegerType()), T.StructField("area", T.DoubleType())]))
+def _outline(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_hull(set(zip(x.tolist(), y.tolist()))) for x, y in zip(xs, ys)], columns=["corners", "area"])
 
 
 def action_hulls(events: DataFrame) -> DataFrame:
     """Hull of each player's defending actions in a match. Points are folded to distinct tenths first, so a
-    group has no more rows than the pitch has tenth-metre places, and usually a few dozen."""
+    group has no more rows than the pitch has tenth-metre places, and usually a few dozen; a batch of
+    groups goes to Python at once."""
     pts = events.where(c("type").isin(OUT_OF_POSSESSION) & c("playerName").isNotNull()).select("matchId", "playerName", F.round("x", 1).alias("x"), F.round("y", 1).alias("y")).distinct()
-    return pts.groupBy("matchId", "playerName").applyInPandas(_hull, "matchId string, playerName string, points int, corners int, area double")
-
-
+    known = lambda v: F.coalesce(v, F.lit(float("nan")))
+    g = pts.groupBy("matchId", "playerName").agg(F.collect_list(F.struct(known(c("x")).alias("x"), known(c("y")).alias("y"))).alias("p"))
+    return g.withColumn("o", _outline("p.x", "p.y")).select("matchId", "playerName", F.size("p").alias("points"), "o.corners", "o.area")
 
 
 def defensive_value_per90(events: DataFrame, minutes: DataFrame, minimum: int = 90) -> DataFrame:
