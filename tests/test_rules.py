@@ -190,3 +190,18 @@ def test_a_season_folder_gets_one_file_not_one_of_each_task(spark, tmp_path):
     store.write_season_tables({"t": rows}, str(tmp_path), "test")
     assert len(list((tmp_path / "t").rglob("*.parquet"))) == 5
     assert store.read_season_table(spark, str(tmp_path), "t", "league string, season string, matchId string").count() == 900
+
+
+def test_hulls_come_from_batches_of_players(spark):
+    at = [("1", "a", 0.0, 0.0), ("1", "a", 4.0, 0.0), ("1", "a", 4.0, 3.0), ("1", "a", 0.0, 3.0), ("1", "a", 2.0, 1.0), ("1", "a", 2.04, 1.0), ("1", "b", 5.0, 5.0), ("2", "a", 1.0, 1.0),
+          ("2", "a", 2.0, 2.0)]
+    out = research.action_hulls(spark.createDataFrame(at, "matchId string, playerName string, x double, y double").withColumn("type", F.lit("Tackle")))
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()  # a call to Python for each player of a match
+    assert sorted(map(tuple, out.collect())) == [("1", "a", 5, 4, 12.0), ("1", "b", 1, 1, 0.0), ("2", "a", 2, 2, 0.0)]
+
+
+def test_carries_and_their_events_come_out_of_one_scan(spark, sf):
+    out = with_carries(state.with_match_clock(match_feed(spark, sf, pace=4))).select("matchId", "event_ord", "index", "is_generated")
+    assert "Union" not in out._jdf.queryExecution().executedPlan().toString()
+    again = rebuild_carries(with_carries(state.with_match_clock(match_feed(spark, sf, pace=4))))
+    assert again.schema["index"].metadata == {"below": 2000}  # so that its scans are plain windows

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from touchline.operators.scan import NextAfter, RunningSum, bound_of, bounded, scan
+from touchline.operators.scan import NextAfter, RunningSum, bound_of, bounded, dense_position, scan
 from touchline.operators.state import period_ord
 
 # Effective limits in metres and seconds, and the type groups of the rule.
@@ -76,16 +76,16 @@ def with_carries(events: DataFrame) -> DataFrame:
     """
     found = find_carries(events.drop("event_ord", "is_generated"))
     found = scan(found, [RunningSum("_made", F.col("carry").isNotNull().cast("bigint"))])
-    base = (found.withColumn("event_ord", F.col("eventId").cast("double")).withColumn("is_generated", F.lit(False))
-            .withColumn("takeOns", F.lit(None).cast("bigint"))
-            .withColumn("second", F.col("second").cast("double"))
-            .withColumn("_new", F.col("index") + F.col("_made")))
-    made = found.where(F.col("carry").isNotNull()).select(
-        "league", "season", "matchId", "startDate", F.col("carry.*"),
-        (F.col("eventId") + 0.5).alias("event_ord"), F.lit(True).alias("is_generated"),
-        F.lit("Carry").alias("type"), F.lit("Successful").alias("outcomeType"), F.lit(True).alias("isTouch"),
-        (F.col("index") + F.col("_made") + 1).alias("_new"))
-    out = base.drop("carry", "_made", "index").unionByName(made, allowMissingColumns=True)
+    base = {**{n: F.col(n) for n in found.columns if n not in ("carry", "_made", "index")}, "event_ord": F.col("eventId").cast("double"), "is_generated": F.lit(False),
+            "takeOns": F.lit(None).cast("bigint"), "second": F.col("second").cast("double"), "_new": F.col("index") + F.col("_made")}
+    made = {**{n: F.col(n) for n in ("league", "season", "matchId", "startDate")}, **{n: F.col("carry")[n] for n in found.schema["carry"].dataType.names},
+            "event_ord": F.col("eventId") + 0.5, "is_generated": F.lit(True), "type": F.lit("Carry"), "outcomeType": F.lit("Successful"), "isTouch": F.lit(True),
+            "_new": F.col("index") + F.col("_made") + 1}
+    names = [*base, *[n for n in made if n not in base]]
+    # An event and its carry come out of one row, so that the scans run once.
+    out = found.select("*", F.explode(F.when(F.col("carry").isNull(), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("_gen"))
+    none = F.lit(None)
+    out = out.select(*[F.when(F.col("_gen"), made.get(n, none)).otherwise(base.get(n, none)).alias(n) for n in names])
     below = bound_of(events, "index")
     # Every event adds one carry at most.
     return out.withColumn("index", bounded(F.col("_new"), "index", 2 * below if below else None)).drop("_new")
@@ -94,7 +94,7 @@ def with_carries(events: DataFrame) -> DataFrame:
 def rebuild_carries(events: DataFrame) -> DataFrame:
     """Drop generated carries and make them anew: running it twice changes nothing."""
     kept = events.where(~F.coalesce(F.col("is_generated"), F.lit(False)))
-    kept = scan(kept.withColumnRenamed("index", "_old"), [RunningSum("index", F.lit(1).cast("bigint"))], pos="_old")
+    kept = dense_position(kept.withColumnRenamed("index", "_old"), "index", pos="_old")
     return with_carries(kept.drop("_old").withColumn("second", F.col("second").cast("int")))
 
 
