@@ -1,9 +1,10 @@
 """Resumable rewrite of a partitioned archive: plan, stage, verify, back up, swap.
 
 A run has a name. Its unit is a league season, one partition folder of the archive. The plan is written once per run, so a resumed run works on
-the same units. Each unit goes through steps that can be repeated or found done from what lies in the shared folder:
+the same units. Spark works on many units at once, as many as `UNITS`: one job each writes and compares them all, so that time goes by rows and
+not by units. Each unit goes through steps that can be repeated or found done from what lies in the shared folder:
 
-1. the changed rows are written below ``<root>_runs/<run>/staged`` (complete when Spark's success marker is there) and compared with their source,
+1. the changed rows are written aside, moved below ``<root>_runs/<run>/staged`` when the job has ended, and compared with their source,
 2. the live folder is renamed to ``<root>_runs/<run>/backup``,
 3. the staged folder is renamed to the live place,
 4. one line of the ledger says how the unit ended.
@@ -16,14 +17,17 @@ there a unit should be read through its ledger line. Only counts and keys of uni
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from touchline.sources.store import fingerprint
+from touchline.sources.store import by_folder, plain_columns
 
 UNIT = ["league", "season"]
+UNITS = 500  # league seasons that one job works on
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"
 
 
 def c(name):
@@ -58,6 +62,14 @@ class Folders:
         if not self.exists(at) and not self.fs.rename(aside, self.path(at)):
             raise OSError(f"cannot write {at}")
 
+    def read_text(self, at: str) -> str:
+        """A small file whole."""
+        source = self.fs.open(self.path(at))
+        try:
+            return bytes(source.readAllBytes()).decode()
+        finally:
+            source.close()
+
     def partitions(self, root: str) -> list[tuple[str, str, str]]:
         """(folder, league, season) of every partition, from the listing alone."""
         found, unescape = [], self.jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
@@ -74,21 +86,26 @@ class Folders:
 class Rewrite:
     """A named run over the archive at `root`.
 
-    `change` maps a unit's events to new ones with the same columns and matches. `complete`, if given, tells from a unit's events whether nothing is left to do.
+    `change` maps events of several units to new ones with the same columns and matches, in the same units; units are read with the columns of all of
+    them. `complete`, if given, maps events to the (league, season) rows of the units in which something is left to do.
     `before_step(step, folder)` is called before every step; tests use it to end a run on purpose.
     """
 
     def __init__(self, spark: SparkSession, root: str, run: str, change: Callable[[DataFrame], DataFrame],
-                 complete: Callable[[DataFrame], bool] | None = None, before_step: Callable[[str, str], None] = lambda step, folder: None):
+                 complete: Callable[[DataFrame], DataFrame] | None = None, before_step: Callable[[str, str], None] = lambda step, folder: None):
         self.spark, self.root, self.run, self.change, self.complete, self.before = spark, root.rstrip("/"), run, change, complete, before_step
         self.home = f"{self.root}_runs/{run}"
         self.folders = Folders(spark, self.root)
 
-    def read(self, folder: str, base: str | None = None) -> DataFrame:
-        """Events of one partition folder with the folder's names as text columns."""
-        _, league, season = self._names(folder)
-        rows = self.spark.read.option("mergeSchema", "true").parquet(f"{base or self.root}/{folder}")
-        return rows.withColumns({"league": F.lit(league), "season": F.lit(season)})
+    def read(self, folders: str | list[str], base: str | None = None) -> DataFrame:
+        """Events of partition folders with the folders' names as text columns, behind all others."""
+        base, folders = base or self.root, [folders] if isinstance(folders, str) else folders
+        paths = [f"{base}/{f}" for f in folders]
+        found = self.spark.read.option("mergeSchema", "true").parquet(*paths).schema
+        kept = [f for f in found if f.name not in UNIT]
+        schema = T.StructType([*kept, *[T.StructField(n, T.StringType()) for n in UNIT]])
+        rows = self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
+        return rows.withColumns({n: F.coalesce(n, F.lit(NO_NAME)) for n in UNIT})
 
     def planned(self) -> list[str]:
         at = f"{self.home}/plan"
@@ -107,52 +124,98 @@ class Rewrite:
         return f"{self.home}/ledger/{folder.replace('/', ',')}.json"
 
     def _compare(self, old: DataFrame, new: DataFrame) -> dict:
-        """Rows and changed matches of a unit, rows by an order-free content hash per match."""
-        a = fingerprint(old).withColumnsRenamed({"rows": "rows_a", "hash": "hash_a"})
-        b = fingerprint(new.select(*old.columns)).withColumnsRenamed({"rows": "rows_b", "hash": "hash_b"})
-        differs = ~(c("hash_a").eqNullSafe(c("hash_b")) & c("rows_a").eqNullSafe(c("rows_b")))
-        key = F.struct(*[F.col(n) for n in old.columns])
-        changed = new.select(F.xxhash64(key).alias("h")).groupBy("h").count().join(old.select(F.xxhash64(key).alias("h")).groupBy("h").agg(F.count("*").alias("n")), "h", "left").agg(
-            F.coalesce(F.sum(F.greatest(c("count") - F.coalesce("n", F.lit(0)), F.lit(0))), F.lit(0)).alias("changed_rows"))
-        out = a.join(b, "matchId", "full").agg(F.coalesce(F.sum("rows_b"), F.lit(0)).alias("rows"), F.coalesce(F.sum("rows_a"), F.lit(0)).alias("rows_before"),
-                                               F.count_if(differs).alias("changed_matches")).crossJoin(changed).first()
-        return out.asDict()
+        """Rows, changed rows and changed matches of each unit: rows by a content hash, matches by their order-free sum."""
+        both = None
+        for side, rows in enumerate((old, new.select(*old.columns))):
+            hashed = F.xxhash64(*[c(n) for n in rows.columns])
+            one = plain_columns(rows).select(*UNIT, "matchId", hashed.alias("h"), F.lit(side).alias("side"))
+            both = one if both is None else both.unionByName(one)
+        of = lambda side: c("side") == side
+        rows = both.groupBy(*UNIT, "matchId", "h").agg(F.count_if(of(0)).alias("a"), F.count_if(of(1)).alias("b"))
+        # a hash counts in the bits of its match if it is there an odd number of times
+        bits = lambda n: F.coalesce(F.bit_xor(F.when(c(n) % 2 == 1, c("h"))), F.lit(0))
+        match = rows.groupBy(*UNIT, "matchId").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), (bits("a") != bits("b")).alias("other"),
+                                                   F.sum(F.greatest(c("b") - c("a"), F.lit(0))).alias("changed"))
+        # rows without a match id equal none of the other side
+        nameless = (c("a") > 0).cast("int") + (c("b") > 0).cast("int")
+        differs = F.when(c("matchId").isNull(), nameless).otherwise((c("other") | (c("a") != c("b"))).cast("int"))
+        units = match.groupBy(*UNIT).agg(F.sum("b").alias("rows"), F.sum("a").alias("rows_before"), F.sum(differs).alias("changed_matches"),
+                                         F.sum("changed").alias("changed_rows"))
+        return {(r.league, r.season): {n: r[n] for n in ("rows", "rows_before", "changed_matches", "changed_rows")} for r in units.collect()}  # a row per unit
 
     def _end(self, folder: str, status: str, numbers: dict) -> None:
         self.before("ledger", folder)
         self.folders.write_text(self._line(folder), json.dumps({"run": self.run, "folder": folder, "status": status, **numbers}))
 
-    def _unit(self, folder: str, skip_complete: bool) -> None:
+    def _each(self, parallel: int, work: Callable, folders: list[str]) -> None:
+        """Folder steps of units, some at a time."""
+        with ThreadPoolExecutor(parallel) as pool:
+            for done in [pool.submit(work, folder) for folder in folders]:
+                done.result()
+
+    def _stage(self, old: DataFrame, folders: list[str], parallel: int) -> None:
+        """Changed rows of units written aside; a unit's folder is moved in whole after the job, so one that is there is complete."""
+        for folder in folders:
+            self.before("stage", folder)
+        kept = [n for n in old.columns if n not in UNIT]
+        new = self.change(old)
+        missing = set(old.columns) - set(new.columns)
+        if missing:
+            raise ValueError(f"the change drops {sorted(missing)}")
+        new = new.select(*kept, *[n for n in new.columns if n not in old.columns], *UNIT)
+        aside = f"{self.home}/aside/{uuid.uuid4().hex}"
+        by_folder(new, *UNIT).write.partitionBy(*UNIT).parquet(aside)
+
+        def move(folder: str) -> None:
+            if self.folders.exists(f"{aside}/{folder}"):
+                self.folders.move(f"{aside}/{folder}", f"{self.home}/staged/{folder}")
+            else:  # a unit without rows
+                new.where("false").drop(*UNIT).write.mode("overwrite").parquet(f"{self.home}/staged/{folder}")
+
+        self._each(parallel, move, folders)
+
+    def _swap(self, folder: str, numbers: dict | None) -> None:
         live, staged, backup = f"{self.root}/{folder}", f"{self.home}/staged/{folder}", f"{self.home}/backup/{folder}"
-        if self.folders.exists(self._line(folder)):
-            return
-        if not self.folders.exists(backup):  # not swapped yet
-            old = self.read(folder)
-            if skip_complete and self.complete and self.complete(old):
-                return self._end(folder, "skipped_complete", {"rows": old.count()})
-            if not self.folders.exists(f"{staged}/_SUCCESS"):
-                self.before("stage", folder)
-                kept = [n for n in old.columns if n not in UNIT]
-                new = self.change(old)
-                missing = set(kept) - set(new.columns)
-                if missing:
-                    raise ValueError(f"the change drops {sorted(missing)}")
-                new.select(*kept, *[n for n in new.columns if n not in old.columns]).write.mode("overwrite").parquet(staged)
-            self.before("compare", folder)
-            numbers = self._compare(old, self._staged(folder))
-            if not numbers["changed_matches"] and set(self._staged(folder).columns) <= set(old.columns):
-                return self._end(folder, "unchanged", numbers)
-            self.folders.write_text(f"{self.home}/numbers/{folder.replace('/', ',')}.json", json.dumps(numbers))
+        at = f"{self.home}/numbers/{folder.replace('/', ',')}.json"
+        if numbers is not None:
+            self.folders.write_text(at, json.dumps(numbers))
             self.before("backup", folder)
             self.folders.move(live, backup)
-        if self.folders.exists(f"{staged}/_SUCCESS") and not self.folders.exists(live):
+        if self.folders.exists(staged) and not self.folders.exists(live):
             self.before("swap", folder)
             self.folders.move(staged, live)
-        numbers = json.loads(self.spark.read.text(f"{self.home}/numbers/{folder.replace('/', ',')}.json").first().value)
-        self._end(folder, "applied", numbers)
+        self._end(folder, "applied", json.loads(self.folders.read_text(at)))
+
+    def _units(self, folders: list[str], skip_complete: bool, parallel: int) -> None:
+        """Some units through all their steps."""
+        folders = [f for f in folders if not self.folders.exists(self._line(f))]
+        swapped = [f for f in folders if self.folders.exists(f"{self.home}/backup/{f}")]
+        self._each(parallel, lambda f: self._swap(f, None), swapped)
+        todo = [f for f in folders if f not in set(swapped)]
+        if todo and skip_complete and self.complete:
+            old = self.read(todo)
+            left = {tuple(r) for r in self.complete(old).select(*UNIT).distinct().collect()}  # a row per unit
+            done = [f for f in todo if self._names(f)[1:] not in left]
+            rows = {(r.league, r.season): r["count"] for r in old.groupBy(*UNIT).count().collect()} if done else {}  # a row per unit
+            self._each(parallel, lambda f: self._end(f, "skipped_complete", {"rows": rows.get(self._names(f)[1:], 0)}), done)
+            todo = [f for f in todo if f not in set(done)]
+        if not todo:
+            return
+        fresh = [f for f in todo if not self.folders.exists(f"{self.home}/staged/{f}")]
+        if fresh:
+            self._stage(self.read(fresh), fresh, parallel)
+        for folder in todo:
+            self.before("compare", folder)
+        old, staged = self.read(todo), self.read(todo, f"{self.home}/staged")
+        numbers, added = self._compare(old, staged), set(staged.columns) - set(old.columns)
+
+        def finish(folder: str) -> None:
+            found = numbers.get(self._names(folder)[1:], dict.fromkeys(("rows", "rows_before", "changed_matches", "changed_rows"), 0))
+            if not found["changed_matches"] and not added:
+                return self._end(folder, "unchanged", found)
+            self._swap(folder, found)
 
-    def _staged(self, folder: str) -> DataFrame:
-        return self.read(folder, f"{self.home}/staged")
+        self._each(parallel, finish, todo)
 
     def _names(self, folder: str) -> tuple[str, str, str]:
         unescape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
@@ -160,10 +223,10 @@ class Rewrite:
         return folder, unescape(a[7:]), unescape(b[7:])
 
     def apply(self, skip_complete: bool = False, parallel: int = 4) -> DataFrame:
-        """Work through the plan, some units at a time, and give the report. May be called again after any failure."""
-        with ThreadPoolExecutor(parallel) as pool:
-            for done in [pool.submit(self._unit, folder, skip_complete) for folder in self.plan()]:
-                done.result()
+        """Work through the plan, `UNITS` of it in a job and some folders at a time, and give the report. May be called again after any failure."""
+        folders = self.plan()
+        for at in range(0, len(folders), UNITS):
+            self._units(folders[at:at + UNITS], skip_complete, parallel)
         return self.report()
 
     def report(self) -> DataFrame:

@@ -96,9 +96,9 @@ def numeric_columns(df: DataFrame, columns) -> DataFrame:
         "promote", (F.col("values") > 0) & (F.col("values") == F.col("numbers")))
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
+def fingerprint(df: DataFrame, keys=("matchId",)) -> DataFrame:
     """Row count and an order-free content hash per match."""
-    return plain_columns(df).groupBy("matchId").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*[c for c in df.columns])).alias("hash"))
+    return plain_columns(df).groupBy(*keys).agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*[c for c in df.columns])).alias("hash"))
 
 
 def by_folder(df: DataFrame, *columns: str) -> DataFrame:
