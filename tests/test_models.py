@@ -118,3 +118,16 @@ def test_values_of_a_step_are_never_sent_whole(spark):
     out = with_models(ev, [ModelStep("all", {"xPass": "double"}, lambda d: d.withColumn("xPass", F.lit(0.5)))])
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.where("xPass = 0.5").count() == 20_000
+
+
+def test_a_kind_is_fitted_once_with_and_without_a_curve(rows, monkeypatch):
+    spec = t.ModelSpec("toy", "y", ("a", "b"), ("kind",), lambda d: d, "held_out", minimum=5)
+    alone = {n: t.fit(rows, spec, n) for n in t.CANDIDATES}
+    kinds, learned, estimator, learn_ = [], [], t.estimator, t.learn
+    monkeypatch.setattr(t, "estimator", lambda kind: kinds.append(kind) or estimator(kind))
+    monkeypatch.setattr(t, "learn", lambda *a: learned.append(1) or learn_(*a))
+    _, fitted = t.train_ranked(rows, spec)
+    assert kinds == ["logistic", "boosted_trees"] and learned == [1]
+    for n in t.CANDIDATES:
+        both = fitted[n].score(alone[n].score(rows, "s1"), "s2")
+        assert both.where("not abs(s1 - s2) < 1e-9").isEmpty()

@@ -124,9 +124,9 @@ def weight_of(rows: DataFrame, kind: str, weigh_positives: bool) -> Column:
     return F.when((c("label") == 1) & F.lit(weigh_positives), min(no / yes, MOST_POSITIVE_WEIGHT)).otherwise(1.0)
 
 
-def _base(rows: DataFrame, spec: ModelSpec, kind: str, minimum: int) -> Member:
+def _base(rows: DataFrame, spec: ModelSpec, kind: str, minimum: int, preparation: Preparation | None = None) -> Member:
     """A model on all the rows given, with the curve that its kind has by itself."""
-    preparation = learn(rows, spec.numeric, spec.categories, minimum)
+    preparation = preparation or learn(rows, spec.numeric, spec.categories, minimum)
     model = estimator(kind).fit(preparation.apply(rows).withColumn("weight", weight_of(rows, kind, spec.weigh_positives)).select("label", "features", "weight"))
     if kind == "logistic":
         return Member(preparation, Linear([float(w) for w in model.coefficients], float(model.intercept)), 1.0, 0.0)
@@ -190,18 +190,20 @@ def out_of_fold(rows: DataFrame, members: list[Member], out: str = "score") -> D
     return result
 
 
-def fit(rows: DataFrame, spec: ModelSpec, candidate: str, minimum: int | None = None) -> Artifact:
+def fit(rows: DataFrame, spec: ModelSpec, candidate: str, minimum: int | None = None, trained: dict | None = None) -> Artifact:
     """A candidate: `logistic`, `boosted_trees`, either with `_calibrated`. Folds use the training and calibration matches together; the held-out
-    form learns on the training matches and calibrates on the others."""
+    form learns on the training matches and calibrates on the others. `trained` keeps, for candidates of the same rows, the held-out form's model of
+    each kind, so that a kind is fitted once with and without a curve."""
     minimum = spec.minimum if minimum is None else minimum
     kind = candidate.removesuffix("_calibrated")
     known, train = rows.where("part <> 'test'"), rows.where("part = 'train'")
-    if kind == candidate:
-        members = [_base(known if spec.calibration == "folds" else train, spec, kind, minimum)]
-    elif spec.calibration == "folds":
-        members = fold_members(known, spec, kind, minimum)
+    if spec.calibration == "folds":
+        members = [_base(known, spec, kind, minimum)] if kind == candidate else fold_members(known, spec, kind, minimum)
     else:
-        members = [with_curve(_base(train, spec, kind, minimum), rows.where("part = 'calibrate'"))]
+        trained = {} if trained is None else trained
+        if kind not in trained:
+            trained[kind] = _base(train, spec, kind, minimum, next((m.preparation for m in trained.values()), None))
+        members = [trained[kind] if kind == candidate else with_curve(trained[kind], rows.where("part = 'calibrate'"))]
     return Artifact(spec.name, candidate, members)
 
 
@@ -210,7 +212,8 @@ CANDIDATES = ("logistic", "boosted_trees", "boosted_trees_calibrated")
 
 def train_ranked(rows: DataFrame, spec: ModelSpec, names=CANDIDATES, minimum: int | None = None) -> tuple[DataFrame, dict]:
     """Fit every candidate and rank them on the test matches by (log loss, Brier, calibration error): metrics table and artifacts."""
-    fitted, table = {n: fit(rows, spec, n, minimum) for n in names}, None
+    trained = {}
+    fitted, table = {n: fit(rows, spec, n, minimum, trained) for n in names}, None
     test = rows.where("part = 'test'")
     for name, artifact in fitted.items():
         m = model_metrics(artifact.score(test), "label", "score").withColumn("model", F.lit(name))
