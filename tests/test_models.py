@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from touchline.models import training as t
 from touchline.models.artifacts import ModelMissing, ModelStore
 from touchline.models.preparation import Preparation, learn
+from touchline.plans import enrich
 from touchline.plans.enrich import ModelStep, with_models
 from touchline.session import checkpoint_dir
 
@@ -131,3 +132,19 @@ def test_a_kind_is_fitted_once_with_and_without_a_curve(rows, monkeypatch):
     for n in t.CANDIDATES:
         both = fitted[n].score(alone[n].score(rows, "s1"), "s2")
         assert both.where("not abs(s1 - s2) < 1e-9").isEmpty()
+
+
+def test_written_events_are_not_written_again(spark, monkeypatch):
+    written, materialise = [], enrich.materialise
+    monkeypatch.setattr(enrich, "materialise", lambda df, name: written.append(name) or materialise(df, name))
+    ev = spark.range(20).select(F.lit("1").alias("matchId"), F.col("id").alias("index"))
+    out = with_models(materialise(ev, "test-events"), [ModelStep("all", {"xPass": "double"}, lambda d: d.withColumn("xPass", F.lit(0.5)))], written=True)
+    assert written == ["scores"] and out.where("xPass = 0.5").count() == 20
+
+
+def test_a_sum_of_many_terms_is_not_one_method_of_stage_code(rows):
+    """One method for all terms of a model is too long for the JVM to compile, so it would run interpreted for every row."""
+    p = learn(rows, SPEC.numeric, SPEC.categories, 5)
+    for out in (p.apply(rows), t.Member(p, t.Linear([0.5] * len(p.terms()), 0.1), 1.0, 0.0).margin(rows)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.startswith("Project")  # "*(1) Project" is stage code

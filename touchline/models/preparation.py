@@ -40,14 +40,17 @@ class Preparation:
     common: dict
 
     def terms(self) -> list[str]:
-        """Scaled numbers, NULL as the median, then for each category a place per level and one for all others; NULL is the most frequent value."""
+        """Scaled numbers, NULL as the median, then for each category a place per level and one for all others; NULL is the most frequent value.
+
+        The first term passes through a lambda function. A hundred terms in one stage's code are one method too long for the JVM to compile, which costs
+        several times the run; a lambda function is left out of stage code, and the projection with it is made of short methods."""
         out = [f"((coalesce({_number(n)}, {median!r}D) - ({mean!r}D)) / {deviation!r}D)" for n, (median, mean, deviation) in self.numeric.items()]
         for n, values in self.levels.items():
             common = "cast(null as string)" if self.common[n] is None else _text(self.common[n])
             value = f"coalesce(cast({_name(n)} as string), {common})"
             out += [f"if({value} <=> {_text(v)}, 1.0D, 0.0D)" for v in values]
             out.append(f"if({value} in ({', '.join(map(_text, values))}), 0.0D, 1.0D)" if values else "1.0D")
-        return out
+        return [f"transform(array({out[0]}), v -> v)[0]", *out[1:]] if out else out
 
     def vector(self) -> Column:
         return array_to_vector(F.expr(f"array({', '.join(self.terms())})"))

@@ -42,15 +42,15 @@ class ModelStep:
     keyed: bool = False
 
 
-def with_models(events: DataFrame, steps, keys=("matchId", "index")) -> DataFrame:
+def with_models(events: DataFrame, steps, keys=("matchId", "index"), written: bool = False) -> DataFrame:
     """Run scoring steps in order, each on what the ones before it wrote.
 
     The events are written once and each step's values into a table of their own before they reach the events: a step that cannot be planned
     or that fails on some row leaves its columns as they were, or NULL, and its name in ``failed_models``, and the others still run. A row for
-    which a keyed step has no value keeps what it had.
+    which a keyed step has no value keeps what it had. Events that are a written table already (``written``) are not written again.
     """
     keys, failed = list(keys), []
-    if steps:
+    if steps and not written:
         events = materialise(events, "events")
     for step in steps:
         names = list(step.columns)
