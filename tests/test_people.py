@@ -51,3 +51,28 @@ def test_a_common_surname_does_not_multiply(spark):
     keys = pp.known_names(people, spark.createDataFrame([], "teamName string, name string, person bigint"))
     assert keys.where("kind = 'surname'").count() == 1 and keys.where("kind = 'initial'").count() == 1
     assert keys.groupBy("kind", "key").count().where("kind in ('name around', 'name inside')").agg(F.max("count")).first()[0] == 1
+
+
+def test_common_words_do_not_multiply(spark):
+    """Three-word names that share two of them: the join meets one row for each key, not every name with these words."""
+    people = spark.range(200).select(F.col("id").alias("person"), F.concat(F.lit("ann x"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("forename"), F.lit("silva").alias("surname"))
+    squads = people.select(F.lit("porto").alias("teamName"), F.concat_ws(" ", "forename", "surname").alias("name"), "person")
+    keys = pp.known_names(people, squads).where("kind not in ('name around', 'squad around')")
+    assert keys.groupBy("kind", "team", "key").count().agg(F.max("count")).first()[0] == 1
+    wanted = spark.createDataFrame([("silva xb", None), ("silva xbc ann y", None), ("silva ann", "Porto"), ("xb ann", "porto"), ("q silva ann xbc", "Porto")], "name string, teamName string")
+    got = {(r.name, r.teamName): (r.person, r.stage) for r in pp.resolve_names(wanted, people, squads).collect()}
+    assert got == {("silva xb", None): (1, 7), ("silva xbc ann y", None): (12, 7), ("silva ann", "Porto"): (None, None), ("xb ann", "porto"): (1, 3), ("q silva ann xbc", "Porto"): (12, 2)}
+
+
+def test_long_names_lie_in_each_other_as_short_ones(spark, monkeypatch):
+    """Names of one to nine tokens: every bound on the tokens whose subsets are keys gives what comparing the sets gives."""
+    names = [" ".join(w) for n in range(1, 10) for w in (list("abcdefghi")[:n], list("ihgfedcba")[:n], list("aceghjklm")[:n])]
+    squads = spark.createDataFrame([("T", n, i) for i, n in enumerate(names)], "teamName string, name string, person int")
+    people = spark.createDataFrame([(i, *n.split(" ", 1)) for i, n in enumerate(names) if " " in n], "person int, forename string, surname string")
+    wanted = spark.createDataFrame([(n, t) for n in [*names, "a b c x", "j i h g f e d c b a", "e g", "c e z", "b a d c e f h g"] for t in ("T", None)], "name string, teamName string")
+    found = []
+    for few in (1, 2, 6, 9):
+        monkeypatch.setattr(pp, "FEW", few)
+        found.append(sorted((r.name, r.teamName or "", r.person or -1, r.stage or -1) for r in pp.resolve_names(wanted, people, squads).collect()))
+    assert all(f == found[0] for f in found)
+    assert {r[3] for r in found[0]} >= {1, 5, 7}

@@ -29,11 +29,11 @@ CLUB_WORDS = ["fc", "cf", "afc", "sc", "ac", "club", "the", "de"]
 
 
 def ascii_fold(c: Column) -> Column:
-    """Latin letters without accents, combining marks dropped; NULL stays NULL."""
+    """Latin letters without accents, combining marks dropped; NULL stays NULL. Plain text, most of it, is passed as it is."""
     plain = F.translate(F.regexp_replace(c, "[\\u0300-\\u036f]", ""), "".join(_LETTERS), "".join(_LETTERS.values()))
     for letter, pair in _WIDE.items():
         plain = F.replace(plain, F.lit(letter), F.lit(pair))
-    return plain
+    return F.when(c.rlike("[^\\x00-\\x7f]"), plain).otherwise(c)
 
 
 def normal_name(c: Column) -> Column:

@@ -1,9 +1,10 @@
 """Names of people and clubs matched to known ones by ordered stages.
 
 A name is turned into keys, a known name into keys of the same kinds, and one equi-join on (kind, team, key) finds all stages at
-once. Known keys are folded before the join: one row for each key, or for each key and token set where the whole set is
-compared afterwards, so a common surname never multiplies. Token sets are found by a key of one end: a set that lies in another
-shares its longest tokens with it. Keys grow with the square of a name's words at most.
+once. Known keys are folded before the join to one row for each key, so a common surname never multiplies. Whether one token set
+lies in another is an equal key too: the inner set is one of the outer set's subsets, which a name of up to `FEW` tokens gives as keys.
+Only where the outer name is longer are known sets kept beside a key of one end (a set that lies in another shares its longest
+tokens with it) and compared afterwards. Keys are below 2 ** `FEW` for short names and grow with the square of the words for others.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from touchline.functions.names import ascii_fold
 
+FEW = 6  # most tokens of a name whose subsets are keys
+
 #: Stages in the order in which they decide.
 STAGES = {1: "squad name", 2: "squad surname", 3: "squad tokens", 4: "squad two tokens", 5: "full name", 6: "leading pair", 7: "part of name",
           8: "surname first", 9: "reversed", 10: "surname and initial", 11: "surname", 12: "one word"}
@@ -44,8 +47,19 @@ def _pairs(tokens: Column) -> Column:
     return F.flatten(F.transform(tokens, lambda a: F.transform(F.filter(tokens, lambda b: b > a), lambda b: F.concat_ws(" ", a, b))))
 
 
+def _subsets(tokens: Column, least: int) -> Column:
+    """Every subset of at least so many of the sorted tokens, joined; none for more than `FEW` tokens."""
+    bits = F.filter(F.sequence(F.lit(1), F.pow(F.lit(2), F.least(F.size(tokens), F.lit(FEW))).cast("int") - 1), lambda m: F.bit_count(m) >= least)
+    chosen = lambda m: F.filter(tokens, lambda t, i: F.getbit(m, i) == 1)
+    return F.when(F.size(tokens).between(max(least, 1), FEW), F.transform(bits, lambda m: _join(chosen(m)))).otherwise(F.array().cast("array<string>"))
+
+
+def _if(when: Column, keys: Column) -> Column:
+    return F.when(when, keys).otherwise(F.array().cast("array<string>"))
+
+
 def _one(key: Column, when: Column) -> Column:
-    return F.when(when, F.array(key)).otherwise(F.array().cast("array<string>"))
+    return _if(when, F.array(key))
 
 
 def _keys(*parts) -> Column:
@@ -56,7 +70,8 @@ def _keys(*parts) -> Column:
     return F.concat(*[told(*part) for part in parts])
 
 
-#: Kinds whose token sets are compared after the join: the wanted set in the known one, or the known one in the wanted.
+#: Kinds of outer names of more than `FEW` tokens, whose token sets are compared after the join: the wanted set in the known one, or the
+#: known one in the wanted.
 INSIDE, AROUND = ("squad inside", "name inside"), ("squad around", "name around")
 
 
@@ -76,14 +91,18 @@ def known_names(people: DataFrame, squads: DataFrame) -> DataFrame:
     p = p.withColumn("full", F.trim(F.concat_ws(" ", "fore", "sur")))
     full = p.where("full <> ''").groupBy("full").agg(F.min("person").alias("person"), F.max("person").alias("_hi")).where("person = _hi").select(
         "person", F.lit("").alias("team"), F.array_sort(F.array_distinct(_words(c("full")))).alias("known"), "full")
-    by_full = full.select("person", "team", "known", _keys(("full", 0, F.array("full")), ("name inside", 0, _pairs(c("known"))), ("name around", 0, _longest(c("known"), 2))).alias("keys"))
+    long = F.size("known") > FEW
+    by_full = full.select("person", "team", "known", _keys(
+        ("full", 0, F.array("full")), ("name part", 0, _subsets(c("known"), 2)), ("name set", 0, _one(_join(c("known")), F.size("known").between(2, FEW))),
+        ("name inside", 0, _if(long, _pairs(c("known")))), ("name around", 0, _longest(c("known"), 2))).alias("keys"))
     has_both = (c("fore") != "") & (c("sur") != "")
     by_part = p.select("person", F.lit("").alias("team"), F.lit(None).cast("array<string>").alias("known"), _keys(
         ("surname", 0, _one(c("sur"), c("sur") != "")), ("initial", 0, _one(F.concat_ws("|", F.substring("fore", 1, 1), "sur"), has_both)), ("forename", 0, _one(c("fore"), has_both))).alias("keys"))
     s = squads.select("person", name_key(c("teamName")).alias("team"), name_key(c("name")).alias("full")).where("person is not null and full <> '' and team <> ''")
     s = s.withColumn("known", F.array_sort(F.array_distinct(_words(c("full")))))
     by_squad = s.select("person", "team", "known", _keys(
-        ("squad full", 0, F.array("full")), ("squad token", 0, c("known")), ("squad inside", 0, c("known")), ("squad around", 0, _longest(c("known"), 1)), ("squad pair", 0, _pairs(c("known")))).alias("keys"))
+        ("squad full", 0, F.array("full")), ("squad token", 0, c("known")), ("squad part", 0, _subsets(c("known"), 1)), ("squad set", 0, _one(_join(c("known")), ~long)),
+        ("squad inside", 0, _if(long, c("known"))), ("squad around", 0, _longest(c("known"), 1)), ("squad pair", 0, _pairs(c("known")))).alias("keys"))
     return _folded(by_full.unionByName(by_part).unionByName(by_squad))
 
 
@@ -97,11 +116,14 @@ def resolve_names(wanted: DataFrame, people: DataFrame, squads: DataFrame) -> Da
     w = w.withColumn("parts", _words(c("full"))).withColumn("tokens", F.array_sort(F.array_distinct(c("parts")))).withColumn("n", F.size("parts"))
     last, first, some, two = F.try_element_at("parts", F.lit(-1)), F.get("parts", F.lit(0)), c("n") > 0, c("n") > 1
     squad = some & (c("team") != "")
-    in_squad = lambda keys: F.when(squad, keys).otherwise(F.array().cast("array<string>"))
+    in_squad = lambda keys: _if(squad, keys)
+    long, whole = F.size("tokens") > FEW, _join(c("tokens"))
     turned = F.concat(F.slice("parts", 2, F.greatest(c("n") - 1, F.lit(1))), F.slice("parts", 1, 1))
-    keys = _keys(("squad full", 1, _one(c("full"), squad)), ("squad token", 2, _one(last, squad)), ("squad inside", 3, in_squad(_longest(c("tokens"), 1))),
-                 ("squad around", 3, in_squad(c("tokens"))), ("squad pair", 4, in_squad(_pairs(c("tokens")))), ("full", 5, _one(c("full"), some)),
-                 ("full", 6, _one(_join(F.slice("parts", 1, 2)), c("n") > 2)), ("name inside", 7, _longest(c("tokens"), 2)), ("name around", 7, _pairs(c("tokens"))),
+    keys = _keys(("squad full", 1, _one(c("full"), squad)), ("squad token", 2, _one(last, squad)), ("squad part", 3, _one(whole, squad & ~long)),
+                 ("squad set", 3, in_squad(_subsets(c("tokens"), 1))), ("squad inside", 3, in_squad(_longest(c("tokens"), 1))),
+                 ("squad around", 3, in_squad(_if(long, c("tokens")))), ("squad pair", 4, in_squad(_pairs(c("tokens")))), ("full", 5, _one(c("full"), some)),
+                 ("full", 6, _one(_join(F.slice("parts", 1, 2)), c("n") > 2)), ("name part", 7, _one(whole, F.size("tokens").between(2, FEW))),
+                 ("name set", 7, _subsets(c("tokens"), 2)), ("name inside", 7, _longest(c("tokens"), 2)), ("name around", 7, _if(long, _pairs(c("tokens")))),
                  ("full", 8, _one(_join(turned), two)), ("full", 9, _one(_join(F.reverse("parts")), two)), ("initial", 10, _one(F.concat_ws("|", F.substring(first, 1, 1), last), two)),
                  ("surname", 11, _one(last, some)), ("forename", 12, _one(c("full"), c("n") == 1)))
     w = w.select("name", "teamName", "tokens", "team", F.explode_outer(keys).alias("k")).select(
