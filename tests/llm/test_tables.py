@@ -116,6 +116,42 @@ def test_components_of_a_path_and_a_star(spark):
     assert {r.node: r.component for r in rows} == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
 
 
+def test_small_link_tables_need_no_rounds_and_chunks_change_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, None), (9, 9)]
+    least = {}
+    for a, b in links:
+        if b is not None and a != b:
+            x, y = least.get(a, a), least.get(b, b)
+            least |= {n: min(x, y) for n in (a, b, *(k for k, v in least.items() if v in (x, y)))}
+    stars, rounds = components._stars, []
+    monkeypatch.setattr(components, "_stars", lambda links, large: rounds.append(large) or stars(links, large))
+    table = spark.createDataFrame(links, "a long, b long").repartition(5)
+    for chunk in (components.CHUNK, 16):
+        monkeypatch.setattr(components, "CHUNK", chunk)
+        rows = components.components(table).collect()
+        assert len(rows) == len(least) and {r.node: r.component for r in rows} == least
+        assert bool(rounds) == (chunk == 16)
+
+
+def test_star_passes_end_when_they_no_longer_help(spark, monkeypatch):
+    """Copies of one text and a loose family of it that links with nothing share buckets that no star pass can settle."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(260)]
+    texts = []
+    for edits in [1] * 40 + [9] * 40:
+        own = list(base)
+        for at in rng.sample(range(260), edits):
+            own[at] = f"e{rng.randrange(90000)}"
+        texts.append(" ".join(own))
+    written, passes = count_tree_join.written, []
+    monkeypatch.setattr(count_tree_join, "written", lambda df, name: passes.append(name) or written(df, name))
+    monkeypatch.setattr(count_tree_join, "WORTH", 0)
+    rows = {r.doc_id: r.component_id for r in count_tree_join.joined(cases.documents(spark, texts)).collect()}
+    assert [rows[i] for i in range(80)] == [c for _, c in plain_join(texts)]
+    assert passes.count("pairs") == 3  # two star passes, the second without effect, and the last pass
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_bounds_keep_every_pair_that_links(seed):
     """Place, counts and map of random sets around the limit, at their first shared shingle in a common order."""

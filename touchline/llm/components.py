@@ -1,11 +1,51 @@
-"""Connected components of a link table: alternating large and small stars over DataFrames."""
+"""Connected components of a link table: links contracted in tasks, then alternating large and small stars over DataFrames."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import written
+from touchline.llm.common import mapped, written
+
+CHUNK = 1 << 14  # links that a task contracts at a time
+
+
+def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of some links, and the least node that each reaches by them."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[:len(a)], at[len(a):], np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        if np.array_equal(low, high):
+            return nodes, nodes[label]
+        np.minimum.at(label, high, low)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+
+
+def _contracted(links: DataFrame, roots: bool = False) -> DataFrame:
+    """Links (a, b) of the same components: in each task, each node of a chunk of links to the least it reaches there, also
+    the least ones to themselves if `roots`."""
+    def chunk(held):
+        a, b = _least(*(np.concatenate(c) for c in zip(*held)))
+        keep = a >= b if roots else a > b
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    def batches(source):
+        held, size = [], 0
+        for batch in source:
+            if batch.num_rows:
+                held.append([c.to_numpy() for c in batch.columns])
+                size += batch.num_rows
+            if size >= CHUNK:
+                yield chunk(held)
+                held, size = [], 0
+        if held:
+            yield chunk(held)
+
+    return mapped(links, batches, "a long, b long")
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -26,10 +66,14 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with a link to another: component is the least node it can reach. Null ends and
-    links of a node to itself are left out. Each round is written to the shared folder, so lineage stays short; rounds grow with the
-    logarithm of the longest path."""
-    links = written(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-                    .where(F.col("a") > F.col("b")).distinct(), "links")
+    links of a node to itself are left out. Nodes are long. Tasks contract their links first. If what is left fits one chunk (checked),
+    it is contracted once more; else rounds of stars follow, each written to the shared folder, so lineage stays short; rounds grow
+    with the logarithm of the longest path."""
+    links = written(_contracted(links.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b"))
+                                .where(F.col("a") > F.col("b"))), "links")
+    if links.count() < CHUNK:
+        found = written(_contracted(links.coalesce(1), roots=True), "links")
+        return found.select(F.col("a").alias("node"), F.col("b").alias("component"))
     mark = None
     while True:
         links = written(_stars(_stars(links, True), False).distinct(), "links")

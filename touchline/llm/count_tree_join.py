@@ -17,7 +17,8 @@ each document the smallest id it can reach by links.
   fills holds a shingle of its own. Only pairs that pass are looked at further.
 * Star passes take from each bucket, for every point, the one survivor of another component that comes first in a fixed
   random order. These pairs are bounded once more by `FINE` groups, verified on the full sets, and give components. A group of
-  copies costs rows in proportion to its size. They end when the pairs left across components are few.
+  copies costs rows in proportion to its size. They end when the pairs left across components are few, or when a pass no longer
+  halves them: what is left then are buckets of texts that do not link, which only the last pass can settle.
 * The last pass takes buckets that still hold several components: every survivor pair across components is verified. With
   it no link between components is lost; pairs inside one component need no row. Large buckets are dealt to several
   tasks in blocks in all passes.
@@ -30,6 +31,7 @@ null. Other columns play no part.
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -456,11 +458,14 @@ def _sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return mapped(joined, batches, "set_id long, fine binary, shingles binary")
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """A block number for each row, so that a bucket of many points is several runs."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+def _dealt(rows: DataFrame, crowded: DataFrame, n_crowded: int) -> DataFrame:
+    """A block number for each row, so that a bucket of many points is several runs. `crowded` (key, size) are the buckets of more than a
+    block; they are sent to all tasks if they are few (checked)."""
+    if not n_crowded:
+        return rows.withColumn("block", F.lit(0))
     blocks = F.ceil(F.coalesce(F.col("size"), F.lit(1)) / BLOCK).cast("int")
-    return rows.join(sizes, "key", "left").withColumn("block", F.pmod(F.xxhash64("key", "set_id"), blocks * 2).cast("int") * (blocks > 1).cast("int")).drop("size")
+    return (rows.join(F.broadcast(crowded) if n_crowded <= SENT else crowded, "key", "left")
+            .withColumn("block", F.pmod(F.xxhash64("key", "set_id"), blocks * 2).cast("int") * (blocks > 1).cast("int")).drop("size"))
 
 
 def joined(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -481,7 +486,8 @@ def joined(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
         nonlocal sets, links
         wanted = members_of(pairs).join(members, "set_id")
         if sets is not None:
-            wanted = written(wanted.join(sets.select("set_id").distinct(), "set_id", "left_anti"), "unseen")
+            wanted = wanted.join(sets.select("set_id").distinct(), "set_id", "left_anti")
+        wanted = written(wanted, "unseen")
         if sets is None or not wanted.isEmpty():
             more = written(_sets_of(docs, wanted), "shingles")
             sets = more if sets is None else sets.unionByName(more)
@@ -489,9 +495,12 @@ def joined(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
         links = found if links is None else links.unionByName(found)
 
     n_rows = met.count()
+    crowded = written(met.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "crowded")
+    n_crowded = crowded.count()
     rows = met.withColumn("component", F.col("set_id"))
-    for star in range(STARS):
-        verified(written(_star_pairs(_dealt(rows).join(points.withColumn("point", F.substring("point", 1, GROUPS)), "set_id").select(
+    before = math.inf
+    for _ in range(STARS):
+        verified(written(_star_pairs(_dealt(rows, crowded, n_crowded).join(points.withColumn("point", F.substring("point", 1, GROUPS)), "set_id").select(
             "key", "block", "set_id", "n", "room", "point", "component")), "pairs"))
         grouped = written(components(links), "grouped")
         links = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))  # the same classes, already as stars
@@ -502,8 +511,9 @@ def joined(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
             .where(F.col("most") < F.col("size")), "mixed")
         # pairs that buckets with a large component would still give; buckets of unrelated texts give hardly any
         left = mixed_keys.where(F.col("most") > LEAF).agg(F.sum((F.col("size") - F.col("most")).cast("double") * F.col("size"))).first()[0] or 0
-        if left <= WORTH * n_rows:
+        if left <= WORTH * n_rows or 2 * left > before:
             break
+        before = left
         rows = named.join(mixed_keys.select("key"), "key", "left_semi")
     blocks = F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
     rest = (named.join(mixed_keys.withColumn("blocks", blocks), "key")
