@@ -132,6 +132,8 @@ def test_small_link_tables_need_no_rounds_and_chunks_change_nothing(spark, monke
         rows = components.components(table).collect()
         assert len(rows) == len(least) and {r.node: r.component for r in rows} == least
         assert bool(rounds) == (chunk == 16)
+    nodes = table.select(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(False).alias("none"), F.col(c).alias("id"))).alias(c) for c in ("a", "b")))
+    assert {r.node.id: r.component.id for r in components.components(nodes).collect()} == least
 
 
 def test_star_passes_end_when_they_no_longer_help(spark, monkeypatch):

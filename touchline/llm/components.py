@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.llm.common import mapped, written
 
@@ -66,14 +67,17 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with a link to another: component is the least node it can reach. Null ends and
-    links of a node to itself are left out. Nodes are long. Tasks contract their links first. If what is left fits one chunk (checked),
-    it is contracted once more; else rounds of stars follow, each written to the shared folder, so lineage stays short; rounds grow
-    with the logarithm of the longest path."""
-    links = written(_contracted(links.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b"))
-                                .where(F.col("a") > F.col("b"))), "links")
-    if links.count() < CHUNK:
-        found = written(_contracted(links.coalesce(1), roots=True), "links")
-        return found.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    links of a node to itself are left out. Links of long ids are first contracted in tasks; if what is left fits one chunk (checked),
+    it is contracted once more and done. Else, and for nodes of other types, rounds of stars follow, each written to the shared folder,
+    so lineage stays short; rounds grow with the logarithm of the longest path."""
+    links = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col("a") > F.col("b"))
+    if all(f.dataType == T.LongType() for f in links.schema):
+        links = written(_contracted(links), "links")
+        if links.count() < CHUNK:
+            found = written(_contracted(links.coalesce(1), roots=True), "links")
+            return found.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    else:
+        links = written(links.distinct(), "links")
     mark = None
     while True:
         links = written(_stars(_stars(links, True), False).distinct(), "links")
